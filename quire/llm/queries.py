@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe
+from quire.llm import bpe, license_scan, quality_rules, tiff
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rules = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(docs, rules)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest(tiff.tiff_files(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op4_license_scan": op4_license_scan,
+    "op5_quality_rules": op5_quality_rules,
+    "op9_tiff": op9_tiff,
+}
 
 ORACLES: dict[str, str] = {}
