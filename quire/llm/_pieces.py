@@ -21,68 +21,29 @@ def chunks(text: str) -> list[str] | None:
 
 
 class Memo(dict):
-    """A dict that starts anew after so many entries: bounded memory."""
+    """Encoded pieces by piece, each encoded when first asked for.
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
+    Bounded: when full, its entries become the older generation, in place of
+    the last one; what is asked for again comes back from there.
+    """
 
-    def __setitem__(self, key, value):
+    def __init__(self, encode, most: int, longest: int):
+        super().__init__()
+        self.encode, self.most, self.longest, self.older = encode, most // 2, longest, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+            if len(piece) > self.longest:
+                return ids
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        super().__setitem__(key, value)
-
-
-class Pieces:
-    """Encodes whole texts by a memo of their pieces.
-
-    ``many`` encodes a list of strings, each on its own.  A word and the comma
-    or full stop after it are different matches, so they are looked up apart.
-    """
-
-    def __init__(self, many, most: int, longest: int):
-        self.many, self.memo, self.longest = many, Memo(most), longest
-
-    def _fill(self, missing: dict[str, None]) -> dict[str, bytes]:
-        known, apart, todo = {}, {}, {}
-        for part in missing:
-            if part[-1:] in (",", ".") and len(part) > 2 and part[-2].isalpha():
-                apart[part] = part[:-1], part[-1]
-                parts = apart[part]
-            else:
-                parts = (part,)
-            for x in parts:
-                ids = self.memo.get(x)
-                if ids is None:
-                    todo[x] = None
-                else:
-                    known[x] = ids
-        names = list(todo)
-        known.update(zip(names, self.many(names)))
-        for part, (head, tail) in apart.items():
-            known[part] = known[head] + known[tail]
-        for x, ids in known.items():
-            if len(x) <= self.longest:
-                self.memo[x] = ids
-        return known
+        self[piece] = ids
+        return ids
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in texts]
-        whole = [t for t, c in zip(texts, cut) if c is None]
-        whole_ids = iter(self.many(whole))
-        get, out, missing = self.memo.get, [], {}
-        for parts in cut:
-            ids = None if parts is None else list(map(get, parts))
-            out.append(ids)
-            if ids is not None and None in ids:
-                missing.update((parts[i], None) for i, x in enumerate(ids) if x is None)
-        known = self._fill(missing) if missing else {}
-        joined = []
-        for parts, ids in zip(cut, out):
-            if parts is None:
-                joined.append(next(whole_ids))
-            elif None in ids:
-                joined.append(b"".join([known[p] if x is None else x for p, x in zip(parts, ids)]))
-            else:
-                joined.append(b"".join(ids))
-        return joined
+    def text(self, text: str) -> bytes:
+        """A whole text's ids."""
+        parts = chunks(text)
+        return self.encode(text) if parts is None else b"".join(map(self.__getitem__, parts))

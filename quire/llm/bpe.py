@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from quire.llm._arrow import map_texts
-from quire.llm._pieces import Memo, chunks
+from quire.llm._pieces import Memo
 
 #: Entries of a worker's memo of encoded pieces, and the longest piece kept.
-MEMO, LONGEST = 400_000, 64
+MEMO, LONGEST = 1_400_000, 48
 
 _NONE = 1 << 62
 
@@ -95,36 +95,19 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.memo = Memo(MEMO)
+        self.memo = Memo(self._encode, MEMO, LONGEST)
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
-    def _matches(self, text: str) -> bytes:
-        out = []
-        for piece in self.find(text):
-            ids = self.memo.get(piece)
-            if ids is None:
-                ids = array("I", encode_piece(piece.encode(), self.ranks)).tobytes()
-                if len(piece) <= LONGEST:
-                    self.memo[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _encode(self, part: str) -> bytes:
+        pieces = self.find(part)
+        if len(pieces) == 1:
+            return array("I", encode_piece(part.encode(), self.ranks)).tobytes()
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
-        parts = chunks(text)
-        if parts is None:
-            return self._matches(text)
-        get = self.memo.get
-        out = list(map(get, parts))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    part = parts[i]
-                    out[i] = ids = self._matches(part)
-                    if len(part) <= LONGEST:
-                        self.memo[part] = ids
-        return b"".join(out)
+        return self.memo.text(text)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))

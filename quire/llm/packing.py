@@ -27,16 +27,18 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from quire.llm._arrow import explode_texts
-from quire.llm._pieces import Pieces
+from quire.llm._pieces import Memo
 from quire.storage import staged
 
 #: Pieces of a group, and how often those of sequences that aren't full are dealt anew.
 GROUP, ROUNDS = 16_384, 3
+#: Entries of a worker's memo of encoded pieces, and the longest piece kept.
+MEMO, LONGEST = 1_400_000, 48
 
-_own: dict[int, Pieces] = {}
+_own: dict[int, Memo] = {}
 
 
-def _tokenizer(spec: str) -> Pieces:
+def _tokenizer(spec: str) -> Memo:
     """A worker's tokenizer and memo, kept for all its tasks."""
     key = zlib.crc32(spec.encode())
     if key not in _own:
@@ -46,11 +48,8 @@ def _tokenizer(spec: str) -> Pieces:
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.encode_special_tokens = True  # their strings are ordinary text
 
-        def many(texts):
-            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
         _own.clear()
-        _own[key] = Pieces(many, 1_200_000, 48)
+        _own[key] = Memo(lambda piece: array("I", tokenizer.encode(piece, add_special_tokens=False).ids).tobytes(), MEMO, LONGEST)
     return _own[key]
 
 
@@ -75,8 +74,8 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, most: int = 2048, end_id:
             nonlocal number
             owner: list[int] = []
             out: list[list] = [[] for _ in PIECE]
-            for i, ids in enumerate(own.encode_all([t or "" for t in texts])):
-                ids += end
+            for i, t in enumerate(texts):
+                ids = own.text(t or "") + end
                 n = len(ids) // 4
                 at, piece = 0, 0
                 while at < n:
