@@ -18,7 +18,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.train(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, url_filter.train(pages, html_col="html")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

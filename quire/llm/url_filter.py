@@ -1,7 +1,7 @@
 """URL filters: rules first, then a model that reads words out of host names.
 
 Host names run words together.  A unigram model with the counts of all words
-of all urls splits each label of a host by Viterbi; a multinomial naive Bayes
+of paths and page titles splits each label of a host by Viterbi; a multinomial naive Bayes
 model scores the words of host and path.  It learns from the urls that a rule
 decides: the words that stand in allowed and in blocked ones.  Its counts are
 kept by hash in tables of fixed size, so all urls count and none grows them.
@@ -34,7 +34,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Words of the unigram model: the most frequent ones of all urls; the model's size.
+#: Words of the unigram model: the most frequent ones of all pages; the model's size.
 LEXICON = 50_000
 #: Slots of the naive Bayes tables.
 SLOTS = 1 << 16
@@ -123,40 +123,36 @@ class Model:
         return self.prior + float(sum(self.slots[_slot(w, where)] for w, where in tokens))
 
 
-def unigrams(cut: DataFrame, lexicon: int = LEXICON) -> tuple[dict[str, float], float]:
-    """Words' log probabilities by their counts in all urls, and an unknown letter's.
+def unigrams(texts: DataFrame, lexicon: int = LEXICON) -> tuple[dict[str, float], float]:
+    """Words' log probabilities by their counts in all rows of column ``t``, and an unknown letter's.
 
-    A word costs what its count and its letters say: a whole host label that
-    occurs once doesn't beat the words that it is made of.
+    A letter that belongs to no word costs more than the rarest word.
     """
 
     def make():
         def run(rows):
-            pairs = [(i, w) for i, r in enumerate(rows) for w in words_of(r)]
+            pairs = [(i, w) for i, r in enumerate(rows) for w in words_of(r or "")]
             return [i for i, _ in pairs], [[w for _, w in pairs]]
 
         return run
 
-    text = cut.select(F.concat_ws(" ", "host", "path").alias("t"))
-    counted = explode_texts(text, "t", (), [StructField("w", StringType())], make).where("not w rlike '^[0-9]+$'").groupBy("w").count()
+    counted = explode_texts(texts, "t", (), [StructField("w", StringType())], make).where(f"not w rlike '^[0-9]+$' and length(w) <= {LONGEST}").groupBy("w").count()
     total = counted.agg(F.sum("count")).first()[0] or 0
     top = counted.orderBy(F.desc("count"), "w").limit(lexicon).collect()
     if not top:
         return {}, -10.0
     log_total = math.log(total + len(top))
-    words = {r["w"]: math.log(r["count"] + 1) - log_total for r in top if len(r["w"]) <= LONGEST}
-    parts_of = {w: c for w, c in ((r["w"], r["count"]) for r in top)}
-    for w in sorted(words, key=len, reverse=True):
-        # a word made of much more frequent words counts as those
-        if len(w) > 3 and any(parts_of.get(w[:i], 0) > 4 * parts_of[w] and parts_of.get(w[i:], 0) > 4 * parts_of[w] for i in range(2, len(w) - 1)):
-            del words[w]
-    return words, -log_total - 2.0
+    return {r["w"]: math.log(r["count"] + 1) - log_total for r in top}, -log_total - 2.0
 
 
-def train(urls: DataFrame, url_col: str = "url", rules=RULES, lexicon: int = LEXICON) -> Model:
-    """Unigram model from all urls, naive Bayes from all urls that a rule decides."""
+def train(urls: DataFrame, url_col: str = "url", html_col: str | None = None, rules=RULES, lexicon: int = LEXICON) -> Model:
+    """Unigram model from the words of all paths and page titles, naive Bayes from all urls that a rule decides.
+
+    Host names don't count as words: they are what is to be split.
+    """
     cut = parts(urls, url_col, (), rules)
-    words, unknown = unigrams(cut, lexicon)
+    title = F.regexp_extract(col(html_col), r"(?is)<title[^>]*>([^<]*)", 1) if html_col else F.lit("")
+    words, unknown = unigrams(urls.select(F.concat_ws(" ", path_column(col(url_col)), title).alias("t")), lexicon)
     start = Model(words, unknown, np.zeros(SLOTS), 0.0)
     verdicts = F.element_at(F.array(*[F.lit(int(v == "block")) for v, _, _ in rules]), F.col("rule") + 1) if rules else F.lit(0)
     ruled = cut.where("rule is not null").select("host", F.concat_ws("\n", "host", "path").alias("both"), verdicts.alias("block"))
