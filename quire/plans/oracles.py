@@ -288,4 +288,16 @@ ORACLES: dict[str, str] = {
     "bullet_lists": f"""WITH m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, sum((a <> '')::INT) OVER (PARTITION BY doc_id) AS marks, sum((a <> '' OR i = 1)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS item FROM {_ROWS}),
       g AS (SELECT doc_id, n, marks, item, string_agg(b, ' ' ORDER BY i) AS t FROM m GROUP BY 1, 2, 3, 4) SELECT doc_id, CASE WHEN n >= 2 AND marks > 0 THEN string_agg(t, '|' ORDER BY item) END AS items FROM g GROUP BY doc_id, n, marks""",
     "page_event_stream": "SELECT user_id, event_type, count(*) AS n, round(sum(value), 3) AS total, max(ts) AS last_ts FROM events GROUP BY 1, 2",
+    "glyph_scan": f"""SELECT page, ord, round(x, 3) AS x, round(y, 3) AS y, round(w, 3) AS w, round(h, 3) AS h FROM (SELECT page, ord, greatest(x0, 0.0) AS x, greatest(t, 0.0) AS y, least(x0 + w0, 600.0) - greatest(x0, 0.0) AS w, least(t + h, 120.0) - greatest(t, 0.0) AS h FROM (
+      SELECT page, ord, x - 20 AS x0, w * 4 AS w0, h, 120.0 - y - h AS t FROM {_BOXES} WHERE ord % 10 <> 0 AND w * 4 < 300)) WHERE w > 0 AND h > 0""",
+    "text_in_rect": f"""WITH {_AB} SELECT r.page, r.ord, string_agg('w' || b.ord, ' ' ORDER BY b.ord) AS text, max(b.l_linenumber)::DOUBLE AS size, (sum(CASE WHEN b.l_returnflag <> 'N' THEN length('w' || b.ord) ELSE 0 END) > 0.8 * sum(length('w' || b.ord)))::INT AS bold
+      FROM b r JOIN b ON b.page = r.page WHERE r.ord % 25 = 0 AND b.x + b.w / 2 BETWEEN r.x AND r.x + r.w * 3 AND b.y + 5 BETWEEN r.y AND r.y + 20 GROUP BY r.page, r.ord""",
+    "contents_exclude": f"WITH {_AB}, t AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 4 = 0), c AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 9 = 0) SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = t.page AND t.first_line < c.end_line AND c.first_line < t.end_line)",
+    "vision_blocks": f"WITH v AS (SELECT *, CASE WHEN ord = 5 THEN 'title' WHEN ord % 6 = 0 THEN 'table' ELSE 'paragraph' END AS kind FROM {_BOXES}) SELECT m.page, m.ord, m.kind FROM v m WHERE m.kind <> 'paragraph' OR NOT EXISTS (SELECT 1 FROM v n WHERE n.page = m.page AND n.kind <> 'paragraph' AND {_cover('m', 'n')} >= CASE WHEN n.kind = 'title' THEN 0.9 ELSE 0.6 END)",
+    "place_headings": f"WITH {_AB}, r AS (SELECT *, row_number() OVER (PARTITION BY page, l_linenumber ORDER BY ord) = 1 AND l_linenumber <= 2 AS head FROM b) SELECT page, ord, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head THEN l_linenumber END AS level FROM r",
+    "figure_pages": f"WITH {_AB}, p AS (SELECT page, max(y) AS height FROM b GROUP BY page) SELECT b.page, ord, round(height, 3) AS height FROM b JOIN p USING (page) WHERE ord % 20 = 0",
+    "document_report": f"WITH t AS {_TALK} SELECT doc_id, count(DISTINCT page_index) AS pages, count(*) AS blocks, count(*) FILTER (WHERE type = 'heading') AS headings, round(sum(length(text)) / count(DISTINCT page_index), 4) AS per_page FROM t GROUP BY doc_id",
+    "json_document": f"""WITH t AS {_TALK} SELECT doc_id, '[' || string_agg('{{' || CASE WHEN level IS NOT NULL THEN '"level":' || level || ',' ELSE '' END || '"page":' || page_index || ',"text":' || to_json(text) || ',"type":"' || type || '"}}', ',' ORDER BY pos) || ']' AS json FROM t GROUP BY doc_id""",
+    "jsonl_chunks": f"""{_chunks()} SELECT doc_id, chunk_id, '{{"id":' || chunk_id || ',"sectionID":"' || section_id || '","text":' || to_json(text) || '}}' AS json FROM c""",
+    "encode_path": "SELECT page_id, replace(replace(replace(url, '?', '%3F'), '#', '%23'), ' ', '%20') || '%20%C3%A9%231' AS path FROM pages",
 }

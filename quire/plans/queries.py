@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quire.functions import maths, text as T
-from quire.operators import chunks as C, figures, furniture, geometry as G, headings as H, layout as L, markdown as M, search as Q, stats, tables as TB
+from quire.operators import chunks as C, figures, furniture, geometry as G, glyphs as GL, headings as H, layout as L, markdown as M, search as Q, stats, tables as TB
 from quire.operators.sections import sections
+from quire.plans import extract as X
 from quire.sources import adapters as A
 from quire.streaming import events as E
 
@@ -516,3 +517,83 @@ def math_display(spark, d):
 @query
 def page_event_stream(spark, d):
     return E.final_state(spark, d)
+
+
+# --- glyphs and whole plans -----------------------------------------------------------
+
+
+@query
+def glyph_scan(spark, d):
+    b = A.boxes(spark, d).withColumns({"w": F.when(F.col("ord") % 10 == 0, 0.0).otherwise(F.col("w") * 4), "x": F.col("x") - 20})
+    return GL.scan(b, 600.0, 120.0).select("page", "ord", *[_r(c, 3).alias(c) for c in "xywh"])
+
+
+@query
+def text_in_rect(spark, d):
+    b = A.boxes(spark, d).withColumns({"text": F.concat(F.lit("w"), F.col("ord").cast("string")), "size": F.col("l_linenumber").cast("double"), "bold": F.col("l_returnflag") != "N"})
+    rects = b.where("ord % 25 = 0").select("page", "ord", "x", "y", (F.col("w") * 3).alias("w"), (F.col("h") * 2).alias("h"))
+    return GL.text_in(b.select("page", "ord", "x", "y", "w", "h", "text", "size", "bold"), rects).select("page", F.col("r_ord").alias("ord"), "text", "size", F.col("bold").cast("int").alias("bold"))
+
+
+def _glyphs(spark, d):
+    """Two columns of glyphs with some rows across, most pages."""
+    b = A.boxes(spark, d).where("ord <= 120")
+    across = F.col("ord") % 30 == 0
+    x = F.when(across, 60.0).when(F.col("ord") % 2 == 0, 40.0 + (F.col("l_partkey") % 18) * 12).otherwise(330.0 + (F.col("l_suppkey") % 18) * 12)
+    return b.select("page", "ord", x.alias("x"), (F.floor(F.col("ord") / 2) * 12.0).alias("y"), F.when(across, 420.0).otherwise(10.0).alias("w"), "h")
+
+
+@query
+def column_gutters(spark, d):
+    return GL.column_gutters(_glyphs(spark, d), 600.0, 800.0, 80).select("page", _r("center", 4).alias("center"), _r("half", 4).alias("half"))
+
+
+@query
+def arrange_rows(spark, d):
+    return GL.arrange(_glyphs(spark, d), 600.0, 800.0, 80)
+
+
+@query
+def contents_exclude(spark, d):
+    b = A.boxes(spark, d)
+    span = lambda c: b.where(c).select("page", F.col("ord").alias("first_line"), (F.col("ord") + F.col("l_linenumber")).alias("end_line"))
+    return X.without_contents(span("ord % 4 = 0"), span("ord % 9 = 0"))
+
+
+@query
+def vision_blocks(spark, d):
+    b = A.boxes(spark, d)
+    kind = F.when(F.col("ord") == 5, "title").when(F.col("ord") % 6 == 0, "table").otherwise("paragraph")
+    return X.vision_blocks(b.select("page", "ord", "x", "y", "w", "h", kind.alias("kind"))).select("page", "ord", "kind")
+
+
+@query
+def place_headings(spark, d):
+    b = A.boxes(spark, d).select("page", "l_linenumber", "ord", F.lit("paragraph").alias("type"), "l_returnflag")
+    level = F.when(F.col("l_linenumber") <= 2, F.col("l_linenumber"))
+    return X.placed(b, ["page", "l_linenumber"], level).select("page", "ord", "type", "level")
+
+
+@query
+def figure_pages(spark, d):
+    b = A.boxes(spark, d)
+    fig = b.where("ord % 20 = 0").select("page", "ord")
+    pages = b.groupBy("page").agg(F.max("y").alias("height"))
+    return fig.join(pages, "page").select("page", "ord", _r("height", 3).alias("height"))
+
+
+@query
+def document_report(spark, d):
+    b = A.conversation_blocks(spark, d)
+    return b.groupBy("doc_id").agg(F.count_distinct("page_index").alias("pages"), F.count("*").alias("blocks"), F.count_if(F.col("type") == "heading").alias("headings"), _r(F.sum(F.length("text")) / F.count_distinct("page_index"), 4).alias("per_page"))
+
+
+@query
+def extract_pages(spark, d):
+    return X.page_blocks(_lines(spark, d)).select("page", "ord", "type", "level", "text")
+
+
+@query
+def finish_documents(spark, d):
+    b = A.source_pages(spark, d).withColumns({"size": F.when(F.col("type") == "heading", 12.0).otherwise(9.0), "level": F.when(F.col("type") == "heading", 1)})
+    return X.finish(b).select("doc", "page", "ord", "type", "level")
