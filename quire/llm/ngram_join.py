@@ -34,9 +34,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from quire.llm._arrow import ROWS, col, explode_texts, map_texts
+from quire.llm._arrow import ROWS, col, explode_texts
 from quire.llm.components import connected
 from quire.storage import staged
 
@@ -49,7 +50,7 @@ BUCKETS, FREQUENT, FREQUENT_LEAST = 1 << 22, 0.0005, 64
 #: Bits of the filter that picks the texts to verify: as it fills it lets more through.
 FILTER = 1 << 24
 #: Sizes up to which a band goes; texts up to the first have a block for each shingle.
-FIRST, RATIO = 48, 4
+FIRST, RATIO = 48, 2
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -90,20 +91,24 @@ def set_id(s: np.ndarray) -> int:
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
-    """One bit a token, toggled, in as many bits as tokens, rounded up to a power of two from 64 on."""
-    bits = max(64, 1 << (len(s) - 1).bit_length())
+    """One bit a token, toggled, in two to four times as many bits as tokens: a power of two from 64 on."""
+    bits = max(64, 2 << (len(s) - 1).bit_length())
     odd = np.bincount((s >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    """Distance of two sketches; the longer is folded by XOR to the shorter's bits."""
-    if len(a) < len(b):
-        a, b = b, a
-    x = np.frombuffer(a, np.uint8)
-    while len(x) > len(b):
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch brought to fewer bytes by XOR of its halves: the same set's sketch of that size."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ np.frombuffer(b, np.uint8)).sum())
+    return x
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Distance of two sketches, at the shorter one's size."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
 
 
 def most_apart(n, m, num: int = NUM, den: int = DEN):
@@ -133,7 +138,7 @@ def block_words(s: np.ndarray, frequent: np.ndarray, num: int = NUM, den: int =
             continue
         spread = _mix(s + np.uint64(b + 1))
         if b:
-            width = np.uint64(64 - (2 * FIRST * RATIO**b - 1).bit_length())
+            width = np.uint64(64 - (2 * FIRST * RATIO**b // 3 - 1).bit_length())
             spread = spread >> width
         else:
             spread = spread >> np.uint64(1)
@@ -152,42 +157,42 @@ SET = [StructField("n", LongType()), StructField("set_id", LongType()), StructFi
 
 
 def sets(docs: DataFrame, text_col: str, keep: Sequence[str], words: int = WORDS) -> DataFrame:
-    """``keep`` columns and the size, name and bit sketch of each text's set."""
-
-    def make():
-        def one(t):
-            s = shingles(t, words)
-            return (len(s), set_id(s), bit_sketch(s)) if len(s) else (0, None, None)
+    """A row a document: ``keep`` columns and the size, name and bit sketch of its set.
 
-        return lambda texts: [list(x) for x in zip(*map(one, texts))] if texts else [[], [], []]
-
-    return map_texts(docs, text_col, keep, SET, make)
-
-
-def frequent_buckets(docs: DataFrame, text_col: str, words: int = WORDS) -> np.ndarray:
-    """Bitmap of the buckets whose shingles very many documents have.
-
-    Each task counts all its documents into one array of fixed size and reports
-    the buckets that stand out in it; their sums decide.  The list only orders
-    blocks; the join is exact with any.
+    In the same pass each task counts all its documents' shingles into one array
+    of buckets of fixed size, and adds a row for each bucket that stands out in
+    it (``bucket`` not null; -1 has the number of documents).
     """
-    schema = StructType([StructField("bucket", IntegerType()), StructField("n", LongType())])
+    schema = StructType([StructField(k, docs.schema[k].dataType) for k in keep] + SET + [StructField("bucket", IntegerType()), StructField("bucket_n", LongType())])
+    types = [f.type for f in to_arrow_schema(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs_seen = np.zeros(BUCKETS, np.int32), 0
+        counts, total = np.zeros(BUCKETS, np.int32), 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                for t in batch.slice(at, ROWS).column(0).to_pylist():
+                part = batch.slice(at, ROWS)
+                rows = []
+                for t in part.column(len(keep)).to_pylist():
                     s = shingles(t, words)
-                    docs_seen += 1
-                    if len(s):
-                        np.add.at(counts, np.unique((s & np.uint64(BUCKETS - 1)).astype(np.int64)), 1)
-        at = np.flatnonzero(counts >= max(4, FREQUENT * docs_seen))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], docs_seen), pa.int64())], ["bucket", "n"])
-
-    found = docs.select(col(text_col).alias("t")).mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = staged(found, "buckets")
-    total = (found.where("bucket = -1").agg(F.max("n")).first()[0]) or 0
+                    np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                    rows.append((len(s), set_id(s), bit_sketch(s)) if len(s) else (0, None, None))
+                total += len(rows)
+                out = [pa.array(x, t) for x, t in zip(zip(*rows), types[len(keep) :])]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + out + [pa.nulls(len(rows), t) for t in types[-2:]], schema.names)
+        at = np.flatnonzero(counts >= max(4, FREQUENT * total))
+        out = [pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], total), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at) + 1, t) for t in types[:-2]] + out, schema.names)
+
+    return docs.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keep)], col(text_col).alias("t")).mapInArrow(run, schema)
+
+
+def frequent_buckets(counted: DataFrame) -> np.ndarray:
+    """Bitmap of the buckets whose shingles very many documents have, from the rows of ``sets``.
+
+    The list only orders blocks; the join is exact with any.
+    """
+    found = counted.where("bucket is not null").groupBy("bucket").agg(F.sum("bucket_n").alias("n"))
+    total = found.where("bucket = -1").agg(F.max("n")).first()[0] or 0
     rows = found.where((F.col("bucket") >= 0) & (F.col("n") >= max(FREQUENT_LEAST, FREQUENT * total)))
     # eight buckets a byte, so at most BUCKETS / 8 rows
     bits = rows.groupBy(F.shiftright("bucket", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, bucket & 7)")).alias("bits")).collect()
@@ -197,7 +202,7 @@ def frequent_buckets(docs: DataFrame, text_col: str, words: int = WORDS) -> np.n
     return out
 
 
-_ENTRY = np.dtype([("key", "<u4"), ("id", "<i8")])
+_ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("size", "u1")])
 _HOT = np.uint32(1 << 31)
 #: A task flushes what it has for all parts at this many entries.
 FLUSH = 400_000
@@ -242,6 +247,7 @@ def _emit(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int, word
                     e = np.empty(len(keys), _ENTRY)
                     e["key"] = (keys & np.uint64(_HOT - 1)).astype(np.uint32) | (hot * _HOT).astype(np.uint32)
                     e["id"] = name
+                    e["size"] = _size_code(len(s))
                     where = keys >> np.uint64(32)
                     if hot.any():
                         where = where + hot * np.uint64(name % SALTS)
@@ -256,17 +262,25 @@ def _emit(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int, word
     return docs.select(col(text_col).alias("t")).mapInArrow(run, schema)
 
 
-GROUP = StructType([StructField("gid", LongType()), StructField("id", LongType()), StructField("star", LongType())])
+GROUP = StructType([StructField("gid", LongType()), StructField("id", LongType()), StructField("star", LongType()), StructField("fits", BooleanType())])
+
+
+def _size_code(n: int) -> int:
+    """A size in steps of a sixteenth of its binary logarithm."""
+    return min(255, int(16 * np.log2(n)))
 
 
-def _groups(emitted: DataFrame, parts: int) -> DataFrame:
-    """(``gid``, ``id``, ``star``): each text of each group of two or more, with the group's least.
+def _groups(emitted: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Rows of ``GROUP``: each text of each group of two or more, with the group's least,
+    and whether their sizes allow a link.
 
     A group has the name of its members, so that blocks with the same members
     make one group; a hot block's, whose members lie in several parts, that of
     its key.
     """
 
+    reach = int(16 * np.log2(den / num)) + 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, entries = [], []
         for b in batches:
@@ -278,13 +292,13 @@ def _groups(emitted: DataFrame, parts: int) -> DataFrame:
             return
         e = np.concatenate(entries)
         entries.clear()
-        key, ident = e["key"].astype(np.uint64) | np.concatenate(part) << np.uint64(32), e["id"].astype(np.int64)
+        key, ident, code = e["key"].astype(np.uint64) | np.concatenate(part) << np.uint64(32), e["id"].astype(np.int64), e["size"].astype(np.int16)
         part.clear()
         order = np.lexsort((ident, key))
-        key, ident = key[order], ident[order]
+        key, ident, code = key[order], ident[order], code[order]
         new = np.append(True, key[1:] != key[:-1])
         fresh = new | np.append(True, ident[1:] != ident[:-1])
-        key, ident, new = key[fresh], ident[fresh], new[fresh]
+        key, ident, code, new = key[fresh], ident[fresh], code[fresh], new[fresh]
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(key)))
         hot = (key[first] >> np.uint64(31)) & np.uint64(1) == 1
@@ -301,66 +315,65 @@ def _groups(emitted: DataFrame, parts: int) -> DataFrame:
         only[once] = True
         keep &= only
         rows = np.repeat(keep, size)
+        fits = np.abs(code - np.repeat(code[first], size)) <= reach
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(gid, size)[rows].view(np.int64)), pa.array(ident[rows]), pa.array(np.repeat(ident[first], size)[rows])], GROUP.names
+            [pa.array(np.repeat(gid, size)[rows].view(np.int64)), pa.array(ident[rows]), pa.array(np.repeat(ident[first], size)[rows]), pa.array(fits[rows])], GROUP.names
         )
 
     return emitted.mapInArrow(run, GROUP)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, docs: DataFrame, text_col: str, words: int, num: int, den: int, label: str) -> DataFrame:
-    """Those of the pairs (``a``, ``b``) of set names whose sets have J >= num / den."""
+PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
+
+
+def _near(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (``a``, ``b``) of set names whose sizes and sketches allow J >= num / den."""
     of = lambda side: texts.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
-    schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
 
     def by_sketch(batches):
         for b in batches:
-            keep = [hamming(x, y) <= most_apart(n, m, num, den) for x, y, n, m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], schema.names)
+            keep = pa.array([hamming(x, y) <= most_apart(n, m, num, den) for x, y, n, m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], PAIR.names)
 
-    near = staged(near.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(by_sketch, schema), f"{label}-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return sized.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(by_sketch, PAIR)
 
-    # a filter of fixed size; 64 bits a row, so at most FILTER / 64 rows come
-    bit = F.col("id").bitwiseAND(FILTER - 1)  # a name is a hash already
-    rows = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
-    if not rows:
-        return near
+
+def _whole_sets(wanted: DataFrame, texts: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(``id``, ``tokens``): the whole sets of the named texts, in one pass over the documents.
+
+    One text's hash stands for each set.  A filter of fixed size, in each
+    worker, drops nearly all other documents before their shingles are made or
+    anything is shuffled; the join makes it exact.
+    """
+    bit = F.col("text_hash").bitwiseAND(FILTER - 1)
+    hashes = texts.join(wanted.withColumnRenamed("id", "set_id"), "set_id", "left_semi").select(bit.alias("bit"))
+    # 64 bits a row, so at most FILTER / 64 rows come
+    rows = hashes.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
     words64 = np.zeros(FILTER // 64, np.int64)
     for r in rows:
         words64[r["word"]] = r["bits"]
     sent = docs.sparkSession.sparkContext.broadcast(words64)
+    schema = StructType([StructField("id", LongType()), StructField("tokens", BinaryType())])
 
-    def make():
-        lately: dict[int, None] = {}
-        bits = sent.value.tolist()
-
-        def run(texts_):
-            owner, names, sizes, blobs = [], [], [], []
-            for i, t in enumerate(texts_):
-                s = shingles(t, words)
-                if not len(s):
-                    continue
-                name = set_id(s)
-                if name in lately or not bits[(name & (FILTER - 1)) >> 6] >> (name & 63) & 1:
-                    continue
-                if len(lately) >= 100_000:
-                    lately.clear()
-                lately[name] = None
-                owner.append(i)
-                names.append(name)
-                sizes.append(len(s))
-                blobs.append(s.tobytes())
-            return owner, [names, sizes, blobs]
-
-        return run
-
-    fields = [StructField("id", LongType()), StructField("n", LongType()), StructField("tokens", BinaryType())]
-    whole = explode_texts(docs.select(col(text_col).alias("t")), "t", (), fields, make).join(wanted, "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
-    whole = staged(whole, f"{label}-sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                part = whole.slice(at, ROWS)
+                h = part.column(0).to_numpy() & (FILTER - 1)
+                hit = (bits[h >> 6] >> (h & 63)) & 1 == 1
+                found = {set_id(s): s for t in part.column(1).filter(pa.array(hit)).to_pylist() if len(s := shingles(t, words))}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], schema.names)
+
+    found = docs.select(F.xxhash64(col(text_col)).alias("h"), col(text_col).alias("t")).mapInArrow(run, schema)
+    return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets have J >= num / den."""
     side = lambda c: whole.select(F.col("id").alias(c), F.col("tokens").alias(f"t_{c}"))
-    both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
 
     def exact(batches):
         for whole_batch in batches:
@@ -373,9 +386,114 @@ def _similar(pairs: DataFrame, texts: DataFrame, docs: DataFrame, text_col: str,
                     common = int((both_[1:] == both_[:-1]).sum())
                     keep.append(den * common >= num * (len(x) + len(y) - common))
                 keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], PAIR.names)
+
+    return both.mapInArrow(exact, PAIR)
+
+
+class _Block:
+    """Some texts of a group, their sketches as matrices."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.rows, self.built = num, den, [], None
+
+    def add(self, *row):
+        self.rows.append(row)
+
+    def _build(self):
+        if self.built is None:
+            ids, roots, sizes = (np.array([r[k] for r in self.rows], np.int64) for k in range(3))
+            lengths = np.array([len(r[3]) for r in self.rows])
+            self.built = ids, roots, sizes, {int(x): np.flatnonzero(lengths == x) for x in np.unique(lengths)}
+            self.matrices = {}
+        return self.built
+
+    def near(self, i: int, root: int, n: int, sketch: bytes, above: bool = False) -> Iterator[tuple[int, int]]:
+        """Pairs of the text with the block's of other components that it may be similar to."""
+        if not self.rows:
+            return
+        ids, roots, sizes, by_length = self._build()
+        for length, at in by_length.items():
+            m = sizes[at]
+            fits = (roots[at] != root) & (self.den * np.minimum(m, n) >= self.num * np.maximum(m, n))
+            if above:
+                fits &= ids[at] > i
+            if not fits.any():
+                continue
+            size = min(length, len(sketch))
+            if (length, size) not in self.matrices:
+                self.matrices[length, size] = np.stack([_folded(self.rows[j][3], size) for j in at])
+            pick = np.flatnonzero(fits)
+            distance = np.bitwise_count(self.matrices[length, size][pick] ^ _folded(sketch, size)).sum(1, dtype=np.int64)
+            for j in pick[distance <= most_apart(m[pick], n, self.num, self.den)]:
+                yield i, int(ids[at[j]])
+
+    def among(self) -> Iterator[tuple[int, int]]:
+        """Such pairs within the block, once each."""
+        for row in self.rows:
+            yield from self.near(*row, above=True)
+
+
+#: Texts outside their group's main component that one task compares with the group.
+BLOCK = 4096
+#: Groups of this size on are taken together if they have the same main component.
+WIDE = 32
+
+
+def _apart(groups: DataFrame, roots: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a group that lie in different components and may still be similar.
+
+    Of such a pair one text lies outside the group's main component.  A family
+    of near-copies makes a group for each block that they share, with nearly
+    the same texts; such groups are taken together, so that texts meet once.
+    The texts outside are dealt into blocks; each block's sketches are held as
+    one matrix while the others stream by, and only pairs near enough by size
+    and sketch come out.
+    """
+    known = groups.select("gid", "id").distinct().join(roots, "id", "left").select("gid", "id", F.coalesce("root", "id").alias("root"))
+    per_root = known.groupBy("gid", "root").agg(F.count("*").alias("n"))
+    main = per_root.groupBy("gid").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
+    wide = F.col("size") >= WIDE
+    family = main.select("gid", "main", wide.alias("wide"), F.when(wide, F.col("main")).otherwise(F.col("gid")).alias("family"))
+    members = known.join(family, "gid").groupBy("wide", "family", "id", "root").agg(F.max(F.col("root") != F.col("main")).alias("outside"))
+    members = staged(members, "members")
+    blocks = members.where("outside").groupBy("wide", "family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mixed = members.join(blocks, ["wide", "family"]).join(texts.select(F.col("set_id").alias("id"), "n", "sketch"), "id")
+    own = F.when(F.col("outside"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = mixed.select("wide", "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own.alias("own"), "id", "root", "n", "sketch")
+    rows = dealt.select(F.xxhash64("wide", "family").alias("gid"), "block", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("held"), "id", "root", "n", "sketch")
+    rows = rows.repartition("gid", "block").sortWithinPartitions("gid", "block", F.desc("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, left, right = None, None, [], []
+
+        def put(pairs):
+            for i, j in pairs:
+                left.append(min(i, j))
+                right.append(max(i, j))
 
-    return staged(both.mapInArrow(exact, schema), f"{label}-links")
+        def batch_out():
+            out = pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], PAIR.names)
+            left.clear()
+            right.clear()
+            return out
+
+        for batch in batches:
+            for g, blk, mine, i, root, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, blk) != key:
+                    if block is not None:
+                        put(block.among())
+                    key, block = (g, blk), _Block(num, den)
+                if mine:
+                    block.add(i, root, n, sketch)
+                else:
+                    put(block.near(i, root, n, sketch))
+            yield batch_out()
+        if block is not None:
+            put(block.among())
+            yield batch_out()
+
+    return rows.mapInArrow(run, PAIR).distinct()
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: Sequence[str] = (), words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -385,39 +503,34 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", kee
     included.
     """
     spark = docs.sparkSession
-    rows = staged(sets(docs, text_col, (id_col, *keep), words), "sets")
+    hashed = docs.select(col(id_col), *map(col, keep), F.xxhash64(col(text_col)).alias("q__hash"), col(text_col).alias("q__text"))
+    counted = staged(sets(hashed, "q__text", (id_col, *keep, "q__hash"), words), "sets")
+    rows = counted.where("bucket is null")
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequent = frequent_buckets(docs, text_col, words)
-    emitted = _emit(docs, text_col, frequent, parts, words, num, den).repartition(parts // 8, "part")
-    groups = staged(_groups(emitted, parts), "groups")
+    emitted = _emit(docs, text_col, frequent_buckets(counted), parts, words, num, den).repartition(parts // 8, "part")
+    groups = staged(_groups(emitted, parts, num, den), "groups")
 
-    texts = rows.where("n > 0").groupBy("set_id").agg(F.min(col(id_col)).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    texts = rows.where("n > 0").groupBy("set_id").agg(F.min(col(id_col)).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("q__hash").alias("text_hash"))
     texts = staged(texts, "texts")
-    stars = groups.where("id <> star").select(F.col("id").alias("a"), F.col("star").alias("b"))
+    stars = groups.where("id <> star and fits").select(F.col("id").alias("a"), F.col("star").alias("b"))
     # a hot block's stars in its parts, linked by the least of them
     heads = groups.select("gid", "star").distinct()
     least = heads.groupBy("gid").agg(F.min("star").alias("b"))
     stars = stars.unionAll(heads.join(least, "gid").where("star <> b").select(F.col("star").alias("a"), "b"))
-    links = _similar(stars.distinct(), texts, docs, text_col, words, num, den, "star")
+
+    def links_of(pairs: DataFrame, label: str) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+        whole = staged(_whole_sets(wanted, texts, docs, text_col, words), f"{label}-sets")
+        return staged(_verified(pairs, whole, num, den), label)
+
+    links = links_of(staged(_near(stars.distinct(), texts, num, den), "near"), "links")
     roots = staged(connected(links, "a", "b", "round"), "roots")
 
     # what the stars left apart in their groups
-    known = groups.select("gid", "id").distinct().join(roots, "id", "left").select("gid", "id", F.coalesce("root", "id").alias("root"))
-    per_root = known.groupBy("gid", "root").agg(F.count("*").alias("n"))
-    main = per_root.groupBy("gid").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
-    apart = staged(known.join(main, "gid").select("gid", "id", "root", "main"), "apart")
-    outside = apart.where("root <> main").select("gid", F.col("id").alias("a"), F.col("root").alias("root_a"))
-    sizes = texts.select(F.col("set_id").alias("id"), "n")
-    outside = outside.join(sizes.withColumnsRenamed({"id": "a", "n": "n_a"}), "a")
-    others = apart.select("gid", F.col("id").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("inner")).join(sizes.withColumnsRenamed({"id": "b", "n": "n_b"}), "b")
-    fits = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    more = outside.join(others, "gid").where((F.col("root_a") != F.col("root_b")) & (F.col("inner") | (F.col("a") < F.col("b"))) & fits)
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = staged(more, "rest")
+    more = staged(_apart(groups, roots, texts, num, den), "apart")
     if not more.isEmpty():
-        rest = _similar(more, texts, docs, text_col, words, num, den, "rest")
-        if not rest.isEmpty():
-            roots = staged(connected(links.unionAll(rest), "a", "b", "round"), "roots")
+        links = links.unionAll(links_of(more, "more"))
+        roots = staged(connected(links, "a", "b", "round"), "roots")
 
     named = texts.select("set_id", "least").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
