@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode White_Space, and the scripts whose characters cost a token or so.
 WS_SET = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -62,14 +62,18 @@ def section_depth(t: Column) -> Column:
     return F.when(s.rlike(_LABEL) & titled, count_of(F.regexp_extract(s, _LABEL, 2), r"\.") + 1).cast("int")
 
 
+def _after_label(t: Column, depth: Column) -> Column:
+    return F.when(depth.isNotNull(), F.regexp_replace(t, r"^[^ \t]*[ \t]", "")).otherwise(t)
+
+
+def _arithmetic(t: Column, body: Column, digits: Column, letters: Column) -> Column:
+    return t.contains("=") | (body.contains("%") & (digits > 0)) | (letters == 0) | (digits / F.greatest(F.lit(1), digits + letters) > 0.18)
+
+
 def chart_label(t: Column) -> Column:
     """Arithmetic where a title would have words."""
-    body = F.when(section_depth(t).isNotNull(), F.regexp_replace(t, r"^[^ \t]*[ \t]", "")).otherwise(t)
-    digits, letters = count_of(body, r"\p{N}"), count_of(body, r"\p{L}")
-    return (
-        t.contains("=") | (body.contains("%") & (digits > 0)) | (letters == 0)
-        | (digits / F.greatest(F.lit(1), digits + letters) > 0.18)
-    )
+    body = _after_label(t, section_depth(t))
+    return _arithmetic(t, body, count_of(body, r"\p{N}"), count_of(body, r"\p{L}"))
 
 
 def citation(t: Column) -> Column:
@@ -77,16 +81,23 @@ def citation(t: Column) -> Column:
     return t.contains(" et al.") | t.contains(" & ") | t.rlike(r"[ ,]\p{Lu}\.")
 
 
-def heading_shaped(t: Column, lines: Column, size: Column, bold: Column, body: Column) -> Column:
-    """Whether a run of text looks like a heading beside body text of a size."""
-    s = trim(t)
-    n = F.length(s)
-    numbered = (lines == 1) & (n <= 90) & section_depth(s).isNotNull() & s.rlike(f"^[^{WS_SET}]+{WS}+\\p{{Lu}}")
-    set_apart = (size >= body * 1.06) | (bold & (size >= body * 0.95) & (n <= 80))
-    return (
-        (n >= 2) & (lines <= 2) & (n <= 120) & s.rlike(r"\p{L}") & ~(s.endswith(".") & (n > 60)) & ~s.rlike(r"^\p{Ll}")
-        & ~chart_label(s) & ~citation(s) & (numbered | set_apart)
+def with_heading_shape(df: DataFrame, text: str = "text", lines: str = "lines", size: str = "size", bold: str = "bold", body: str = "body", name: str = "is_heading") -> DataFrame:
+    """Adds whether a run of text looks like a heading beside body text of a size.
+
+    What several tests need is computed once, in columns that go again.
+    """
+    h = lambda c: F.col(f"h__{c}")
+    d = df.withColumn("h__s", trim(F.col(text))).withColumns({"h__depth": section_depth(h("s")), "h__n": F.length(h("s"))})
+    d = d.withColumn("h__body", _after_label(h("s"), h("depth")))
+    d = d.withColumns({"h__digits": count_of(h("body"), r"\p{N}"), "h__letters": count_of(h("body"), r"\p{L}")})
+    s, n = h("s"), h("n")
+    numbered = (F.col(lines) == 1) & (n <= 90) & h("depth").isNotNull() & s.rlike(f"^[^{WS_SET}]+{WS}+\\p{{Lu}}")
+    set_apart = (F.col(size) >= F.col(body) * 1.06) | (F.col(bold) & (F.col(size) >= F.col(body) * 0.95) & (n <= 80))
+    shaped = (
+        (n >= 2) & (F.col(lines) <= 2) & (n <= 120) & (set_apart | numbered) & s.rlike(r"\p{L}") & ~(s.endswith(".") & (n > 60)) & ~s.rlike(r"^\p{Ll}")
+        & ~_arithmetic(s, h("body"), h("digits"), h("letters")) & ~citation(s)
     )
+    return d.withColumn(name, shaped).drop(*[c for c in d.columns if c.startswith("h__")])
 
 
 def chart_lettering(kind: Column, t: Column) -> Column:

@@ -25,11 +25,11 @@ def page_body_sizes(c: DataFrame, page: str = "page") -> DataFrame:
 def classify(c: DataFrame, page: str = "page") -> DataFrame:
     """Candidates with ``is_heading`` and ``level``: the rank of their size among the page's headings, 6 at most."""
     j = c.join(page_body_sizes(c, page), page)
-    j = j.withColumn("is_heading", T.heading_shaped(F.col("text"), F.col("lines"), F.col("size"), F.col("bold"), F.col("body")))
+    j = T.with_heading_shape(j)
     half = F.round(F.col("size") * 2) / 2
-    heads = j.where("is_heading").withColumn("level", F.least(F.dense_rank().over(W.partitionBy(page).orderBy(F.desc(half))), F.lit(6)))
-    rest = j.where("not is_heading").withColumn("level", F.lit(None).cast("int"))
-    return heads.unionByName(rest)
+    # headings rank among themselves: the others share a partition of their own, and no level
+    rank = F.dense_rank().over(W.partitionBy(page, "is_heading").orderBy(F.desc(half)))
+    return j.withColumn("level", F.when(F.col("is_heading"), F.least(rank, F.lit(6))))
 
 
 def body_size(paragraphs: DataFrame, doc: str = "doc") -> DataFrame:
