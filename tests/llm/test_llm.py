@@ -513,14 +513,32 @@ def test_components(spark):
 
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    frame, seen = docs_, [docs_.count()]
+    sf = "/root/testdata/sf0.01"
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, schema, seen = frame.columns, frame.schema, {}
     for name, stage in pipeline.STAGES[:-1]:
-        frame = spark.createDataFrame(stage(spark, frame, "/root/testdata/sf0.01").collect(), docs_.schema)
-        assert frame.columns == docs_.columns
-        seen.append(frame.count())
-    assert seen[0] > seen[1] >= seen[2] >= seen[3] == seen[4]
-    rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
-    assert all(d == c for d, (_, c) in brute_classes(rows).items()) or len(rows) == seen[4]
-    assert all(r["n_chars"] == len(r["text"]) for r in frame.collect()) and not any(private(t) for _, t in rows)
-    assert pipeline.run(spark, "/root/testdata/sf0.001").select("sequence_id", "offset").count() > 0
+        before = frame
+        frame = spark.createDataFrame(stage(spark, frame, sf).collect(), schema)
+        assert frame.columns == columns
+        seen[name] = ({r["doc_id"]: r["text"] for r in before.collect()}, {r["doc_id"]: r["text"] for r in frame.collect()})
+        assert set(seen[name][1]) <= set(seen[name][0])
+        assert all(r["n_chars"] == len(r["text"]) for r in frame.collect())
+    before, after = seen["quality_rules"]
+    assert 0.5 * len(before) < len(after) < len(before) and all(after[d] == before[d] for d in after)
+    before, after = seen["line_dedup"]
+    assert all(set(after[d].split("\n")) <= set(before[d].split("\n")) for d in after) and all(t.strip() for t in after.values())
+    before, after = seen["near_duplicates"]
+    classes = brute_classes(sorted(before.items()))
+    assert after == {d: t for d, t in before.items() if classes[d][1] == d}
+    before, after = seen["personal_data"]
+    assert set(after) == set(before) and not any(private(t) for t in after.values())
+    assert all(after[d] == before[d] for d in before if not private(before[d]) and "token" not in before[d] and not re.search("[0-9]", before[d]))
+    assert pipeline.run(spark, SF).select("sequence_id", "offset").count() > 0
+
+
+def test_pipeline_keeps_odd_rows_whole(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "a b c d e f g h i j k l", "en", "s", 23), (1, "a b c d e f g h i j k l", "en", "s", 23), (None, "m n o p q r s t u v w x", "en", "s", 23), (2, "A b c d e f g h i j k l", "en", "s", 23), (None, "a B c d e f g h i j k l", "en", "s", 23)]
+    df = spark.createDataFrame(rows, DOC)
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, df, SF).collect()), key=str)
+    assert got == [(1, rows[0][1]), (None, rows[2][1])]
