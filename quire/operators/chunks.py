@@ -36,11 +36,16 @@ def pack(blocks: DataFrame, options: Options = Options()) -> DataFrame:
     """Blocks with sections and ``part``: a part is closed when the next block would
     overrun the target and it has the minimum already.  No block is split."""
     s = sections(blocks).withColumn("cost", T.token_estimate(F.col("text")))
-    keys = ["doc_id", "section_no"]
-    lists = s.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "cost"))).alias("xs"))
-    short = lists.where(F.col("n") <= options.long_section)
-    parts = short.select(*keys, F.explode(F.arrays_zip(F.transform("xs", lambda x: x.pos).alias("pos"), _fold(F.transform("xs", lambda x: x.cost), options).alias("part"))).alias("x")).select(*keys, "x.pos", "x.part")
-    schema = StructType([s.schema[k] for k in (*keys, "pos")]).add("part", IntegerType())
+    keys = ["doc_id", "section_no", "section_id", "path", "depth"]
+    rest = [c for c in s.columns if c not in (*keys, "pos")]
+    # one shuffle brings a section's blocks together; they leave as rows with their parts
+    lists = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("xs"))
+    short = lists.where(F.size("xs") <= options.long_section)
+    zipped = F.arrays_zip("xs", _fold(F.transform("xs", lambda x: x.cost), options).alias("part"))
+    parts = short.select(*keys, F.explode(zipped).alias("z")).select(*keys, "z.xs.*", "z.part")
+
+    rows = lists.where(F.size("xs") > options.long_section).select(*keys, F.inline("xs"))
+    schema = StructType([s.schema[k] for k in ("doc_id", "section_no", "pos")]).add("part", IntegerType())
 
     def loop(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -52,8 +57,8 @@ def pack(blocks: DataFrame, options: Options = Options()) -> DataFrame:
             out.append(part)
         return pdf.assign(part=out)[schema.names]
 
-    long = s.join(lists.where(F.col("n") > options.long_section).select(*keys), keys, "left_semi").select(*keys, "pos", "cost").groupBy(*keys).applyInPandas(loop, schema)
-    return s.join(parts.unionByName(long), [*keys, "pos"])
+    looped = rows.select("doc_id", "section_no", "pos", "cost").groupBy("doc_id", "section_no").applyInPandas(loop, schema)
+    return parts.unionByName(rows.join(looped, ["doc_id", "section_no", "pos"]))
 
 
 def chunks(blocks: DataFrame, options: Options = Options()) -> DataFrame:
