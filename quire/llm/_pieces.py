@@ -20,27 +20,31 @@ def chunks(text: str) -> list[str] | None:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+def one_word(piece: str) -> bool:
+    """Whether a piece is letters alone, with one space before them or none: one match of the pattern.
+
+    Only letters that every Unicode version knows are taken for such.
+    """
+    word = piece[1:] if piece[:1] == " " else piece
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class Memo(dict):
     """Encoded pieces by piece, each encoded when first asked for.
 
-    Bounded: when full, its entries become the older generation, in place of
-    the last one; what is asked for again comes back from there.
+    Bounded: a full memo starts anew, and the frequent pieces are soon back.
     """
 
     def __init__(self, encode, most: int, longest: int):
         super().__init__()
-        self.encode, self.most, self.longest, self.older = encode, most // 2, longest, {}
+        self.encode, self.most, self.longest = encode, most, longest
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-            if len(piece) > self.longest:
-                return ids
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
+        ids = self.encode(piece)
+        if len(piece) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
         return ids
 
     def text(self, text: str) -> bytes:

@@ -25,7 +25,7 @@ from quire.llm._arrow import map_texts
 from quire.llm._pieces import Memo
 
 #: Entries of a worker's memo of encoded pieces, and the longest piece kept.
-MEMO, LONGEST = 1_400_000, 48
+MEMO, LONGEST = 700_000, 48
 
 _NONE = 1 << 62
 

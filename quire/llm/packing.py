@@ -27,13 +27,20 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from quire.llm._arrow import explode_texts
-from quire.llm._pieces import Memo
+from quire.llm._pieces import Memo, one_word
 from quire.storage import staged
 
 #: Pieces of a group, and how often those of sequences that aren't full are dealt anew.
 GROUP, ROUNDS = 16_384, 3
 #: Entries of a worker's memo of encoded pieces, and the longest piece kept.
-MEMO, LONGEST = 1_400_000, 48
+MEMO, LONGEST = 700_000, 48
+
+# Byte-level BPE writes printable bytes as themselves and the others, in order, from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SIGNS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+
+#: Marks that after a letter start a match of their own.
+MARKS = (".", ",", ";", ":", "!", "?")
 
 _own: dict[int, Memo] = {}
 
@@ -48,8 +55,18 @@ def _tokenizer(spec: str) -> Memo:
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.encode_special_tokens = True  # their strings are ordinary text
 
+        model = tokenizer.model
+
+        def encode(piece: str) -> bytes:
+            if one_word(piece):  # nothing to pre-tokenize: the library's model takes the bytes' signs
+                return array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(SIGNS))]).tobytes()
+            if piece[-1:] in MARKS and one_word(piece[:-1]):  # two matches, each with its own entry
+                return memo[piece[:-1]] + memo[piece[-1]]
+            return array("I", tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+        memo = Memo(encode, MEMO, LONGEST)
         _own.clear()
-        _own[key] = Memo(lambda piece: array("I", tokenizer.encode(piece, add_special_tokens=False).ids).tobytes(), MEMO, LONGEST)
+        _own[key] = memo
     return _own[key]
 
 
