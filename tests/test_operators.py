@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import maths, text as T
-from quire.operators import chunks as C, figures, furniture, geometry as G, headings as H, layout as L, markdown as M, search as Q, stats, tables as TB
+from quire.operators import chunks as C, figures, furniture, geometry as G, glyphs as GL, headings as H, layout as L, markdown as M, search as Q, stats, tables as TB
 from quire.operators.sections import sections
 from quire.plans.service import Service
 from quire.sources import sinks
@@ -204,6 +204,20 @@ def test_gutter_and_order(spark):
     assert [r["ord"] for r in G.reading_order(b, 600.0).orderBy("rank").collect()] == [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 
 
+def test_glyphs_of_two_columns(spark):
+    rows, n = [], 0
+    for line in range(30):
+        for x in [*range(50, 250, 20), *range(330, 530, 20)]:
+            rows.append((0, n, float(x + line * 7 % 20), 20.0 * line + 60, 12.0, 10.0))
+            n += 1
+    title = [(0, n + i, 60.0 + 12 * i, 20.0, 12.0, 10.0) for i in range(38)]
+    g = box(spark, rows + title)
+    assert 250 < GL.column_gutters(g, 600.0, 800.0).first()["center"] < 330
+    got = GL.arrange(g, 600.0, 800.0).orderBy("line").collect()
+    assert [r["column"] for r in got] == [-1] + [0] * 30 + [1] * 30 and got[0]["n"] == 38
+    assert GL.column_gutters(box(spark, rows[:100]), 600.0, 800.0).count() == 0
+
+
 def test_union_ignores_empty(spark):
     r = box(spark, [(0, 1, 0.0, 0.0, 10.0, 10.0), (0, 2, 500.0, 500.0, 0.0, 10.0)]).groupBy("page").agg(*G.union_box()).first()
     assert (r["x"], r["y"], r["w"], r["h"]) == (0, 0, 10, 10)
