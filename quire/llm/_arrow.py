@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from quire.llm._pieces import release
+
 #: Rows handled at once: what a worker holds besides Spark's own batch.
 ROWS = 256
 
@@ -18,12 +20,24 @@ def col(name: str):
     return F.col(f"`{name}`")
 
 
+#: Rows of the batches that go to Python: Spark's 10,000 texts would be held several times over.
+BATCH = 512
+
+
+def bounded_batches(spark) -> None:
+    """Smaller Arrow batches, unless the session has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
     keep: Sequence[str],
     fields: Sequence[StructField],
     make: Callable[[], Callable[[list], list[list]]],
+    keep_memo: bool = False,
 ) -> DataFrame:
     """``keep`` columns of each row beside columns computed from its text.
 
@@ -31,11 +45,14 @@ def map_texts(
     texts of some rows (None for null) to one list per field.  No other column
     of ``df`` is read, so extra columns can't clash with anything.
     """
+    bounded_batches(df.sparkSession)
     schema = StructType([StructField(k, df.schema[k].dataType) for k in keep] + list(fields))
     types = [f.type for f in to_arrow_schema(schema)][len(keep):]
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_memo:
+            release()
         fn = make()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
@@ -55,17 +72,21 @@ def explode_texts(
     keep: Sequence[str],
     fields: Sequence[StructField],
     make: Callable[[], Callable[[list], tuple[list[int], list[list]]]],
+    keep_memo: bool = False,
 ) -> DataFrame:
     """As ``map_texts``, with any number of rows for each input row.
 
     The function returns, besides the columns, the index of the input row that
     each output row belongs to.
     """
+    bounded_batches(df.sparkSession)
     schema = StructType([StructField(k, df.schema[k].dataType) for k in keep] + list(fields))
     types = [f.type for f in to_arrow_schema(schema)][len(keep):]
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_memo:
+            release()
         fn = make()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):

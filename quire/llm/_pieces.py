@@ -29,6 +29,16 @@ def one_word(piece: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
+#: The memos that this worker holds.
+_held: list = []
+
+
+def release() -> None:
+    """Empty the worker's memos: a task of another kind needs the memory."""
+    for memo in _held:
+        memo.clear()
+
+
 class Memo(dict):
     """Encoded pieces by piece, each encoded when first asked for.
 
@@ -38,6 +48,7 @@ class Memo(dict):
     def __init__(self, encode, most: int, longest: int):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
+        _held[:] = [self]  # a worker has one at a time
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)

@@ -150,7 +150,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
 
         return run
 
-    return map_texts(df, text_col, keep, [StructField("n_tokens", LongType()), StructField("ids", BinaryType())], make)
+    return map_texts(df, text_col, keep, [StructField("n_tokens", LongType()), StructField("ids", BinaryType())], make, keep_memo=True)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -161,7 +161,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", ke
         own = codec(ranks, pattern)
         return lambda rows: [[own.decode(x or b"") for x in rows]]
 
-    return map_texts(df, ids_col, keep, [StructField("decoded", BinaryType())], make)
+    return map_texts(df, ids_col, keep, [StructField("decoded", BinaryType())], make, keep_memo=True)
 
 
 def round_trip_digest(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -183,4 +183,4 @@ def round_trip_digest(df: DataFrame, rank_file: str, pattern: str, text_col: str
         return run
 
     fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
-    return map_texts(df, text_col, keep, fields, make)
+    return map_texts(df, text_col, keep, fields, make, keep_memo=True)

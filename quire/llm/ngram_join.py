@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from quire.llm._arrow import ROWS, col, explode_texts
+from quire.llm._arrow import ROWS, bounded_batches, col
+from quire.llm._pieces import release
 from quire.llm.components import connected
 from quire.storage import staged
 
@@ -167,6 +168,7 @@ def sets(docs: DataFrame, text_col: str, keep: Sequence[str], words: int = WORDS
     types = [f.type for f in to_arrow_schema(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts, total = np.zeros(BUCKETS, np.int32), 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -216,6 +218,7 @@ def _emit(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int, word
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bitmap = sent.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -503,6 +506,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", kee
     included.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     hashed = docs.select(col(id_col), *map(col, keep), F.xxhash64(col(text_col)).alias("q__hash"), col(text_col).alias("q__text"))
     counted = staged(sets(hashed, "q__text", (id_col, *keep, "q__hash"), words), "sets")
     rows = counted.where("bucket is null")

@@ -105,7 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, most: int = 2048, end_id:
 
         return run
 
-    return explode_texts(docs, text_col, keep, PIECE, make)
+    return explode_texts(docs, text_col, keep, PIECE, make, keep_memo=True)
 
 
 def best_fit_decreasing(lengths: Sequence[int], capacity: int) -> tuple[list[int], list[int], int]:
