@@ -1,19 +1,18 @@
 """Line dedup by pairwise alignment.
 
 A text's lines of ``MIN_LINE_WORDS`` words or more are its *units*; blank and
-shorter lines hang on the units beside them.  A unit is known by a 128-bit hash
-of its line and of how often the line stood in the text before, so no key
-repeats in a text.  Each unit pairs its document with the first document that
-has it, and with no other: documents overlap if they share a line that is rare
-enough to be a unit, and a line of very many documents costs no more pairs than
-it has places.
-
-Per pair of documents the shared units are aligned as patience diff does: the
-longest run of matches in the order of both texts gives the anchors, which grow
-over equal neighbours that were first seen elsewhere.  Anchors that follow one
-another in both texts make a block; a block of ``MIN_BLOCK_WORDS`` words or
-more goes from the later document, with the short lines that stand in it in
-both.  So the first document keeps every passage, and lone common lines stay.
+shorter lines hang on the units beside them.  A *window* is a run of units that
+just reaches ``MIN_BLOCK_WORDS`` words, from its first unit on or back from its
+last: any run of so many words that two texts share is covered by windows that
+lie in it.  A window is known by a 128-bit hash of its lines and pairs its
+document with the first document that has it, and with no other, so a passage
+of very many documents costs no more pairs than it has places.
+
+A window that an earlier document has is aligned with its first place there,
+and goes; windows that follow one another make up longer blocks, also if their
+first documents differ.  A block goes wherever it stands, so moved and repeated
+passages go too, with the short lines that stand in it in both.  So the first
+document keeps every passage, and lone common lines stay.
 
 Documents are ordered by id, then by a hash of the text; a null id comes last.
 Rows alike in id and text are one document: they lose the same lines.  Null and
@@ -34,11 +33,40 @@ from quire.storage import staged
 
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 4, 20
 
-_UNIT = [StructField(n, LongType()) for n in ("a", "b", "before", "after", "last", "next")] + [StructField(n, IntegerType()) for n in ("u", "words", "from_line", "line", "to_line")]
-
-
-def units(text: str | None) -> list[tuple]:
-    """Rows of ``_UNIT`` for a text."""
+_WINDOW = [StructField("a", LongType()), StructField("b", LongType()), StructField("u", IntegerType()), StructField("lines", ArrayType(IntegerType())), StructField("gaps", ArrayType(LongType()))]
+
+
+def spans(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Runs of units that just reach ``min_words``, forwards or backwards, as (first, end)."""
+    least, n = max(1, min_words), len(words)
+    found = set()
+    total = j = 0
+    for i in range(n):
+        while j < n and total < least:
+            total += words[j]
+            j += 1
+        if total < least:
+            break
+        found.add((i, j))
+        total -= words[i]
+    total, i = 0, n
+    for j in range(n, 0, -1):
+        while i and total < least:
+            i -= 1
+            total += words[i]
+        if total < least:
+            break
+        found.add((i, j))
+        total -= words[j - 1]
+    return sorted(found)
+
+
+def windows(text: str | None, min_words: int = MIN_BLOCK_WORDS) -> list[tuple]:
+    """Rows of ``_WINDOW`` for a text.
+
+    ``lines`` are the numbers of a window's lines, between those of the units
+    beside it; ``gaps`` are hashes of what stands between one and the next.
+    """
     import xxhash
 
     if not text:
@@ -46,29 +74,25 @@ def units(text: str | None) -> list[tuple]:
     lines = text.split("\n")
     counts = [len(x.split()) for x in lines]
     at = [i for i, n in enumerate(counts) if n >= MIN_LINE_WORDS]
-    if not at:
+    runs = spans([counts[i] for i in at], min_words)
+    if not runs:
         return []
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     glue = lambda a, b: signed(xxhash.xxh3_64_intdigest("\n".join(lines[a:b]).encode("utf-8", "replace")))
-    seen: dict[str, int] = {}
-    keys = []
-    for i in at:
-        k = seen.get(lines[i], 0)
-        seen[lines[i]] = k + 1
-        h = xxhash.xxh3_128_intdigest(lines[i].encode("utf-8", "replace"), seed=k)
-        keys.append((signed(h >> 64), signed(h & ((1 << 64) - 1))))
     edges = [-1, *at, len(lines)]
     gaps = [glue(a + 1, b) for a, b in zip(edges, edges[1:])]
     out = []
-    for u, i in enumerate(at):
-        last = keys[u - 1][0] if u else 0
-        following = keys[u + 1][0] if u + 1 < len(keys) else 0
-        out.append((*keys[u], gaps[u], gaps[u + 1], last, following, u, counts[i], edges[u] + 1, i, edges[u + 2]))
+    for i, j in runs:
+        h = xxhash.xxh3_128_intdigest("\n".join([lines[k] for k in at[i:j]]).encode("utf-8", "replace"))
+        out.append((signed(h >> 64), signed(h & ((1 << 64) - 1)), i, edges[i : j + 2], gaps[i : j + 1]))
     return out
 
 
 def longest_rising(values: list[int]) -> list[int]:
-    """Places of a longest strictly rising subsequence (patience sorting)."""
+    """Places of a longest strictly rising subsequence (patience sorting).
+
+    Blocks don't need it: they go wherever they stand.
+    """
     tops: list[int] = []
     top_at: list[int] = []
     back = []
@@ -88,59 +112,35 @@ def longest_rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def lines_to_drop(shared: list[dict], min_words: int) -> list[int]:
-    """Line numbers of the aligned blocks of a document, over all its partners.
+def lines_to_drop(shared: list[dict]) -> list[int]:
+    """Line numbers of the blocks of a document that earlier ones have.
 
-    ``shared``: its units that an earlier document has, each with the partner,
-    the place there, and what else is alike beside both places.
+    ``shared``: its windows that an earlier document has, each with its
+    ``lines`` and, for each gap, whether it is alike in both places.
     """
-    of_unit = {r["u"]: r for r in shared}
-    partners: dict[tuple, list[dict]] = {}
-    for r in shared:
-        partners.setdefault((r["first_id"], r["first_hash"]), []).append(r)
     drop: set[int] = set()
-    for rows in partners.values():
-        rows.sort(key=lambda r: r["u"])
-        place = {rows[i]["u"]: rows[i]["first_u"] for i in longest_rising([r["first_u"] for r in rows])}
-        for r in [r for r in rows if r["u"] in place]:
-            if r["same_last"] and r["u"] - 1 in of_unit:
-                place.setdefault(r["u"] - 1, r["first_u"] - 1)
-            if r["same_next"] and r["u"] + 1 in of_unit:
-                place.setdefault(r["u"] + 1, r["first_u"] + 1)
-        own = {r["u"]: r for r in rows}
-        block: list[int] = []
-
-        def close():
-            if sum(of_unit[u]["words"] for u in block) >= min_words:
-                for u in block:
-                    drop.add(of_unit[u]["line"])
-                    if u in own and own[u]["same_before"]:
-                        drop.update(range(own[u]["from_line"], own[u]["line"]))
-                    if u in own and own[u]["same_after"]:
-                        drop.update(range(own[u]["line"] + 1, own[u]["to_line"]))
-            block.clear()
-
-        for u in sorted(place):
-            if block and (u != block[-1] + 1 or place[u] != place[block[-1]] + 1):
-                close()
-            block.append(u)
-        close()
+    for r in shared:
+        lines = r["lines"]
+        drop.update(lines[1:-1])
+        for a, b, same in zip(lines, lines[1:], r["same"]):
+            if same:
+                drop.update(range(a + 1, b))
     return sorted(drop)
 
 
-def _pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document (id, hash) that shares units with earlier ones: them all in a list."""
+def _pairs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """A row for each document (id, hash) that shares windows with earlier ones: them all in a list."""
     keyed = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("hash"), col(text_col).alias("text"))
 
     def make():
         def run(texts):
-            rows = [(i, r) for i, t in enumerate(texts) for r in units(t)]
-            return [i for i, _ in rows], [list(x) for x in zip(*(r for _, r in rows))] or [[] for _ in _UNIT]
+            rows = [(i, r) for i, t in enumerate(texts) for r in windows(t, min_words)]
+            return [i for i, _ in rows], [list(x) for x in zip(*(r for _, r in rows))] or [[] for _ in _WINDOW]
 
         return run
 
-    every = staged(explode_texts(keyed, "text", ("id", "hash"), _UNIT, make), "units")
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("hash"), F.col("u"), F.col("before"), F.col("after"), F.col("last"), F.col("next"))
+    every = staged(explode_texts(keyed, "text", ("id", "hash"), _WINDOW, make), "windows")
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("hash"), F.col("u"), F.col("gaps"))
     place_of = lambda side: F.struct(F.col(f"{side}.none"), F.col(f"{side}.id"), F.col(f"{side}.hash"))
     spread = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("hash"))
     firsts = (
@@ -148,30 +148,24 @@ def _pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .where(place_of("first") != place_of("final")).select("a", "b", "first")
     )
     # written first, so that the join below has plain exchanges on both sides: Spark can then
-    # split the places of a very common line over several tasks
+    # split the places of a very common window over several tasks
     firsts = staged(firsts, "firsts")
     later = every.join(firsts, ["a", "b"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))))
-    shared = F.struct(
-        "u", "words", "from_line", "line", "to_line",
-        F.col("first.id").cast("string").alias("first_id"), F.col("first.hash").alias("first_hash"), F.col("first.u").alias("first_u"),
-        (F.col("before") == F.col("first.before")).alias("same_before"), (F.col("after") == F.col("first.after")).alias("same_after"),
-        ((F.col("last") == F.col("first.last")) & (F.col("last") != 0)).alias("same_last"),
-        ((F.col("next") == F.col("first.next")) & (F.col("next") != 0)).alias("same_next"),
-    )
-    # a document's own units: bounded by its text; of rows alike, each unit once
+    shared = F.struct("lines", F.zip_with("gaps", "first.gaps", lambda x, y: x == y).alias("same"))
+    # a document's own windows: bounded by its text; of rows alike, each window once
     return later.groupBy("id", "hash").agg(F.collect_set(shared).alias("shared"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(``id``, ``hash``, ``lines``): numbers of the lines to drop, of documents that lose any."""
-    shared = _pairs(docs, id_col, text_col)
+    shared = _pairs(docs, id_col, text_col, min_words)
     schema = StructType([shared.schema["id"], StructField("hash", LongType()), StructField("lines", ArrayType(IntegerType()))])
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                lines = [lines_to_drop(x, min_words) for x in b.column(2).to_pylist()]
+                lines = [lines_to_drop(x) for x in b.column(2).to_pylist()]
                 keep = pa.array([bool(x) for x in lines], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([x for x in lines if x], pa.list_(pa.int32()))], schema.names)
 

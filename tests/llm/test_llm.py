@@ -148,6 +148,35 @@ def test_line_dedup_keeps_columns_rows_and_repeats(spark):
     assert line_dedup.dedup_lines(df.where(EMPTY)).count() == 0
 
 
+def shared_blocks(texts):
+    """Of each text the numbers of lines in runs of 20 words or more that an earlier text has too."""
+    units = [[(i, x) for i, x in enumerate(t.split("\n")) if len(x.split()) >= 4] for t in texts]
+    seen, out = set(), []
+    for own in units:
+        runs = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if sum(len(x.split()) for _, x in own[i:j]) >= 20]
+        held = {(i, j): tuple(x for _, x in own[i:j]) for i, j in runs}
+        out.append({own[k][0] for (i, j), key in held.items() if key in seen for k in range(i, j)})
+        seen |= set(held.values())
+    return out
+
+
+def test_blocks_of_lines_with_other_first_holders_go(spark):
+    passage = ["passage line %d has just eight words here" % i for i in range(6)]
+    texts = [f"own words before number {i} stand here\n{x}\nown words after number {i} stand here" for i, x in enumerate(passage)]
+    texts += ["\n".join(["this text has the passage first of all", *passage]), "\n".join([*passage, "and this one repeats all of it below"])]
+    texts.append("\n".join([*passage[3:], "a passage whose halves were moved", *passage[:3]]))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.report(docs(spark, texts)).collect()}
+    assert all(got[i] == texts[i] for i in range(7))
+    assert got[7] == "and this one repeats all of it below" and got[8] == "a passage whose halves were moved"
+    rng = random.Random(8)
+    lines = [" ".join(f"w{k}x{j}" for j in range(rng.choice([1, 4, 8, 13, 30]))) for k in range(12)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    got = {r["doc_id"]: r for r in line_dedup.report(docs(spark, texts)).collect()}
+    for i, (t, gone) in enumerate(zip(texts, shared_blocks(texts))):
+        left = [x for k, x in enumerate(t.split("\n")) if len(x.split()) >= 4 and k not in gone]
+        assert [x for x in got[i]["text"].split("\n") if len(x.split()) >= 4] == left
+
+
 def test_longest_rising():
     rng = random.Random(5)
     for _ in range(200):
