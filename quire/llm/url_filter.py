@@ -3,8 +3,8 @@
 Host names run words together.  A unigram model with the counts of all words
 of paths and page titles splits each label of a host by Viterbi; a multinomial naive Bayes
 model scores the words of host and path.  It learns from the urls that a rule
-decides: the words that stand in allowed and in blocked ones.  Its counts are
-kept by hash in tables of fixed size, so all urls count and none grows them.
+decides: the words that stand in allowed and in blocked ones.  All words count,
+each by itself; both models are tables that hosts and paths are joined with.
 
 Host and path are cut as the contract says, by Spark's own functions; rules
 are native too.  Null urls and urls without ``://`` have an empty host and
@@ -19,11 +19,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quire.llm._arrow import col, explode_texts, map_texts
+from quire.llm._arrow import ROWS, col, explode_texts
+from quire.storage import staged
 
 # The contract's rules, as (verdict, host, path).
 RULES = (
@@ -34,12 +35,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Words of the unigram model: the most frequent ones of all pages; the model's size.
-LEXICON = 50_000
-#: Slots of the naive Bayes tables.
+#: For callers that fill a ``Model`` by hand; no word is hashed to a slot.
 SLOTS = 1 << 16
-#: The longest word that a host label is split into.
-LONGEST = 24
 
 _A_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -77,134 +74,153 @@ def words_of(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def _slot(word: str, where: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(f"{where}:{word}") % SLOTS
+def viterbi(label: str, words: dict[str, float], unknown: float) -> list[str]:
+    """The likeliest split of a label's letters and digits into words."""
+    n = len(label)
+    best = [0.0] + [-math.inf] * n
+    back = [0] * (n + 1)
+    lengths = sorted({len(w) for w in words if w})
+    for i in range(n):
+        base = best[i]
+        for size in lengths:
+            j = i + size
+            if j > n:
+                break
+            p = words.get(label[i:j])
+            if p is not None and base + p > best[j]:
+                best[j], back[j] = base + p, i
+        # a letter that no word explains joins the stretch before it
+        if base + unknown > best[i + 1]:
+            best[i + 1], back[i + 1] = base + unknown, i
+    out, j = [], n
+    while j:
+        out.append(label[back[j] : j])
+        j = back[j]
+    return out[::-1]
 
 
 @dataclass
 class Model:
-    """Log probabilities of words, and of slots in blocked over allowed urls."""
+    """Counts of words, and log odds of words in blocked over allowed urls, as tables.
+
+    ``words`` has (w, count), ``odds`` (place, w, odds).  Filled by hand, ``words``
+    is a dict of log probabilities.
+    """
 
-    words: dict[str, float]
+    words: DataFrame | dict[str, float]
     unknown: float  # of a letter that belongs to no word
-    slots: np.ndarray
+    odds: DataFrame | object
     prior: float
+    log_total: float = 0.0
+    lengths: tuple[int, ...] = ()  # of all words
 
     def segment(self, label: str) -> list[str]:
-        """The likeliest split of a label's letters and digits into words."""
-        n = len(label)
-        best = [0.0] + [-math.inf] * n
-        back = [0] * (n + 1)
-        get = self.words.get
-        for i in range(n):
-            base = best[i]
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                p = get(label[i:j])
-                if p is not None and base + p > best[j]:
-                    best[j], back[j] = base + p, i
-            # a letter that no word explains joins the stretch before it
-            if base + self.unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = base + self.unknown, i
-        out, j = [], n
-        while j:
-            out.append(label[back[j] : j])
-            j = back[j]
-        return out[::-1]
-
-    def tokens(self, host: str, path: str) -> list[tuple[str, str]]:
-        """(word, where) of a url."""
-        found = [(w, "host") for label in words_of(host) for w in self.segment(label)]
-        return found + [(w, "path") for w in words_of(path)]
-
-    def score(self, tokens: list[tuple[str, str]]) -> float:
-        """Log odds of being blocked."""
-        return self.prior + float(sum(self.slots[_slot(w, where)] for w, where in tokens))
-
-
-def unigrams(texts: DataFrame, lexicon: int = LEXICON) -> tuple[dict[str, float], float]:
-    """Words' log probabilities by their counts in all rows of column ``t``, and an unknown letter's.
+        """The likeliest split of a label, by ``words`` as a dict."""
+        return viterbi(label, self.words, self.unknown)
+
+
+def _exploded(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` columns, ``k`` and ``w``: the words of a text and their places."""
+
+    def make():
+        def run(rows):
+            found = [(i, k, w) for i, r in enumerate(rows) for k, w in enumerate(words_of(r or ""))]
+            return [i for i, _, _ in found], [[k for _, k, _ in found], [w for _, _, w in found]]
+
+        return run
+
+    return explode_texts(df, text_col, keep, [StructField("k", IntegerType()), StructField("w", StringType())], make)
+
+
+def unigrams(texts: DataFrame) -> Model:
+    """Counts of the words in all rows of column ``t``, and an unknown letter's log probability.
 
     A letter that belongs to no word costs more than the rarest word.
     """
+    words = staged(_exploded(texts, "t").where("not w rlike '^[0-9]+$'").groupBy("w").count(), "words")
+    sizes = words.groupBy(F.length("w").alias("size")).agg(F.sum("count").alias("places"), F.count("*").alias("words")).collect()  # a row a length
+    if not sizes:
+        return Model(words, -10.0, None, 0.0)
+    log_total = math.log(sum(r["places"] + r["words"] for r in sizes))
+    return Model(words, -log_total - 2.0, None, 0.0, log_total, tuple(sorted(r["size"] for r in sizes)))
+
+
+def host_words(hosts: DataFrame, model: Model) -> DataFrame:
+    """``host`` and its ``words``, for distinct hosts; a host without a letter or digit has no row.
+
+    The stretches of each distinct label meet the words that they are, so a
+    task needs no more of the words than stand in its labels.
+    """
+    labels = staged(_exploded(hosts, "host", ("host",)), "labels")
+    distinct = labels.select(F.col("w").alias("label")).distinct()
+    lengths, unknown, log_total = model.lengths, model.unknown, model.log_total
 
     def make():
         def run(rows):
-            pairs = [(i, w) for i, r in enumerate(rows) for w in words_of(r or "")]
-            return [i for i, _ in pairs], [[w for _, w in pairs]]
+            found = [(i, x) for i, r in enumerate(rows) for x in {r[a : a + n] for n in lengths if n <= len(r) for a in range(len(r) - n + 1)}]
+            return [i for i, _ in found], [[x for _, x in found]]
 
         return run
 
-    counted = explode_texts(texts, "t", (), [StructField("w", StringType())], make).where(f"not w rlike '^[0-9]+$' and length(w) <= {LONGEST}").groupBy("w").count()
-    total = counted.agg(F.sum("count")).first()[0] or 0
-    top = counted.orderBy(F.desc("count"), "w").limit(lexicon).collect()
-    if not top:
-        return {}, -10.0
-    log_total = math.log(total + len(top))
-    return {r["w"]: math.log(r["count"] + 1) - log_total for r in top}, -log_total - 2.0
+    stretches = explode_texts(distinct, "label", ("label",), [StructField("w", StringType())], make)
+    known = stretches.join(model.words, "w").groupBy("label").agg(F.collect_list(F.struct("w", "count")).alias("known"))
+    schema = StructType([StructField("label", StringType()), StructField("words", ArrayType(StringType()))])
 
+    def split(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                out = []
+                for label, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    out.append(viterbi(label, {x["w"]: math.log(x["count"] + 1) - log_total for x in words or ()}, unknown))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], schema.names)
 
-def train(urls: DataFrame, url_col: str = "url", html_col: str | None = None, rules=RULES, lexicon: int = LEXICON) -> Model:
+    cut = staged(distinct.join(known, "label", "left").select("label", "known").mapInArrow(split, schema), "splits")
+    both = labels.join(cut, labels.w == cut.label).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", "words"))).alias("xs"))
+    return staged(both.select("host", F.flatten(F.col("xs.words")).alias("words")), "hosts")
+
+
+def train(urls: DataFrame, url_col: str = "url", html_col: str | None = None, rules=RULES) -> Model:
     """Unigram model from the words of all paths and page titles, naive Bayes from all urls that a rule decides.
 
     Host names don't count as words: they are what is to be split.
     """
     cut = parts(urls, url_col, (), rules)
     title = F.regexp_extract(col(html_col), r"(?is)<title[^>]*>([^<]*)", 1) if html_col else F.lit("")
-    words, unknown = unigrams(urls.select(F.concat_ws(" ", path_column(col(url_col)), title).alias("t")), lexicon)
-    start = Model(words, unknown, np.zeros(SLOTS), 0.0)
+    model = unigrams(urls.select(F.concat_ws(" ", path_column(col(url_col)), title).alias("t")))
     verdicts = F.element_at(F.array(*[F.lit(int(v == "block")) for v, _, _ in rules]), F.col("rule") + 1) if rules else F.lit(0)
-    ruled = cut.where("rule is not null").select("host", F.concat_ws("\n", "host", "path").alias("both"), verdicts.alias("block"))
-    sent = urls.sparkSession.sparkContext.broadcast(start)
-
-    def make():
-        model = sent.value
-
-        def run(rows):
-            owner, slots = [], []
-            for i, r in enumerate(rows):
-                host, _, path = r.partition("\n")
-                for w, where in model.tokens(host, path):
-                    owner.append(i)
-                    slots.append(_slot(w, where))
-            return owner, [slots]
+    ruled = cut.where("rule is not null").select("host", "path", verdicts.alias("block"))
+    hosts = host_words(ruled.select("host").distinct(), model)
+    of_hosts = ruled.groupBy("host", "block").count().join(hosts, "host").select(F.lit("host").alias("place"), F.explode("words").alias("w"), "block", "count")
+    of_paths = _exploded(ruled.groupBy("path", "block").count(), "path", ("block", "count")).select(F.lit("path").alias("place"), "w", "block", "count")
+    blocked = lambda b: F.sum(F.when(F.col("block") == b, F.col("count")).otherwise(0))
+    seen = staged(of_hosts.unionAll(of_paths).groupBy("place", "w").agg(blocked(1).alias("n1"), blocked(0).alias("n0")), "seen")
+    sums = seen.agg(F.count("*").alias("v"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
+    rate = lambda c: F.log((F.col(c) + 0.5) / ((sums[c] or 0) + 0.5 * max(1, sums["v"])))
+    n = {r["block"]: r["count"] for r in ruled.groupBy("block").count().collect()}
+    model.odds = seen.select("place", "w", (rate("n1") - rate("n0")).alias("odds"))
+    model.prior = math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
+    return model
 
-        return run
 
-    seen = explode_texts(ruled, "both", ("block",), [StructField("slot", IntegerType())], make)
-    counts = np.zeros((2, SLOTS))
-    for r in seen.groupBy("block", "slot").count().collect():  # at most 2 * SLOTS rows
-        counts[r["block"], r["slot"]] = r["count"]
-    n = {r["block"]: r["count"] for r in ruled.groupBy("block").count().collect()}
-    smooth = counts + 0.5
-    rates = np.log(smooth) - np.log(smooth.sum(1, keepdims=True))
-    both = counts.sum(0) > 0  # slots never seen say nothing
-    return Model(words, unknown, np.where(both, rates[1] - rates[0], 0.0), math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)))
+def _sums(tokens: DataFrame, model: Model, key: str) -> DataFrame:
+    """``key`` and the sum of the odds of its words (column ``w``); words never seen say nothing."""
+    odds = model.odds.where(F.col("place") == key).select("w", "odds")
+    # a url's own words, added in one order whatever the tasks did
+    xs = tokens.join(odds, "w").groupBy(key).agg(F.array_sort(F.collect_list("odds")).alias("xs"))
+    return xs.select(F.col(key), F.aggregate("xs", F.lit(0.0), lambda a, x: a + x).alias(f"{key}_odds"))
 
 
 def judge(urls: DataFrame, model: Model, url_col: str = "url", keep: Sequence[str] = ("page_id",), rules=RULES) -> DataFrame:
     """``keep`` columns, ``host``, ``path``, ``rule``, ``verdict``, ``score`` and the host's ``words``."""
     cut = parts(urls, url_col, keep, rules)
-    sent = urls.sparkSession.sparkContext.broadcast(model)
     ks = [f"k{i}" for i in range(len(keep))]
-
-    def make():
-        own = sent.value
-
-        def run(rows):
-            scores, words = [], []
-            for r in rows:
-                host, _, path = r.partition("\n")
-                tokens = own.tokens(host, path)
-                scores.append(own.score(tokens))
-                words.append([w for w, where in tokens if where == "host"])
-            return [scores, words]
-
-        return run
-
-    both = cut.withColumn("both", F.concat_ws("\n", "host", "path"))
-    out = map_texts(both, "both", (*ks, "host", "path", "rule"), [StructField("score", DoubleType()), StructField("words", ArrayType(StringType()))], make)
+    hosts = host_words(cut.select("host").distinct(), model)
+    of_hosts = hosts.join(_sums(hosts.select("host", F.explode("words").alias("w")), model, "host"), "host", "left")
+    of_paths = _sums(_exploded(cut.select("path").distinct(), "path", ("path",)), model, "path")
+    score = F.lit(model.prior) + F.coalesce(F.col("host_odds"), F.lit(0.0)) + F.coalesce(F.col("path_odds"), F.lit(0.0))
+    words = F.coalesce(F.col("words"), F.array().cast("array<string>"))
+    out = cut.join(of_hosts, "host", "left").join(of_paths, "path", "left").select(*ks, "host", "path", "rule", score.alias("score"), words.alias("words"))
     at = F.col("rule") + 1
     names = F.array(*[F.lit(h + p) for _, h, p in rules]) if rules else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(v) for v, _, _ in rules]) if rules else F.array().cast("array<string>")

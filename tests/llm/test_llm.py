@@ -117,6 +117,31 @@ def test_url_model_learns(spark):
     assert got[0]["words"][:2] == ["bad", "casino"]
 
 
+def test_url_model_has_all_words(spark):
+    """Scores by brute force; words beyond the 50,000 most frequent, long ones and many in all."""
+    long = "donaudampfschifffahrtsgesellschaft"
+    frequent = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q{i}" for i in range(50_001))
+    rows = [(0, "http://frequent.example.net/", frequent), (1, "http://x.example.net/", frequent), (2, f"http://zebrafish{long}.example.net/en/7", f"zebra fish {long}")]
+    rows += [(10 + i, f"http://fish{i}.example.{'org/en' if i % 3 else 'com/de'}/1{i}/p{i % 7}", "") for i in range(300)]
+    df = spark.createDataFrame([(i, u, f"<title>{t}</title>") for i, u, t in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filter.judge(df, url_filter.train(df, html_col="html")).collect()}
+    assert got[2]["words"][:3] == ["zebra", "fish", long]
+    counts = collections.Counter(w for _, u, t in rows for w in url_filter.words_of(cut(u)[1] + " " + t) if not re.fullmatch("[0-9]+", w))
+    total = np.log(sum(counts.values()) + len(counts))
+    brute = url_filter.Model({w: np.log(n + 1) - total for w, n in counts.items()}, -total - 2.0, None, 0.0)
+    tokens = lambda host, path: [("host", w) for x in url_filter.words_of(host) for w in brute.segment(x)] + [("path", w) for w in url_filter.words_of(path)]
+    seen, ruled = (collections.Counter(), collections.Counter()), [0, 0]
+    for _, u, _ in rows:
+        if verdict := rule(*cut(u))[1]:
+            ruled[verdict == "block"] += 1
+            seen[verdict == "block"].update(tokens(*cut(u)))
+    every = set(seen[0]) | set(seen[1])
+    rate = lambda b, x: np.log((seen[b][x] + 0.5) / (sum(seen[b].values()) + 0.5 * len(every)))
+    for i, u, _ in rows[:40]:
+        want = np.log((ruled[1] + 1) / (ruled[0] + 1)) + sum(rate(1, x) - rate(0, x) for x in tokens(*cut(u)) if x in every)
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["words"] == [w for p, w in tokens(*cut(u)) if p == "host"]
+
+
 # --- 3 --------------------------------------------------------------------------
 
 LONG = ["Line %d of a passage that many documents share with some more words to it." % i for i in range(5)]
