@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from quire.llm._arrow import map_texts
-from quire.llm._pieces import Memo
+from quire.llm._pieces import PATTERN, Memo
 
 #: Entries of a worker's memo of encoded pieces, and the longest piece kept.
 MEMO, LONGEST = 700_000, 48
@@ -95,7 +95,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.memo = Memo(self._encode, MEMO, LONGEST)
+        # texts are only cut up beforehand for the pattern whose cuts are known
+        self.memo = Memo(self._encode, MEMO, LONGEST, cuts=pattern == PATTERN)
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token

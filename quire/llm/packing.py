@@ -9,12 +9,14 @@ fewer groups, and packed again, as long as sequences are saved and the bound of
 all pieces isn't met.  Only lengths decide, so copies and ties need no rule:
 equal lengths go by the piece's number.
 
+Special tokens' strings in a text give their ids, as the library has it.
 Null and empty texts are documents of the end mark alone.  A group holds a
 bounded number of pieces whatever the input; no document is a key.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -39,6 +41,9 @@ MEMO, LONGEST = 700_000, 48
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 SIGNS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 
+#: Fixed value: the pre-tokenizer whose matches are known here.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
 #: Marks that after a letter start a match of their own.
 MARKS = (".", ",", ";", ":", "!", "?")
 
@@ -53,18 +58,23 @@ def _tokenizer(spec: str) -> Memo:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True  # their strings are ordinary text
-
         model = tokenizer.model
+        rules = json.loads(spec)
+        # a text with an added token's string, or for a tokenizer of other rules, isn't cut up
+        added = tuple(t["content"] for t in rules.get("added_tokens") or ())
+        known = not rules.get("normalizer") and (rules.get("pre_tokenizer") or {}) == PRE_TOKENIZER
+
+        def whole(text: str) -> bytes:
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
         def encode(piece: str) -> bytes:
             if one_word(piece):  # nothing to pre-tokenize: the library's model takes the bytes' signs
                 return array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(SIGNS))]).tobytes()
             if piece[-1:] in MARKS and one_word(piece[:-1]):  # two matches, each with its own entry
                 return memo[piece[:-1]] + memo[piece[-1]]
-            return array("I", tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            return whole(piece)
 
-        memo = Memo(encode, MEMO, LONGEST)
+        memo = Memo(encode, MEMO, LONGEST, whole, added, known)
         _own.clear()
         _own[key] = memo
     return _own[key]

@@ -68,6 +68,14 @@ def test_bpe_query(spark, encoding):
     assert bpe.encode(df.where(EMPTY), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_other_patterns_cut_whole_texts(encoding):
+    ranks, _ = encoding
+    pattern = r"\S+ \S+|\s+|\S+"  # a match holds a space
+    enc = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    text = "the quick brown fox\njumps over"
+    assert list(array("I", bpe.Codec(ranks, pattern).encode(text))) == enc.encode_ordinary(text)
+
+
 def test_small_memo_changes_nothing(encoding):
     ranks, enc = encoding
     codec = bpe.Codec(ranks, P.PATTERN)
@@ -350,8 +358,8 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = ODD + [r["text"] for r in documents(spark).collect()]
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = ODD + ["a <|endoftext|> b", "words before<|endoftext|>and after it"] + [r["text"] for r in documents(spark).collect()]
     pieces = packing.token_pieces(clashing(docs(spark, texts)), P.path("byte_bpe_50k.json"))
     rows = packing.pack(pieces, group=40).collect()
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
