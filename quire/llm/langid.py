@@ -17,11 +17,11 @@ labelled text everything is ``und``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField
 
@@ -29,11 +29,12 @@ from quire.llm._arrow import col, explode_texts, map_texts
 
 #: Bytes of a stretch, units of a direction, and rows that run side by side.
 STEP, UNITS, ROWS = 96, 8, 4096
-#: Bounds of the training set: documents of a language, stretches of a document.
+#: Bounds of the training set: documents of a language, stretches of a document,
+#: documents in all (shared out evenly where there are many languages), languages.
 DOCS_PER_LANG, STRETCHES = 400, 6
-MOST_DOCS = 4_000
+MOST_DOCS, MOST_LANGS = 4_000, 1_000
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def has_letter(text: str | None) -> bool:
@@ -220,19 +221,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from at most ``MOST_DOCS`` documents that are not held out.
 
-    Each language gives about ``DOCS_PER_LANG``, by hash of id and text; of each
-    document ``STRETCHES`` stretches, spread over the whole text, leave its
-    executor.  Both bounds hold whatever the input.
+    Each language gives about ``DOCS_PER_LANG``, or an equal share of
+    ``MOST_DOCS`` if they are many, by hash of id and text; of each document
+    ``STRETCHES`` stretches, spread over the whole text, leave its executor.
+    The bounds hold whatever the input.  Of more than ``MOST_LANGS`` languages
+    the most frequent are learned.
     """
     usable = docs.where(~held_out(id_col) & col(text_col).isNotNull() & col(lang_col).isNotNull())
-    counts = usable.groupBy(col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_DOCS // 4).collect()
+    counts = usable.groupBy(col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     if not counts:
         return Model([], _init(np.random.default_rng(0), UNITS, 1))
     mark = F.pmod(F.xxhash64(col(id_col), col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, DOCS_PER_LANG / r["count"]))])
+    quota = min(DOCS_PER_LANG, MOST_DOCS / len(counts))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, quota / r["count"]))])
+    # a mark is told as a part of its language's share, so that the bound cuts all languages alike
     sample = (
-        usable.select(col(id_col).alias("i"), col(text_col).alias("t"), col(lang_col).alias("lang"), mark.alias("mark"))
-        .where(F.col("mark") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+        usable.select(col(id_col).alias("i"), col(text_col).alias("t"), col(lang_col).alias("lang"), (mark / share[col(lang_col)]).alias("mark"))
+        .where("mark < 1")
     )
 
     def make():
