@@ -6,8 +6,8 @@ predictor and emits a row per page.  ``tiff_files`` stores payloads as 8-bit
 grey pages, each of a layout and compression by its place in the file.
 
 Null and empty payloads are stored as one padded row.  A null file gives no
-page.  A file that can't be read gives one row with page -1 and the reason in
-``error``; so does what follows a broken page.  Rows are independent.
+page.  A file that can't be read, or a page over ``LARGEST`` samples, gives one
+row with page -1 and the reason in ``error``; so does what follows a broken page.  Rows are independent.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ T_WIDTH, T_LENGTH, T_BITS, T_COMPRESSION, T_PHOTOMETRIC = 256, 257, 258, 259, 26
 T_STRIP_OFFSETS, T_SAMPLES, T_ROWS_PER_STRIP, T_STRIP_COUNTS, T_PLANAR, T_PREDICTOR = 273, 277, 278, 279, 284, 317
 T_TILE_WIDTH, T_TILE_LENGTH, T_TILE_OFFSETS, T_TILE_COUNTS = 322, 323, 324, 325
 CLEAR, END = 256, 257
+#: The most samples of a page or segment that is read.
+LARGEST = 1 << 28
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _CODES = {1: "B", 3: "H", 4: "I"}
 
@@ -246,20 +248,22 @@ def pages(data: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
 
 
 def _page(data: bytes, tags: dict) -> tuple[int, int, int, int, bytes]:
-    one = lambda tag, default: tags.get(tag, (default,))[0]
+    one = lambda tag, default: (tags.get(tag) or (default,))[0]
     width, height, samples = one(T_WIDTH, 0), one(T_LENGTH, 0), one(T_SAMPLES, 1)
     compression, predictor = one(T_COMPRESSION, NONE), one(T_PREDICTOR, 1)
     if any(b != 8 for b in tags.get(T_BITS, (1,))) or one(T_PLANAR, 1) != 1 or predictor not in (1, 2):
         raise ValueError("only interleaved 8-bit samples can be read")
     tiled = T_TILE_OFFSETS in tags
-    offsets, counts = (tags[T_TILE_OFFSETS], tags[T_TILE_COUNTS]) if tiled else (tags[T_STRIP_OFFSETS], tags[T_STRIP_COUNTS])
+    offsets, counts = (tags.get(t, ()) for t in ((T_TILE_OFFSETS, T_TILE_COUNTS) if tiled else (T_STRIP_OFFSETS, T_STRIP_COUNTS)))
     w, h = (one(T_TILE_WIDTH, 0), one(T_TILE_LENGTH, 0)) if tiled else (width, min(one(T_ROWS_PER_STRIP, height), height))
-    if not (width and height and w and h) or width * height * samples > 1 << 31:
+    if not (width and height and w and h and samples) or max(width * height, w * h) * samples > LARGEST:
         raise ValueError("a page of no size or too large")
-    image = np.empty((height, width * samples), np.uint8)
     across = -(-width // w)
-    if len(offsets) < across * -(-height // h) or len(counts) < len(offsets):
+    if min(len(offsets), len(counts)) < across * -(-height // h):
         raise ValueError("segments are missing")
+    if any(a + n > len(data) for a, n in zip(offsets, counts)):
+        raise ValueError("a segment lies outside the file")
+    image = np.empty((height, width * samples), np.uint8)
     for i in range(across * -(-height // h)):
         y, x = i // across * h, i % across * w
         rows = h if tiled else min(h, height - y)
@@ -315,7 +319,7 @@ def read_pages(data: bytes | None) -> Iterator[tuple]:
             yield (n - 1, *page, None)
         if not n:
             raise ValueError("no page")
-    except (ValueError, KeyError, struct.error, zlib.error) as e:
+    except (ValueError, LookupError, ArithmeticError, struct.error, zlib.error) as e:
         yield -1, None, None, None, None, None, str(e)
 
 
