@@ -31,21 +31,39 @@ PHRASES = (
     ("general public license", "gpl"),
 )
 
-#: Short notices by label, in normal form.
+#: Opening or deciding words of well-known notices by label, in normal form.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
     ("released under the mit license", "mit"),
+    ("licensed under the mit license", "mit"),
     ("licensed under the apache license version 2 0", "apache"),
+    ("you may obtain a copy of the license at http www apache org licenses", "apache"),
     ("licensed under the gnu general public license", "gpl"),
     ("this program is free software you can redistribute it and or modify it", "gpl"),
+    ("under the terms of the gnu general public license as published by", "gpl"),
+    ("under the terms of the gnu lesser general public license as published by", "lgpl"),
+    ("under the terms of the gnu affero general public license as published by", "agpl"),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gfdl"),
     ("redistribution and use in source and binary forms with or without modification", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib"),
+    ("boost software license version 1 0", "boost"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("licensed under the european union public licence", "eupl"),
+    ("common development and distribution license", "cddl"),
+    ("the artistic license 2 0", "artistic"),
+    ("do what the fuck you want to public license", "wtfpl"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("sil open font license version 1 1", "ofl"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
     ("licensed under cc by 4 0", "cc-by"),
     ("licensed under a creative commons attribution", "cc"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("cc0 1 0 universal public domain dedication", "cc0"),
+    ("this work is in the public domain", "public-domain"),
+    ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
 )
 
 #: One edit for so many characters of a notice, and the shortest seed.
@@ -113,7 +131,7 @@ class Scanner:
         """
         flat = line.decode("latin-1")
         windows: dict[int, list[tuple[int, int]]] = {}
-        for end, (n, owners) in self.seeds.iter(flat):
+        for end, (n, owners) in self.seeds.iter(flat) if self.notices else ():
             for i, at in owners:
                 k, start = self.notices[i].edits, end - n + 1 - at
                 windows.setdefault(i, []).append((max(0, start - k - 1), min(len(flat), start + len(self.notices[i].text) + k + 1)))
@@ -134,7 +152,7 @@ class Scanner:
     def scan(self, text: str | None) -> tuple:
         words = normal(text or "")
         line = b" " + b" ".join(words) + b" "
-        exact = sorted((w, w + n, label, 0) for w, n, label in (self.exact(line) if b"license" in line else []))
+        exact = sorted((w, w + n, label, 0) for w, n, label in self.exact(line))
         # a word's number is the count of spaces before it, less the leading one
         exact = [(a, b, label, e, b" ".join(words[a:b]).decode("utf-8", "replace"), True) for a, b, label, e in exact]
         fuzzy = [(a - 1, b - 1, label, e, t, False) for a, b, label, e, t in self.fuzzy(line)]
