@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 from array import array
 
@@ -255,6 +256,40 @@ def test_licence_spans_tell_words():
     n, spans = license_scan.Scanner().scan("Some text. Relased under the MIT License. More")
     fuzzy = [s for s in spans if not s[5]]
     assert fuzzy[0][:4] == (2, 7, "mit", 1) and n == 8
+    assert license_scan.Scanner((("big world", "x"),), ()).scan("hello big world")[1] == [(1, 3, "x", 0, "big world", True)]
+
+
+def least_edits(pattern, text):
+    """Fewest edits that make the pattern a stretch of the text between spaces, by the plain table."""
+    row = [0 if c == " " else 10**6 for c in " " + text[:-1]] + [10**6]  # a match starts after a space
+    for i, p in enumerate(pattern):
+        new = [row[0] + 1]
+        for j, c in enumerate(text):
+            new.append(min(row[j] + (p != c), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min((row[j] for j in range(len(text)) if text[j] == " "), default=10**6)
+
+
+def test_notices_with_edits_are_found():
+    """Planted notices of 0 to k edits against a plain edit-distance scan, and prose that holds none."""
+    rng, scanner = random.Random(6), license_scan.Scanner()
+    filler = lambda: " ".join(rng.choice("this text may have words of any kind and as many as it likes to the under licensed software public".split()) for _ in range(rng.randrange(3, 30)))
+    found = total = wrong = 0
+    for notice in scanner.notices:
+        for edits in range(notice.edits + 2):
+            for _ in range(4):
+                t = list(notice.text)
+                for _ in range(edits):
+                    at = rng.randrange(len(t))
+                    t[at : at + 1] = rng.choice([[rng.choice("abcdefgh")], [], [t[at], rng.choice("abcdefgh")]])
+                words = license_scan.normal(f"{filler()} {''.join(t)} {filler()}")
+                line = b" " + b" ".join(words) + b" "
+                labels = {label for _, _, label, _, _ in scanner.fuzzy(line)}
+                want = {x.label for x in scanner.notices if least_edits(x.text, line.decode()) <= x.edits}
+                found, total, wrong = found + len(labels & want), total + len(want), wrong + len(labels - want)
+    assert total > 400 and found >= 0.97 * total and not wrong
+    for _ in range(50):
+        assert not scanner.fuzzy(b" " + b" ".join(license_scan.normal(filler())) + b" ")
 
 
 # --- 5 --------------------------------------------------------------------------
@@ -302,6 +337,16 @@ def test_decision_list_is_its_column(spark):
     for r in rules.rules:
         hit |= r.holds(x)
     assert (hit == bad).mean() > 0.95
+    # the emitted column over counts whose ratios are the features
+    rows = [(i, *(int(v) for v in rng.integers(0, 60, len(quality_rules.STATS)))) for i in range(300)] + [(300, *[0] * len(quality_rules.STATS))]
+    df = spark.createDataFrame(rows, "i long, " + ", ".join(f"{s} long" for s in quality_rules.STATS))
+    got = df.select("i", *[e.alias(f"f_{f}") for f, e in quality_rules.features().items()], rules.column().alias("kept")).orderBy("i").collect()
+    x = {f: np.array([r[f"f_{f}"] for r in got]) for f in quality_rules.features()}
+    rejected = np.zeros(len(got), bool)
+    for r in rules.rules:
+        rejected |= r.holds(x)
+    assert [r["kept"] for r in got] == (~rejected).tolist() and 0 < rejected.sum() < len(got)
+    assert df.select(quality_rules.DecisionList(()).column().alias("k")).distinct().collect() == [(True,)]
 
 
 # --- 6 --------------------------------------------------------------------------
@@ -446,8 +491,8 @@ def test_language(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r["held_out"]]
     assert sum(r["lang"] == r["lang_pred"] for r in held) > 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in got)
-    odd = {r["doc_id"]: r for r in langid.identify(clashing(docs(spark, ODD + ["123 !?", "der und die"])), model).collect()}
-    assert odd[0]["lang_pred"] == odd[1]["lang_pred"] == odd[len(ODD)]["lang_pred"] == "und" and odd[len(ODD) + 1]["lang_pred"] in model.langs
+    odd = {r["doc_id"]: r for r in langid.identify(clashing(docs(spark, ODD + ["123 !?", "der und die", "½ ² ① Ⅳ"])), model).collect()}
+    assert odd[0]["lang_pred"] == odd[1]["lang_pred"] == odd[len(ODD)]["lang_pred"] == odd[len(ODD) + 2]["lang_pred"] == "und" and odd[len(ODD) + 1]["lang_pred"] in model.langs
     labels = {r["doc_id"]: r["labels"] for r in langid.label_positions(docs(spark, ODD), model).collect()}
     assert all(len(labels[i]) == len((t or "").encode()) for i, t in enumerate(ODD))
     none = langid.train(df.where(EMPTY))
@@ -486,9 +531,33 @@ def test_broken_tiff(spark):
     assert 0 not in got and all(got[i][-1]["page"] == -1 and got[i][-1]["error"] for i in (1, 2, 3, 5)) and got[4][0]["error"] is None
 
 
-def test_big_endian_and_plain_strips():
-    import struct
+def with_tag(data, tag, count, value):
+    """A file whose first directory has another count and value for a tag."""
+    at = struct.unpack("<I", data[4:8])[0]
+    out = bytearray(data)
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        where = at + 2 + 12 * i
+        if struct.unpack_from("<H", data, where)[0] == tag:
+            struct.pack_into("<II", out, where + 4, count, value)
+    return bytes(out)
+
+
+def test_tiff_reader_survives_any_bytes():
+    good = tiff.encode(tiff.pad("some text " * 900)[1])
+    broken = [with_tag(good, tag, count, value) for tag in (256, 257, 258, 259, 277, 317, 322, 323, 324, 325) for count, value in ((0, 0), (1, 0), (1, 4_000_000_000), (1, 1), (4_000_000_000, 8))]
+    rng = random.Random(12)
+    for _ in range(300):
+        b = bytearray(good)
+        for _ in range(rng.randrange(1, 6)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        broken.append(bytes(b[: rng.randrange(len(b))] if rng.random() < 0.3 else b))
+    for data in broken:
+        rows = list(tiff.read_pages(data))
+        assert rows and all((r[0] == -1) == (r[-1] is not None) for r in rows)
+    assert list(tiff.read_pages(with_tag(good, 256, 0, 0)))[0][0] == -1 and list(tiff.read_pages(with_tag(good, 322, 1, 4_000_000_000)))[0][0] == -1
 
+
+def test_big_endian_and_plain_strips():
     body = bytes(range(12))
     tags = [(256, 4, 4), (257, 4, 3), (258, 3, 8 << 16), (259, 3, 1 << 16), (273, 4, 8), (277, 3, 1 << 16), (278, 4, 3), (279, 4, 12)]
     data = b"MM\0*" + struct.pack(">I", 20) + body + struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", t, k, 1, v) for t, k, v in tags) + b"\0\0\0\0"
