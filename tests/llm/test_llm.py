@@ -191,7 +191,8 @@ def shared_blocks(texts):
     units = [[(i, x) for i, x in enumerate(t.split("\n")) if len(x.split()) >= 4] for t in texts]
     seen, out = set(), []
     for own in units:
-        runs = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if sum(len(x.split()) for _, x in own[i:j]) >= 20]
+        # longer runs are made of runs of so many units
+        runs = [(i, j) for i in range(len(own)) for j in range(i + 1, min(i + 10, len(own)) + 1) if sum(len(x.split()) for _, x in own[i:j]) >= 20]
         held = {(i, j): tuple(x for _, x in own[i:j]) for i, j in runs}
         out.append({own[k][0] for (i, j), key in held.items() if key in seen for k in range(i, j)})
         seen |= set(held.values())
@@ -215,6 +216,49 @@ def test_blocks_of_lines_with_other_first_holders_go(spark):
         assert [x for x in got[i]["text"].split("\n") if len(x.split()) >= 4] == left
 
 
+def test_documents_of_rare_lines_are_paired(spark):
+    """Two equal documents whose lines each stood once in another earlier document: the later two lose them all."""
+    lines = [f"line number {i} of twelve words that all stand once before this one" for i in range(6)]
+    texts = [f"{x}\nsomething else of its own goes here {i} and here" for i, x in enumerate(lines)] + ["\n".join(lines)] * 2
+    got = {r["doc_id"]: r for r in line_dedup.report(docs(spark, texts)).collect()}
+    assert [got[i]["n_dropped"] for i in range(8)] == [0] * 7 + [6] and got[7]["text"] == ""
+
+
+def test_line_dedup_of_long_documents(spark):
+    """Segments, rare and frequent lines, repeats within a document, null ids: against brute force."""
+    rng = random.Random(11)
+    often = [" ".join(f"o{k}x{j}" for j in range(rng.choice([4, 5, 9, 22]))) for k in range(25)]
+    few = [" ".join(f"f{k}x{j}" for j in range(rng.choice([4, 6, 12]))) for k in range(300)]
+    texts = []
+    for n in [400, 3, 150, 40, 90, 10, 260, 30, 70, 120] + [rng.randrange(1, 60) for _ in range(50)]:
+        out = []
+        while len(out) < n:
+            pool = rng.choice([often, often, few])
+            at = rng.randrange(len(pool))
+            out += pool[at : at + rng.randrange(1, 8)] + ([f"own line {rng.random()} of a document"] if rng.random() < 0.4 else []) + (["short"] if rng.random() < 0.2 else [])
+        texts.append("\n".join(out))
+    rows = [(i if i < 57 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(7)
+    got = collections.defaultdict(set)
+    for r in line_dedup.report(df).collect():
+        got[r["doc_id"]].add(r["text"])
+    assert all(len(x) == 1 for i, x in got.items() if i is not None)
+    for i, (t, gone) in enumerate(zip(texts[:57], shared_blocks(texts))):
+        left = [x for k, x in enumerate(t.split("\n")) if len(x.split()) >= 4 and k not in gone]
+        assert [x for x in next(iter(got[i])).split("\n") if len(x.split()) >= 4] == left
+
+
+def test_patience():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(14))] for _ in range(2))
+        found = line_dedup.patience(a, b)
+        assert all(a[i] == b[j] for i, j in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+    assert line_dedup.patience([1, 2, 3, 4, 5], [9, 2, 8, 4, 5, 7]) == [(1, 1), (3, 3), (4, 4)]
+    assert line_dedup.patience([7, 1, 7, 2, 7], [7, 1, 7, 2, 7]) == [(i, i) for i in range(5)]
+    assert line_dedup.patience([0, 5, 5, 1, 6, 6, 2], [3, 5, 5, 1, 6, 6, 2]) == [(i, i) for i in range(1, 7)]
+
+
 def test_longest_rising():
     rng = random.Random(5)
     for _ in range(200):
