@@ -188,8 +188,8 @@ def sets(docs: DataFrame, text_col: str, keep: Sequence[str], words: int = WORDS
     return docs.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keep)], col(text_col).alias("t")).mapInArrow(run, schema)
 
 
-def frequent_buckets(counted: DataFrame) -> np.ndarray:
-    """Bitmap of the buckets whose shingles very many documents have, from the rows of ``sets``.
+def frequent_buckets(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """Bitmap of the buckets whose shingles very many documents have, from the rows of ``sets``; and the number of documents.
 
     The list only orders blocks; the join is exact with any.
     """
@@ -201,18 +201,19 @@ def frequent_buckets(counted: DataFrame) -> np.ndarray:
     out = np.zeros(BUCKETS // 8, np.uint8)
     for r in bits:
         out[r["byte"]] = r["bits"]
-    return out
+    return out, total
 
 
 _ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("size", "u1")])
 _HOT = np.uint32(1 << 31)
 #: A task flushes what it has for all parts at this many entries.
 FLUSH = 400_000
-#: Parts a hot block's texts are dealt over.
-SALTS = 16
+#: About the most entries of a part, which is what a task holds at once, and the
+#: most texts of a hot block that meet in one part, if a third of all have it.
+PART, HOT_TEXTS = 2_000_000, 10_000
 
 
-def _emit(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int, words: int, num: int, den: int) -> DataFrame:
+def _emit(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int, salts: int, words: int, num: int, den: int) -> DataFrame:
     """(``part``, ``entries``): block words with the names of their texts, packed by part."""
     schema = StructType([StructField("part", IntegerType()), StructField("entries", BinaryType())])
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -253,7 +254,7 @@ def _emit(docs: DataFrame, text_col: str, frequent: np.ndarray, parts: int, word
                     e["size"] = _size_code(len(s))
                     where = keys >> np.uint64(32)
                     if hot.any():
-                        where = where + hot * np.uint64(name % SALTS)
+                        where = where + hot * np.uint64(name % salts)
                     held.append(((where % np.uint64(parts)).astype(np.int32), e))
                     size += len(keys)
                     if size >= FLUSH:
@@ -273,9 +274,10 @@ def _size_code(n: int) -> int:
     return min(255, int(16 * np.log2(n)))
 
 
-def _groups(emitted: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+def _groups(emitted: DataFrame, parts: int, salts: int, num: int, den: int) -> DataFrame:
     """Rows of ``GROUP``: each text of each group of two or more, with the group's least,
-    and whether their sizes allow a link.
+    and whether their sizes allow a link.  ``emitted`` comes sorted by part; a task
+    holds one part at a time.
 
     A group has the name of its members, so that blocks with the same members
     make one group; a hot block's, whose members lie in several parts, that of
@@ -284,19 +286,10 @@ def _groups(emitted: DataFrame, parts: int, num: int, den: int) -> DataFrame:
 
     reach = int(16 * np.log2(den / num)) + 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, entries = [], []
-        for b in batches:
-            for p, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                e = np.frombuffer(e, _ENTRY)
-                entries.append(e)
-                part.append(np.full(len(e), p, np.uint64))
-        if not entries:
-            return
-        e = np.concatenate(entries)
-        entries.clear()
-        key, ident, code = e["key"].astype(np.uint64) | np.concatenate(part) << np.uint64(32), e["id"].astype(np.int64), e["size"].astype(np.int16)
-        part.clear()
+    def grouped(part: int, blobs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        e = np.concatenate(blobs)
+        blobs.clear()
+        key, ident, code = e["key"], e["id"].astype(np.int64), e["size"].astype(np.int16)
         order = np.lexsort((ident, key))
         key, ident, code = key[order], ident[order], code[order]
         new = np.append(True, key[1:] != key[:-1])
@@ -304,24 +297,34 @@ def _groups(emitted: DataFrame, parts: int, num: int, den: int) -> DataFrame:
         key, ident, code, new = key[fresh], ident[fresh], code[fresh], new[fresh]
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(key)))
-        hot = (key[first] >> np.uint64(31)) & np.uint64(1) == 1
+        key = key[first].astype(np.uint64)
+        hot = key >> np.uint64(31) == 1
         with np.errstate(over="ignore"):
             members = np.add.reduceat(_mix(ident.view(np.uint64)), first)
         # a hot block's part tells its salt; taken out again by the text's own name
-        base = (key[first] >> np.uint64(32)).astype(np.int64)
-        salt = ident[first] % SALTS
-        origin = ((base - salt) % parts).astype(np.uint64) << np.uint64(32) | (key[first] & np.uint64(0xFFFFFFFF))
+        origin = ((part - ident[first] % salts) % parts).astype(np.uint64) << np.uint64(32) | key
         gid = np.where(hot, _mix(origin ^ _M1), _mix(members ^ _M2))
         keep = (size > 1) | hot
-        _, once = np.unique(np.where(hot, key[first], gid), return_index=True)
+        _, once = np.unique(np.where(hot, key, gid), return_index=True)
         only = np.zeros(len(first), bool)
         only[once] = True
         keep &= only
-        rows = np.repeat(keep, size)
-        fits = np.abs(code - np.repeat(code[first], size)) <= reach
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(gid, size)[rows].view(np.int64)), pa.array(ident[rows]), pa.array(np.repeat(ident[first], size)[rows]), pa.array(fits[rows])], GROUP.names
-        )
+        rows = np.flatnonzero(np.repeat(keep, size))
+        gid, star, near = np.repeat(gid, size), np.repeat(ident[first], size), np.abs(code - np.repeat(code[first], size)) <= reach
+        for at in range(0, len(rows), FLUSH):
+            r = rows[at : at + FLUSH]
+            yield pa.RecordBatch.from_arrays([pa.array(gid[r].view(np.int64)), pa.array(ident[r]), pa.array(star[r]), pa.array(near[r])], GROUP.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blobs = None, []
+        for b in batches:
+            for p, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if p != part and blobs:
+                    yield from grouped(part, blobs)
+                part = p
+                blobs.append(np.frombuffer(e, _ENTRY))
+        if blobs:
+            yield from grouped(part, blobs)
 
     return emitted.mapInArrow(run, GROUP)
 
@@ -499,20 +502,26 @@ def _apart(groups: DataFrame, roots: DataFrame, texts: DataFrame, num: int, den:
     return rows.mapInArrow(run, PAIR).distinct()
 
 
-def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: Sequence[str] = (), words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: Sequence[str] = (), words: int = WORDS, num: int = NUM, den: int = DEN, root: str | None = None) -> DataFrame:
     """``id_col``, ``keep`` columns, ``n_shingles`` and ``component_id`` of each row.
 
     The component is named by the least id that links reach, the row's own
-    included.
+    included.  ``root``, if given, names a further column that tells components
+    apart also where ids repeat or are null (null without shingles).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     hashed = docs.select(col(id_col), *map(col, keep), F.xxhash64(col(text_col)).alias("q__hash"), col(text_col).alias("q__text"))
     counted = staged(sets(hashed, "q__text", (id_col, *keep, "q__hash"), words), "sets")
     rows = counted.where("bucket is null")
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    emitted = _emit(docs, text_col, frequent_buckets(counted), parts, words, num, den).repartition(parts // 8, "part")
-    groups = staged(_groups(emitted, parts, num, den), "groups")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequent, total = frequent_buckets(counted)
+    # a text emits a word for about every third shingle, if in two bands
+    tokens = rows.agg(F.sum("n")).first()[0] or 0
+    parts = max(8 * tasks, -(-tokens // (3 * PART)))
+    salts = min(parts, max(16, -(-total // (3 * HOT_TEXTS))))
+    emitted = _emit(docs, text_col, frequent, parts, salts, words, num, den).repartition(tasks, "part").sortWithinPartitions("part")
+    groups = staged(_groups(emitted, parts, salts, num, den), "groups")
 
     texts = rows.where("n > 0").groupBy("set_id").agg(F.min(col(id_col)).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("q__hash").alias("text_hash"))
     texts = staged(texts, "texts")
@@ -538,6 +547,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", kee
 
     named = texts.select("set_id", "least").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_text = named.select("set_id", "root").join(names, "root").select("set_id", "component_id")
+    of_text = named.select("set_id", F.col("root").alias("q__root")).join(names.withColumnRenamed("root", "q__root"), "q__root").select("set_id", "component_id", "q__root")
     out = rows.join(of_text, "set_id", "left")
-    return out.select(col(id_col), *map(col, keep), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(col(id_col)).alias("component_id"))
+    more = [F.col("q__root").alias(root)] if root else []
+    return out.select(col(id_col), *map(col, keep), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(col(id_col)).alias("component_id"), *more)
