@@ -4,8 +4,8 @@ Candidates of each kind come from two patterns: the strict one, whose matches
 that pass its test (parts, Luhn, digits) are *base* spans and always stay; and
 a loose one, with strict matches that fail Luhn.  Four labelers vote on each
 candidate (1, 0 abstains, -1): the regex that found it, a gazetteer (top-level
-domains, country codes, card prefixes, key names), the words before it, and
-the characters beside it.  The votes of all documents are counted by pattern,
+domains, country codes, card prefixes, key names), the words before it (up to
+the kind's last match), and the characters beside it.  The votes of all documents are counted by pattern,
 which makes a table of bounded size; expectation-maximisation on it estimates
 how reliable each labeler is and how likely each pattern is personal data.
 With those probabilities as soft labels a logistic classifier of span features
@@ -72,26 +72,55 @@ _CUES = {  # in the characters before the span: (for, against)
 }
 BEFORE = 24
 
-_SPAN = "array<struct<s:int,e:int,t:string>>"
+_SPAN = "array<struct<s:int,e:int,t:string,b:string,a:string>>"
+#: Elements that a fold's list is copied with, at most.
+CHUNK = 256
 
 
 def _none(kind: str = _SPAN) -> Column:
     return F.array().cast(kind)
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """Start, end and text of each match: gaps between matches tell the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+def _let(value: Column, of) -> Column:
+    """``of(value)``, the value being computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _chunks(xs: Column) -> Column:
+    last = F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * CHUNK + 1, CHUNK))
+
+
+def _scan(xs: Column, zero: Column, add, emit, of: str) -> Column:
+    """``emit(state, x)`` (of type ``of``) of each element, ``state`` being what ``add`` makes of ``zero`` and all before it.
+
+    A fold copies its list at each step; so the states at the starts of chunks
+    are found first and only lists of a chunk are folded.
+    """
+
+    def start(acc, c):
+        return F.struct(F.aggregate(c, acc.state, add).alias("state"), F.concat(acc.out, F.array(acc.state)).alias("out"))
 
     def step(acc, x):
-        s = acc.at + x.g
-        e = s + F.length(x.m)
-        return F.struct(e.alias("at"), F.concat(acc.out, F.array(F.struct(s.alias("s"), e.alias("e"), x.m.alias("t")))).alias("out"))
+        return F.struct(add(acc.state, x).alias("state"), F.concat(acc.out, F.array(emit(acc.state, x))).alias("out"))
+
+    def each(cs):
+        starts = F.aggregate(cs, F.struct(zero.alias("state"), F.slice(F.array(zero), 1, 0).alias("out")), start, lambda acc: acc.out)
+        return F.flatten(F.zip_with(cs, starts, lambda c, s: F.aggregate(c, F.struct(s.alias("state"), _none(of).alias("out")), step, lambda acc: acc.out)))
 
-    return F.aggregate(both, start, step, lambda acc: acc.out)
+    return _let(_chunks(xs), each)
+
+
+def _places(text: Column, pattern: str) -> Column:
+    """Start, end and text of each match, and what stands before and after it: gaps between matches tell the places."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    near = lambda w: F.transform(w.found, lambda m, i: F.struct(F.get(w.gaps, i).alias("g"), m.alias("m"), F.get(w.gaps, i + 1).alias("n")))
+    end = lambda at, x: at + F.length(x.g) + F.length(x.m)
+
+    def span(at, x):
+        return F.struct((at + F.length(x.g)).alias("s"), end(at, x).alias("e"), x.m.alias("t"), F.right(x.g, F.lit(BEFORE)).alias("b"), F.left(x.n, F.lit(1)).alias("a"))
+
+    return _let(_let(both, near), lambda xs: _scan(xs, F.lit(0), end, span, _SPAN))
 
 
 def _digits(t: Column) -> Column:
@@ -122,23 +151,43 @@ _PASSES = {
 }
 
 
-def _apart(s: Column, others: list[Column]) -> Column:
-    out = F.lit(True)
-    for o in others:
-        out = out & ~F.exists(o, lambda x: (x.s < s.e) & (s.s < x.e))
-    return out
+_LEVEL = "array<struct<s:int,p:int,e:int,k:int,t:string,b:string,a:string>>"
+
+
+def _levels(spans: Column, level: int, kind: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x.s.alias("s"), F.lit(level).alias("p"), x.e.alias("e"), F.lit(kind).alias("k"), x.t.alias("t"), x.b.alias("b"), x.a.alias("a")))
+
+
+def _unhidden(spans: Column, levels: int) -> Column:
+    """Of spans with a level ``p``, sorted by start and level, those that none of a lower level overlaps.
+
+    One pass forwards with the furthest end of each level so far, one backwards
+    with the nearest start.
+    """
+    kept = lambda hidden, x: F.struct(x.s.alias("s"), F.when(hidden, -1).otherwise(x.p).alias("p"), x.e.alias("e"), x.k.alias("k"), x.t.alias("t"), x.b.alias("b"), x.a.alias("a"))
+    set_at = lambda state, x, f: F.transform(state, lambda v, i: F.when(i == x.p, f(v)).otherwise(v))
+    lower = lambda state, x: F.slice(state, F.lit(1), F.greatest(x.p, F.lit(0)))
+    # a span that is hidden still hides others
+    ahead = _scan(
+        spans, F.array_repeat(F.lit(0), levels), lambda st, x: set_at(st, x, lambda v: F.greatest(v, x.e)),
+        lambda st, x: F.struct(x.alias("x"), F.exists(lower(st, x), lambda v: v > x.s).alias("hidden")), f"array<struct<x:{_LEVEL[6:-1]},hidden:boolean>>",
+    )
+    back = _let(F.reverse(ahead), lambda ys: _scan(
+        ys, F.array_repeat(F.lit((1 << 31) - 1), levels), lambda st, y: set_at(st, y.x, lambda v: F.least(v, y.x.s)),
+        lambda st, y: kept(y.hidden | F.exists(lower(st, y.x), lambda v: v < y.x.e), y.x), _LEVEL,
+    ))
+    return F.reverse(F.filter(back, lambda x: x.p >= 0))
 
 
 def _vote(t: Column, patterns: tuple[str, str]) -> Column:
     return F.when(t.rlike(patterns[1]), F.lit(-1)).when(t.rlike(patterns[0]), F.lit(1)).otherwise(F.lit(0))
 
 
-def _labelled(kind: str, text: Column, spans: Column, base: bool) -> Column:
+def _labelled(kind: str, spans: Column, base: bool) -> Column:
     """Each candidate with its votes and features."""
 
     def one(s):
-        before = F.substring(text, F.greatest(s.s - BEFORE, F.lit(0)) + 1, F.least(s.s, F.lit(BEFORE)))
-        after = F.substring(text, s.e + 1, F.lit(1))
+        before, after = s.b, s.a
         digits, length = F.length(_digits(s.t)), F.length(s.t)
         edge = F.when(before.rlike(r"[A-Za-z0-9]$") | after.rlike(r"^[A-Za-z0-9]"), F.lit(-1)).otherwise(F.lit(1))
         by_regex = 1 if base or kind == "secret" else -1 if kind == "card" else 0
@@ -168,16 +217,20 @@ def with_candidates(docs: DataFrame, text_col: str = "text", prefix: str = "pii_
     strict = [F.col(f"{p}b_{k}") for k in BASE_KINDS]
     loose = {k: F.col(f"{p}l_{k}") for k in LOOSE}
     loose["card"] = F.filter(F.col(f"{p}m_card"), lambda s: _card_length(s) & ~luhn(_digits(s.t)))
-    step = step.withColumns({f"{p}x_{k}": F.filter(loose[k], lambda s: _apart(s, strict)) for k in KINDS})
+    step = step.withColumn(f"{p}x_all", F.concat(*[_levels(loose[k], 1, i) for i, k in enumerate(KINDS)]))
+    clear = F.array_sort(F.concat(F.col(f"{p}x_all"), *[_levels(s, 0, -1) for s in strict]))
+    clear = F.filter(_let(clear, lambda xs: _unhidden(xs, 2)), lambda x: x.p == 1)
+    step = step.withColumn(f"{p}x_all", F.when(F.size(f"{p}x_all") > 0, clear).otherwise(_none(_LEVEL)))
     # of loose spans that overlap, the kind listed first stays
-    order = ("secret", "email", "ip", "phone", "card")
-    clear_of = lambda others: lambda s: _apart(s, others)
-    kept = {k: F.filter(F.col(f"{p}x_{k}"), clear_of([F.col(f"{p}x_{o}") for o in order[:i]])) for i, k in enumerate(order)}
+    order = F.array(*[F.lit(("secret", "email", "ip", "phone", "card").index(k)) for k in KINDS])
+    ranked = F.array_sort(F.transform(f"{p}x_all", lambda x: F.struct(x.s.alias("s"), F.get(order, x.k).alias("p"), x.e.alias("e"), x.k.alias("k"), x.t.alias("t"), x.b.alias("b"), x.a.alias("a"))))
+    step = step.withColumn(f"{p}x_own", F.when(F.size(f"{p}x_all") > 1, _let(ranked, lambda xs: _unhidden(xs, len(KINDS)))).otherwise(F.col(f"{p}x_all")))
+    kept = {k: F.filter(f"{p}x_own", lambda x: x.k == i) for i, k in enumerate(KINDS)}
     step = step.withColumns({
-        f"{p}base": F.concat(*[_labelled(k, raw, F.col(f"{p}b_{k}"), True) for k in BASE_KINDS]),
-        f"{p}loose": F.concat(*[_labelled(k, raw, kept[k], False) for k in KINDS]),
+        f"{p}base": F.concat(*[_labelled(k, F.col(f"{p}b_{k}"), True) for k in BASE_KINDS]),
+        f"{p}loose": F.concat(*[_labelled(k, kept[k], False) for k in KINDS]),
     })
-    return step.drop(*[f"{p}{x}_{k}" for x in "mlbx" for k in KINDS])
+    return step.drop(f"{p}x_all", f"{p}x_own", *[f"{p}{x}_{k}" for x in "mlb" for k in KINDS])
 
 
 @dataclass
@@ -298,15 +351,20 @@ def mask(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     packed = docs.select(F.struct(*map(col, names)).alias("q_row"), col(text_col).alias("q_text"))
     found = find(packed, model, "q_text").withColumn("q_sorted", F.array_sort(F.transform("pii_spans", lambda s: F.struct(s.s, s.e, s.kind))))
     # of spans that overlap the first stands for all
-    merged = F.aggregate(
-        "q_sorted", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int,kind:string>>").alias("out")),
-        lambda acc, s: F.when(s.s < acc["at"], F.struct(F.greatest(acc["at"], s.e).alias("at"), acc.out.alias("out"))).otherwise(
-            F.struct(s.e.alias("at"), F.concat(acc.out, F.array(F.struct(acc["at"].alias("a"), s.s.alias("b"), s.kind.alias("kind")))).alias("out"))
-        ),
+    cut = "array<struct<a:int,b:int,kind:string>>"
+    merged = F.filter(
+        _scan(F.col("q_sorted"), F.lit(0), lambda at, x: F.greatest(at, x.e), lambda at, x: F.when(x.s >= at, F.struct(at.alias("a"), x.s.alias("b"), x.kind.alias("kind"))), cut),
+        lambda x: x.isNotNull(),
     )
-    step = found.withColumn("q_cut", F.when(F.size("pii_spans") > 0, merged))
-    parts = F.transform("q_cut.out", lambda x: F.concat(F.substring(F.col("q_text"), x.a + 1, x.b - x.a), F.lit("["), F.upper(x.kind), F.lit("]")))
+    step = found.withColumns({"q_cut": F.when(F.size("pii_spans") > 0, merged), "q_end": F.array_max(F.transform("q_sorted", lambda x: x.e))})
+
+    # a piece is found by counting from the start of its chunk's stretch of the text
+    def pieces(c):
+        first = F.get(c, F.lit(0)).a
+        stretch = F.substring(F.col("q_text"), first + 1, F.get(c, F.size(c) - 1).b - first)
+        return _let(stretch, lambda t: F.array_join(F.transform(c, lambda x: F.concat(F.substring(t, x.a - first + 1, x.b - x.a), F.lit("["), F.upper(x.kind), F.lit("]"))), ""))
+
     text = F.when(F.col("q_cut").isNull(), F.col("q_text")).otherwise(
-        F.concat(F.array_join(parts, ""), F.substring(F.col("q_text"), F.col("q_cut.at") + 1, F.length("q_text")))
+        F.concat(F.array_join(F.transform(_chunks(F.col("q_cut")), pieces), ""), F.substring(F.col("q_text"), F.col("q_end") + 1, F.length("q_text")))
     )
     return step.select(*[text.alias(c) if c == text_col else F.col("q_row")[c].alias(c) for c in names])
