@@ -721,3 +721,9 @@ def test_pipeline_keeps_odd_rows_whole(spark):
     df = spark.createDataFrame(rows, DOC)
     got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, df, SF).collect()), key=str)
     assert got == [(1, rows[0][1]), (None, rows[2][1])]
+    # one id for texts that are nearly alike, and for another text; nearly alike ones without any id
+    near = [" ".join([*(f"w{i}" for i in range(60)), x]) for x in ("one", "two", "three")]
+    rows = [(5, near[0]), (5, near[1]), (5, "some other text that is in no group"), (9, near[2]), (6, None), (6, "")] + [(None, t.replace("w", "v")) for t in near]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], DOC)
+    got = collections.Counter((r["doc_id"], (r["text"] or "")[:2]) for r in pipeline.near_duplicates(spark, df, SF).collect())
+    assert got == {(5, "w0"): 1, (5, "so"): 1, (6, ""): 2, (None, "v0"): 1}
