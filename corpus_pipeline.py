@@ -30,11 +30,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Only ids and hashes go through the join; the texts are shuffled once, to
     lose those that go.  A document without an id goes if its group has an id.
+    Of a group's rows that share the least id, or have none, but differ in
+    their texts, the one of least hash stays.
     """
     marked = docs.withColumn("q_hash", F.xxhash64("text"))
-    named = ngram_join.classes(marked, keep=("q_hash",))
-    gone = named.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("q_hash").alias("g_hash")).distinct()
+    named = staged(ngram_join.classes(marked, keep=("q_hash",), root="q_root"), "classes")
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    others = named.where(~head)
+    several = named.where(head & F.col("q_root").isNotNull()).groupBy("q_root").agg(F.min("q_hash").alias("q_stays"), F.max("q_hash").alias("q_last")).where("q_stays <> q_last")
+    others = others.select("doc_id", "q_hash").unionByName(named.where(head).join(several, "q_root").where("q_hash <> q_stays").select("doc_id", "q_hash"))
+    gone = others.select(F.col("doc_id").alias("g_id"), F.col("q_hash").alias("g_hash")).distinct()
     kept = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("q_hash") == F.col("g_hash")), "left_anti")
     repeated = named.groupBy("doc_id", "q_hash").count().where("count > 1")
     if not repeated.isEmpty():
