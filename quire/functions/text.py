@@ -11,6 +11,11 @@ BLANK = r"[\t \u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"  # white space withi
 DENSE = r"[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF]"
 
 
+def let(value: Column, of) -> Column:
+    """``of(value)``, the value being computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def solid(t: Column) -> Column:
     """Without white space."""
     return F.regexp_replace(t, WS, "")

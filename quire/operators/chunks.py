@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import IntegerType, StructType
 
-from quire.functions import text as T
+from quire.functions import blocks as B, text as T
 from quire.operators.sections import sections
 
 
@@ -16,54 +14,38 @@ from quire.operators.sections import sections
 class Options:
     target: int = 512
     minimum: int = 64
-    #: Sections of more blocks are packed by a loop per section: a fold copies its list at each step.
-    long_section: int = 2000
 
 
-def _fold(costs: Column, o: Options) -> Column:
-    """Part numbers from 1, one for each cost in order."""
-    start = F.struct(F.lit(0).cast("bigint").alias("tokens"), F.lit(1).alias("part"), F.array().cast("array<int>").alias("out"))
+def _starts(costs: Column, o: Options) -> Column:
+    """Places, from 0, of the costs that open a part.  Only these are kept, so long sections cost their length."""
+    start = F.struct(F.lit(0).cast("bigint").alias("tokens"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("out"))
 
     def step(acc, cost):
         cut = (acc.tokens + cost > o.target) & (acc.tokens >= o.minimum)
-        part = acc.part + F.when(cut, 1).otherwise(0)
-        return F.struct((F.when(cut, F.lit(0)).otherwise(acc.tokens) + cost).alias("tokens"), part.alias("part"), F.concat(acc.out, F.array(part)).alias("out"))
+        return F.struct((F.when(cut, F.lit(0)).otherwise(acc.tokens) + cost).alias("tokens"), (acc.at + 1).alias("at"), F.when(cut, F.concat(acc.out, F.array(acc.at))).otherwise(acc.out).alias("out"))
 
     return F.aggregate(costs, start, step, lambda acc: acc.out)
 
 
 def pack(blocks: DataFrame, options: Options = Options()) -> DataFrame:
-    """Blocks with sections and ``part``: a part is closed when the next block would
-    overrun the target and it has the minimum already.  No block is split."""
-    s = sections(blocks).withColumn("cost", T.token_estimate(F.col("text")))
-    keys = ["doc_id", "section_no", "section_id", "path", "depth"]
-    rest = [c for c in s.columns if c not in (*keys, "pos")]
-    # one shuffle brings a section's blocks together; they leave as rows with their parts
-    lists = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("xs"))
-    short = lists.where(F.size("xs") <= options.long_section)
-    zipped = F.arrays_zip("xs", _fold(F.transform("xs", lambda x: x.cost), options).alias("part"))
-    parts = short.select(*keys, F.explode(zipped).alias("z")).select(*keys, "z.xs.*", "z.part")
-
-    rows = lists.where(F.size("xs") > options.long_section).select(*keys, F.inline("xs"))
-    schema = StructType([s.schema[k] for k in ("doc_id", "section_no", "pos")]).add("part", IntegerType())
-
-    def loop(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        tokens, part, out = 0, 1, []
-        for cost in pdf["cost"]:
-            if tokens + cost > options.target and tokens >= options.minimum:
-                tokens, part = 0, part + 1
-            tokens += cost
-            out.append(part)
-        return pdf.assign(part=out)[schema.names]
-
-    looped = rows.select("doc_id", "section_no", "pos", "cost").groupBy("doc_id", "section_no").applyInPandas(loop, schema)
-    return parts.unionByName(rows.join(looped, ["doc_id", "section_no", "pos"]))
+    """Blocks with sections, ``cost``, Markdown (``md``) and ``part``: a part is closed when the next block would
+    overrun the target and it has the minimum already.  No block is split.
+
+    A block costs the tokens of its plain text, 0 without any.  Only positions
+    and costs of a section are gathered, never its texts.
+    """
+    s = sections(B.complete(blocks).withColumn("cost", T.token_estimate(B.plain_text())).withColumn("md", B.markdown()))
+    lists = s.groupBy("doc_id", "section_no").agg(F.array_sort(F.collect_list(F.struct("pos", "cost"))).alias("xs"))
+    starts = lists.withColumn("starts", _starts(F.transform("xs", lambda x: x.cost), options))
+    length = lambda i: F.coalesce(F.get("starts", i + 1), F.size("xs")) - F.get("starts", i)
+    parts = F.transform("starts", lambda at, i: F.struct((i + 1).alias("part"), F.transform(F.slice("xs", at + 1, length(i)), lambda x: x.pos).alias("ps")))
+    of = starts.select("doc_id", "section_no", F.inline(parts)).select("doc_id", "section_no", "part", F.explode("ps").alias("pos"))
+    return s.join(of, ["doc_id", "section_no", "pos"])
 
 
 def chunks(blocks: DataFrame, options: Options = Options()) -> DataFrame:
     """A row a chunk: id, text, path, section, part of parts, pages, tokens, types, neighbours."""
-    p = pack(blocks, options).withColumn("md", T.render_block(F.col("type"), F.col("level"), F.col("text")))
+    p = pack(blocks, options)
     xs = F.array_sort(F.collect_list(F.struct("pos", "page_index", "md")))
     g = p.groupBy("doc_id", "section_no", "section_id", "path", "part").agg(xs.alias("xs"), F.array_sort(F.collect_set("type")).alias("types"), F.min("pos").alias("first_pos"))
     g = g.withColumn("part_count", F.max("part").over(W.partitionBy("doc_id", "section_no")))

@@ -1,7 +1,8 @@
 """Boxes: algebra, joins by cover, nearest captions, rows, corridors, columns, reading order.
 
 A box is the columns x, y, w, h with its origin at the top left.  Joins always
-carry the page as an equality, so none is a nested loop over everything.
+carry the page as an equality, so none is a nested loop over everything; a page
+holds what a sheet of paper does, so its boxes are few.
 """
 
 from __future__ import annotations
@@ -41,6 +42,16 @@ def encode(x, y, w, h) -> Column:
     return F.array(*[F.round(c, 2) for c in (x, y, w, h)])
 
 
+def decode(box: Column) -> Column:
+    """The array of ``encode`` as a struct x, y, w, h; null for an array of another size."""
+    return F.when(F.size(box) == 4, F.struct(*[F.get(box, F.lit(i)).cast("double").alias(c) for i, c in enumerate("xywh")]))
+
+
+def from_unit(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column):
+    """A box in shares of the page with its origin at the bottom left, in points from the top left."""
+    return x * width, (1 - y - h) * height, w * width, h * height
+
+
 def union_box():
     """Aggregates of the box around all boxes that have an area."""
     full = (F.col("w") > 0) & (F.col("h") > 0)
@@ -66,8 +77,8 @@ def first_claim(boxes: DataFrame, claims: DataFrame, share: float = 0.5) -> Data
 
 
 def matches(candidates: DataFrame, tables: DataFrame, share: float = 0.3) -> DataFrame:
-    """Each candidate with the first table where each covers more than the share of the other, or null."""
-    j = prefixed(candidates, "a_").join(prefixed(tables, "b_"), "page").where((coverage("a_", "b_") > share) & (coverage("b_", "a_") > share))
+    """Each candidate with the first table where one covers more than the share of the other, or null."""
+    j = prefixed(candidates, "a_").join(prefixed(tables, "b_"), "page").where((coverage("a_", "b_") > share) | (coverage("b_", "a_") > share))
     found = j.groupBy("page", "a_ord").agg(F.min("b_ord").alias("match"))
     return prefixed(candidates, "a_").join(found, ["page", "a_ord"], "left").select("page", "a_ord", "match")
 
@@ -177,19 +188,26 @@ def gutters(boxes: DataFrame, width: float, keys: list[str] = ["page"]) -> DataF
     return best.where((F.col("b.clearance") > width * 0.015) & (F.col("b.left") >= 2) & (F.col("b.n") - F.col("b.left") >= 2)).select(*keys, F.round("b.at", 6).alias("gutter"))
 
 
-def reading_order(boxes: DataFrame, width: float, tolerance: float = 5.0) -> DataFrame:
-    """``rank`` in the page: left column before right where there is a gutter; then rows by
-    greedy tolerance of their top, then left to right."""
-    g = boxes.join(gutters(boxes, width), "page", "left")
-    side = F.when(F.col("gutter").isNull(), 0).when(F.col("x") + F.col("w") / 2 < F.col("gutter"), 0).otherwise(1)
-    xs = F.array_sort(F.collect_list(F.struct("y", "x", "ord")))
-    rows = g.withColumn("side", side).groupBy("page", "side").agg(xs.alias("xs"))
+def reading_order(boxes: DataFrame, width: float) -> DataFrame:
+    """``rank`` in the page: left column before right where there is a gutter, each split once more
+    if it has one itself; then rows by greedy tolerance of their top, half a column's upper median
+    height; then left to right.  Boxes without a place come last, by number.
+    """
+    place = ["page", "side"]
+    at = F.col("x") + F.col("w") / 2
+    half = lambda df, keys, name: df.join(gutters(df, width, keys), keys, "left").withColumn(name, F.when(F.col("gutter").isNull() | (at < F.col("gutter")), 0).otherwise(1)).drop("gutter")
+    g = half(half(boxes.where(F.col("x").isNotNull()), ["page"], "s1"), ["page", "s1"], "s2")
+    g = g.withColumn("side", F.col("s1") * 2 + F.col("s2"))
+    heights = F.array_sort(F.collect_list(F.when(F.col("h") > 0, F.col("h"))))
+    middle = F.coalesce(F.get(heights, F.floor(F.size(heights) / 2).cast("int")), F.lit(1.0))
+    rows = g.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("y", "x", "ord"))).alias("xs"), (middle / 2).alias("tolerance"))
     start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("row"), F.array().cast("array<struct<row:int,x:double,ord:int>>").alias("out"))
 
     def step(acc, r):
-        new = acc.top.isNull() | (r.y - acc.top > tolerance)
+        new = acc.top.isNull() | (r.y - acc.top > F.col("tolerance"))
         row = acc.row + F.when(new, 1).otherwise(0)
         return F.struct(F.when(new, r.y).otherwise(acc.top).alias("top"), row.alias("row"), F.concat(acc.out, F.array(F.struct(row.alias("row"), r.x.alias("x"), r.ord.alias("ord")))).alias("out"))
 
-    e = rows.select("page", "side", F.explode(F.aggregate("xs", start, step, lambda a: a.out)).alias("r")).select("page", "side", "r.*")
+    e = rows.select(*place, F.explode(F.aggregate("xs", start, step, lambda a: a.out)).alias("r")).select(*place, "r.*")
+    e = e.unionByName(boxes.where(F.col("x").isNull()).select("page", F.lit(4).alias("side"), F.lit(0).alias("row"), F.lit(0.0).alias("x"), "ord"))
     return e.withColumn("rank", F.row_number().over(W.partitionBy("page").orderBy("side", "row", "x", "ord"))).select("page", "ord", "side", "rank")

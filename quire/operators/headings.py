@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from quire.functions import text as T
 
 TIER = 0.06
+# Titles that open a list of sources.
 BIBLIOGRAPHY = ("references", "bibliography", "works cited", "literature", "literatur", "literaturverzeichnis", "quellen")
 
 
@@ -47,11 +48,16 @@ def demote_small(heads: DataFrame, bodies: DataFrame, doc: str = "doc", toleranc
 
 
 def demote_bibliography(heads: DataFrame, doc: str = "doc", order: str = "ord") -> DataFrame:
-    """``kept``: false for numbered headings after the bibliography's title."""
+    """``kept``: false for numbered headings after the bibliography's title.
+
+    A document gives its first such title's place, a row, so that no task holds
+    a document's headings.
+    """
     title = F.lower(T.trim(F.col("text"))).isin(*BIBLIOGRAPHY)
-    w = W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    reached = F.max(title.cast("int")).over(w) == 1
-    return heads.withColumn("kept", ~(reached & ~title & T.section_depth(F.col("text")).isNotNull()))
+    first = heads.where(title).groupBy(doc).agg(F.min(order).alias("q_first"))
+    j = heads.join(first, doc, "left")
+    listed = (F.col(order) > F.col("q_first")) & ~title & T.section_depth(F.col("text")).isNotNull()
+    return j.withColumn("kept", ~F.coalesce(listed, F.lit(False))).drop("q_first")
 
 
 def tiers(sizes: Column, tolerance: float = TIER) -> Column:
@@ -69,12 +75,14 @@ def tier_of(size: Column, heads: Column) -> Column:
 
 
 def normalize_levels(heads: DataFrame, doc: str = "doc") -> DataFrame:
-    """``new_level``: by numbering (under the title) or by size tier; untouched with one size or one tier."""
-    sizes = F.collect_list(F.when(F.col("size") > 0, F.col("size")))
-    of = heads.groupBy(doc).agg(sizes.alias("sizes"), F.max(T.section_depth(F.col("text")).isNotNull().cast("int")).alias("numbered"))
-    of = of.withColumn("tiers", tiers(F.col("sizes")))
+    """``new_level``: by numbering (under the title) or by size tier; untouched with one size or one tier.
+
+    A document's distinct sizes, which type has few of, make its tiers.
+    """
+    sized = F.when(F.col("size") > 0, F.col("size"))
+    of = heads.groupBy(doc).agg(F.count(sized).alias("n_sizes"), tiers(F.collect_set(sized)).alias("tiers"), F.max(T.section_depth(F.col("text")).isNotNull().cast("int")).alias("numbered"))
     j = heads.join(of, doc)
     depth = T.section_depth(F.col("text"))
     ranked = F.when(depth.isNotNull(), F.least(depth + F.col("numbered"), F.lit(6))).when(F.col("size") > 0, F.least(tier_of(F.col("size"), F.col("tiers")), F.lit(6))).otherwise(F.col("level"))
-    apply = (F.size("sizes") > 1) & (F.size("tiers") > 1)
-    return j.withColumn("new_level", F.when(apply, ranked).otherwise(F.col("level")).cast("int")).drop("sizes", "numbered", "tiers")
+    apply = (F.col("n_sizes") > 1) & (F.size("tiers") > 1)
+    return j.withColumn("new_level", F.when(apply, ranked).otherwise(F.col("level")).cast("int")).drop("n_sizes", "numbered", "tiers")

@@ -11,10 +11,12 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 
 ITEM = StructType([StructField("text", StringType()), StructField("depth", IntegerType())])
+CELL = StructType([StructField("text", StringType()), StructField("row_span", IntegerType()), StructField("col_span", IntegerType())])
 BLOCK = StructType([
     StructField("ord", IntegerType()), StructField("type", StringType()), StructField("level", IntegerType()), StructField("text", StringType()),
-    StructField("ordered", BooleanType()), StructField("items", ArrayType(ITEM)), StructField("rows", ArrayType(ArrayType(StringType()))),
+    StructField("ordered", BooleanType()), StructField("items", ArrayType(ITEM)), StructField("rows", ArrayType(ArrayType(CELL))),
     StructField("structure_suspect", BooleanType()), StructField("path", StringType()), StructField("caption", StringType()), StructField("language", StringType()),
+    StructField("latex", StringType()),
 ])
 
 _HEADING = re.compile(r"(#{1,6}) +(.*\S)", re.S)
@@ -81,7 +83,7 @@ def parse(markdown: str, keep_orphan_rows: bool = False) -> Iterator[dict]:
         elif line == "$$":
             end = until(at + 1, lambda x: x == "$$")
             if latex := "\n".join(lines[at + 1 : end]).strip():
-                yield dict(type="formula", text=latex)
+                yield dict(type="formula", text=latex, latex=latex)
             at = end + 1
         elif m := _HEADING.fullmatch(line):
             yield dict(type="heading", level=len(m[1]), text=unescape(m[2].strip()))
@@ -109,6 +111,11 @@ def parse(markdown: str, keep_orphan_rows: bool = False) -> Iterator[dict]:
             at = max(end, at + 1)
 
 
+def _shaped(name: str, value):
+    """A table's cells with their spans, which Markdown has none of."""
+    return [[dict(text=c, row_span=1, col_span=1) for c in row] for row in value] if name == "rows" and value else value
+
+
 def parse_markdown(docs: DataFrame, key: str = "doc_id", md: str = "markdown") -> DataFrame:
     """A row a block of each document's Markdown; ``docs`` holds whole documents."""
     schema = StructType([docs.schema[key], *BLOCK.fields])
@@ -116,7 +123,7 @@ def parse_markdown(docs: DataFrame, key: str = "doc_id", md: str = "markdown") -
 
     def run(batches):
         for pdf in batches:
-            rows = [(k, i, *[b.get(n) for n in names]) for k, t in zip(pdf[key], pdf[md]) for i, b in enumerate(parse(t or ""))]
+            rows = [(k, i, *[_shaped(n, b.get(n)) for n in names]) for k, t in zip(pdf[key], pdf[md]) for i, b in enumerate(parse(t or ""))]
             out = pd.DataFrame(rows, columns=schema.names, dtype=object)
             yield out
 

@@ -33,7 +33,11 @@ def headings(blocks: DataFrame) -> DataFrame:
 
 
 def sections(blocks: DataFrame) -> DataFrame:
-    """Every block with its ``section_no``, ``section_id`` and ``path``; before the first heading `0`."""
+    """Every block with its ``section_no``, ``section_id`` and ``path`` of titles; before the first heading `0`.
+
+    A figure's own path, if the blocks have any, becomes ``figure_path``.
+    """
+    blocks = blocks.withColumnRenamed("path", "figure_path")
     w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     numbered = blocks.withColumn("section_no", F.sum((F.col("type") == "heading").cast("long")).over(w))
     of = headings(blocks)

@@ -66,15 +66,25 @@ def _prose(t):
 
 
 _DOCS = "documents"
-_FIRST = "(SELECT doc_id, left(split_part(text, chr(10), 1), 120) AS text FROM documents)"
 _BLOCKS = """(SELECT doc_id, source, CAST(i // 40 AS INTEGER) AS page_index, i AS ord, l AS text FROM (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) WHERE length(trim(l)) > 0)"""
-_TALK = """(SELECT conv_id AS doc_id, turn AS page_index, 'heading' AS type, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, role || ' ' || turn AS text, turn * 100000 AS pos FROM conversations
-  UNION ALL SELECT doc_id, page_index, 'paragraph', NULL, l, page_index * 100000 + i FROM (
-    SELECT conv_id AS doc_id, turn AS page_index, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations) WHERE length(trim(l)) > 0)"""
+_NOTE = "> ⚠︎ Table structure is uncertain; verify against the source page."
+# ``fixed``: Markdown of blocks that are neither headings nor paragraphs; ``js``: their JSON
+_MORE = f"""SELECT conv_id, turn, role, turn % 6 AS k, turn * 100000 + 99990 AS pos, ['table', 'list', 'figure', 'formula', 'code'][turn % 6 + 1] AS type,
+  CASE turn % 6 WHEN 0 THEN 'role turn' || chr(10) || role || ' ' || turn WHEN 1 THEN role || chr(10) || 'turn ' || turn WHEN 2 THEN role WHEN 3 THEN 'x_{{' || turn || '}}' ELSE 'turn = ' || turn END AS text,
+  CASE turn % 6 WHEN 0 THEN CASE WHEN turn % 4 = 0 THEN '{_NOTE}' || chr(10) || chr(10) ELSE '' END || '| role | turn |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || role || ' | ' || turn || ' |'
+    WHEN 1 THEN '1. ' || role || chr(10) || '  1. turn ' || turn WHEN 2 THEN '![' || role || '](images/p' || turn || '.png)' || chr(10) || chr(10) || '*' || role || '*'
+    WHEN 3 THEN '$$' || chr(10) || 'x_{{' || turn || '}}' || chr(10) || '$$' ELSE '```py' || chr(10) || 'turn = ' || turn || chr(10) || '```' END AS fixed,
+  CASE turn % 6 WHEN 0 THEN '{{"rows":[[{{"colSpan":1,"rowSpan":1,"text":"role"}},{{"colSpan":1,"rowSpan":1,"text":"turn"}}],[{{"colSpan":1,"rowSpan":1,"text":"' || role || '"}},{{"colSpan":1,"rowSpan":1,"text":"' || turn || '"}}]],"structureSuspect":' || (turn % 4 = 0) || ',"type":"table"}}'
+    WHEN 1 THEN '{{"items":[{{"depth":0,"text":"' || role || '"}},{{"depth":1,"text":"turn ' || turn || '"}}],"ordered":true,"type":"list"}}' WHEN 2 THEN '{{"caption":"' || role || '","path":"images/p' || turn || '.png","type":"figure"}}'
+    WHEN 3 THEN '{{"isInline":false,"latex":"x_{{' || turn || '}}","type":"formula"}}' ELSE '{{"language":"py","text":"turn = ' || turn || '","type":"code"}}' END AS js FROM conversations WHERE turn % 6 < 5"""
+_TALK = f"""(SELECT conv_id AS doc_id, turn AS page_index, 'heading' AS type, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, role || ' ' || turn AS text, turn * 100000 AS pos, NULL::VARCHAR AS fixed, NULL::VARCHAR AS js FROM conversations
+  UNION ALL SELECT doc_id, page_index, 'paragraph', NULL, l, page_index * 100000 + i, NULL, NULL FROM (
+    SELECT conv_id AS doc_id, turn AS page_index, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations) WHERE length(trim(l)) > 0
+  UNION ALL SELECT conv_id, turn, type, NULL, text, pos, fixed, js FROM ({_MORE}))"""
 _BOXES = """(SELECT page, ord, round(l_quantity * 10, 2) AS x, round(l_linenumber * 14 + l_discount * 100, 2) AS y, round(20 + l_tax * 1000, 2) AS w, 10.0::DOUBLE AS h,
   CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS col, l_linenumber, l_returnflag, l_suppkey, l_partkey FROM (
-  SELECT *, l_orderkey % 500 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INTEGER) AS ord FROM lineitem))"""
+  SELECT *, l_orderkey // 32 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey // 32 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INTEGER) AS ord FROM lineitem))"""
 _TITLE = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
 _HEADS = f"""(SELECT page, ord, l_linenumber || '.' || (l_suppkey % 4) || ' ' || {_TITLE} AS text, CASE WHEN l_linenumber % 3 = 0 THEN 2 ELSE 1 END AS lines,
   8 + (l_linenumber % 5) * 0.5::DOUBLE AS size, l_returnflag = 'R' AS bold, x, y, w, h, col FROM {_BOXES} b JOIN part ON p_partkey = l_partkey)"""
@@ -103,7 +113,7 @@ p AS (SELECT doc_id, section_no, i, pos, 1 AS part, cost AS tokens FROM n WHERE
 k AS (SELECT n.*, p.part FROM n JOIN p USING (doc_id, section_no, pos))"""
 
 
-_MD = f"CASE WHEN type = 'heading' THEN CASE WHEN {_trim(_prose('text'))} = '' THEN '' ELSE repeat('#', level) || ' ' || {_trim(_prose('text'))} END ELSE {_trim(_prose('text'))} END"
+_MD = f"CASE WHEN fixed IS NOT NULL THEN fixed WHEN type = 'heading' THEN CASE WHEN {_trim(_prose('text'))} = '' THEN '' ELSE repeat('#', level) || ' ' || {_trim(_prose('text'))} END ELSE {_trim(_prose('text'))} END"
 
 
 def _chunks(target: int = 512, least: int = 64) -> str:
@@ -144,13 +154,13 @@ _SHAPED = f"""(length({_trim('text')}) >= 2 AND lines <= 2 AND length({_trim('te
   AND NOT regexp_matches({_trim('text')}, '^\\p{{Ll}}') AND NOT {_chart('text')} AND NOT {_citation('text')}
   AND ((lines = 1 AND length({_trim('text')}) <= 90 AND ({_depth('text')}) IS NOT NULL AND regexp_matches({_trim('text')}, '^{_NOT_WS}+{_WS}+\\p{{Lu}}')) OR size >= body * 1.06 OR (bold AND size >= body * 0.95 AND length({_trim('text')}) <= 80)))"""
 _NO_LABEL = "regexp_replace(text, '^[^ ]* ', '')"
-_PARAS = f"(SELECT *, page % 40 AS doc FROM {_HEADS})"
+_PARAS = f"(SELECT *, page // 12 AS doc FROM {_HEADS})"
 _BODY_SIZE = f"(SELECT doc, arg_max(size, mass * 1000 - size) AS body_size FROM (SELECT doc, round(size * 4) / 4 AS size, sum(length(text)) AS mass FROM {_PARAS} WHERE NOT bold GROUP BY 1, 2) GROUP BY doc)"
 _KEYED = rf"""(SELECT *, CASE WHEN (y + h <= 790 * 0.13 OR y >= 790 - 790 * 0.13) AND length(key) <= 200 THEN CASE WHEN y + h <= 790 * 0.13 THEN 'top:' ELSE 'bottom:' END || key END AS k FROM (
   SELECT *, trim({_cut(_cut('lower(text)', chr(92) + 'p{N}'), _WS + '+', ' ')}) AS key FROM (
   SELECT source AS doc, doc_id AS page, 'heading' AS type, 0 AS ord, lang || ' p. ' || doc_id AS text, 20.0 AS y, 10.0 AS h FROM documents
-  UNION ALL SELECT source, doc_id, 'paragraph', 1, split_part(text, chr(10), 1), 200.0, 300.0 FROM documents
-  UNION ALL SELECT source, doc_id, 'paragraph', 2, CAST(n_chars AS VARCHAR), 760.0, 10.0 FROM documents)))"""
+  UNION ALL SELECT source, doc_id, 'paragraph', i, l, 200.0, 300.0 FROM (SELECT source, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+  UNION ALL SELECT source, doc_id, 'paragraph', len(string_split(coalesce(text, ''), chr(10))) + 1, CAST(n_chars AS VARCHAR), 760.0, 10.0 FROM documents)))"""
 _FOUND = f"SELECT doc, k AS key, count(DISTINCT page) AS pages FROM {_KEYED} q JOIN (SELECT source AS doc, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1) USING (doc) WHERE k IS NOT NULL GROUP BY doc, k, n HAVING n >= 3 AND count(DISTINCT page) >= greatest(3, round(n * 0.4))"
 
 
@@ -162,12 +172,19 @@ def _cover(a, b):
     return f"({_over(a, b)} / ({a}.w * {a}.h))"
 
 
-_AB = f"b AS {_BOXES}"
-_SPREAD = f"(SELECT page, ord, round(CASE WHEN col = 1 THEN 330 + x / 10 ELSE x / 10 END, 3) AS x, y, round(CASE WHEN page % 4 = 0 AND ord % 8 = 0 THEN 380.0 ELSE w * 2.2 END, 3) AS w, h FROM {_BOXES} WHERE ord <= 24)"
-_GUTTER = f"""g0 AS (SELECT page, i, 150 + i * 3.0::DOUBLE AS "at", min(CASE WHEN x < 150 + i * 3.0 AND x + w > 150 + i * 3.0 THEN -1 WHEN x + w <= 150 + i * 3.0 THEN 150 + i * 3.0 - x - w ELSE x - (150 + i * 3.0) END) AS clearance,
-  count(*) FILTER (WHERE x + w / 2 < 150 + i * 3.0) AS l, count(*) AS n FROM {_SPREAD}, range(0, 101) r(i) WHERE w < 420 GROUP BY page, i),
-g1 AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY round(clearance, 6) DESC, i) AS rk FROM g0 WHERE clearance >= 0 AND n >= 4),
-gg AS (SELECT page, round("at", 6) AS gutter FROM g1 WHERE rk = 1 AND clearance > 9 AND l >= 2 AND n - l >= 2)"""
+_AB = f"b AS MATERIALIZED {_BOXES}"
+_SPREAD = f"""(SELECT page, ord, CASE WHEN ord % 50 <> 49 THEN round(CASE WHEN page % 3 = 1 THEN 40 + col * 300 + (l_partkey % 2) * 140 + x / 25 WHEN col = 1 THEN 330 + x / 10 ELSE x / 10 END, 3) END AS x, CASE WHEN ord % 50 <> 49 THEN y END AS y,
+  CASE WHEN ord % 50 <> 49 THEN round(CASE WHEN page % 4 = 0 AND ord % 8 = 0 THEN 380.0 WHEN page % 3 = 1 THEN 80.0 ELSE w * 2.2 END, 3) END AS w, CASE WHEN ord % 50 <> 49 THEN h END AS h FROM {_BOXES})"""
+
+
+def _gutter(source: str, keys: str, p: str) -> str:
+    return f"""{p}0 AS (SELECT {keys}, i, 150 + i * 3.0::DOUBLE AS "at", min(CASE WHEN x < 150 + i * 3.0 AND x + w > 150 + i * 3.0 THEN -1 WHEN x + w <= 150 + i * 3.0 THEN 150 + i * 3.0 - x - w ELSE x - (150 + i * 3.0) END) AS clearance,
+  count(*) FILTER (WHERE x + w / 2 < 150 + i * 3.0) AS l, count(*) AS n FROM {source}, range(0, 101) r(i) WHERE w < 420 GROUP BY {keys}, i),
+{p}1 AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(clearance, 6) DESC, i) AS rk FROM {p}0 WHERE clearance >= 0 AND n >= 4),
+{p} AS (SELECT {keys}, round("at", 6) AS gutter FROM {p}1 WHERE rk = 1 AND clearance > 9 AND l >= 2 AND n - l >= 2)"""
+
+
+_GUTTER = f"sp AS MATERIALIZED {_SPREAD}, {_gutter('sp', 'page', 'gg')}"
 _LINES = f"(SELECT page, ord, CASE WHEN ord % 6 = 0 THEN text ELSE {_NO_LABEL} END || CASE WHEN ord % 4 = 1 THEN '-' ELSE '' END AS text, size, bold, round(x / 40, 3) AS x, round(ord * 11.0 + y / 20, 3) AS y, w, h, CAST(ord // 30 AS INTEGER) AS col FROM {_HEADS})"
 _PARAGRAPHS = f"""l AS (SELECT *, ({_depth('text')}) IS NOT NULL AS opens FROM {_LINES}),
 l1 AS (SELECT l.*, m.median, max(w) OVER (PARTITION BY l.page, col) AS measure FROM l JOIN (SELECT page, {_MEDIAN.format('list(size)')} AS median FROM l GROUP BY page) m USING (page)),
@@ -188,7 +205,7 @@ e4 AS (SELECT *, length(line) >= 5 AND length(tail) BETWEEN 1 AND 6 AND (regexp_
 e45 AS (SELECT *, NOT ok OR coalesce(NOT lag(ok) OVER v, TRUE) OR col <> lag(col) OVER v AS brk FROM e4 WINDOW v AS (PARTITION BY page_id ORDER BY ord)),
 e5 AS (SELECT *, sum(brk::INT) OVER (PARTITION BY page_id ORDER BY ord) AS run FROM e45),
 e6 AS (SELECT *, count(*) OVER (PARTITION BY page_id, run) AS n FROM e5 WHERE ok)"""
-_ITEMS = "(SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS ord, l_linenumber % 3 AS depth FROM lineitem)"
+_ITEMS = "(SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS ord, l_linenumber % 5 AS depth FROM lineitem)"
 _ROWS = "(SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS i, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS a, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS b, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS c FROM lineitem)"
 
 ORACLES: dict[str, str] = {
@@ -196,10 +213,13 @@ ORACLES: dict[str, str] = {
     "garbled_ratio": rf"SELECT doc_id, round(CASE WHEN length({_solid('text')}) > 0 THEN {_count(_solid('text'), '[' + chr(92) + 'p{Co}' + chr(92) + 'p{Cc}' + chr(92) + 'x{FFFD}]')} * 1.0 / length({_solid('text')}) ELSE 0.0 END, 6) AS ratio FROM documents",
     "word_counts": f"SELECT doc_id, {_words('text')} AS words FROM documents",
     "section_depth": f"SELECT page, ord, text, {_depth('text')} AS depth FROM {_HEADS}",
-    "chart_label": f"SELECT doc_id, {_chart('text')}::INT AS chart FROM {_FIRST}",
-    "citation": f"SELECT doc_id, {_citation('text')}::INT AS cite FROM {_FIRST}",
+    "chart_label": f"SELECT doc_id, ord, {_chart('text')}::INT AS chart FROM {_BLOCKS}",
+    "chart_lettering": f"""SELECT page, ord, (length(s) BETWEEN 1 AND 90 AND NOT (suffix(s, '.') AND len(ws) > 6) AND ({_depth('s')}) IS NULL AND ({_chart('s')} OR len(list_filter(ws, lambda w: regexp_matches(w, '^\\p{{L}}$'))) > 0 OR len(ws) <= 3))::INT AS lettering FROM (
+      SELECT *, list_filter(string_split_regex(s, ' +'), lambda w: w <> '') AS ws FROM (SELECT page, ord, {_trim(_NO_LABEL)} AS s FROM {_HEADS}))""",
+    "plain_text": f"SELECT doc_id, pos, text FROM {_TALK}",
+    "citation": f"SELECT doc_id, ord, {_citation('text')}::INT AS cite FROM {_BLOCKS}",
     "bold_font": "SELECT p_partkey, regexp_matches(lower(p_brand || CASE WHEN p_size % 3 = 0 THEN '-SemiBold' ELSE '-Regular' END), 'bold|-bd|semibold|black|heavy|-medi|demi')::INT AS bold FROM part",
-    "is_math": r"SELECT doc_id, regexp_matches(regexp_replace(text, '[%*]', '^', 'g'), '[\\_^{}]')::INT AS math FROM " + _FIRST,
+    "is_math": r"SELECT doc_id, ord, regexp_matches(regexp_replace(text, '[%*]', '^', 'g'), '[\\_^{}]')::INT AS math FROM " + _BLOCKS,
     "escape_inline": f"SELECT doc_id, {_prose('text')} AS md FROM documents",
     "escape_cell": f"SELECT doc_id, {_trim('replace(replace(' + _prose('text') + ', chr(124), chr(92) || chr(124)), chr(10), $$<br>$$)')} AS cell FROM documents",
     "unescape": "SELECT doc_id, text FROM documents",
@@ -215,7 +235,7 @@ ORACLES: dict[str, str] = {
     "page_route": f"""SELECT page, CASE WHEN sparse OR broken OR fontless THEN 'needsOCR' ELSE 'textLayer' END AS route,
       coalesce(nullif(concat_ws('; ', CASE WHEN sparse THEN 'sparse' END, CASE WHEN broken THEN 'garbled' END, CASE WHEN fontless THEN 'no fonts' END, CASE WHEN m = 1 THEN 'multi-column' END), ''), 'clean') AS reasons, round(ch / 480.0, 6) AS density, round(least(1.0, ta / 480000.0), 6) AS coverage
       FROM (SELECT *, ch / 480.0 < 0.08 AS sparse, r * 1.0 / n / 8 > 0.04 AS broken, ch > 0 AND page % 5 = 0 AS fontless FROM (SELECT page, sum(l_linenumber) AS ch, sum(w * h) AS ta, count(*) AS n, max(col) AS m, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM {_BOXES} GROUP BY page))""",
-    "engine_mix": f"SELECT page % 50 AS doc, array_to_string(list_sort(list_distinct(list(CASE l_returnflag WHEN 'R' THEN 'vision' WHEN 'A' THEN 'textLayer' ELSE 'ocr' END))), '+') AS engines FROM {_BOXES} GROUP BY 1",
+    "engine_mix": f"SELECT page // 10 AS doc, array_to_string(list_sort(list_distinct(list(CASE l_returnflag WHEN 'R' THEN 'vision' WHEN 'A' THEN 'textLayer' ELSE 'ocr' END))), '+') AS engines FROM {_BOXES} GROUP BY 1",
     "total_duration": "SELECT event_type, round(sum(CASE WHEN user_id % 3 <> 0 THEN coalesce(value, 0.0) ELSE 0.0 END), 3) AS seconds FROM events GROUP BY 1",
     "recovery_ratio": f"SELECT doc_id, CAST(coalesce(sum({_words('text')}) FILTER (WHERE ord % 2 = 0), 0) AS BIGINT) AS read_words, CAST(sum({_words('text')}) AS BIGINT) AS layer_words, round(CASE WHEN sum({_words('text')}) > 0 THEN coalesce(sum({_words('text')}) FILTER (WHERE ord % 2 = 0), 0) * 1.0 / sum({_words('text')}) ELSE 0.0 END, 6) AS ratio FROM {_BLOCKS} GROUP BY doc_id",
     "sections_of": f"WITH {_SECTIONS} SELECT doc_id, pos, section_no, section_id, array_to_string(path, ' / ') AS path, depth FROM s",
@@ -229,9 +249,12 @@ ORACLES: dict[str, str] = {
     "search_topk": _search(),
     "read_chunk_neighbours": f"{_chunks()} SELECT doc_id, chunk_id, CAST(least(700, length({_trim('text')})) AS INTEGER) AS n FROM c WHERE chunk_id BETWEEN 0 AND 2 AND doc_id IN (SELECT doc_id FROM c WHERE chunk_id = 1)",
     "render_markdown": f"WITH t AS {_TALK}, m AS (SELECT *, {_MD} AS md FROM t) SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE md <> '') || chr(10) AS markdown FROM m GROUP BY doc_id",
-    "parse_markdown": f"WITH t AS {_TALK} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS ord, type, level, {_trim('text')} AS text FROM t",
+    "parse_markdown": f"""WITH t AS {_TALK}, e AS (SELECT doc_id, pos, 0 AS part, 'paragraph' AS type, NULL AS level, '{_NOTE}' AS text FROM t WHERE type = 'table' AND starts_with(fixed, '>')
+      UNION ALL SELECT doc_id, pos, 1, type, level, CASE WHEN type IN ('table', 'list', 'figure') THEN NULL ELSE {_trim('text')} END FROM t
+      UNION ALL SELECT doc_id, pos, 2, 'paragraph', NULL, '*' || text || '*' FROM t WHERE type = 'figure')
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) - 1 AS INTEGER) AS ord, type, level, text FROM e""",
     "heading_body_sizes": _BODY,
-    "classify_headings": f"""WITH b AS ({_BODY}), j AS (SELECT *, {_SHAPED} AS is_heading FROM {_HEADS} JOIN b USING (page))
+    "classify_headings": f"""WITH hd AS MATERIALIZED {_HEADS}, b AS ({_BODY.replace(_HEADS, 'hd')}), j AS MATERIALIZED (SELECT *, {_SHAPED} AS is_heading FROM hd JOIN b USING (page))
       SELECT page, ord, 1 AS is_heading, CAST(least(6, dense_rank() OVER (PARTITION BY page ORDER BY round(size * 2) / 2 DESC)) AS INTEGER) AS level FROM j WHERE is_heading UNION ALL SELECT page, ord, 0, NULL FROM j WHERE NOT is_heading""",
     "body_size": f"SELECT doc, body_size FROM {_BODY_SIZE}",
     "demote_small": f"""SELECT page, ord, (NOT coalesce(body_size > 0 AND size < body_size * 1.02 AND ({_depth('t')}) IS NULL, FALSE))::INT AS kept FROM (SELECT page, ord, doc, size, CASE WHEN ord % 2 = 0 THEN text ELSE {_NO_LABEL} END AS t FROM {_PARAS} WHERE bold) LEFT JOIN {_BODY_SIZE} USING (doc)""",
@@ -249,37 +272,40 @@ ORACLES: dict[str, str] = {
       d AS (SELECT *, {_depth('tx')} AS dp FROM h), n AS (SELECT page, max((dp IS NOT NULL)::INT) AS num FROM d GROUP BY page)
       SELECT page, ord, CAST(CASE WHEN len(xs) > 1 AND len(t) > 1 THEN CASE WHEN dp IS NOT NULL THEN least(dp + num, 6) ELSE least(6, coalesce(list_position(list_transform(t, lambda q: size > q * 0.94), TRUE), len(t))) END ELSE 1 END AS INTEGER) AS new_level
       FROM d JOIN n USING (page) JOIN f USING (page) WHERE i = len(xs)""",
-    "box_algebra": f"""WITH {_AB} SELECT m.page, m.ord, round({_over('m', 'n')}, 4) AS overlap, round({_cover('m', 'n')}, 4) AS coverage,
-      array_to_string([round(greatest(m.x + 1, 0.0), 2), round(greatest(m.y + 1, 0.0), 2), round(least(m.x + m.w - 1, 400.0) - greatest(m.x + 1, 0.0), 2), round(least(m.y + m.h - 1, 90.0) - greatest(m.y + 1, 0.0), 2)], ',') AS box FROM b m JOIN b n ON n.page = m.page AND n.ord + 1 = m.ord""",
+    "box_algebra": f"""WITH b AS MATERIALIZED {_BOXES} SELECT m.page, m.ord, round({_over('m', 'n')}, 4) AS overlap, round({_cover('m', 'n')}, 4) AS coverage,
+      array_to_string([round(greatest(m.x + 1, 0.0), 2), round(greatest(m.y + 1, 0.0), 2), round(least(m.x + m.w - 1, 400.0) - greatest(m.x + 1, 0.0), 2), round(least(m.y + m.h - 1, 90.0) - greatest(m.y + 1, 0.0), 2)], ',') AS box FROM b m JOIN (SELECT *, ord + 1 AS next FROM b) n ON n.page = m.page AND n.next = m.ord""",
     "box_union_agg": f"WITH {_AB} SELECT page, round(min(x), 4) AS x, round(min(y), 4) AS y, round(max(x + w) - min(x), 4) AS w, round(max(y + h) - min(y), 4) AS h FROM b GROUP BY page",
     "coverage_anti": f"WITH {_AB} SELECT m.page, m.ord FROM b m WHERE m.ord % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM b n WHERE n.page = m.page AND n.ord % 4 = 0 AND {_cover('m', 'n')} >= 0.6)",
     "claim_first": f"WITH {_AB} SELECT m.page, m.ord AS a_ord, min(n.ord) AS claim FROM b m JOIN b n ON n.page = m.page WHERE m.ord % 4 <> 0 AND n.ord % 4 = 0 AND {_cover('m', 'n')} > 0.5 GROUP BY 1, 2",
-    "table_match": f"WITH {_AB}, q AS (SELECT m.page, m.ord, min(n.ord) AS match FROM b m JOIN b n ON n.page = m.page WHERE m.ord % 4 <> 0 AND n.ord % 4 = 0 AND {_cover('m', 'n')} > 0.3 AND {_cover('n', 'm')} > 0.3 GROUP BY 1, 2) SELECT b.page, b.ord AS a_ord, match FROM b LEFT JOIN q USING (page, ord) WHERE b.ord % 4 <> 0",
+    "table_match": f"WITH {_AB}, q AS (SELECT m.page, m.ord, min(n.ord) AS match FROM b m JOIN b n ON n.page = m.page WHERE m.ord % 4 <> 0 AND n.ord % 4 = 0 AND ({_cover('m', 'n')} > 0.3 OR {_cover('n', 'm')} > 0.3) GROUP BY 1, 2) SELECT b.page, b.ord AS a_ord, match FROM b LEFT JOIN q USING (page, ord) WHERE b.ord % 4 <> 0",
     "caption_nearest": f"WITH {_AB}, j AS (SELECT m.page, m.ord AS a_ord, n.ord AS o, n.y - (m.y + m.h) AS gap FROM b m JOIN b n ON n.page = m.page WHERE m.ord % 5 = 0 AND n.ord % 5 <> 0 AND n.y - (m.y + m.h) >= -2 AND n.y - (m.y + m.h) < 24 AND n.x + n.w / 2 > m.x AND n.x + n.w / 2 < m.x + m.w), r AS (SELECT *, row_number() OVER (PARTITION BY page, a_ord ORDER BY gap, o) AS rk FROM j) SELECT page, a_ord, o AS caption, round(gap, 4) AS gap FROM r WHERE rk = 1",
     "splice_order": f"WITH {_AB}, q AS (SELECT m.page, m.ord, min(n.ord) AS before FROM b m JOIN b n ON n.page = m.page WHERE m.ord % 5 = 0 AND n.ord % 5 <> 0 AND n.y >= m.y + m.h AND n.x < m.x + m.w AND n.x + n.w > m.x GROUP BY 1, 2) SELECT b.page, b.ord AS a_ord, before FROM b LEFT JOIN q USING (page, ord) WHERE b.ord % 5 = 0",
     "segments": f"WITH {_AB}, r AS (SELECT *, max(x + w) OVER (PARTITION BY page, l_linenumber ORDER BY x, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b), i AS (SELECT *, CAST(sum(coalesce(x - reach > 12, FALSE)::INT) OVER (PARTITION BY page, l_linenumber ORDER BY x, ord) AS BIGINT) AS segment FROM r) SELECT page, l_linenumber, segment, round(min(x), 4) AS x, round(max(x + w), 4) AS x1, count(*) AS n FROM i GROUP BY 1, 2, 3",
     "corridors": f"WITH {_AB}, r AS (SELECT *, max(x + w) OVER (PARTITION BY page, l_linenumber ORDER BY x, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b) SELECT page, l_linenumber, round(reach, 4) AS low, round(x, 4) AS high FROM r WHERE x - reach >= 9",
-    "row_blocks": f"WITH {_AB}, r AS (SELECT *, coalesce(col <> lag(col) OVER v OR y - lag(y + h) OVER v > 8.0, FALSE) AS n FROM b WHERE ord % 9 = 0 WINDOW v AS (PARTITION BY page ORDER BY y, ord)) SELECT page, ord, CAST(sum(n::INT) OVER (PARTITION BY page ORDER BY y, ord) AS BIGINT) AS block FROM r",
+    "row_blocks": f"WITH {_AB}, r AS (SELECT *, coalesce(col <> lag(col) OVER v OR y - lag(y + h) OVER v > 8.0, FALSE) AS n FROM b WINDOW v AS (PARTITION BY page ORDER BY y, ord)) SELECT page, ord, CAST(sum(n::INT) OVER (PARTITION BY page ORDER BY y, ord) AS BIGINT) AS block FROM r",
     "row_cluster": f"""WITH RECURSIVE {_AB}, n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, ord) AS i FROM b),
       f AS (SELECT page, i, ord, 1 AS row, y AS y0, y + h AS y1 FROM n WHERE i = 1 UNION ALL SELECT n.page, n.i, n.ord, f.row + (NOT least(n.y + n.h, y1) - greatest(n.y, y0) > n.h * 0.45)::INT,
         CASE WHEN least(n.y + n.h, y1) - greatest(n.y, y0) > n.h * 0.45 THEN least(y0, n.y) ELSE n.y END, CASE WHEN least(n.y + n.h, y1) - greatest(n.y, y0) > n.h * 0.45 THEN greatest(y1, n.y + n.h) ELSE n.y + n.h END FROM f JOIN n ON n.page = f.page AND n.i = f.i + 1)
       SELECT page, ord, row FROM f""",
-    "coalesce_regions": f"""WITH RECURSIVE {_AB}, n AS (SELECT *, l_returnflag <> 'R' AS m, row_number() OVER (PARTITION BY page ORDER BY ord) AS i FROM b WHERE ord % 3 = 0),
+    "coalesce_regions": f"""WITH RECURSIVE {_AB}, n AS (SELECT *, l_returnflag <> 'R' AS m, row_number() OVER (PARTITION BY page ORDER BY ord) AS i FROM b),
       f AS (SELECT page, i, ord, 1 AS region, m, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM n WHERE i = 1
       UNION ALL SELECT page, i, ord, region + (NOT j)::INT, m, CASE WHEN j THEN least(x0, x) ELSE x END, CASE WHEN j THEN least(y0, y) ELSE y END, CASE WHEN j THEN greatest(x1, x + w) ELSE x + w END, CASE WHEN j THEN greatest(y1, y + h) ELSE y + h END FROM (
         SELECT n.page, n.i, n.ord, f.region, n.m, f.x0, f.y0, f.x1, f.y1, n.x, n.y, n.w, n.h, f.m AND n.m AND abs(x0 - n.x) < 300 AND greatest(x1, n.x + n.w) - least(x0, n.x) < greatest(x1 - x0, n.w) * 1.2 AND n.y - y1 >= -2 AND n.y - y1 < 24 AND greatest(y1, n.y + n.h) - least(y0, n.y) <= 60 AS j FROM f JOIN n ON n.page = f.page AND n.i = f.i + 1))
       SELECT page, ord, region FROM f""",
     "page_gutter": f"WITH {_GUTTER} SELECT page, gutter FROM gg",
-    "reading_order": f"""WITH RECURSIVE {_GUTTER}, b AS (SELECT q.*, CASE WHEN gutter IS NULL OR x + w / 2 < gutter THEN 0 ELSE 1 END AS side FROM {_SPREAD} q LEFT JOIN gg USING (page)),
-      n AS (SELECT *, row_number() OVER (PARTITION BY page, side ORDER BY y, x, ord) AS i FROM b),
-      f AS (SELECT page, side, i, ord, x, y AS top, 1 AS row FROM n WHERE i = 1 UNION ALL SELECT n.page, n.side, n.i, n.ord, n.x, CASE WHEN n.y - top > 5 THEN n.y ELSE top END, row + (n.y - top > 5)::INT FROM f JOIN n ON n.page = f.page AND n.side = f.side AND n.i = f.i + 1)
-      SELECT page, ord, side, CAST(row_number() OVER (PARTITION BY page ORDER BY side, row, x, ord) AS INTEGER) AS rank FROM f""",
+    "reading_order": f"""WITH RECURSIVE {_GUTTER}, h1 AS MATERIALIZED (SELECT sp.*, CASE WHEN gutter IS NULL OR x + w / 2 < gutter THEN 0 ELSE 1 END AS s1 FROM sp LEFT JOIN gg USING (page) WHERE x IS NOT NULL), {_gutter('h1', 'page, s1', 'hh')},
+      b AS MATERIALIZED (SELECT h1.*, s1 * 2 + CASE WHEN gutter IS NULL OR x + w / 2 < gutter THEN 0 ELSE 1 END AS side FROM h1 LEFT JOIN hh USING (page, s1)),
+      n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page, side ORDER BY y, x, ord) AS i, 5.0 AS tol FROM b),
+      f AS (SELECT page, side, i, ord, x, y AS top, 1 AS row FROM n WHERE i = 1 UNION ALL SELECT n.page, n.side, n.i, n.ord, n.x, CASE WHEN n.y - top > tol THEN n.y ELSE top END, row + (n.y - top > tol)::INT FROM f JOIN n ON n.page = f.page AND n.side = f.side AND n.i = f.i + 1),
+      e AS (SELECT page, side, row, x, ord FROM f UNION ALL SELECT page, 4, 0, 0.0, ord FROM sp WHERE x IS NULL)
+      SELECT page, ord, side, CAST(row_number() OVER (PARTITION BY page ORDER BY side, row, x, ord) AS INTEGER) AS rank FROM e""",
     "paragraphs": f"WITH {_PARAGRAPHS} SELECT page, ord, paragraph FROM l7",
     "paragraph_texts": f"WITH {_PARAGRAPHS}, z AS (SELECT page, paragraph, count(*) AS lines, string_agg(text, '' ORDER BY ord) AS t FROM l7 GROUP BY 1, 2) SELECT page, paragraph, lines, replace(regexp_replace(t, '(\\p{{L}})-(\\p{{Ll}})', '\\1\\2', 'g'), '', ' ') AS text FROM z",
     "column_measure": f"SELECT page, ord, max(w) OVER (PARTITION BY page, col) AS measure FROM {_LINES}",
     "contents_lists": f"WITH {_ENTRY} SELECT page_id, ord, title || ' · p. ' || tail AS item, depth - 1 AS depth FROM e6 WHERE n >= 3",
-    "list_numbering": f"""WITH q AS (SELECT *, sum((depth < 1)::INT) OVER v AS g1, sum((depth < 2)::INT) OVER v AS g2 FROM {_ITEMS} WINDOW v AS (PARTITION BY doc_id ORDER BY ord))
-      SELECT doc_id, ord, depth, CASE depth WHEN 0 THEN count(*) FILTER (WHERE depth = 0) OVER (PARTITION BY doc_id ORDER BY ord) WHEN 1 THEN count(*) FILTER (WHERE depth = 1) OVER (PARTITION BY doc_id, g1 ORDER BY ord) ELSE count(*) FILTER (WHERE depth = 2) OVER (PARTITION BY doc_id, g2 ORDER BY ord) END AS number FROM q""",
+    "list_numbering": f"""WITH q AS MATERIALIZED {_ITEMS} SELECT doc_id, ord, depth, CAST((SELECT count(*) FROM q y WHERE y.doc_id = x.doc_id AND y.depth = x.depth AND y.ord <= x.ord AND y.ord > coalesce((SELECT max(z.ord) FROM q z WHERE z.doc_id = x.doc_id AND z.depth < x.depth AND z.ord < x.ord), 0)) AS INTEGER) AS number FROM q x""",
+    "flatten_spans": f"""SELECT doc_id, string_agg(CASE WHEN i % 3 = 2 THEN '|' || a || '|' || b ELSE a || '|' || b || '|' || c END, '/' ORDER BY i) || CASE WHEN count(*) % 3 = 1 THEN '/||' ELSE '' END AS grid FROM {_ROWS} GROUP BY doc_id""",
+    "math_display": "SELECT p_partkey, 'x' || translate(CAST(p_size AS VARCHAR), '0123456789', '₀₁₂₃₄₅₆₇₈₉') || '⁄α² of ' || p_name AS text FROM part",
     "table_width": "SELECT l_orderkey AS doc_id, 3 AS width, CAST(count(*) AS INTEGER) AS height FROM lineitem GROUP BY 1",
     "table_confidence": f"""SELECT doc_id, (s)::INT AS suspect, (u)::INT AS doubtful, (s AND u)::INT AS flagged FROM (
       SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN count(*) FILTER (WHERE i % 3 = 0) ELSE 0 END) * 1.0 / count(*) > 0.34 AS s,
@@ -295,9 +321,18 @@ ORACLES: dict[str, str] = {
     "contents_exclude": f"WITH {_AB}, t AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 4 = 0), c AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 9 = 0) SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = t.page AND t.first_line < c.end_line AND c.first_line < t.end_line)",
     "vision_blocks": f"WITH v AS (SELECT *, CASE WHEN ord = 5 THEN 'title' WHEN ord % 6 = 0 THEN 'table' ELSE 'paragraph' END AS kind FROM {_BOXES}) SELECT m.page, m.ord, m.kind FROM v m WHERE m.kind <> 'paragraph' OR NOT EXISTS (SELECT 1 FROM v n WHERE n.page = m.page AND n.kind <> 'paragraph' AND {_cover('m', 'n')} >= CASE WHEN n.kind = 'title' THEN 0.9 ELSE 0.6 END)",
     "place_headings": f"WITH {_AB}, r AS (SELECT *, row_number() OVER (PARTITION BY page, l_linenumber ORDER BY ord) = 1 AND l_linenumber <= 2 AS head FROM b) SELECT page, ord, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head THEN l_linenumber END AS level FROM r",
-    "figure_pages": f"WITH {_AB}, p AS (SELECT page, max(y) AS height FROM b GROUP BY page) SELECT b.page, ord, round(height, 3) AS height FROM b JOIN p USING (page) WHERE ord % 20 = 0",
-    "document_report": f"WITH t AS {_TALK} SELECT doc_id, count(DISTINCT page_index) AS pages, count(*) AS blocks, count(*) FILTER (WHERE type = 'heading') AS headings, round(sum(length(text)) / count(DISTINCT page_index), 4) AS per_page FROM t GROUP BY doc_id",
-    "json_document": f"""WITH t AS {_TALK} SELECT doc_id, '[' || string_agg('{{' || CASE WHEN level IS NOT NULL THEN '"level":' || level || ',' ELSE '' END || '"page":' || page_index || ',"text":' || to_json(text) || ',"type":"' || type || '"}}', ',' ORDER BY pos) || ']' AS json FROM t GROUP BY doc_id""",
-    "jsonl_chunks": f"""{_chunks()} SELECT doc_id, chunk_id, '{{"id":' || chunk_id || ',"sectionID":"' || section_id || '","text":' || to_json(text) || '}}' AS json FROM c""",
+    "figure_pages": f"WITH {_AB}, p AS (SELECT page, max(x) AS width, max(y) AS height FROM b GROUP BY page) SELECT b.page, printf('images/p%03d-fig%02d.png', b.page + 1, ord) AS path, round(x, 3) AS x, round(y, 3) AS y, round(w, 3) AS w, round(h, 3) AS h, round(width, 3) AS width, round(height, 3) AS height FROM b JOIN p USING (page) WHERE ord % 20 = 0",
+    "document_report": f"""WITH t AS {_TALK}, p AS (SELECT conv_id AS doc_id, count(DISTINCT turn) AS pages, sum(turn * 0.25) AS s FROM conversations GROUP BY 1), r AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (WHERE type = 'heading') AS headings, count(*) FILTER (WHERE type = 'table') AS tables, count(*) FILTER (WHERE type = 'figure') AS figures, sum(length(text)) AS c FROM t GROUP BY doc_id)
+      SELECT doc_id, pages, blocks, headings, tables, figures, round(c / pages, 4) AS per_page, round(s, 4) AS seconds, round(s / pages, 4) AS seconds_per_page FROM p JOIN r USING (doc_id)""",
+    "json_document": f"""WITH t AS {_TALK}, b AS (SELECT doc_id, page_index, string_agg(coalesce(js, '{{' || CASE WHEN level IS NOT NULL THEN '"level":' || level || ',' ELSE '' END || '"text":' || to_json(text) || ',"type":"' || type || '"}}'), ',' ORDER BY pos) AS blocks FROM t GROUP BY 1, 2)
+      SELECT doc_id, '{{"pages":[' || string_agg('{{"blocks":[' || blocks || '],"index":' || page_index || '}}', ',' ORDER BY page_index) || ']}}' AS json FROM b GROUP BY doc_id""",
+    "jsonl_chunks": f"""{_chunks()} SELECT doc_id, chunk_id, '{{"blockTypes":' || to_json(types) || ',"estimatedTokens":' || tokens || ',"headingPath":' || to_json(path) || ',"id":' || chunk_id || CASE WHEN next_id IS NOT NULL THEN ',"nextID":' || next_id ELSE '' END || ',"pages":' || to_json(pages) || ',"partCount":' || part_count || ',"partIndex":' || part || CASE WHEN previous_id IS NOT NULL THEN ',"previousID":' || previous_id ELSE '' END || ',"sectionID":"' || section_id || '","text":' || to_json(text) || '}}' AS json FROM c""",
+    "document_event_stream": f"""WITH b AS MATERIALIZED (SELECT doc_id, page_index, count(*) AS blocks, CAST(sum({_words('text')}) AS BIGINT) AS words FROM {_BLOCKS} GROUP BY 1, 2),
+      d AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(words) AS BIGINT) AS words FROM b GROUP BY 1)
+      SELECT doc_id, 0 AS seq, 'started' AS event, n AS page_index, NULL AS blocks, NULL AS words FROM d
+      UNION ALL SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS INTEGER), 'page', page_index, blocks, words FROM b UNION ALL SELECT doc_id, n + 1, 'finished', n, blocks, words FROM d
+      UNION ALL SELECT doc_id, 0, 'failed', NULL, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d)""",
+    "embedded_fonts": f"""SELECT doc_id, max((coalesce(before, 0) < 2000 AND ord % 40 >= 36)::INT) AS fonts FROM (SELECT doc_id, ord, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_BLOCKS}) GROUP BY doc_id""",
+    "box_decode": f"WITH {_AB} SELECT page, ord, round(x / 1000 * 600, 2) AS x, round((1 - y / 1000 - h / 1000) * 800, 2) AS y, round(w / 1000 * 600, 2) AS w, round(h / 1000 * 800, 2) AS h FROM b",
     "encode_path": "SELECT page_id, replace(replace(replace(url, '?', '%3F'), '#', '%23'), ' ', '%20') || '%20%C3%A9%231' AS path FROM pages",
 }

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from quire.functions import maths, text as T
+from quire.functions import blocks as BL, maths, text as T
 from quire.operators import chunks as C, figures, furniture, geometry as G, glyphs as GL, headings as H, layout as L, markdown as M, search as Q, stats, tables as TB
 from quire.operators.sections import sections
 from quire.plans import extract as X
-from quire.sources import adapters as A
+from quire.sources import adapters as A, files, sinks
 from quire.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,18 +56,19 @@ def section_depth(spark, d):
     return A.heading_candidates(spark, d).select("page", "ord", "text", T.section_depth(F.col("text")).alias("depth"))
 
 
-def _first_line(spark, d):
-    return _docs(spark, d).select("doc_id", F.left(F.element_at(F.split("text", "\n"), 1), F.lit(120)).alias("text"))
+def _text_lines(spark, d):
+    """Every line of every text."""
+    return A.document_blocks(spark, d).select("doc_id", "ord", "text")
 
 
 @query
 def chart_label(spark, d):
-    return _first_line(spark, d).select("doc_id", T.chart_label(F.col("text")).cast("int").alias("chart"))
+    return _text_lines(spark, d).select("doc_id", "ord", T.chart_label(F.col("text")).cast("int").alias("chart"))
 
 
 @query
 def citation(spark, d):
-    return _first_line(spark, d).select("doc_id", T.citation(F.col("text")).cast("int").alias("cite"))
+    return _text_lines(spark, d).select("doc_id", "ord", T.citation(F.col("text")).cast("int").alias("cite"))
 
 
 @query
@@ -85,7 +86,7 @@ def bold_font(spark, d):
 
 @query
 def is_math(spark, d):
-    return _first_line(spark, d).select("doc_id", T.is_math(F.regexp_replace("text", "[%*]", "^")).cast("int").alias("math"))
+    return _text_lines(spark, d).select("doc_id", "ord", T.is_math(F.regexp_replace("text", "[%*]", "^")).cast("int").alias("math"))
 
 
 @query
@@ -116,12 +117,12 @@ def encode_path(spark, d):
 
 @query
 def sha256_file(spark, d):
-    return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return files.with_sha256(_docs(spark, d).select("doc_id", F.col("text").cast("binary").alias("content"))).select("doc_id", "sha256")
 
 
 @query
 def number_format(spark, d):
-    return _docs(spark, d).select("doc_id", F.format_number("n_chars", 0).alias("n"))
+    return _docs(spark, d).select("doc_id", stats.grouped_number(F.col("n_chars")).alias("n"))
 
 
 @query
@@ -160,7 +161,7 @@ def page_route(spark, d):
 
 @query
 def engine_mix(spark, d):
-    b = A.boxes(spark, d).select((F.col("page") % 50).alias("doc"), F.when(F.col("l_returnflag") == "R", "vision").when(F.col("l_returnflag") == "A", "textLayer").otherwise("ocr").alias("engine"))
+    b = A.boxes(spark, d).select((F.floor(F.col("page") / 10)).alias("doc"), F.when(F.col("l_returnflag") == "R", "vision").when(F.col("l_returnflag") == "A", "textLayer").otherwise("ocr").alias("engine"))
     return stats.engine_mix(b, "doc")
 
 
@@ -240,9 +241,7 @@ def read_chunk_neighbours(spark, d):
 
 @query
 def render_markdown(spark, d):
-    b = A.conversation_blocks(spark, d).withColumn("md", T.render_block(F.col("type"), F.col("level"), F.col("text")))
-    xs = F.array_sort(F.collect_list(F.struct("pos", "md")))
-    return b.groupBy("doc_id").agg(F.concat(F.array_join(F.filter(F.transform(xs, lambda x: x.md), lambda m: m != ""), "\n\n"), F.lit("\n")).alias("markdown"))
+    return sinks.document_markdown(A.conversation_blocks(spark, d))
 
 
 @query
@@ -254,14 +253,18 @@ def parse_markdown(spark, d):
 @query
 def jsonl_chunks(spark, d):
     c = _chunks(spark, d)
-    return c.select("doc_id", "chunk_id", F.to_json(F.struct(F.col("chunk_id").alias("id"), F.col("section_id").alias("sectionID"), "text")).alias("json"))
+    return c.select("doc_id", "chunk_id", sinks.chunk_json(c).alias("json"))
 
 
 @query
 def json_document(spark, d):
-    b = A.conversation_blocks(spark, d)
-    xs = F.array_sort(F.collect_list(F.struct("pos", "level", "page_index", "text", "type")))
-    return b.groupBy("doc_id").agg(F.to_json(F.transform(xs, lambda x: F.struct(x.level.alias("level"), x.page_index.alias("page"), x.text.alias("text"), x.type.alias("type")))).alias("json"))
+    return sinks.document_json(A.conversation_blocks(spark, d))
+
+
+@query
+def plain_text(spark, d):
+    b = BL.complete(A.conversation_blocks(spark, d))
+    return b.select("doc_id", "pos", BL.plain_text().alias("text"))
 
 
 # --- headings and furniture -------------------------------------------------------------
@@ -278,7 +281,7 @@ def classify_headings(spark, d):
 
 
 def _paras(spark, d):
-    return A.heading_candidates(spark, d).withColumn("doc", F.col("page") % 40)
+    return A.heading_candidates(spark, d).withColumn("doc", F.floor(F.col("page") / 12))
 
 
 @query
@@ -387,7 +390,7 @@ def corridors(spark, d):
 
 @query
 def row_blocks(spark, d):
-    return G.row_blocks(A.boxes(spark, d).where("ord % 9 = 0"), ["page"], F.lit(4.0)).select("page", "ord", "block")
+    return G.row_blocks(A.boxes(spark, d), ["page"], F.lit(4.0)).select("page", "ord", "block")
 
 
 @query
@@ -397,15 +400,20 @@ def row_cluster(spark, d):
 
 @query
 def coalesce_regions(spark, d):
-    b = A.boxes(spark, d).withColumn("mergeable", F.col("l_returnflag") != "R").where("ord % 3 = 0")
+    b = A.boxes(spark, d).withColumn("mergeable", F.col("l_returnflag") != "R")
     return G.coalesce_regions(b, ["page"], 3000.0, 60.0)
 
 
 def _spread(spark, d):
-    """Boxes of pages in two columns, on some pages crossed by others."""
-    b = A.boxes(spark, d).where("ord <= 24")
-    x = F.when(F.col("col") == 1, 330 + F.col("x") / 10).otherwise(F.col("x") / 10)
-    return b.withColumns({"x": F.round(x, 3), "w": F.round(F.when((F.col("page") % 4 == 0) & (F.col("ord") % 8 == 0), F.lit(380.0)).otherwise(F.col("w") * 2.2), 3)})
+    """Boxes of pages in two columns or four, on some pages crossed by others; some without a place."""
+    b = A.boxes(spark, d)
+    two = F.when(F.col("col") == 1, 330 + F.col("x") / 10).otherwise(F.col("x") / 10)
+    four = 40 + F.col("col") * 300 + (F.col("l_partkey") % 2) * 140 + F.col("x") / 25
+    columns, across = F.col("page") % 3 == 1, (F.col("page") % 4 == 0) & (F.col("ord") % 8 == 0)
+    x = F.round(F.when(columns, four).otherwise(two), 3)
+    w = F.round(F.when(across, F.lit(380.0)).when(columns, F.lit(80.0)).otherwise(F.col("w") * 2.2), 3)
+    lost = F.col("ord") % 50 == 49
+    return b.select("page", "ord", *[F.when(~lost, c).alias(n) for n, c in (("x", x), ("y", F.col("y")), ("w", w), ("h", F.col("h")))])
 
 
 @query
@@ -482,7 +490,7 @@ def bullet_lists(spark, d):
 
 @query
 def render_table(spark, d):
-    return _tables(spark, d).select("doc_id", TB.render_plain(F.col("rows"), F.col("doc_id") % 2 == 0).alias("markdown"))
+    return _tables(spark, d).select("doc_id", TB.table_markdown(F.col("rows"), F.col("doc_id") % 2 == 0).alias("markdown"))
 
 
 @query
@@ -494,18 +502,22 @@ def flatten_spans(spark, d):
 
 @query
 def detect_tables(spark, d):
-    b = A.boxes(spark, d).where("ord <= 60")
+    b = A.boxes(spark, d)
     cells = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct((i * 150.0 + F.col("ord") % 5).alias("x"), (i * 150.0 + F.when(F.col("ord") % 20 < 14, 90.0).otherwise(170.0)).alias("x1")))
     lines = b.select("page", "ord", (F.col("ord") * 14.0).alias("y"), "h", F.lit(10.0).alias("size_pt"), F.lit(0).alias("col"), cells.alias("boxes"))
-    return TB.detect(lines)
+    t = TB.detect(lines)
+    cells = F.array_join(F.transform(F.flatten("cells"), lambda c: F.format_string("%.1f:%.1f:%.1f:%.1f", c.x, c.y, c.w, c.h)), " ")
+    return t.select("page", "first_line", "end_line", "columns", *[_r(c, 3).alias(c) for c in "xywh"], cells.alias("cells"))
 
 
 @query
 def figures_of(spark, d):
-    b = A.boxes(spark, d).where("ord <= 40")
-    box = F.struct((F.col("x") % 560).alias("x"), ((F.col("y") * 7) % 760).alias("y"), F.col("w").alias("w"), F.lit(30.0).alias("h"))
-    p = b.groupBy("page").agg(F.sort_array(F.collect_list(F.when(F.col("ord") % 3 != 0, box))).alias("ink"), F.sort_array(F.collect_list(F.when(F.col("ord") % 3 == 0, box))).alias("texts"))
-    return figures.detect_pages(p.withColumns({"width": F.lit(600.0), "height": F.lit(800.0)}))
+    b = A.boxes(spark, d)
+    box = F.struct("ord", (F.col("x") % 560).alias("x"), ((F.col("y") * 7) % 760).alias("y"), F.col("w").alias("w"), F.lit(30.0).alias("h"), (F.col("l_returnflag") == "R").alias("lettering"))
+    some = lambda c: F.array_sort(F.collect_list(F.when(c, box)))
+    p = b.groupBy("page").agg(some(F.col("ord") % 9 == 0).alias("ink"), some(F.col("ord") % 9 == 4).alias("texts"))
+    f = figures.detect_pages(p.withColumns({"width": F.lit(600.0), "height": F.lit(800.0)}))
+    return f.select("page", "n", *[_r(c, 3).alias(c) for c in "xywh"], _joined("took").alias("took"))
 
 
 @query
@@ -519,6 +531,17 @@ def page_event_stream(spark, d):
     return E.final_state(spark, d)
 
 
+@query
+def document_event_stream(spark, d):
+    return E.converted(spark, d)
+
+
+@query
+def model_answers(spark, d):
+    fenced = F.concat(F.lit("```md\n"), F.regexp_replace("text", "`", "'"), F.lit(" $ x^2 $\n```"))
+    return _docs(spark, d).select("doc_id", maths.clean_udf(fenced).alias("text"))
+
+
 # --- glyphs and whole plans -----------------------------------------------------------
 
 
@@ -537,7 +560,7 @@ def text_in_rect(spark, d):
 
 def _glyphs(spark, d):
     """Two columns of glyphs with some rows across, most pages."""
-    b = A.boxes(spark, d).where("ord <= 120")
+    b = A.boxes(spark, d)
     across = F.col("ord") % 30 == 0
     x = F.when(across, 60.0).when(F.col("ord") % 2 == 0, 40.0 + (F.col("l_partkey") % 18) * 12).otherwise(330.0 + (F.col("l_suppkey") % 18) * 12)
     return b.select("page", "ord", x.alias("x"), (F.floor(F.col("ord") / 2) * 12.0).alias("y"), F.when(across, 420.0).otherwise(10.0).alias("w"), "h")
@@ -576,16 +599,31 @@ def place_headings(spark, d):
 
 @query
 def figure_pages(spark, d):
-    b = A.boxes(spark, d)
-    fig = b.where("ord % 20 = 0").select("page", "ord")
-    pages = b.groupBy("page").agg(F.max("y").alias("height"))
-    return fig.join(pages, "page").select("page", "ord", _r("height", 3).alias("height"))
+    b = A.boxes(spark, d).withColumn("page_index", F.col("page"))
+    name = F.format_string("images/p%03d-fig%02d.png", F.col("page") + 1, F.col("ord"))
+    fig = b.select("page", "page_index", F.when(F.col("ord") % 20 == 0, "figure").otherwise("paragraph").alias("type"), name.alias("path"), *"xywh")
+    pages = b.groupBy("page", "page_index").agg(F.max("x").alias("width"), F.max("y").alias("height"))
+    return sinks.figure_crops(fig, pages, "page").select("page", "path", *[_r(c, 3).alias(c) for c in ("x", "y", "w", "h", "width", "height")])
 
 
 @query
 def document_report(spark, d):
-    b = A.conversation_blocks(spark, d)
-    return b.groupBy("doc_id").agg(F.count_distinct("page_index").alias("pages"), F.count("*").alias("blocks"), F.count_if(F.col("type") == "heading").alias("headings"), _r(F.sum(F.length("text")) / F.count_distinct("page_index"), 4).alias("per_page"))
+    r = stats.document_report(A.conversation_blocks(spark, d), A.conversation_pages(spark, d))
+    return r.select("doc_id", "pages", "blocks", "headings", "tables", "figures", *[_r(c, 4).alias(c) for c in ("per_page", "seconds", "seconds_per_page")])
+
+
+@query
+def embedded_fonts(spark, d):
+    font = F.when(F.col("ord") % 40 >= 36, F.lit("Times"))
+    return files.has_embedded_fonts(A.document_blocks(spark, d).select("doc_id", "ord", "text", font.alias("font")), "doc_id").select("doc_id", F.col("fonts").cast("int").alias("fonts"))
+
+
+@query
+def box_decode(spark, d):
+    b = A.boxes(spark, d)
+    unit = G.from_unit(*[F.col(c) / 1000 for c in "xywh"], F.lit(600.0), F.lit(800.0))
+    c = G.decode(G.encode(*unit))
+    return b.select("page", "ord", *[c[n].alias(n) for n in "xywh"])
 
 
 @query
@@ -595,5 +633,37 @@ def extract_pages(spark, d):
 
 @query
 def finish_documents(spark, d):
-    b = A.source_pages(spark, d).withColumns({"size": F.when(F.col("type") == "heading", 12.0).otherwise(9.0), "level": F.when(F.col("type") == "heading", 1)})
+    kind = F.when((F.col("type") == "heading") | (F.length("text") <= 40), "heading").otherwise("paragraph")
+    size = F.when(kind == "heading", 9 + F.length("text") % 3 * 1.5).otherwise(9.0)
+    b = A.source_pages(spark, d).withColumns({"size": size, "level": F.when(kind == "heading", 1), "type": kind})
     return X.finish(b).select("doc", "page", "ord", "type", "level")
+
+
+def _sheets(spark, d):
+    """Lines of pages with what stands in them, pages with ink, and tables that an OCR engine read."""
+    cells = F.when(F.col("ord") % 24 < 6, F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct((i * 150.0).alias("x"), (i * 150.0 + 90.0).alias("x1")))).otherwise(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(400.0).alias("x1"))))
+    lines = _lines(spark, d).withColumns({"y": F.col("ord") * 11.0, "h": F.lit(10.0), "x": F.lit(0.0), "w": F.lit(400.0), "boxes": cells})
+    box = F.struct(F.lit(420.0).alias("x"), (F.col("ord") * 11.0).alias("y"), F.lit(150.0).alias("w"), F.lit(200.0).alias("h"))
+    pages = lines.groupBy("page").agg(F.array_sort(F.collect_list(F.when(F.col("ord") == 20, box))).alias("ink")).withColumns({"doc": F.floor(F.col("page") / 12), "width": F.lit(600.0), "height": F.lit(2000.0)})
+    text = F.struct(F.col("text"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))
+    vision = lines.where("ord % 24 = 2 and page % 2 = 0").select("page", "ord", F.array(F.array(text)).alias("rows"), "x", (F.col("y") - 11).alias("y"), "w", F.lit(40.0).alias("h"))
+    return lines, pages, vision
+
+
+@query
+def convert_documents(spark, d):
+    """From lines to the Markdown of whole documents."""
+    b = X.convert(*_sheets(spark, d))
+    return sinks.document_markdown(b.withColumnsRenamed({"page": "page_index"}).withColumn("pos", F.struct("page_index", "ord")), "doc")
+
+
+@query
+def read_regions(spark, d):
+    """Regions of pages, read by a stand-in for a model."""
+    def reader(frames):
+        for f in frames:
+            yield f[["page", "region", "kind"]].assign(ord=0, type="paragraph", text=[f"{k} {int(w)}x{int(h)}" for k, w, h in zip(f["kind"], f["w"], f["h"])])[["page", "region", "ord", "type", "text"]]
+
+    lines, _, _ = _sheets(spark, d)
+    r = X.read_regions(X.text_regions(lines), reader, "page long, region int, ord int, type string, text string", 600.0, 60.0)
+    return r.select("page", "ord", "type", "level", "text", *[_r(c, 3).alias(c) for c in "xywh"])

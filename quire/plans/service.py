@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import sys
+import time
 from collections.abc import Callable
 from typing import TextIO
 
 from pyspark.sql import DataFrame, functions as F
 
+from quire.functions.blocks import complete
 from quire.operators import chunks as C, search as Q
 from quire.operators.stats import document_statistics
 
@@ -66,8 +68,9 @@ class Service:
             raise ValueError(f"no such tool: {name}")
         blocks, chunked = self.entry(a["path"])
         if name == "open_document":
+            began = time.monotonic()
             s = document_statistics(blocks).first().asDict()
-            return f"{s['pages']} pages, {s['words']:,} words, {s['characters']:,} characters, about {s['tokens']:,} tokens, {s['tables']} tables ({s['uncertain_tables']} unverified)\n\n{self.outline(chunked)}"
+            return f"{s['pages']} pages, {s['words']:,} words, {s['characters']:,} characters, about {s['tokens']:,} tokens, {s['tables']} tables ({s['uncertain_tables']} unverified), read in {time.monotonic() - began:.1f} s\n\n{self.outline(chunked)}"
         if name == "get_outline":
             return self.outline(chunked)
         if name == "read_section":
@@ -79,7 +82,10 @@ class Service:
             return self._shown(Q.around(chunked, a["chunk"], a.get("neighbours", 0))) or f"No chunk {a['chunk']}."
         from quire.sources import sinks
 
-        frames = {"chunks": chunked.select("doc_id", sinks.chunk_json(chunked).alias("json")), "outline": sinks.outline_json(C.outline(chunked))}
+        frames = {
+            "markdown": sinks.document_markdown(blocks), "json": sinks.document_json(blocks), "chunks": chunked.select("doc_id", sinks.chunk_json(chunked).alias("json")),
+            "outline": sinks.outline_json(C.outline(chunked)), "figures": complete(blocks).where("type = 'figure'").select("doc_id", "page_index", "path"),
+        }
         return "\n".join(sinks.export(frames, a["folder"]).values())
 
     def handle(self, line: str) -> str | None:

@@ -17,21 +17,46 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation as a document: a turn is a page, opened by a heading of its role's level."""
+    """A conversation as a document: a turn is a page, opened by a heading of its role's level.
+
+    Turns close, by number, with a table, a list, a figure, a formula, a piece of code or nothing more.
+    """
     c = table(spark, sf_dir, "conversations")
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
     heads = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), F.lit(0).alias("ord"), F.lit("heading").alias("type"), level.alias("level"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("text"))
     lines = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     lines = lines.where(F.length(F.btrim("text")) > 0).select("doc_id", "page_index", (F.col("ord") + 1).alias("ord"), F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), "text")
-    return heads.unionByName(lines).withColumn("pos", F.col("page_index") * 100000 + F.col("ord"))
+    turn, k = F.col("turn").cast("string"), F.col("turn") % 6
+    cell = lambda t: F.struct(t.alias("text"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))
+    item = lambda t, depth: F.struct(t.alias("text"), F.lit(depth).alias("depth"))
+    more = c.where(k < 5).select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), F.lit(99_990).alias("ord"),
+        F.get(F.array(*map(F.lit, ("table", "list", "figure", "formula", "code"))), k.cast("int")).alias("type"),
+        F.when(k == 4, F.concat(F.lit("turn = "), turn)).alias("text"),
+        F.when(k == 0, F.array(F.array(cell(F.lit("role")), cell(F.lit("turn"))), F.array(cell(F.col("role")), cell(turn)))).alias("rows"), F.when(k == 0, F.col("turn") % 4 == 0).alias("structure_suspect"),
+        F.when(k == 1, F.array(item(F.col("role"), 0), item(F.concat(F.lit("turn "), turn), 1))).alias("items"), F.when(k == 1, F.lit(True)).alias("ordered"),
+        F.when(k == 2, F.concat(F.lit("images/p"), turn, F.lit(".png"))).alias("path"), F.when(k == 2, F.col("role")).alias("caption"),
+        F.when(k == 3, F.concat(F.lit("x_{"), turn, F.lit("}"))).alias("latex"), F.when(k == 3, F.lit(False)).alias("is_inline"), F.when(k == 4, F.lit("py")).alias("language"),
+    )
+    return heads.unionByName(lines).unionByName(more, allowMissingColumns=True).withColumn("pos", F.col("page_index") * 100000 + F.col("ord"))
+
+
+def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn is a page; each takes a quarter of a second more than the one before."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), (F.col("turn") * 0.25).cast("double").alias("duration"))
+
+
+#: Orders whose lines are the boxes of a page.
+ORDERS = 32
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as boxes on 500 pages, numbered by all their columns."""
+    """Order lines as boxes, numbered by all their columns; the lines of ``ORDERS`` orders make a page, so pages keep their size."""
     li = table(spark, sf_dir, "lineitem")
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     w = W.partitionBy("page").orderBy(*cols)
-    return li.withColumn("page", F.col("l_orderkey") % 500).select(
+    return li.withColumn("page", F.floor(F.col("l_orderkey") / ORDERS)).select(
         "page", F.row_number().over(w).alias("ord"),
         F.round(F.col("l_quantity") * 10, 2).alias("x"), F.round(F.col("l_linenumber") * 14 + F.col("l_discount") * 100, 2).alias("y"),
         F.round(20 + F.col("l_tax") * 1000, 2).alias("w"), F.lit(10.0).alias("h"),
@@ -51,13 +76,14 @@ def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source as a document of pages with a header, a body and a footer."""
+    """A source as a document of pages with a header, all the lines of a text and a footer."""
     d = table(spark, sf_dir, "documents")
-    page = F.struct
-    header = page(F.lit("heading").alias("type"), F.lit(0).alias("ord"), F.concat(F.col("lang"), F.lit(" p. "), F.col("doc_id").cast("string")).alias("text"), F.lit(20.0).alias("y"), F.lit(10.0).alias("h"))
-    body = page(F.lit("paragraph").alias("type"), F.lit(1).alias("ord"), F.element_at(F.split("text", "\n"), 1).alias("text"), F.lit(200.0).alias("y"), F.lit(300.0).alias("h"))
-    footer = page(F.lit("paragraph").alias("type"), F.lit(2).alias("ord"), F.col("n_chars").cast("string").alias("text"), F.lit(760.0).alias("y"), F.lit(10.0).alias("h"))
-    return d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.lit(790.0).alias("page_height"), F.explode(F.array(header, body, footer)).alias("b")).select("doc", "page", "page_height", "b.*")
+    block = lambda kind, ord_, text, y, h: F.struct(F.lit(kind).alias("type"), ord_.cast("int").alias("ord"), text.alias("text"), F.lit(y).alias("y"), F.lit(h).alias("h"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    header = F.array(block("heading", F.lit(0), F.concat(F.col("lang"), F.lit(" p. "), F.col("doc_id").cast("string")), 20.0, 10.0))
+    body = F.transform(lines, lambda t, i: block("paragraph", i + 1, t, 200.0, 300.0))
+    footer = F.array(block("paragraph", F.size(lines) + 1, F.col("n_chars").cast("string"), 760.0, 10.0))
+    return d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.lit(790.0).alias("page_height"), F.inline(F.concat(header, body, footer)))
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +98,10 @@ def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's lines as list items of depth 0 to 2."""
+    """An order's lines as list items of depth 0 to 4."""
     li = table(spark, sf_dir, "lineitem")
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("ord"), (F.col("l_linenumber") % 3).alias("depth"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("ord"), (F.col("l_linenumber") % 5).alias("depth"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"))
 
 
 def nav_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
+from quire.operators import geometry as G
+
 #: A JSON document: its own fields, the rest of a block's by name.
 DOCUMENT_SCHEMA = """
 source struct<filename:string,pages:int,sha256:string>, engine struct<tier:string,model:string,appVersion:string>,
@@ -20,7 +22,11 @@ pages array<struct<index:int,width:double,height:double,engine:string,duration:d
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, modificationTime, length, content, sha256) of a folder's PDF files, not of its subfolders."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "false").load(path)
+    return with_sha256(spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "false").load(path))
+
+
+def with_sha256(files: DataFrame) -> DataFrame:
+    """Files and the hash of their ``content``, in lower-case hexadecimal digits."""
     return files.withColumn("sha256", F.sha2("content", 256))
 
 
@@ -40,6 +46,16 @@ def decode_pages(files: DataFrame, decoder: Callable[[bytes, int, int | None], I
     return files.select("content").mapInPandas(run, schema)
 
 
+def has_embedded_fonts(runs: DataFrame, page: str = "page", sample: int = 2000) -> DataFrame:
+    """(``page``, ``fonts``): whether a run that starts among a page's first characters names its font.
+
+    ``runs``: page, ord, text, font (null: none told).  The sample is the test's
+    own: a page either tells its fonts or doesn't.
+    """
+    before = F.coalesce(F.sum(F.length("text")).over(W.partitionBy(page).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return runs.withColumn("q_at", before).groupBy(page).agg(F.coalesce(F.max((F.col("q_at") < sample) & (F.length("text") > 0) & F.col("font").isNotNull()), F.lit(False)).alias("fonts"))
+
+
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """A row a document, the schema given and nothing inferred."""
     return spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=True)
@@ -50,10 +66,16 @@ def document_pages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def document_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The blocks relation of nested documents, in reading order."""
+    """The blocks relation of nested documents, in reading order, its columns named as the operators name them."""
     pages = docs.select(key, F.posexplode("pages").alias("page_no", "p"))
     blocks = pages.select(key, "page_no", F.col("p.index").alias("page_index"), F.posexplode("p.blocks").alias("ord", "b"))
-    return blocks.select(key, "page_index", "ord", (F.col("page_no").cast("long") * 1_000_000 + F.col("ord")).alias("pos"), "b.*")
+    cell = lambda c: F.struct(c.text.alias("text"), F.greatest(F.coalesce(c.rowSpan, F.lit(1)), F.lit(1)).alias("row_span"), F.greatest(F.coalesce(c.colSpan, F.lit(1)), F.lit(1)).alias("col_span"))
+    d = blocks.select(key, "page_index", "ord", (F.col("page_no").cast("long") * 1_000_000 + F.col("ord")).alias("pos"), "b.*")
+    d = d.withColumns({
+        "rows": F.transform("rows", lambda r: F.transform(r, cell)), "level": F.when(F.col("type") == "heading", F.least(F.greatest("level", F.lit(1)), F.lit(6))), "box": G.decode(F.col("bbox")),
+    })
+    d = d.withColumnsRenamed({"fontSize": "font_size", "structureSuspect": "structure_suspect", "isInline": "is_inline"}).drop("bbox")
+    return d.withColumns({c: F.col(f"box.{c}") for c in "xywh"}).drop("box")
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
@@ -62,5 +84,6 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def math_lines(spark: SparkSession, path: str, limit: int = 6) -> DataFrame:
-    """The first lines that hold a dollar."""
-    return spark.read.text(path).where(F.col("value").contains("$")).limit(limit)
+    """The first lines that hold a dollar, by file and place."""
+    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
+    return lines.where(F.col("value").contains("$")).orderBy("file", "ord").limit(limit)

@@ -58,10 +58,57 @@ def test_parts_neighbours_and_pages(spark):
     assert rows[0]["pages"] == sorted(set(rows[0]["pages"]))
 
 
-def test_long_sections_pack_as_short_ones(spark):
-    b = blocks(spark, ["H1 x"] + ["word " * (i % 40) for i in range(60)])
-    short = C.pack(b, C.Options(target=50, minimum=10)).select("pos", "part").orderBy("pos").collect()
-    assert short == C.pack(b, C.Options(target=50, minimum=10, long_section=5)).select("pos", "part").orderBy("pos").collect()
+def test_parts_by_a_plain_loop(spark):
+    items = ["H1 x"] + ["word " * (i * 7 % 40) for i in range(120)]
+    got = [r["part"] for r in C.pack(blocks(spark, items), C.Options(target=50, minimum=10)).orderBy("pos").collect()]
+    tokens, part, want = 0, 1, []
+    for r in C.pack(blocks(spark, items), C.Options()).orderBy("pos").select("cost").collect():
+        if tokens + r["cost"] > 50 and tokens >= 10:
+            tokens, part = 0, part + 1
+        tokens += r["cost"]
+        want.append(part)
+    assert got == want and got[-1] > 5
+
+
+RICH = "doc_id int, page_index long, ord int, pos long, type string, level int, text string, ordered boolean, items array<struct<text:string,depth:int>>, rows array<array<struct<text:string,row_span:int,col_span:int>>>, structure_suspect boolean, path string, caption string, latex string, is_inline boolean, language string"
+
+
+def rich(spark, items):
+    names = [x.split()[0] for x in RICH.split(", ")]
+    return spark.createDataFrame([tuple({"doc_id": 1, "page_index": 0, "ord": i, "pos": i, **x}.get(n) for n in names) for i, x in enumerate(items)], RICH)
+
+
+EVERY = [
+    dict(type="heading", level=2, text="A *b*"), dict(type="paragraph", text="p"),
+    dict(type="list", ordered=True, items=[("one", 0), ("two", 1), ("deep", 3), ("deep", 3), ("two", 1), ("three", 0), ("four", 1)]), dict(type="list", items=[("x", 0)]),
+    dict(type="table", rows=[[("wide", 1, 2)], [("tall|", 3, 1), ("x", 1, 1)], [("y", 1, 1)]], structure_suspect=True), dict(type="table", rows=[]),
+    dict(type="figure", path="images/a b.png", caption="Fig. [1]"), dict(type="figure", path="c.png"), dict(type="formula", latex="x^2", is_inline=True), dict(type="formula", latex=" y "), dict(type="code", text="a\n", language="py"), dict(type="paragraph"),
+]
+
+
+def test_every_type_of_block(spark):
+    from quire.functions import blocks as B
+
+    d = B.complete(rich(spark, EVERY)).select("ord", B.markdown().alias("md"), B.plain_text().alias("t")).orderBy("ord").collect()
+    assert [r["md"] for r in d] == [
+        "## A \\*b\\*", "p", "1. one\n  1. two\n      1. deep\n      2. deep\n  2. two\n2. three\n  1. four", "- x",
+        "> ⚠︎ Table structure is uncertain; verify against the source page.\n\n| wide |  |\n| --- | --- |\n| tall\\| | x |\n|  | y |\n|  |  |", "",
+        "![Fig. \\[1\\]](images/a%20b.png)\n\n*Fig. \\[1\\]*", "![](c.png)", "$x^2$", "$$\ny\n$$", "```py\na\n```", "",
+    ]
+    assert [r["t"] for r in d] == ["A *b*", "p", "one\ntwo\ndeep\ndeep\ntwo\nthree\nfour", "x", "wide\ntall| x\ny", "", "Fig. [1]", "", "x^2", " y ", "a\n", ""]
+
+
+def test_a_block_without_text_ends_no_packing(spark):
+    items = [dict(type="heading", level=1, text="h")] + [dict(type="paragraph", text="word " * 60) for _ in range(10)] + [dict(type="table", rows=[[("a", 1, 1)]])] + [dict(type="paragraph", text="word " * 60) for _ in range(10)]
+    rows = C.chunks(rich(spark, items), C.Options(target=200)).collect()
+    assert len(rows) >= 7 and max(r["tokens"] for r in rows) < 300 and any("| a |" in r["text"] for r in rows)
+
+
+def test_bullet_tables_and_doubt(spark):
+    cell = lambda t: (t, 1, 1)
+    d = TB.normalized(rich(spark, [dict(type="table", rows=[[cell("•"), cell("one")], [cell(""), cell("more")], [cell("-"), cell("two")]], structure_suspect=True), dict(type="table", rows=[[cell("a"), cell("b")], [cell("c"), cell("d")]], structure_suspect=True), dict(type="table", rows=[[cell(""), cell("")], [cell("c"), cell("")]], structure_suspect=True)]))
+    got = d.orderBy("ord").collect()
+    assert [r["type"] for r in got] == ["list", "table", "table"] and [x["text"] for x in got[0]["items"]] == ["one more", "two"] and [r["structure_suspect"] for r in got] == [None, False, True]
 
 
 def test_no_blocks_no_chunks(spark):
@@ -202,6 +249,16 @@ def test_gutter_and_order(spark):
     b = box(spark, rows)
     assert 250 < G.gutters(b, 600.0).first()["gutter"] < 320
     assert [r["ord"] for r in G.reading_order(b, 600.0).orderBy("rank").collect()] == [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
+    # rows within half a line's height are one; a half's own clearest place lies beside it, so it splits no more; what has no place comes last
+    four = [(0, 10 * c + i, x, 14.0 * i + (c % 2) * 3, 80.0, 10.0) for c, x in enumerate((40.0, 180.0, 340.0, 480.0)) for i in range(4)] + [(0, 99, None, None, None, None)]
+    assert [r["ord"] for r in G.reading_order(box(spark, four), 600.0).orderBy("rank").collect()] == [10 * c + i for half in ((0, 1), (2, 3)) for i in range(4) for c in half] + [99]
+    row = [(0, 1, 300.0, 4.0, 50.0, 10.0), (0, 2, 20.0, 0.0, 50.0, 10.0), (0, 3, 150.0, 5.5, 50.0, 10.0)]
+    assert [r["ord"] for r in G.reading_order(box(spark, row), 600.0).orderBy("rank").collect()] == [2, 1, 3]
+
+
+def test_box_codecs(spark):
+    assert one(spark, G.decode(F.array(*map(F.lit, [1.0, 2.0, 3.0, 4.0])))) == (1, 2, 3, 4) and one(spark, G.decode(F.array(F.lit(1.0)))) is None
+    assert [round(one(spark, c), 6) for c in G.from_unit(*map(F.lit, (0.1, 0.2, 0.3, 0.4, 600.0, 800.0)))] == [60, 320, 180, 320]
 
 
 def test_glyphs_of_two_columns(spark):
@@ -257,36 +314,112 @@ def test_table_rules(spark):
     assert not got[2]["s"] and not got[2]["d"] and got[3]["d"] and got[4]["s"] and got[4]["d"]
 
 
-def test_spans():
-    cell = lambda t, r=1, c=1: dict(text=t, row_span=r, col_span=c)
-    assert TB.flatten([[cell("wide", c=2)], [cell("a"), cell("b")]]) == [["wide", ""], ["a", "b"]]
-    assert TB.flatten([[cell("tall", r=2), cell("x")], [cell("y")]]) == [["tall", "x"], ["", "y"]]
-    assert TB.flatten([]) == []
-
-
-def table_lines(n, spans, gap=14.0):
-    return [dict(y=gap * i, h=10.0, size=10.0, col=0, boxes=list(spans)) for i in range(n)]
+def test_spans(spark):
+    cell = lambda t, r=1, c=1: (t, r, c)
+    tables = [[[cell("wide", c=2)], [cell("a"), cell("b")]], [[cell("tall", r=2), cell("x")], [cell("y")]], [], [[cell("a", 2), cell("b", 3, 2)], [cell("c"), cell("d")], [cell("e")]]]
+    df = spark.createDataFrame(list(enumerate(tables)), ROWS)
+    got = {r["doc_id"]: r["grid"] for r in TB.flattened(df, "doc_id").collect()}
+    assert got == {0: [["wide", ""], ["a", "b"]], 1: [["tall", "x"], ["", "y"]], 2: [], 3: [["a", "b", ""], ["", "", ""], ["e", "", ""]]}
+
+
+def search(rows, sizes=None):
+    return TB.windows_of_columns([np.array(r, float).reshape(-1, 2) for r in rows], np.array(sizes or [10.0] * len(rows)))
+
+
+def all_windows(rows, size=10.0):
+    """The longest window that is a table, the first of such, then on below it: every window from its definition."""
+    out, top = [], 0
+    while True:
+        best = None
+        for a in range(top, len(rows)):
+            for b in range(a + 3, len(rows) + 1):
+                cover = []
+                for lo, hi in sorted(x for r in rows[a:b] for x in r):
+                    if cover and lo <= cover[-1][1]:
+                        cover[-1][1] = max(cover[-1][1], hi)
+                    else:
+                        cover.append([lo, hi])
+                edges = [cover[0]] if cover else []
+                for lo, hi in cover[1:]:
+                    if lo - edges[-1][1] >= 0.9 * size:
+                        edges.append([lo, hi])
+                    else:
+                        edges[-1] = [edges[-1][0], hi]
+                two = sum(len({next((i for i, (lo, hi) in enumerate(edges) if lo <= (x + y) / 2 <= hi), None) for x, y in r} - {None}) >= 2 for r in rows[a:b])
+                if len(edges) >= 2 and two >= 0.6 * (b - a) and (best is None or b - a > best[1] - best[0]):
+                    best = (a, b, [tuple(e) for e in edges])
+        if best is None:
+            return out
+        out.append(best)
+        top = best[1]
 
 
 def test_table_search():
     grid = [(0, 50), (70, 120), (140, 190)]
-    assert [t[:2] for t in TB.find_tables(table_lines(5, grid))] == [(0, 5)] and len(TB.find_tables(table_lines(3, grid))[0][2]) == 3
-    assert TB.find_tables(table_lines(2, grid)) == [] and TB.find_tables(table_lines(5, [(0, 50), (52, 120)])) == []
-    prose = [dict(y=14.0 * i, h=10.0, size=10.0, col=0, boxes=[(0, 40 + 9 * i), (55 + 9 * i, 190)]) for i in range(8)]
-    assert TB.find_tables(prose) == []
-    caption = [dict(y=-14.0, h=10.0, size=10.0, col=0, boxes=[(0, 190)])]
-    assert TB.find_tables(caption + table_lines(4, grid))[0][:2] == (1, 5)
-    apart = table_lines(3, grid) + [dict(x, y=x["y"] + 200) for x in table_lines(2, grid)]
-    assert [t[:2] for t in TB.find_tables(apart)] == [(0, 3)]
+    assert [t[:2] for t in search([grid] * 5)] == [(0, 5)] and len(search([grid] * 3)[0][2]) == 3
+    assert search([grid] * 2) == [] and search([[(0, 50), (52, 120)]] * 5) == [] and search([]) == [] and search([[]] * 4) == []
+    assert search([[(0, 40 + 9 * i), (55 + 9 * i, 190)] for i in range(8)]) == []
+    assert search([[(0, 190)]] + [grid] * 4 + [[(0, 190)]] + [grid] * 3) == [(1, 5, [(0, 50), (70, 120), (140, 190)]), (6, 9, [(0, 50), (70, 120), (140, 190)])]
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        rows = [[(x, x + w) for x, w in zip((rng.integers(0, 12, k) * 15).tolist(), (rng.integers(1, 5, k) * 10).tolist())] for k in rng.integers(0, 4, rng.integers(1, 11))]
+        assert search(rows) == all_windows(rows)
+
+
+def test_tables_of_pages(spark):
+    """Blocks end at gaps and columns; cells lie under the columns' edges."""
+    boxes = [(0.0, 50.0), (70.0, 120.0)]
+    line = lambda page, i, y, col=0: (page, i, y, 10.0, 10.0, col, boxes)
+    rows = [line(0, i, 14.0 * i) for i in range(4)] + [line(0, 4 + i, 200 + 14.0 * i) for i in range(2)] + [line(1, i, 14.0 * i, int(i > 2)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page int, ord int, y double, h double, size_pt double, col int, boxes array<struct<x:double,x1:double>>")
+    got = {r["page"]: r for r in TB.detect(df).collect()}
+    assert {p: (r["first_line"], r["end_line"], r["columns"], r["x"], r["y"], r["w"], r["h"]) for p, r in got.items()} == {0: (0, 4, 2, 0.0, 0.0, 120.0, 52.0), 1: (0, 3, 2, 0.0, 0.0, 120.0, 38.0)}
+    assert [[tuple(c) for c in r] for r in got[1]["cells"]] == [[(0.0, 14.0 * i, 50.0, 10.0), (70.0, 14.0 * i, 50.0, 10.0)] for i in range(3)]
 
 
 def test_figures():
-    ink = np.zeros((100, 75), bool)
+    rows, cols = figures.cells(600, 800)
+    assert (rows, cols) == (96, 72) and figures.cells(800, 600) == (72, 96)
+    ink = np.zeros((rows, cols), bool)
     ink[10:30, 10:40] = True
-    ink[60:62, 5:70] = True
-    assert figures.detect(ink, [], 600, 800) == [(80.0, 80.0, 240.0, 160.0)]
-    assert figures.detect(ink, [(70.0, 70.0, 260.0, 180.0)], 600, 800) == []
-    assert figures.absorb((0, 0, 100, 100), [(102, 10, 20, 10), (400, 400, 5, 5)])[1] == [0]
+    ink[60, 5:70] = True  # a rule
+    cell = (800 / 96, 600 / 72)
+    box = (10 * cell[1], 10 * cell[0], 30 * cell[1], 20 * cell[0])
+    assert figures.detect(ink, [], 600, 800) == [pytest.approx(box)]
+    assert figures.detect(ink, [(70.0, 70.0, 290.0, 190.0)], 600, 800) == []
+    assert figures.absorb((0, 0, 100, 100), [(102, 10, 8, 10), (400, 400, 5, 5), (110, 10, 9, 10)]) == ((0, 0, 119, 100), [0, 2])
+    assert figures.absorb((0, 0, 100, 100), [(0, 100, 100, 200)])[1] == [] and figures.absorb((0, 0, 100, 100), [(102, 10, 8, 10)], [False])[1] == []
+    gray = np.full((8, 8), 255.0)
+    gray[0, 0], gray[5, 5] = 0, 240
+    assert figures.ink_grid(gray).tolist() == [[True, False], [False, False]]
+
+
+def test_patches_and_unions_by_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        grid = rng.random((9, 11)) < 0.35
+        at = {tuple(map(int, p)) for p in np.argwhere(grid)}
+        want = []
+        while at:
+            todo, patch = [at.pop()], []
+            while todo:
+                y, x = todo.pop()
+                patch.append((y, x))
+                near = {(y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1)} & at
+                at -= near
+                todo += near
+            ys, xs = zip(*patch)
+            want.append((min(ys), min(xs), max(ys) + 1, max(xs) + 1, len(patch)))
+        box, n = figures.patches(grid)
+        assert sorted((*map(int, b), int(k)) for b, k in zip(box, n)) == sorted(want)
+        boxes = [(x, y, x + w, y + h, 1) for x, y, w, h in rng.integers(1, 40, (rng.integers(1, 9), 4)).tolist()]
+        got, k = figures.joined(np.array([b[:4] for b in boxes], float), np.ones(len(boxes)), 6.0)
+        while pair := next(((p, q) for i, p in enumerate(boxes) for q in boxes[i + 1 :] if max(p[0], q[0]) - min(p[2], q[2]) < 6 and max(p[1], q[1]) - min(p[3], q[3]) < 6), None):
+            p, q = pair
+            boxes.remove(p)
+            boxes.remove(q)
+            boxes.append((min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]), p[4] + q[4]))
+        assert sorted((*map(int, b), int(c)) for b, c in zip(got, k)) == sorted(boxes)
 
 
 # --- Markdown, maths ---------------------------------------------------------------------
@@ -308,6 +441,8 @@ def test_maths():
     assert maths.unicode(r"\frac{a}{b}") == "a⁄b" and maths.unicode(r"\widehat{y}") == "y" and maths.unicode(r"\{A_1\}") == "{A₁}"
     assert maths.display("cost $5 and $x^2$") == "cost $5 and x²"
     assert maths.spans("a $$x_1$$ b") == [("", "a "), ("$$", "x_1"), ("", " b")]
+    assert maths.unicode(r"\mathcal{A}=\{A_{1}, A_{2}, \ldots, A_{n}\}") == "𝒜={A₁, A₂, …, Aₙ}" and maths.unicode("x^{ab") == "x{ab" and maths.unicode(r"x^{a_{1}}") == "xa₁"
+    assert maths.unicode(r"\foo bar \sqrt{x} a\,b\!c") == "foo bar √{x} a bc" and maths.unicode("x^") == "x" and maths.unicode("") == ""
     assert maths.clean_model_output("```markdown\n$ x^2 $\n```") == "$x^2$"
 
 
