@@ -321,6 +321,26 @@ ORACLES: dict[str, str] = {
     "contents_exclude": f"WITH {_AB}, t AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 4 = 0), c AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 9 = 0) SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = t.page AND t.first_line < c.end_line AND c.first_line < t.end_line)",
     "vision_blocks": f"WITH v AS (SELECT *, CASE WHEN ord = 5 THEN 'title' WHEN ord % 6 = 0 THEN 'table' ELSE 'paragraph' END AS kind FROM {_BOXES}) SELECT m.page, m.ord, m.kind FROM v m WHERE m.kind <> 'paragraph' OR NOT EXISTS (SELECT 1 FROM v n WHERE n.page = m.page AND n.kind <> 'paragraph' AND {_cover('m', 'n')} >= CASE WHEN n.kind = 'title' THEN 0.9 ELSE 0.6 END)",
     "place_headings": f"WITH {_AB}, r AS (SELECT *, row_number() OVER (PARTITION BY page, l_linenumber ORDER BY ord) = 1 AND l_linenumber <= 2 AS head FROM b) SELECT page, ord, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head THEN l_linenumber END AS level FROM r",
+    "column_gutters": f"""WITH b AS MATERIALIZED (SELECT page, CASE WHEN ord % 30 = 0 THEN 60.0 WHEN ord % 2 = 0 THEN 40.0 + (l_partkey % 18) * 12 ELSE 330.0 + (l_suppkey % 18) * 12 END AS x, (ord // 2) * 12.0 AS y, CASE WHEN ord % 30 = 0 THEN 420.0 ELSE 10.0 END AS w, h FROM {_BOXES}),
+      k AS (SELECT page, unnest(range(greatest(0, least(119, CAST(floor(y / (800.0 / 120)) AS INTEGER))), greatest(0, least(119, CAST(floor((y + h) / (800.0 / 120)) AS INTEGER))) + 1)) AS s, greatest(0, least(199, CAST(floor(x / 600 * 200) AS INTEGER))) AS x0, greatest(0, least(199, CAST(floor((x + w) / 600 * 200) AS INTEGER))) AS x1 FROM b WHERE x + w >= 0 AND x < 600),
+      c AS MATERIALIZED (SELECT DISTINCT page, s, unnest(range(x0, x1 + 1)) AS xi FROM k), st AS (SELECT page, count(DISTINCT s) AS strips FROM c GROUP BY 1),
+      ev AS MATERIALIZED (SELECT st.page, strips, r.xi, coalesce(n, 0) AS n FROM st, range(0, 200) r(xi) LEFT JOIN (SELECT page, xi, count(*) AS n FROM c GROUP BY 1, 2) z ON z.page = st.page AND z.xi = r.xi),
+      be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n, xi) AS rk FROM ev WHERE xi BETWEEN 50 AND 150) WHERE rk = 1 AND strips >= 20 AND n < strips * 0.55),
+      en AS (SELECT be.page, coalesce(max(ev.xi + 1) FILTER (WHERE ev.xi < be.xi), 0) AS lo, coalesce(min(ev.xi - 1) FILTER (WHERE ev.xi > be.xi), 199) AS hi FROM be LEFT JOIN ev ON ev.page = be.page AND ev.n >= be.n + 1 GROUP BY 1),
+      g AS (SELECT page, ((lo + hi) / 2.0 + 0.5) * 3.0 AS center, greatest(3.0, (hi - lo + 1) * 3.0 / 2) AS half FROM en)
+      SELECT page, round(center, 4) AS center, round(half, 4) AS half FROM (SELECT b.page, center, half, count(*) AS n, count(*) FILTER (WHERE x + w / 2 < center) AS l FROM b JOIN g USING (page) GROUP BY 1, 2, 3) WHERE n >= 80 AND l > floor(n / 8.0) AND l < floor(n * 7 / 8.0)""",
+    "extract_pages": f"""WITH {_PARAGRAPHS}, g AS MATERIALIZED (SELECT page, paragraph, min(ord) AS line, count(*) AS lines, replace(regexp_replace(string_agg(text, chr(57344) ORDER BY ord), '(\\p{{L}})-' || chr(57344) || '(\\p{{Ll}})', '\\1\\2', 'g'), chr(57344), ' ') AS text, max(size) AS size, bool_and(bold) AS bold FROM l7 GROUP BY 1, 2),
+      bd AS (SELECT page, coalesce({_MEDIAN.format('list(size) FILTER (WHERE lines > 1)')}, {_MEDIAN.format('list(size)')}) AS body FROM g GROUP BY page), j AS MATERIALIZED (SELECT *, {_SHAPED} AS is_heading FROM g JOIN bd USING (page)),
+      k AS (SELECT page, line, text, 'heading' AS type, CAST(least(6, dense_rank() OVER (PARTITION BY page ORDER BY round(size * 2) / 2 DESC)) AS INTEGER) AS level FROM j WHERE is_heading UNION ALL SELECT page, line, text, 'paragraph', NULL FROM j WHERE NOT is_heading)
+      SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY line) - 1 AS INTEGER) AS ord, type, level, {_trim('text')} AS text FROM k WHERE {_trim('text')} <> ''""",
+    "finish_documents": f"""WITH s AS MATERIALIZED (SELECT *, CASE WHEN type = 'heading' OR length(text) <= 40 THEN 'heading' ELSE 'paragraph' END AS kind FROM {_KEYED}),
+      kept AS MATERIALIZED (SELECT *, CASE WHEN kind = 'heading' THEN 9 + length(text) % 3 * 1.5 ELSE 9.0 END AS size FROM s WHERE k IS NULL OR NOT EXISTS (SELECT 1 FROM ({_FOUND}) f WHERE f.doc = s.doc AND f.key = s.k)),
+      hd AS MATERIALIZED (SELECT kept.doc, page, ord, size, {_depth('text')} AS dp, lower({_trim('text')}) IN ('references', 'bibliography', 'works cited', 'literature', 'literatur', 'literaturverzeichnis', 'quellen') AS bib, body FROM kept LEFT JOIN (SELECT doc, 9.0 AS body FROM kept WHERE kind = 'paragraph' AND length(text) > 0 GROUP BY doc) USING (doc) WHERE kind = 'heading'),
+      lg AS (SELECT *, NOT coalesce(size < body * 1.02 AND dp IS NULL, FALSE) AS large FROM hd), fb AS (SELECT doc, min([page, ord]) AS first FROM lg WHERE large AND bib GROUP BY doc),
+      rl AS MATERIALIZED (SELECT lg.*, large AND NOT coalesce([page, ord] > first AND NOT bib AND dp IS NOT NULL, FALSE) AS own FROM lg LEFT JOIN fb USING (doc)),
+      ti AS (SELECT doc, list_reverse_sort(list_distinct(list(size))) AS t, count(*) AS n, max((dp IS NOT NULL)::INT) AS num FROM rl WHERE own GROUP BY doc)
+      SELECT doc, page, ord, CASE WHEN own THEN 'heading' ELSE 'paragraph' END AS type, CAST(CASE WHEN own THEN CASE WHEN n > 1 AND len(t) > 1 THEN CASE WHEN dp IS NOT NULL THEN least(dp + num, 6) ELSE least(6, coalesce(list_position(list_transform(t, lambda q: size > q * 0.94), TRUE), len(t))) END ELSE 1 END END AS INTEGER) AS level FROM rl LEFT JOIN ti USING (doc)
+      UNION ALL SELECT doc, page, ord, 'paragraph', NULL FROM kept WHERE kind = 'paragraph'""",
     "figure_pages": f"WITH {_AB}, p AS (SELECT page, max(x) AS width, max(y) AS height FROM b GROUP BY page) SELECT b.page, printf('images/p%03d-fig%02d.png', b.page + 1, ord) AS path, round(x, 3) AS x, round(y, 3) AS y, round(w, 3) AS w, round(h, 3) AS h, round(width, 3) AS width, round(height, 3) AS height FROM b JOIN p USING (page) WHERE ord % 20 = 0",
     "document_report": f"""WITH t AS {_TALK}, p AS (SELECT conv_id AS doc_id, count(DISTINCT turn) AS pages, sum(turn * 0.25) AS s FROM conversations GROUP BY 1), r AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (WHERE type = 'heading') AS headings, count(*) FILTER (WHERE type = 'table') AS tables, count(*) FILTER (WHERE type = 'figure') AS figures, sum(length(text)) AS c FROM t GROUP BY doc_id)
       SELECT doc_id, pages, blocks, headings, tables, figures, round(c / pages, 4) AS per_page, round(s, 4) AS seconds, round(s / pages, 4) AS seconds_per_page FROM p JOIN r USING (doc_id)""",
