@@ -34,4 +34,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``staged`` returned, once no other frame is made from it any more."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,5 +1,6 @@
 """Readers, writers, shared tables and whole plans."""
 
+import glob
 import json
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.plans import extract as X
 from quire.operators import tables as TB
 from quire.sources import files, sinks
-from quire.storage import shared_dir, staged
+from quire.storage import discard, shared_dir, staged
 
 DOCUMENT = {
     "source": {"filename": "a.pdf", "pages": 1, "sha256": "x"}, "engine": {"tier": "fast", "model": None, "appVersion": "1"},
@@ -63,6 +64,9 @@ def test_markdown_sink_and_export(spark, tmp_path):
 
 def test_staged_tables_lie_in_the_shared_folder(spark):
     df = staged(spark.range(10), "numbers")
+    gone = staged(spark.range(3), "gone")
+    discard(gone)
+    assert not glob.glob(gone.staged_path.removeprefix("file://"))
     assert df.count() == 10 and all(shared_dir(spark).split(":")[-1].lstrip("/") in f for f in df.inputFiles())
 
 
