@@ -25,7 +25,10 @@ BATCH = 512
 
 
 def bounded_batches(spark) -> None:
-    """Smaller Arrow batches, unless the session has a number of its own."""
+    """Smaller Arrow batches, unless the session has a number of its own.
+
+    The setting is the session's, read when a plan runs; so it stays changed.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH))

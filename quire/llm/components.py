@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quire.storage import staged
+from quire.storage import discard, staged
 
 
 def connected(links: DataFrame, a: str, b: str, label: str = "links") -> DataFrame:
@@ -27,4 +27,5 @@ def connected(links: DataFrame, a: str, b: str, label: str = "links") -> DataFra
         large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), "m").distinct()
         floor = large.groupBy("v").agg(F.min("m").alias("to"))
         small = large.join(floor, "v").select(F.col("m").alias("v"), F.col("to").alias("m")).unionAll(floor.select("v", F.col("to").alias("m")))
-        e = staged(small.where("v <> m").distinct(), label)
+        e, before = staged(small.where("v <> m").distinct(), label), e
+        discard(before)  # rounds are many in a long session

@@ -434,6 +434,33 @@ def test_private_data(spark):
     assert all(got[i] == t for i, t in enumerate(texts) if not private(t) and i < len(ODD))
 
 
+def test_loose_spans_are_recalled(spark):
+    """Planted looser forms are found, lookalikes and prose left alone, by a model that saw no label."""
+    rng = random.Random(13)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    words = lambda: " ".join(rng.choice("the report of this year shows how many people came and what they did there".split()) for _ in range(rng.randrange(4, 15)))
+    plant = [
+        ("phone", lambda: f"{rng.choice('23456789')}{digits(2)}-{digits(3)}-{digits(4)}", "call me at "), ("email", lambda: f"{rng.choice(['anna', 'bob.k', 'info'])} [at] mail{digits(2)} [dot] com", "write to "),
+        ("ip", lambda: ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8)), "the host address is "), ("secret", lambda: f"api_key = {digits(6)}abc{digits(9)}", "export "),
+    ]
+    like = [lambda: f"order {digits(4)} {digits(4)} {digits(4)} {digits(4)}", lambda: f"section {rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(300, 900)}.7", lambda: f"ratio {digits(2)}:{digits(2)}", lambda: f"password = {'x' * 3}"]
+    texts, want = [], []
+    for i in range(400):
+        if i % 2:
+            kind, of, cue = plant[i // 2 % 4]
+            before, value = f"{words()} {cue}", of()
+            texts.append(f"{before}{value} {words()}")
+            want.append((kind, len(before), len(before) + len(value)))
+        else:
+            texts.append(f"{words()} {like[i // 2 % 4]()} {words()}")
+            want.append(None)
+    df = docs(spark, texts)
+    got = {r["doc_id"]: {tuple(s.split(":")) for s in r["spans"].split(",") if s} - {("card", *s.split(":")[1:]) for s in r["spans"].split(",") if s.startswith("card") and private(texts[r["doc_id"]])} for r in pii.digest(df, pii.train(df)).collect()}
+    hit = sum(any(k == w[0] and int(a) < w[2] and w[1] < int(b) for k, a, b in got[i]) for i, w in enumerate(want) if w)
+    false = sum(len(got[i]) for i, w in enumerate(want) if not w)
+    assert hit >= 0.9 * sum(map(bool, want)) and false <= 0.05 * len(texts), (hit, false)
+
+
 def test_private_data_is_native(spark):
     plan = pii.digest(documents(spark), pii.Model())._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
