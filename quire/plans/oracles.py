@@ -208,6 +208,24 @@ e6 AS (SELECT *, count(*) OVER (PARTITION BY page_id, run) AS n FROM e5 WHERE ok
 _ITEMS = "(SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS ord, l_linenumber % 5 AS depth FROM lineitem)"
 _ROWS = "(SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS i, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS a, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS b, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS c FROM lineitem)"
 
+_COLUMNS = f"""b AS MATERIALIZED (SELECT page, ord, CASE WHEN ord % 30 = 0 THEN 60.0 WHEN ord % 2 = 0 THEN 40.0 + (l_partkey % 18) * 12 ELSE 330.0 + (l_suppkey % 18) * 12 END AS x, (ord // 2) * 12.0 AS y, CASE WHEN ord % 30 = 0 THEN 420.0 ELSE 10.0 END AS w, h FROM {_BOXES}),
+      k AS (SELECT page, unnest(range(greatest(0, least(119, CAST(floor(y / (800.0 / 120)) AS INTEGER))), greatest(0, least(119, CAST(floor((y + h) / (800.0 / 120)) AS INTEGER))) + 1)) AS s, greatest(0, least(199, CAST(floor(x / 600 * 200) AS INTEGER))) AS x0, greatest(0, least(199, CAST(floor((x + w) / 600 * 200) AS INTEGER))) AS x1 FROM b WHERE x + w >= 0 AND x < 600),
+      c AS MATERIALIZED (SELECT DISTINCT page, s, unnest(range(x0, x1 + 1)) AS xi FROM k), st AS (SELECT page, count(DISTINCT s) AS strips FROM c GROUP BY 1),
+      ev AS MATERIALIZED (SELECT st.page, strips, r.xi, coalesce(n, 0) AS n FROM st, range(0, 200) r(xi) LEFT JOIN (SELECT page, xi, count(*) AS n FROM c GROUP BY 1, 2) z ON z.page = st.page AND z.xi = r.xi),
+      be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n, xi) AS rk FROM ev WHERE xi BETWEEN 50 AND 150) WHERE rk = 1 AND strips >= 20 AND n < strips * 0.55),
+      en AS (SELECT be.page, coalesce(max(ev.xi + 1) FILTER (WHERE ev.xi < be.xi), 0) AS lo, coalesce(min(ev.xi - 1) FILTER (WHERE ev.xi > be.xi), 199) AS hi FROM be LEFT JOIN ev ON ev.page = be.page AND ev.n >= be.n + 1 GROUP BY 1),
+      g AS (SELECT page, ((lo + hi) / 2.0 + 0.5) * 3.0 AS center, greatest(3.0, (hi - lo + 1) * 3.0 / 2) AS half FROM en),
+      gt AS MATERIALIZED (SELECT page, center, half FROM (SELECT b.page, center, half, count(*) AS n, count(*) FILTER (WHERE x + w / 2 < center) AS l FROM b JOIN g USING (page) GROUP BY 1, 2, 3) WHERE n >= 80 AND l > floor(n / 8.0) AND l < floor(n * 7 / 8.0))"""
+
+def _rows_of(source: str, keys: str, p: str) -> str:
+    """Rows that grow by overlap of height, as a fold over the glyphs of each group."""
+    on = " AND ".join(f"n.{k} = f.{k}" for k in keys.split(", "))
+    fits = "least(n.y + n.h, y1) - greatest(n.y, y0) > n.h * 0.45"
+    return f"""{p}n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY y, x, ord) AS i FROM {source}),
+      {p} AS (SELECT {keys}, i, ord, 1 AS row, y AS y0, y + h AS y1 FROM {p}n WHERE i = 1 UNION ALL SELECT {', '.join('n.' + k for k in keys.split(', '))}, n.i, n.ord, f.row + (NOT {fits})::INT,
+        CASE WHEN {fits} THEN least(y0, n.y) ELSE n.y END, CASE WHEN {fits} THEN greatest(y1, n.y + n.h) ELSE n.y + n.h END FROM {p} f JOIN {p}n n ON {on} AND n.i = f.i + 1)"""
+
+
 ORACLES: dict[str, str] = {
     "token_estimate": f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents",
     "garbled_ratio": rf"SELECT doc_id, round(CASE WHEN length({_solid('text')}) > 0 THEN {_count(_solid('text'), '[' + chr(92) + 'p{Co}' + chr(92) + 'p{Cc}' + chr(92) + 'x{FFFD}]')} * 1.0 / length({_solid('text')}) ELSE 0.0 END, 6) AS ratio FROM documents",
@@ -321,14 +339,14 @@ ORACLES: dict[str, str] = {
     "contents_exclude": f"WITH {_AB}, t AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 4 = 0), c AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 9 = 0) SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = t.page AND t.first_line < c.end_line AND c.first_line < t.end_line)",
     "vision_blocks": f"WITH v AS (SELECT *, CASE WHEN ord = 5 THEN 'title' WHEN ord % 6 = 0 THEN 'table' ELSE 'paragraph' END AS kind FROM {_BOXES}) SELECT m.page, m.ord, m.kind FROM v m WHERE m.kind <> 'paragraph' OR NOT EXISTS (SELECT 1 FROM v n WHERE n.page = m.page AND n.kind <> 'paragraph' AND {_cover('m', 'n')} >= CASE WHEN n.kind = 'title' THEN 0.9 ELSE 0.6 END)",
     "place_headings": f"WITH {_AB}, r AS (SELECT *, row_number() OVER (PARTITION BY page, l_linenumber ORDER BY ord) = 1 AND l_linenumber <= 2 AS head FROM b) SELECT page, ord, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head THEN l_linenumber END AS level FROM r",
-    "column_gutters": f"""WITH b AS MATERIALIZED (SELECT page, CASE WHEN ord % 30 = 0 THEN 60.0 WHEN ord % 2 = 0 THEN 40.0 + (l_partkey % 18) * 12 ELSE 330.0 + (l_suppkey % 18) * 12 END AS x, (ord // 2) * 12.0 AS y, CASE WHEN ord % 30 = 0 THEN 420.0 ELSE 10.0 END AS w, h FROM {_BOXES}),
-      k AS (SELECT page, unnest(range(greatest(0, least(119, CAST(floor(y / (800.0 / 120)) AS INTEGER))), greatest(0, least(119, CAST(floor((y + h) / (800.0 / 120)) AS INTEGER))) + 1)) AS s, greatest(0, least(199, CAST(floor(x / 600 * 200) AS INTEGER))) AS x0, greatest(0, least(199, CAST(floor((x + w) / 600 * 200) AS INTEGER))) AS x1 FROM b WHERE x + w >= 0 AND x < 600),
-      c AS MATERIALIZED (SELECT DISTINCT page, s, unnest(range(x0, x1 + 1)) AS xi FROM k), st AS (SELECT page, count(DISTINCT s) AS strips FROM c GROUP BY 1),
-      ev AS MATERIALIZED (SELECT st.page, strips, r.xi, coalesce(n, 0) AS n FROM st, range(0, 200) r(xi) LEFT JOIN (SELECT page, xi, count(*) AS n FROM c GROUP BY 1, 2) z ON z.page = st.page AND z.xi = r.xi),
-      be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n, xi) AS rk FROM ev WHERE xi BETWEEN 50 AND 150) WHERE rk = 1 AND strips >= 20 AND n < strips * 0.55),
-      en AS (SELECT be.page, coalesce(max(ev.xi + 1) FILTER (WHERE ev.xi < be.xi), 0) AS lo, coalesce(min(ev.xi - 1) FILTER (WHERE ev.xi > be.xi), 199) AS hi FROM be LEFT JOIN ev ON ev.page = be.page AND ev.n >= be.n + 1 GROUP BY 1),
-      g AS (SELECT page, ((lo + hi) / 2.0 + 0.5) * 3.0 AS center, greatest(3.0, (hi - lo + 1) * 3.0 / 2) AS half FROM en)
-      SELECT page, round(center, 4) AS center, round(half, 4) AS half FROM (SELECT b.page, center, half, count(*) AS n, count(*) FILTER (WHERE x + w / 2 < center) AS l FROM b JOIN g USING (page) GROUP BY 1, 2, 3) WHERE n >= 80 AND l > floor(n / 8.0) AND l < floor(n * 7 / 8.0)""",
+    "column_gutters": f"WITH {_COLUMNS} SELECT page, round(center, 4) AS center, round(half, 4) AS half FROM gt",
+    "arrange_rows": f"""WITH RECURSIVE {_COLUMNS}, {_rows_of('b', 'page', 'fr')},
+      s AS (SELECT b.*, fr.row, center, half, x + w / 2 < center AS lf FROM b JOIN fr USING (page, ord) LEFT JOIN gt USING (page)),
+      q AS (SELECT *, min(x) FILTER (WHERE NOT lf) OVER v - max(x + w) FILTER (WHERE lf) OVER v AS between_ FROM s WINDOW v AS (PARTITION BY page, row)),
+      c2 AS MATERIALIZED (SELECT page, ord, x, y, w, h, CASE WHEN center IS NULL THEN 0 WHEN between_ IS NOT NULL AND between_ < greatest(6.0, half) THEN -1 WHEN lf THEN 0 ELSE 1 END AS col FROM q), {_rows_of('c2', 'page, col', 'fc')},
+      bx AS MATERIALIZED (SELECT page, col, row, min(x) AS x, min(y) AS y, max(x + w) AS x1, max(y + h) AS y1, max(h) AS size, count(*) AS n FROM c2 JOIN fc USING (page, col, ord) GROUP BY 1, 2, 3),
+      z AS (SELECT bx.*, CAST((SELECT count(*) FROM bx t WHERE t.page = bx.page AND t.col = -1 AND t.y < CASE WHEN bx.col = -1 THEN bx.y ELSE (bx.y + bx.y1) / 2 END) AS INTEGER) AS section FROM bx)
+      SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY section, CASE WHEN col = -1 THEN 2 ELSE col END, y, x, row) AS INTEGER) AS line, col AS "column", section, x, y, x1, y1, size, n FROM z""",
     "extract_pages": f"""WITH {_PARAGRAPHS}, g AS MATERIALIZED (SELECT page, paragraph, min(ord) AS line, count(*) AS lines, replace(regexp_replace(string_agg(text, chr(57344) ORDER BY ord), '(\\p{{L}})-' || chr(57344) || '(\\p{{Ll}})', '\\1\\2', 'g'), chr(57344), ' ') AS text, max(size) AS size, bool_and(bold) AS bold FROM l7 GROUP BY 1, 2),
       bd AS (SELECT page, coalesce({_MEDIAN.format('list(size) FILTER (WHERE lines > 1)')}, {_MEDIAN.format('list(size)')}) AS body FROM g GROUP BY page), j AS MATERIALIZED (SELECT *, {_SHAPED} AS is_heading FROM g JOIN bd USING (page)),
       k AS (SELECT page, line, text, 'heading' AS type, CAST(least(6, dense_rank() OVER (PARTITION BY page ORDER BY round(size * 2) / 2 DESC)) AS INTEGER) AS level FROM j WHERE is_heading UNION ALL SELECT page, line, text, 'paragraph', NULL FROM j WHERE NOT is_heading)
