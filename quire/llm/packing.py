@@ -32,8 +32,8 @@ from quire.llm._arrow import explode_texts
 from quire.llm._pieces import Memo, one_word
 from quire.storage import staged
 
-#: Pieces of a group, and how often those of sequences that aren't full are dealt anew.
-GROUP, ROUNDS = 16_384, 3
+#: Pieces of a group, and how many rounds' sequences can be numbered: rounds end when one saves nothing.
+GROUP, ROUNDS = 16_384, 31
 #: Entries of a worker's memo of encoded pieces, and the longest piece kept.
 MEMO, LONGEST = 700_000, 48
 
