@@ -35,6 +35,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
+#: Tasks that a host's or path's urls may be dealt over.
+SALTS = 16
+
 #: For callers that fill a ``Model`` by hand; no word is hashed to a slot.
 SLOTS = 1 << 16
 
@@ -220,7 +223,10 @@ def judge(urls: DataFrame, model: Model, url_col: str = "url", keep: Sequence[st
     of_paths = _sums(_exploded(cut.select("path").distinct(), "path", ("path",)), model, "path")
     score = F.lit(model.prior) + F.coalesce(F.col("host_odds"), F.lit(0.0)) + F.coalesce(F.col("path_odds"), F.lit(0.0))
     words = F.coalesce(F.col("words"), F.array().cast("array<string>"))
-    out = cut.join(of_hosts, "host", "left").join(of_paths, "path", "left").select(*ks, "host", "path", "rule", score.alias("score"), words.alias("words"))
+    # a very common host's or path's urls are dealt over several tasks, each with a copy of its one row
+    dealt = lambda one: one.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("q_salt"))
+    cut = cut.withColumn("q_salt", F.pmod(F.xxhash64(*ks, "host", "path"), F.lit(SALTS)).cast("int"))
+    out = cut.join(dealt(of_hosts), ["host", "q_salt"], "left").join(dealt(of_paths), ["path", "q_salt"], "left").select(*ks, "host", "path", "rule", score.alias("score"), words.alias("words"))
     at = F.col("rule") + 1
     names = F.array(*[F.lit(h + p) for _, h, p in rules]) if rules else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(v) for v, _, _ in rules]) if rules else F.array().cast("array<string>")
