@@ -1,6 +1,5 @@
 """The llm operators against brute force, round trips and held-out accuracy, edge cases included."""
 
-import base64
 import collections
 import hashlib
 import random
