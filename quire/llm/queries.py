@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import bpe, fim, langid, license_scan, line_dedup, merkle, ngram_join, packing, pii, quality_rules, tiff, url_filter
+from quire.llm import bpe, fim, langid, license_scan, line_dedup, merkle, ngram_join, packing, pii, quality_rules, substring_dedup, tiff, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op11_fim_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.transform(_table(spark, sf_dir, "documents")))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.leaves(_table(spark, sf_dir, "documents"), seen={"text": merkle.lowered()}, changed=merkle.tampered())
     return merkle.verified(merkle.proofs(merkle.build(found)))
@@ -81,6 +86,7 @@ QUERIES = {
     "op9_tiff": op9_tiff,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_fim_transform": op11_fim_transform,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -104,6 +110,15 @@ f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR
   array_to_string(us[1:a], '') AS p, array_to_string(us[a + 1:b], '') AS m, array_to_string(us[b + 1:], '') AS s FROM r)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f""",
+    "op12_substring_dedup": r"""WITH
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, unnest([array_to_string(ws[k:k + 19], ' ') FOR k IN range(1, len(ws) - 18)]) AS s FROM d),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM f WHERE again),
+l AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN l ON l.doc_id = d.doc_id""",
     "op13_merkle_manifest": r"""WITH RECURSIVE
 d AS (SELECT *, coalesce('=' || lang, '-') AS g, list_reduce(list_concat([4294967295], flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')])),
   lambda a, b: CASE WHEN b >= 0 THEN xor(a, b::BIGINT) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS c FROM documents),
