@@ -54,8 +54,10 @@ class Options:
     sentinels: tuple[str, str, str] = SENTINELS
 
     def __post_init__(self):
-        if not all(s and s.isascii() and not any(s in t or t in s or s[:k] == t[-k:] for t in self.sentinels if t is not s for k in range(1, len(s))) for s in self.sentinels):
-            raise ValueError("sentinels must be ASCII and must not overlap one another")
+        borders = any(s[:k] == t[-k:] for s in self.sentinels for t in self.sentinels for k in range(1, len(s)))
+        inside = any(s in t for s in self.sentinels for t in self.sentinels if t is not s)
+        if borders or inside or not all(s and s.isascii() for s in self.sentinels):
+            raise ValueError("sentinels must be ASCII, and none may end as one begins or stand in another")
 
 
 @lru_cache(4)
