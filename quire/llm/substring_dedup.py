@@ -12,11 +12,13 @@ equal anchors, come to one shard, and each window to one alone.  Anchors that
 very many segments have (``HOT``) would fill a shard: their segments are cut
 into single windows, dealt by the hash of the whole window.
 
-*Copies* are put together before they move.  Of equal segments in a batch the
-first place goes to the shard, the others are repeats already.
+*Copies* are put together before words move.  First only hashes do: an anchor
+and a hash of the segment's words.  Of equal segments the first place stays,
+the others are repeats.  Anchors that have several different segments then ask
+for the words of each, once: their windows may be alike in part.
 
-*Index.*  A shard lays its distinct segments one after another, in the order of
-their first places, and keeps of that text its Burrows-Wheeler transform in a
+*Index.*  A shard lays these segments one after another, in the order of their
+places, and keeps of that text its Burrows-Wheeler transform in a
 wavelet tree (levels of packed bits with counts, laid out as a matrix) and the
 counts of symbols: bits in proportion to the logarithm of the words' number,
 no suffix array.  The segments are streamed through it: backward search extends
@@ -48,8 +50,8 @@ from quire.storage import staged
 WINDOW, GRAM = 20, 3
 #: Words of a batch: what a task looks at together before it deals segments out.
 BATCH_WORDS = 1 << 20
-#: Words of segments in a shard, about; words of one index, about.
-SHARD_WORDS, INDEX_WORDS = 1 << 22, 1 << 20
+#: Segments of a shard, about; words of a shard's indexes, about; words of one index, about.
+SHARD_SEGMENTS, SHARD_WORDS, INDEX_WORDS = 1 << 19, 1 << 21, 1 << 20
 #: Anchors fall into 2^16 groups; a group that holds more than this share of all segments is hot.
 HOT = 1 / 4096
 #: No group below so many segments is hot.
@@ -188,15 +190,33 @@ def _unpacked(blob: bytes, types: dict[int, tuple]) -> tuple[int, list[np.ndarra
 
 
 #: Kinds of packets and the types of their parts: documents, then
-#: of segments: document, place, windows, words, words' hashes; of repeats: document, start, end.
-SEGMENTS, WIDE_SEGMENTS, REPEATS = 0, 1, 2
+#: of segments: document, place, windows, anchor, hash of all words;
+#: of repeats: document, start, end; of words: document, place, windows, words, words' hashes.
+SEGMENTS, REPEATS, WORDS, WIDE_WORDS = 0, 1, 2, 3
 _TYPES = {
-    SEGMENTS: (_DOC, "<u4", "<u4", "<u1", "<u2", "<u8"),
-    WIDE_SEGMENTS: (_DOC, "<u4", "<u4", "<u1", "<u4", "<u8"),
+    SEGMENTS: (_DOC, "<u4", "<u4", "<u1", "<u8", "<u8"),
     REPEATS: (_DOC, "<u4", "<u4", "<u4"),
+    WORDS: (_DOC, "<u4", "<u4", "<u1", "<u2", "<u8"),
+    WIDE_WORDS: (_DOC, "<u4", "<u4", "<u1", "<u4", "<u8"),
 }
 
 
+def _turns(docs: np.ndarray) -> np.ndarray:
+    """Each document's number in their order; rows alike have one number."""
+    order = np.lexsort((docs["hash"], docs["id"], docs["none"]))
+    number = np.empty(len(docs), np.int64)
+    number[order] = np.concatenate(([0], np.cumsum(docs[order][1:] != docs[order][:-1]))) if len(docs) else 0
+    return number
+
+
+def _dealt(shard: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the equal values, shard by shard."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) != 0, [True]))) if len(shard) else []
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield order[lo:hi]
+
+
 def _few(docs: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The documents that are used, and their numbers among these."""
     which, number = np.unique(used, return_inverse=True)
@@ -254,51 +274,116 @@ class Dealer(Batch):
 
     def _deal(self):
         window = self.window
-        codes, vocabulary, h, lengths = self.laid()
+        _, _, h, lengths = self.laid()
         start, count, anchor = segments(h, lengths, window)
         hot = self.hot[(anchor >> _U(48)).astype(np.int64)]
         if hot.any():
-            single = ranges(start[hot], count[hot])
-            start, count, anchor = (np.concatenate((a[~hot], b)) for a, b in ((start, single), (count, np.ones(len(single), count.dtype)), (anchor, np.zeros(len(single), _U))))
-            hot = np.concatenate((np.zeros(len(start) - len(single), bool), np.ones(len(single), bool)))
+            single, cold = ranges(start[hot], count[hot]), ~hot
+            start, count, anchor = (np.concatenate(x) for x in ((start[cold], single), (count[cold], np.ones_like(single)), (anchor[cold], np.zeros(len(single), _U))))
+            hot = np.arange(len(start)) >= len(start) - len(single)
         key = content(h, start, count + window - 1)
-        route = np.where(hot, key, anchor)
+        anchor = np.where(hot, key, anchor)
         first = np.cumsum(lengths) - lengths
         piece = np.searchsorted(first, start, "right") - 1
         doc = np.array(self.of)[piece]
         place = start - first[piece] + np.array(self.offsets)[piece]
         docs = np.array(self.docs, _DOC)
-        # the order of documents; rows alike have one number
-        order = np.lexsort((docs["hash"], docs["id"], docs["none"]))
-        turn = np.concatenate(([0], np.cumsum(docs[order][1:] != docs[order][:-1])))
-        number = np.empty(len(docs), np.int64)
-        number[order] = turn
-        by = np.lexsort((place, number[doc], key))
-        same = (key[by][1:] == key[by][:-1]) & (count[by][1:] == count[by][:-1])
-        head = by[np.concatenate(([True], ~same))]
+        turn = _turns(docs)
+        by = np.lexsort((place, turn[doc], key))
+        new = np.concatenate(([True], (key[by][1:] != key[by][:-1]) | (count[by][1:] != count[by][:-1])))
+        head = by[new]
+        leader = head[np.cumsum(new) - 1]
         # not the first of its kind, and not the first itself in a row alike
-        leader = head[np.cumsum(np.concatenate(([True], ~same))) - 1]
-        lost = by[(number[doc[by]] != number[doc[leader]]) | (place[by] != place[leader])]
+        lost = by[(turn[doc[by]] != turn[doc[leader]]) | (place[by] != place[leader])]
         if len(lost):
             of, a, b = merged(doc[lost], place[lost], place[lost] + count[lost] + window - 1)
             few, of = _few(docs, of)
             yield int(few["hash"][0] % self.shards), _packed(REPEATS, few, of, a.astype("<u4"), b.astype("<u4"))
-        shard = (route[head] % _U(self.shards)).astype(np.int64)
-        head = head[np.argsort(shard, kind="stable")]
-        shard = np.sort(shard)
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(shard) != 0, [True]))) if len(shard) else []
-        local = np.zeros(len(vocabulary), np.int64)
-        for lo, hi in zip(cuts, cuts[1:]):
-            own = head[lo:hi]
-            own = own[np.lexsort((place[own], doc[own]))]
-            words = codes[ranges(start[own], count[own] + window - 1)]
-            local[words] = 1
-            used = np.flatnonzero(local)
-            local[used] = np.arange(len(used))
-            kind, width = (SEGMENTS, "<u2") if len(used) <= 1 << 16 else (WIDE_SEGMENTS, "<u4")
+        head = np.sort(head)
+        for own in _dealt((anchor[head] % _U(self.shards)).astype(np.int64)):
+            own = head[own]
             few, of = _few(docs, doc[own])
-            yield int(shard[lo]), _packed(kind, few, of, place[own].astype("<u4"), count[own].astype("<u1"), local[words].astype(width), vocabulary[used])
-            local[used] = 0
+            yield int(anchor[own[0]] % _U(self.shards)), _packed(SEGMENTS, few, of, place[own].astype("<u4"), count[own].astype("<u1"), anchor[own], key[own])
+
+
+class Shard:
+    """Gathers a shard's packets of hashes: copies of segments, and segments to be looked at."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window, self.docs, self.parts, self.ready, self.n = window, [], [], [], 0
+
+    def add(self, blob: bytes) -> None:
+        kind, (docs, of, *arrays) = _unpacked(blob, _TYPES)
+        if kind == REPEATS:
+            self.ready.append((docs, of.astype(np.int64), *(a.astype(np.int64) for a in arrays)))
+            return
+        place, count, anchor, key = arrays
+        self.docs.append(docs)
+        self.parts.append((of.astype(np.int64) + self.n, place.astype(np.int64), count.astype(np.int64), anchor, key))
+        self.n += len(docs)
+
+    def rows(self) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(whether repeated, documents, document, start, end); else (..., place, windows) of which the words are asked for."""
+        yield from ((True, *x) for x in self.ready)
+        if not self.parts:
+            return
+        docs = np.concatenate(self.docs)
+        doc, place, count, anchor, key = (np.concatenate(x) for x in zip(*self.parts))
+        turn = _turns(docs)[doc]
+        by = np.lexsort((place, turn, count, key, anchor))
+        differs = lambda *xs: np.concatenate(([True], np.logical_or.reduce([x[by][1:] != x[by][:-1] for x in xs])))
+        by = by[differs(anchor, key, count, turn, place)]  # rows alike are one document
+        new = differs(anchor, key, count)
+        again = by[~new]
+        if len(again):
+            yield True, docs, *merged(doc[again], place[again], place[again] + count[again] + self.window - 1)
+        by = by[new]
+        kin = np.cumsum(differs(anchor)) - 1
+        ask = by[np.bincount(kin)[kin] > 1]
+        if len(ask):
+            ask = ask[np.lexsort((place[ask], doc[ask]))]
+            yield False, docs, doc[ask], place[ask], count[ask]
+
+
+class Asked:
+    """Gathers the words of segments that were asked for, and deals them out by anchor."""
+
+    def __init__(self, shards: int, window: int = WINDOW):
+        self.shards, self.window = shards, window
+        self._fresh()
+
+    def _fresh(self):
+        self.codes, self.docs, self.parts, self.size = Codes(), [], [], 0
+
+    def add(self, doc: tuple, text: str, asks: list[bytes]) -> None:
+        place, count = np.concatenate([np.frombuffer(a, "<u4").reshape(-1, 2) for a in asks]).astype(np.int64).T
+        where = ranges(place, count + self.window - 1)
+        used, at = np.unique(where, return_inverse=True)
+        words = text.encode("utf-8", "replace").split()
+        own = np.fromiter(map(self.codes.__getitem__, map(words.__getitem__, used.tolist())), np.int32, len(used))
+        self.parts.append((np.full(len(place), len(self.docs)), place, count, own[at]))
+        self.docs.append(doc)
+        self.size += len(where)
+
+    def deal(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, packet) of what was gathered, which is cleared."""
+        if self.parts:
+            doc, place, count, codes = (np.concatenate(x) for x in zip(*self.parts))
+            docs, hashes = np.array(self.docs, _DOC), np.array(self.codes.hashes, _U)
+            size = count + self.window - 1
+            start = np.cumsum(size) - size
+            shard = (anchors(hashes[codes], start, size) % _U(self.shards)).astype(np.int64)
+            local = np.zeros(len(hashes), np.int64)
+            for own in _dealt(shard):
+                words = codes[ranges(start[own], size[own])]
+                local[words] = 1
+                used = np.flatnonzero(local)
+                local[used] = np.arange(len(used))
+                kind, width = (WORDS, "<u2") if len(used) <= 1 << 16 else (WIDE_WORDS, "<u4")
+                few, of = _few(docs, doc[own])
+                yield int(shard[own[0]]), _packed(kind, few, of, place[own].astype("<u4"), count[own].astype("<u1"), local[words].astype(width), hashes[used])
+                local[used] = 0
+        self._fresh()
 
 
 # --- the index --------------------------------------------------------------------
@@ -411,75 +496,52 @@ def repeated_windows(words: np.ndarray, size: np.ndarray, window: int = WINDOW)
     return found
 
 
-class Shard:
-    """Gathers a shard's packets and finds what is repeated in them."""
+def anchors(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The anchor of each segment, from its words alone."""
+    # grams that run over a segment's end are none of its own
+    inner = np.repeat(start + size, size) - np.arange(len(h)) >= GRAM
+    return np.minimum.reduceat(np.where(inner, grams(h), _U(2**64 - 1)), start)
+
+
+class Indexes:
+    """Gathers a shard's packets of words, and finds the windows that are repeated in them."""
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.docs, self.parts, self.ready, self.n = window, [], [], [], 0
+        self.window, self.docs, self.parts, self.n = window, [], [], 0
 
     def add(self, blob: bytes) -> None:
-        kind, (docs, of, *arrays) = _unpacked(blob, _TYPES)
-        if kind == REPEATS:
-            self.ready.append((docs, of.astype(np.int64), *(a.astype(np.int64) for a in arrays)))
-            return
-        place, count, words, hashes = arrays
+        _, (docs, of, place, count, words, hashes) = _unpacked(blob, _TYPES)
         self.docs.append(docs)
         self.parts.append((of.astype(np.int64) + self.n, place.astype(np.int64), count.astype(np.int64), hashes[words]))
         self.n += len(docs)
 
-    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(documents, document, start, end) of stretches that are repeated."""
-        yield from self.ready
-        if self.parts:
-            yield from self._found()
-
-    def _found(self):
+    def rows(self) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(True, documents, document, start, end)."""
+        if not self.parts:
+            return
         window, docs = self.window, np.concatenate(self.docs)
         doc, place, count, h = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts = []
         size = count + window - 1
         start = np.cumsum(size) - size
-        order = np.lexsort((docs["hash"], docs["id"], docs["none"]))
-        number = np.empty(len(docs), np.int64)
-        number[order] = np.concatenate(([0], np.cumsum(docs[order][1:] != docs[order][:-1])))
-        doc_order = number[doc]
-        g = grams(h)
-        # the grams of a segment alone: those that run over its end are no anchors
-        inner = np.repeat(start + size, size) - np.arange(len(h)) >= GRAM
-        anchor = np.minimum.reduceat(np.where(inner, g, _U(2**64 - 1)), start)
-        key = content(h, start, size)
-        by = np.lexsort((place, doc_order, count, key, anchor))
-        differs = lambda *xs: np.concatenate(([True], np.logical_or.reduce([x[by][1:] != x[by][:-1] for x in xs])))
-        new_place = differs(anchor, key, count, doc_order, place)  # rows alike are one document
-        by = by[new_place]
-        new = differs(anchor, key, count)
-        kin = np.cumsum(differs(anchor)) - 1
-        several = np.bincount(kin)[kin] > 1  # an anchor of one place has no repeats
-        again = by[several & ~new]
-        first = by[several & new]
-        found = [(again, np.zeros(len(again), np.int64), count[again])]
+        anchor, turn = anchors(h, start, size), _turns(docs)[doc]
+        by = np.lexsort((place, turn))
+        # rows alike are one document
+        by = by[np.concatenate(([True], (turn[by][1:] != turn[by][:-1]) | (place[by][1:] != place[by][:-1])))]
         # one index a part: anchors are dealt over as many as keep each of bounded size
-        part = (mix(anchor[first]) % _U(int(size[first].sum()) // INDEX_WORDS + 1)).astype(np.int64)
-        for p in range(int(part.max(initial=-1)) + 1):
-            own = first[part == p]
-            if not len(own):
-                continue
-            own = own[np.lexsort((place[own], doc_order[own]))]
+        for own in _dealt((mix(anchor[by]) % _U(int(size[by].sum()) // INDEX_WORDS + 1)).astype(np.int64)):
+            own = by[own]
             hit = repeated_windows(h[ranges(start[own], size[own])], size[own], window)
-            owner = np.repeat(np.arange(len(own)), count[own])
-            offset = ranges(np.zeros(len(own), np.int64), count[own])
-            found.append((own[owner[hit]], offset[hit], np.ones(int(hit.sum()), np.int64)))
-        which, at, n = (np.concatenate(x) for x in zip(*found))
-        if len(which):
-            of, a, b = merged(doc[which], place[which] + at, place[which] + at + n + window - 1)
-            yield docs, of, a, b
+            owner, at = np.repeat(own, count[own])[hit], ranges(place[own], count[own])[hit]
+            if len(at):
+                yield True, docs, *merged(doc[owner], at, at + window)
 
 
 # --- over tables --------------------------------------------------------------------
 
 _COUNTS = StructType([StructField("bucket", IntegerType()), StructField("n", LongType())])
 _PACKET = StructType([StructField("shard", IntegerType()), StructField("packet", BinaryType())])
-_SPANS = StructType([StructField("none", BooleanType()), StructField("id", LongType()), StructField("hash", LongType()), StructField("spans", BinaryType())])
+_KEYS = [StructField("none", BooleanType()), StructField("id", LongType()), StructField("hash", LongType())]
+_FOUND = StructType([*_KEYS, StructField("spans", BinaryType()), StructField("asks", BinaryType()), StructField("words", LongType())])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -488,14 +550,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def survey(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> tuple[int, np.ndarray]:
-    """(words in all, which groups of anchors are hot).
+    """(segments in all, which groups of anchors are hot).
 
     Each task tells its large groups; a group over ``HOT`` of all segments is
     large in some task, and what tasks leave out is too little to hide it.
     """
 
     def run(batches):
-        counts, n, batch = np.zeros(1 << 16, np.int64), 0, Batch(window)
+        counts, batch = np.zeros(1 << 16, np.int64), Batch(window)
 
         def count():
             if batch.size:
@@ -507,67 +569,87 @@ def survey(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> tup
             for text in whole.column(0).to_pylist():
                 doc = (len(text or ""),)
                 for _ in batch.add(doc, text or ""):
-                    n += batch.size
                     count()
-        n += batch.size
         count()
         large = np.flatnonzero(counts > counts.sum() * HOT / 2)
-        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *large.tolist()], pa.int32()), pa.array([n, int(counts.sum()), *counts[large].tolist()], pa.int64())], _COUNTS.names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *large.tolist()], pa.int32()), pa.array([int(counts.sum()), *counts[large].tolist()], pa.int64())], _COUNTS.names)
 
     bounded_batches(docs.sparkSession)
     found = staged(docs.select(col(text_col).alias("t")).mapInArrow(run, _COUNTS).groupBy("bucket").agg(F.sum("n").alias("n")), "hot")
-    words, total = (found.where(F.col("bucket") == k).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for k in (-2, -1))
+    total = found.where("bucket = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = np.zeros(1 << 16, bool)
     # 2 / HOT rows at most
     for r in found.where((F.col("bucket") >= 0) & (F.col("n") > max(HOT_LEAST, total * HOT / 2))).collect():
         hot[r["bucket"]] = True
-    return words, hot
+    return total, hot
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(``none``, ``id``, ``hash``, ``spans``): stretches of repeated words (first and end, as pairs of 32-bit numbers), several rows a document."""
-    words, hot = survey(docs, text_col, window)
-    spark = docs.sparkSession
-    # segments overlap by a window, so they hold about three times the words
-    shards = max(1, 3 * words // SHARD_WORDS, min(int(spark.conf.get("spark.sql.shuffle.partitions")), words // 50_000))
+def _packet(shard: int, packet: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packet], pa.binary())], _PACKET.names)
 
-    def deal(batches):
-        dealer = Dealer(shards, hot, window)
 
-        def sent():
-            for shard, packet in dealer.deal():
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packet], pa.binary())], _PACKET.names)
+def _looked_through(packets: DataFrame, shards: int, make, window: int) -> DataFrame:
+    """Rows of ``_FOUND`` from each shard's packets, ``make`` being what gathers them."""
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                part = whole.slice(at, ROWS)
-                for *doc, text in zip(*(c.to_pylist() for c in part.columns)):
-                    for _ in dealer.add(tuple(doc), text or ""):
-                        yield from sent()
-        yield from sent()
-
-    def find(batches):
-        def found():
-            for docs_, of, a, b in shard.rows():
-                cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
-                pairs = np.stack((a, b), 1).astype("<u4")
-                own = docs_[of[cuts[:-1]]]
-                packed = [pairs[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
-                arrays = [pa.array(own["none"].astype(bool)), pa.array(own["id"]), pa.array(own["hash"]), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, _SPANS.names)
-
-        now, shard = None, Shard(window)
+    def found(shard):
+        for repeated, docs, of, a, b in shard.rows():
+            cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+            pairs = np.stack((a, b), 1).astype("<u4")
+            own = docs[of[cuts[:-1]]]
+            packed = [pairs[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+            none = [None] * len(packed)
+            words = none if repeated else np.add.reduceat(b + window - 1, cuts[:-1])
+            arrays = [pa.array(own["none"].astype(bool)), pa.array(own["id"]), pa.array(own["hash"]), pa.array(packed if repeated else none, pa.binary()), pa.array(none if repeated else packed, pa.binary()), pa.array(words, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, _FOUND.names)
+
+    def run(batches):
+        now, shard = None, make(window)
         for whole in batches:
             for at in range(whole.num_rows):
                 number = whole.column(0)[at].as_py()
                 if number != now:
-                    yield from found()
-                    now, shard = number, Shard(window)
+                    yield from found(shard)
+                    now, shard = number, make(window)
                 shard.add(whole.column(1)[at].as_py())
-        yield from found()
+        yield from found(shard)
+
+    return packets.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, _FOUND)
+
 
-    packets = _keyed(docs, id_col, text_col).select("none", "id", "hash", "text").mapInArrow(deal, _PACKET)
-    return packets.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(find, _SPANS)
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(``none``, ``id``, ``hash``, ``spans``): stretches of repeated words (first and end, as pairs of 32-bit numbers), several rows a document."""
+    total, hot = survey(docs, text_col, window)
+    keyed, keys = _keyed(docs, id_col, text_col), ["none", "id", "hash"]
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, total // SHARD_SEGMENTS, min(least, total // 10_000))
+
+    def deal(batches):
+        dealer = Dealer(shards, hot, window)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                for *doc, text in zip(*(c.to_pylist() for c in whole.slice(at, ROWS).columns)):
+                    for _ in dealer.add(tuple(doc), text or ""):
+                        yield from (_packet(*x) for x in dealer.deal())
+        yield from (_packet(*x) for x in dealer.deal())
+
+    found = staged(_looked_through(keyed.mapInArrow(deal, _PACKET), shards, Shard, window), "copies")
+    asked = found.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    parts = max(1, asked // SHARD_WORDS, min(least, asked // 50_000))
+
+    def send(batches):
+        asker = Asked(parts, window)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                for *doc, text, asks in zip(*(c.to_pylist() for c in whole.slice(at, ROWS).columns)):
+                    asker.add(tuple(doc), text, asks)
+                    if asker.size >= BATCH_WORDS:
+                        yield from (_packet(*x) for x in asker.deal())
+        yield from (_packet(*x) for x in asker.deal())
+
+    asks = found.where("asks is not null").groupBy(*keys).agg(F.collect_list("asks").alias("asks"))
+    words = keyed.join(asks, keys).select(*keys, "text", "asks").mapInArrow(send, _PACKET)
+    more = _looked_through(words, parts, Indexes, window)
+    return found.where("spans is not null").select(*keys, "spans").unionByName(more.select(*keys, "spans"))
 
 
 def without(words: list[bytes], packed: list[bytes]) -> tuple[int, list[bytes]]:

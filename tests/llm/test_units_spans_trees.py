@@ -139,21 +139,31 @@ def test_spans_are_exact(monkeypatch, batch, index, hot):
         ids = rng.sample(range(1000), len(texts))
         groups = np.zeros(1 << 16, bool)
         groups[:: 3] = hot
-        dealer, shards = sub.Dealer(3, groups), {}
+        dealer, asker, packets, spans, asks = sub.Dealer(3, groups), sub.Asked(2), [], {}, {}
         for i in rng.sample(range(len(texts)), len(texts)):
             for _ in dealer.add((False, ids[i], hash(texts[i])), texts[i]):
-                for s, p in dealer.deal():
-                    shards.setdefault(s, []).append(p)
-        for s, p in dealer.deal():
-            shards.setdefault(s, []).append(p)
-        spans = {}
-        for packets in shards.values():
-            shard = sub.Shard()
-            for p in packets:
-                shard.add(p)
-            for d, of, a, b in shard.rows():
-                for j, x, y in zip(of, a, b):
-                    spans.setdefault(int(d["id"][j]), []).append(np.array([x, y], "<u4").tobytes())
+                packets += dealer.deal()
+        packets += dealer.deal()
+
+        def look(make, packets):
+            for number in {s for s, _ in packets}:
+                shard = make()
+                for s, p in packets:
+                    if s == number:
+                        shard.add(p)
+                for repeated, d, of, a, b in shard.rows():
+                    for j, x, y in zip(of, a, b):
+                        (spans if repeated else asks).setdefault(int(d["id"][j]), []).append(np.array([x, y], "<u4").tobytes())
+
+        look(sub.Shard, packets)
+        packets = []
+        for i, t in enumerate(texts):
+            if ids[i] in asks:
+                asker.add((False, ids[i], hash(t)), t, asks[ids[i]])
+            if asker.size > batch:
+                packets += asker.deal()
+        packets += asker.deal()
+        look(sub.Indexes, packets)
         want = brute_removed(list(zip(ids, texts)))
         for i, t in enumerate(texts):
             assert [w.decode() for w in sub.without(t.encode().split(), spans.get(ids[i], []))[1]] == want[i]
