@@ -8,6 +8,9 @@ holds what a sheet of paper does, so its boxes are few.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegerType, StructField
+
+from quire.operators.fold import fold
 
 
 def area(w: Column, h: Column) -> Column:
@@ -133,58 +136,77 @@ def row_blocks(lines: DataFrame, keys: list[str], size: Column, gap: float = 2.0
     return islands(d.withColumn("new", new), keys, ["y", "ord"], F.col("new"), "block")
 
 
-_BOX = "struct<x:double,y:double,x1:double,y1:double>"
-
-
 def rows_of(glyphs: DataFrame, keys: list[str], share: float = 0.45) -> DataFrame:
     """Row number of each glyph: it joins the row if it overlaps the row's growing box by the share of its height."""
-    xs = F.array_sort(F.collect_list(F.struct("y", "x", "ord", "w", "h")))
-    start = F.struct(F.lit(0).alias("row"), F.lit(None).cast(_BOX).alias("box"), F.array().cast("array<struct<ord:int,row:int>>").alias("out"))
 
-    def step(acc, g):
-        fits = F.least(g.y + g.h, acc.box.y1) - F.greatest(g.y, acc.box.y) > g.h * share
-        inside = acc.box.isNotNull() & F.coalesce(fits, F.lit(False))
-        row = acc.row + F.when(inside, 0).otherwise(1)
-        box = F.struct(
-            F.when(inside, F.least(acc.box.x, g.x)).otherwise(g.x).alias("x"), F.when(inside, F.least(acc.box.y, g.y)).otherwise(g.y).alias("y"),
-            F.when(inside, F.greatest(acc.box.x1, g.x + g.w)).otherwise(g.x + g.w).alias("x1"), F.when(inside, F.greatest(acc.box.y1, g.y + g.h)).otherwise(g.y + g.h).alias("y1"),
-        )
-        return F.struct(row.alias("row"), box.alias("box"), F.concat(acc.out, F.array(F.struct(g.ord.alias("ord"), row.alias("row")))).alias("out"))
+    def make():
+        top = bottom = None
+        row = 0
+
+        def step(y, h):
+            nonlocal top, bottom, row
+            if top is not None and min(y + h, bottom) - max(y, top) > h * share:
+                top, bottom = min(top, y), max(bottom, y + h)
+            else:
+                top, bottom, row = y, y + h, row + 1
+            return (row,)
 
-    g = glyphs.groupBy(*keys).agg(xs.alias("xs"))
-    return g.select(*keys, F.explode(F.aggregate("xs", start, step, lambda a: a.out)).alias("r")).select(*keys, "r.ord", "r.row")
+        return step
 
+    return fold(glyphs, keys, ["y", "x", "ord"], ["y", "h"], ["ord"], [StructField("row", IntegerType())], make)
 
-def coalesce_regions(regions: DataFrame, keys: list[str], page_width: float, tallest: float) -> DataFrame:
+
+def coalesce_regions(regions: DataFrame, keys: list[str], page_width: float | str, tallest: float) -> DataFrame:
     """Region number of each region in order: it joins the one before if both are text
-    without a heading, in one column, close, and the union stays short."""
-    xs = F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h", F.col("mergeable").alias("m"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("m"), F.lit(None).cast(_BOX).alias("box"), F.array().cast("array<struct<ord:int,region:int>>").alias("out"))
+    without a heading, in one column, close, and the union stays short.
+
+    ``page_width`` is a number or names a column.
+    """
+    wide = regions.withColumn("q_width", F.col(page_width) if isinstance(page_width, str) else F.lit(float(page_width)))
 
-    def step(acc, r):
-        b = acc.box
-        x, y, x1, y1 = F.least(b.x, r.x), F.least(b.y, r.y), F.greatest(b.x1, r.x + r.w), F.greatest(b.y1, r.y + r.h)
-        column = (F.abs(b.x - r.x) < page_width * 0.1) & (x1 - x < F.greatest(b.x1 - b.x, r.w) * 1.2)
-        gap = r.y - b.y1
-        joins = acc.m & r.m & b.isNotNull() & F.coalesce(column & (gap >= -2) & (gap < 24) & (y1 - y <= tallest), F.lit(False))
-        n = acc.n + F.when(joins, 0).otherwise(1)
-        pick = lambda a, c: F.when(joins, a).otherwise(c)
-        box = F.struct(pick(x, r.x).alias("x"), pick(y, r.y).alias("y"), pick(x1, r.x + r.w).alias("x1"), pick(y1, r.y + r.h).alias("y1"))
-        return F.struct(n.alias("n"), r.m.alias("m"), box.alias("box"), F.concat(acc.out, F.array(F.struct(r.ord.alias("ord"), n.alias("region")))).alias("out"))
+    def make():
+        box, before, n = None, False, 0
 
-    g = regions.groupBy(*keys).agg(xs.alias("xs"))
-    return g.select(*keys, F.explode(F.aggregate("xs", start, step, lambda a: a.out)).alias("r")).select(*keys, "r.ord", "r.region")
+        def step(x, y, w, h, mergeable, width):
+            nonlocal box, before, n
+            own = (x, y, x + w, y + h)
+            joins = False
+            if before and mergeable and box is not None and None not in own:
+                x0, y0, x1, y1 = min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3])
+                column = abs(box[0] - x) < width * 0.1 and x1 - x0 < max(box[2] - box[0], w) * 1.2
+                joins = column and -2 <= y - box[3] < 24 and y1 - y0 <= tallest
+            if joins:
+                box = (x0, y0, x1, y1)
+            else:
+                box, n = own, n + 1
+            before = bool(mergeable)
+            return (n,)
+
+        return step
+
+    return fold(wide, keys, ["ord"], ["x", "y", "w", "h", "mergeable", "q_width"], ["ord"], [StructField("region", IntegerType())], make)
 
 
 def gutters(boxes: DataFrame, width: float, keys: list[str] = ["page"]) -> DataFrame:
-    """The x, if any, that no box of a page crosses and that is clearest of all; two boxes at least on either side."""
+    """The x, if any, that no box of a page crosses and that is clearest of all; two boxes at least on either side.
+
+    Boxes in order of x leave gaps between all before and the next one; only the
+    cuts inside a gap are looked at.
+    """
     narrow = boxes.where(F.col("w") < width * 0.7)
-    step = width / 200
-    cuts = narrow.select(*keys, "ord", "x", "w", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("i")).withColumn("at", F.lit(width * 0.25) + F.col("i") * step)
-    clear = F.when((F.col("x") < F.col("at")) & (F.col("x") + F.col("w") > F.col("at")), F.lit(-1.0)).when(F.col("x") + F.col("w") <= F.col("at"), F.col("at") - F.col("x") - F.col("w")).otherwise(F.col("x") - F.col("at"))
-    left = (F.col("x") + F.col("w") / 2 < F.col("at")).cast("int")
-    per = cuts.groupBy(*keys, "i", "at").agg(F.min(clear).alias("clearance"), F.sum(left).alias("left"), F.count("*").alias("n")).where((F.col("clearance") >= 0) & (F.col("n") >= 4))
-    best = per.groupBy(*keys).agg(F.max_by(F.struct("at", "left", "n", "clearance"), F.struct(F.round("clearance", 6), -F.col("i"))).alias("b"))
+    w = W.partitionBy(*keys).orderBy("x", "ord")
+    reach = F.max(F.col("x") + F.col("w"))
+    g = narrow.select(*keys, reach.over(w.rowsBetween(W.unboundedPreceding, -1)).alias("low"), F.col("x").alias("high"), reach.over(w.rowsBetween(W.unboundedPreceding, 0)).alias("all"), (F.row_number().over(w) - 1).alias("left"), F.count("*").over(W.partitionBy(*keys)).alias("n"))
+    # the last box also opens the gap beyond all
+    gap = lambda low, high, left: F.struct(F.col(low).alias("low"), high.alias("high"), left.alias("left"))
+    inner, outer = gap("low", F.col("high"), F.col("left")), gap("all", F.lit(None).cast("double"), F.col("n").cast("int"))
+    g = g.where("n >= 4").select(*keys, "n", F.inline(F.when(F.col("left") == F.col("n") - 1, F.array(inner, outer)).otherwise(F.array(inner))))
+    start, step = width * 0.25, width / 200
+    number = lambda at, other: F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.floor((at - start) / step).cast("int"), F.lit(other))))
+    cuts = g.where("low is null or high is null or low <= high").withColumn("i", F.explode(F.sequence(number(F.col("low"), 0), number(F.col("high"), 100) + 1)))
+    cuts = cuts.withColumn("at", F.lit(start) + F.col("i") * step).where("i <= 100")
+    clear = F.least(F.col("at") - F.col("low"), F.col("high") - F.col("at"))
+    best = cuts.withColumn("clearance", clear).where("clearance >= 0").groupBy(*keys).agg(F.max_by(F.struct("at", "left", "n", "clearance"), F.struct(F.round("clearance", 6), -F.col("i"))).alias("b"))
     return best.where((F.col("b.clearance") > width * 0.015) & (F.col("b.left") >= 2) & (F.col("b.n") - F.col("b.left") >= 2)).select(*keys, F.round("b.at", 6).alias("gutter"))
 
 
@@ -198,16 +220,22 @@ def reading_order(boxes: DataFrame, width: float) -> DataFrame:
     half = lambda df, keys, name: df.join(gutters(df, width, keys), keys, "left").withColumn(name, F.when(F.col("gutter").isNull() | (at < F.col("gutter")), 0).otherwise(1)).drop("gutter")
     g = half(half(boxes.where(F.col("x").isNotNull()), ["page"], "s1"), ["page", "s1"], "s2")
     g = g.withColumn("side", F.col("s1") * 2 + F.col("s2"))
-    heights = F.array_sort(F.collect_list(F.when(F.col("h") > 0, F.col("h"))))
-    middle = F.coalesce(F.get(heights, F.floor(F.size(heights) / 2).cast("int")), F.lit(1.0))
-    rows = g.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("y", "x", "ord"))).alias("xs"), (middle / 2).alias("tolerance"))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).alias("row"), F.array().cast("array<struct<row:int,x:double,ord:int>>").alias("out"))
+    tall = F.when(F.col("h") > 0, F.col("h"))
+    of = W.partitionBy(*place)
+    g = g.withColumn("q_n", F.row_number().over(of.orderBy(tall.asc_nulls_last()))).withColumn("q_all", F.count(tall).over(of))
+    g = g.withColumn("tolerance", F.coalesce(F.max(F.when(F.col("q_n") == F.floor(F.col("q_all") / 2) + 1, tall)).over(of), F.lit(1.0)) / 2)
+
+    def make():
+        top, row = None, 0
+
+        def step(y, tolerance):
+            nonlocal top, row
+            if top is None or y - top > tolerance:
+                top, row = y, row + 1
+            return (row,)
 
-    def step(acc, r):
-        new = acc.top.isNull() | (r.y - acc.top > F.col("tolerance"))
-        row = acc.row + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, r.y).otherwise(acc.top).alias("top"), row.alias("row"), F.concat(acc.out, F.array(F.struct(row.alias("row"), r.x.alias("x"), r.ord.alias("ord")))).alias("out"))
+        return step
 
-    e = rows.select(*place, F.explode(F.aggregate("xs", start, step, lambda a: a.out)).alias("r")).select(*place, "r.*")
+    e = fold(g, place, ["y", "x", "ord"], ["y", "tolerance"], ["x", "ord"], [StructField("row", IntegerType())], make)
     e = e.unionByName(boxes.where(F.col("x").isNull()).select("page", F.lit(4).alias("side"), F.lit(0).alias("row"), F.lit(0.0).alias("x"), "ord"))
     return e.withColumn("rank", F.row_number().over(W.partitionBy("page").orderBy("side", "row", "x", "ord"))).select("page", "ord", "side", "rank")
