@@ -149,15 +149,16 @@ def vision_regions(blocks: DataFrame) -> DataFrame:
 CROP = 6.0
 
 
-def read_regions(regions: DataFrame, reader: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: StructType | str, page_width: float, tallest: float) -> DataFrame:
+def read_regions(regions: DataFrame, reader: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: StructType | str, page_width: float | str, tallest: float) -> DataFrame:
     """Blocks that ``reader`` reads out of the regions of pages, small ones taken together.
 
     ``reader`` maps frames of (page, region, kind, x, y, w, h), a crop each, to
     rows of ``schema``: page, region, ord, type, text and more.  A heading's
-    region gives one heading; pieces take their region's place.
+    region gives one heading; pieces take their region's place.  ``page_width``
+    is a number or names a column of ``regions``.
     """
     numbered = G.coalesce_regions(regions.withColumn("mergeable", (F.col("kind") == "text") & F.col("level").isNull()), ["page"], page_width, tallest)
-    joined = regions.join(numbered, ["page", "ord"]).groupBy("page", "region").agg(F.first("kind").alias("kind"), F.max("level").alias("level"), F.max("size").alias("size"), *_union())
+    joined = regions.join(numbered, ["page", "ord"]).groupBy("page", "region").agg(F.min_by("kind", "ord").alias("kind"), F.max("level").alias("level"), F.max("size").alias("size"), *_union())
     crops = joined.select("page", "region", "kind", *[c.alias(n) for c, n in zip(G.inset(*[F.col(x) for x in BOX], -CROP), BOX)])
     read = crops.mapInPandas(reader, schema)
     own = joined.select("page", "region", F.col("level").alias("r_level"), "size", *BOX)
@@ -208,6 +209,66 @@ def vision_blocks(found: DataFrame, page: str = "page", share: float = 0.6, unde
     return found.join(hidden, [page, "ord"], "left_anti")
 
 
+#: Kinds of list markers that number their items.
+NUMBERING = ("lowercaseLatin", "uppercaseLatin", "decimal", "decorativeDecimal", "compositeDecimal")
+
+
+def vision_tables(cells: DataFrame, keys: tuple[str, ...] = ("page", "ord")) -> DataFrame:
+    """``rows`` of tables from an engine's cells (``keys``, row, col, row_end, col_end, text), and whether they look doubtful.
+
+    A cell reaches to row_end and col_end (not in it; null: the next) and stands
+    in the row that it starts in; rows in which no cell starts stay, empty.  Tables of
+    no cell are none.
+    """
+    span = lambda a, b: F.greatest(F.coalesce(F.col(b) - F.col(a), F.lit(1)), F.lit(1)).cast("int")
+    cell = F.struct(F.coalesce(T.trim(F.col("text")), F.lit("")).alias("text"), span("row", "row_end").alias("row_span"), span("col", "col_end").alias("col_span"))
+    row = cells.groupBy(*keys, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("c")))), lambda x: x.c).alias("cells"))
+    every = F.collect_list(F.struct("row", "cells"))
+    rows = row.groupBy(*keys).agg(F.map_from_entries(every).alias("by"), F.min("row").alias("first"), F.max("row").alias("last"))
+    none = F.array().cast(rows.schema["by"].dataType.valueType)
+    out = rows.select(*keys, F.transform(F.sequence("first", "last"), lambda i: F.coalesce(F.try_element_at("by", i), none)).alias("rows"))
+    return out.withColumn("structure_suspect", TB.suspect(F.col("rows")))
+
+
+def vision_lists(items: DataFrame, keys: tuple[str, ...] = ("page", "ord")) -> DataFrame:
+    """``items`` and ``ordered`` of lists from an engine's items (``keys``, path, text, marker).
+
+    ``path`` numbers an item in its list and, below it, in the lists of the item:
+    [2] is the third item, [2, 0, 1] the second of its first list.  One level of
+    nesting is kept, deeper items go, and so do items without text; the markers of the
+    first level tell whether the list is numbered.
+    """
+    depth = F.when(F.size("path") == 1, 0).when(F.size("path") == 3, 1)
+    text = T.trim(F.coalesce("text", F.lit("")))
+    known = items.withColumns({"q_depth": depth, "q_text": text}).where("q_depth is not null")
+    one = F.when(F.col("q_text") != "", F.struct("path", F.struct(F.col("q_text").alias("text"), F.col("q_depth").cast("int").alias("depth")).alias("item")))
+    numbered = F.coalesce(F.col("marker").isin(*NUMBERING), F.lit(False)) & (F.col("q_depth") == 0)
+    return known.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.item).alias("items"), F.max(numbered).alias("ordered"))
+
+
+def vision_page(found: DataFrame, cells: DataFrame, items: DataFrame, page: str = "page") -> DataFrame:
+    """Blocks of an OCR engine's findings: tables with rows, lists with items, paragraphs and headings.
+
+    ``found``: page, ord, kind (table, list, title, paragraph), text, lines, boxes.
+    What tables, lists and the title cover is dropped; the title is the one
+    heading of level 1, the others start a level lower where there is one.
+    """
+    kept = staged(vision_blocks(found, page), "found")
+    keys = (page, "ord")
+    tables = kept.where("kind = 'table'").join(vision_tables(cells, keys), list(keys)).withColumn("type", F.lit("table"))
+    lists = kept.where("kind = 'list'").join(vision_lists(items, keys), list(keys)).withColumn("type", F.lit("list"))
+    titled = kept.where(T.trim("text") != "")
+    title = titled.where("kind = 'title'").withColumns({"type": F.lit("heading"), "level": F.lit(1), "size": F.col("h") / F.greatest(F.col("lines"), F.lit(1))})
+    text = titled.where("kind = 'paragraph'").withColumns({"text": T.trim("text"), "lines": F.greatest(F.col("lines"), F.lit(1)), "bold": F.lit(False)})
+    text = H.classify(text.withColumn("size", F.col("h") / F.col("lines")), page).join(kept.where("kind = 'title'").select(page, F.lit(1).alias("lower")).distinct(), page, "left")
+    text = text.withColumns({"type": F.when(F.col("is_heading"), "heading").otherwise("paragraph"), "level": F.when(F.col("is_heading"), F.least(F.col("level") + F.coalesce("lower", F.lit(0)), F.lit(6)))})
+    out = [t.select(page, "ord", "type", *more, *BOX) for t, more in ((tables, ["rows", "structure_suspect"]), (lists, ["items", "ordered"]), (title.withColumn("text", T.trim("text")), ["text", "level", "size"]), (text, ["text", "level", "size"]))]
+    both = out[0]
+    for t in out[1:]:
+        both = both.unionByName(t, allowMissingColumns=True)
+    return B.complete(both)
+
+
 def placed(pieces: DataFrame, keys: list[str], level: Column) -> DataFrame:
     """A region's pieces, in order: the first is the region's heading if it has a level."""
     first = F.row_number().over(W.partitionBy(*keys).orderBy("ord")) == 1

@@ -226,6 +226,36 @@ def _rows_of(source: str, keys: str, p: str) -> str:
         CASE WHEN {fits} THEN least(y0, n.y) ELSE n.y END, CASE WHEN {fits} THEN greatest(y1, n.y + n.h) ELSE n.y + n.h END FROM {p} f JOIN {p}n n ON {on} AND n.i = f.i + 1)"""
 
 
+#: Rows of glyphs in reading order, up to ``z``; paragraphs of lines, up to ``k``.
+_ARRANGED = f"""{_COLUMNS}, {_rows_of('b', 'page', 'fr')},
+      s AS (SELECT b.*, fr.row, center, half, x + w / 2 < center AS lf FROM b JOIN fr USING (page, ord) LEFT JOIN gt USING (page)),
+      q AS (SELECT *, min(x) FILTER (WHERE NOT lf) OVER v - max(x + w) FILTER (WHERE lf) OVER v AS between_ FROM s WINDOW v AS (PARTITION BY page, row)),
+      c2 AS MATERIALIZED (SELECT page, ord, x, y, w, h, CASE WHEN center IS NULL THEN 0 WHEN between_ IS NOT NULL AND between_ < greatest(6.0, half) THEN -1 WHEN lf THEN 0 ELSE 1 END AS col FROM q), {_rows_of('c2', 'page, col', 'fc')},
+      bx AS MATERIALIZED (SELECT page, col, row, min(x) AS x, min(y) AS y, max(x + w) AS x1, max(y + h) AS y1, max(h) AS size, count(*) AS n FROM c2 JOIN fc USING (page, col, ord) GROUP BY 1, 2, 3),
+      z AS (SELECT bx.*, CAST((SELECT count(*) FROM bx t WHERE t.page = bx.page AND t.col = -1 AND t.y < CASE WHEN bx.col = -1 THEN bx.y ELSE (bx.y + bx.y1) / 2 END) AS INTEGER) AS section FROM bx)"""
+_BLOCKS = f"""g AS MATERIALIZED (SELECT page, paragraph, min(ord) AS line, count(*) AS lines, replace(regexp_replace(string_agg(text, chr(57344) ORDER BY ord), '(\\p{{L}})-' || chr(57344) || '(\\p{{Ll}})', '\\1\\2', 'g'), chr(57344), ' ') AS text, max(size) AS size, bool_and(bold) AS bold FROM l7 GROUP BY 1, 2),
+      bd AS (SELECT page, coalesce({_MEDIAN.format('list(size) FILTER (WHERE lines > 1)')}, {_MEDIAN.format('list(size)')}) AS body FROM g GROUP BY page), j AS MATERIALIZED (SELECT *, {_SHAPED} AS is_heading FROM g JOIN bd USING (page)),
+      k AS (SELECT page, line, text, 'heading' AS type, CAST(least(6, dense_rank() OVER (PARTITION BY page ORDER BY round(size * 2) / 2 DESC)) AS INTEGER) AS level FROM j WHERE is_heading UNION ALL SELECT page, line, text, 'paragraph', NULL FROM j WHERE NOT is_heading)"""
+_READING = """CAST(row_number() OVER (PARTITION BY page ORDER BY section, CASE WHEN col = -1 THEN 2 ELSE col END, y, x, row) AS INTEGER)"""
+_RUNS = f"""rn AS MATERIALIZED (SELECT b.page, b.ord, b.x, b.y, b.w, b.h, CASE WHEN ord % 41 = 7 THEN '' WHEN ord % 30 = 0 THEN 'Wide ' || ord ELSE 'w' || ord || CASE WHEN ord % 9 = 0 THEN '-' ELSE '' END END AS text,
+  CASE WHEN ord % 30 = 0 THEN 14.0 ELSE 10.0 + l_suppkey % 2 END AS size, l_returnflag = 'R' AS bold FROM b JOIN (SELECT page, ord, l_suppkey, l_returnflag FROM {_BOXES}) q USING (page, ord))"""
+
+
+def _runs_in(rects: str, key: str) -> str:
+    return f"""SELECT r.page, {key}, regexp_replace(trim(string_agg(t.text, ' ' ORDER BY t.ord)), ' +', ' ', 'g') AS text, max(t.size) AS size, sum(CASE WHEN t.bold THEN length(t.text) ELSE 0 END) > 0.8 * sum(length(t.text)) AS bold
+      FROM {rects} r JOIN rn t ON t.page = r.page AND t.x + t.w / 2 >= r.x AND t.x + t.w / 2 <= r.x + (r.x1 - r.x) AND t.y + t.h / 2 >= r.y AND t.y + t.h / 2 <= r.y + (r.y1 - r.y) GROUP BY r.page, {key}"""
+
+
+_GLYPH_LINES = f"""{_ARRANGED}, {_RUNS}, za AS MATERIALIZED (SELECT *, {_READING} AS line FROM z), rt AS ({_runs_in('za', 'line')}),
+      kp AS MATERIALIZED (SELECT za.page, za.line, za.col, za.row, x, y, x1, y1, text, coalesce(rt.size, za.size) AS size, coalesce(bold, FALSE) AS bold FROM za JOIN rt USING (page, line) WHERE text <> ''),
+      og AS (SELECT kp.page, line, c2.ord, c2.x, c2.w, kp.size, max(c2.x + c2.w) OVER (PARTITION BY kp.page, line ORDER BY c2.x, c2.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c2 JOIN fc USING (page, col, ord) JOIN kp ON kp.page = c2.page AND kp.col = c2.col AND kp.row = fc.row),
+      os AS (SELECT *, sum(coalesce(x - reach > size * 1.2, FALSE)::INT) OVER (PARTITION BY page, line ORDER BY x, ord) AS seg FROM og),
+      sg AS MATERIALIZED (SELECT os.page, line, seg, min(os.x) AS x, max(os.x + os.w) AS x1, any_value(kp.y) AS y, any_value(kp.y1) AS y1, count(*) AS n FROM os JOIN kp USING (page, line) GROUP BY 1, 2, 3),
+      sm AS (SELECT page, line, count(*) AS parts, sum(n) AS glyphs FROM sg GROUP BY 1, 2), sq AS (SELECT * FROM ({_runs_in('(SELECT * FROM sg JOIN sm USING (page, line) WHERE parts > 1)', 'line, seg')}) WHERE text <> ''),
+      ss AS (SELECT page, line, string_agg(text, '|' ORDER BY seg) AS said FROM sq GROUP BY 1, 2),
+      gl AS MATERIALIZED (SELECT kp.page, CAST(row_number() OVER (PARTITION BY kp.page ORDER BY kp.line) - 1 AS INTEGER) AS ord, text, kp.col, size, bold, x, y, x1 - x AS w, y1 - y AS h, CAST(glyphs AS INTEGER) AS glyphs, CASE WHEN parts = 1 THEN text ELSE coalesce(said, '') END AS segments
+        FROM kp JOIN sm USING (page, line) LEFT JOIN ss USING (page, line))"""
+
 ORACLES: dict[str, str] = {
     "token_estimate": f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents",
     "garbled_ratio": rf"SELECT doc_id, round(CASE WHEN length({_solid('text')}) > 0 THEN {_count(_solid('text'), '[' + chr(92) + 'p{Co}' + chr(92) + 'p{Cc}' + chr(92) + 'x{FFFD}]')} * 1.0 / length({_solid('text')}) ELSE 0.0 END, 6) AS ratio FROM documents",
@@ -340,16 +370,9 @@ ORACLES: dict[str, str] = {
     "vision_blocks": f"WITH v AS (SELECT *, CASE WHEN ord = 5 THEN 'title' WHEN ord % 6 = 0 THEN 'table' ELSE 'paragraph' END AS kind FROM {_BOXES}) SELECT m.page, m.ord, m.kind FROM v m WHERE m.kind <> 'paragraph' OR NOT EXISTS (SELECT 1 FROM v n WHERE n.page = m.page AND n.kind <> 'paragraph' AND {_cover('m', 'n')} >= CASE WHEN n.kind = 'title' THEN 0.9 ELSE 0.6 END)",
     "place_headings": f"WITH {_AB}, r AS (SELECT *, row_number() OVER (PARTITION BY page, l_linenumber ORDER BY ord) = 1 AND l_linenumber <= 2 AS head FROM b) SELECT page, ord, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head THEN l_linenumber END AS level FROM r",
     "column_gutters": f"WITH {_COLUMNS} SELECT page, round(center, 4) AS center, round(half, 4) AS half FROM gt",
-    "arrange_rows": f"""WITH RECURSIVE {_COLUMNS}, {_rows_of('b', 'page', 'fr')},
-      s AS (SELECT b.*, fr.row, center, half, x + w / 2 < center AS lf FROM b JOIN fr USING (page, ord) LEFT JOIN gt USING (page)),
-      q AS (SELECT *, min(x) FILTER (WHERE NOT lf) OVER v - max(x + w) FILTER (WHERE lf) OVER v AS between_ FROM s WINDOW v AS (PARTITION BY page, row)),
-      c2 AS MATERIALIZED (SELECT page, ord, x, y, w, h, CASE WHEN center IS NULL THEN 0 WHEN between_ IS NOT NULL AND between_ < greatest(6.0, half) THEN -1 WHEN lf THEN 0 ELSE 1 END AS col FROM q), {_rows_of('c2', 'page, col', 'fc')},
-      bx AS MATERIALIZED (SELECT page, col, row, min(x) AS x, min(y) AS y, max(x + w) AS x1, max(y + h) AS y1, max(h) AS size, count(*) AS n FROM c2 JOIN fc USING (page, col, ord) GROUP BY 1, 2, 3),
-      z AS (SELECT bx.*, CAST((SELECT count(*) FROM bx t WHERE t.page = bx.page AND t.col = -1 AND t.y < CASE WHEN bx.col = -1 THEN bx.y ELSE (bx.y + bx.y1) / 2 END) AS INTEGER) AS section FROM bx)
+    "arrange_rows": f"""WITH RECURSIVE {_ARRANGED}
       SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY section, CASE WHEN col = -1 THEN 2 ELSE col END, y, x, row) AS INTEGER) AS line, col AS "column", section, x, y, x1, y1, size, n FROM z""",
-    "extract_pages": f"""WITH {_PARAGRAPHS}, g AS MATERIALIZED (SELECT page, paragraph, min(ord) AS line, count(*) AS lines, replace(regexp_replace(string_agg(text, chr(57344) ORDER BY ord), '(\\p{{L}})-' || chr(57344) || '(\\p{{Ll}})', '\\1\\2', 'g'), chr(57344), ' ') AS text, max(size) AS size, bool_and(bold) AS bold FROM l7 GROUP BY 1, 2),
-      bd AS (SELECT page, coalesce({_MEDIAN.format('list(size) FILTER (WHERE lines > 1)')}, {_MEDIAN.format('list(size)')}) AS body FROM g GROUP BY page), j AS MATERIALIZED (SELECT *, {_SHAPED} AS is_heading FROM g JOIN bd USING (page)),
-      k AS (SELECT page, line, text, 'heading' AS type, CAST(least(6, dense_rank() OVER (PARTITION BY page ORDER BY round(size * 2) / 2 DESC)) AS INTEGER) AS level FROM j WHERE is_heading UNION ALL SELECT page, line, text, 'paragraph', NULL FROM j WHERE NOT is_heading)
+    "extract_pages": f"""WITH {_PARAGRAPHS}, {_BLOCKS}
       SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY line) - 1 AS INTEGER) AS ord, type, level, {_trim('text')} AS text FROM k WHERE {_trim('text')} <> ''""",
     "finish_documents": f"""WITH s AS MATERIALIZED (SELECT *, CASE WHEN type = 'heading' OR length(text) <= 40 THEN 'heading' ELSE 'paragraph' END AS kind FROM {_KEYED}),
       kept AS MATERIALIZED (SELECT *, CASE WHEN kind = 'heading' THEN 9 + length(text) % 3 * 1.5 ELSE 9.0 END AS size FROM s WHERE k IS NULL OR NOT EXISTS (SELECT 1 FROM ({_FOUND}) f WHERE f.doc = s.doc AND f.key = s.k)),
@@ -373,4 +396,37 @@ ORACLES: dict[str, str] = {
     "embedded_fonts": f"""SELECT doc_id, max((coalesce(before, 0) < 2000 AND ord % 40 >= 36)::INT) AS fonts FROM (SELECT doc_id, ord, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_BLOCKS}) GROUP BY doc_id""",
     "box_decode": f"WITH {_AB} SELECT page, ord, round(x / 1000 * 600, 2) AS x, round((1 - y / 1000 - h / 1000) * 800, 2) AS y, round(w / 1000 * 600, 2) AS w, round(h / 1000 * 800, 2) AS h FROM b",
     "encode_path": "SELECT page_id, replace(replace(replace(url, '?', '%3F'), '#', '%23'), ' ', '%20') || '%20%C3%A9%231' AS path FROM pages",
+    "glyph_lines": f"WITH RECURSIVE {_GLYPH_LINES} SELECT page, ord, text, col, size, bold::INT AS bold, round(x, 3) AS x, round(y, 3) AS y, round(w, 3) AS w, round(h, 3) AS h, glyphs, segments FROM gl",
+    "glyph_blocks": f"""WITH gq AS MATERIALIZED (WITH RECURSIVE {_GLYPH_LINES} SELECT * FROM gl), {_PARAGRAPHS.replace(_LINES, 'gq')}, {_BLOCKS}
+      SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY line) - 1 AS INTEGER) AS ord, type, level, {_trim('text')} AS text FROM k WHERE {_trim('text')} <> ''""",
+    "model_answers": f"""WITH a AS (SELECT doc_id, {_trim("'```md' || chr(10) || replace(text, '`', chr(39)) || ' $ x^2 $' || chr(10) || '```'")} AS t FROM documents),
+      f AS (SELECT doc_id, {_trim("regexp_extract(t, '(?s)^```[^\\n]*\\n(.*?)\\n?```$', 1)")} AS t FROM a),
+      m AS (SELECT doc_id, replace(replace(t, '$$', chr(57345) || chr(57345)), chr(57345) || '$', chr(57345) || chr(57345)) AS t FROM f)
+      SELECT doc_id, replace(regexp_replace(t, '\\$[ \\t\\x0B-\\r\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]*([^$\\x{{E001}}\\n]*?)[ \\t\\x0B-\\r\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]*([$\\x{{E001}}])', '$\\1\\2', 'g'), chr(57345), '$') AS text FROM m""",
+    "routed_pages": f"""WITH RECURSIVE {_PARAGRAPHS.replace(_LINES, f'(SELECT * FROM {_LINES} WHERE page % 7 <> 3)')}, {_BLOCKS},
+      bx AS MATERIALIZED (SELECT page, paragraph, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM l7 GROUP BY 1, 2),
+      rg AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY line) - 1 AS INTEGER) AS ord, 'text' AS kind, k.level, bx.x, bx.y, bx.w, bx.h FROM k JOIN g USING (page, line) JOIN bx USING (page, paragraph) WHERE page % 3 = 1 AND {_trim('k.text')} <> ''
+        UNION ALL SELECT page, ord, CASE WHEN ord % 20 = 0 THEN 'table' ELSE 'text' END, NULL, x, y, w, h FROM {_BOXES} WHERE page % 7 = 3 AND page % 2 = 0 AND ord % 10 = 0),
+      n AS MATERIALIZED (SELECT *, kind = 'text' AND level IS NULL AS m, row_number() OVER (PARTITION BY page ORDER BY ord) AS i FROM rg),
+      f AS (SELECT page, i, ord, 1 AS region, m, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM n WHERE i = 1
+      UNION ALL SELECT page, i, ord, region + (NOT j)::INT, m, CASE WHEN j THEN least(x0, x) ELSE x END, CASE WHEN j THEN least(y0, y) ELSE y END, CASE WHEN j THEN greatest(x1, x + w) ELSE x + w END, CASE WHEN j THEN greatest(y1, y + h) ELSE y + h END FROM (
+        SELECT n.page, n.i, n.ord, f.region, n.m, f.x0, f.y0, f.x1, f.y1, n.x, n.y, n.w, n.h, f.m AND n.m AND abs(x0 - n.x) < 600.0::DOUBLE * 0.1 AND greatest(x1, n.x + n.w) - least(x0, n.x) < greatest(x1 - x0, n.w) * 1.2 AND n.y - y1 >= -2 AND n.y - y1 < 24 AND greatest(y1, n.y + n.h) - least(y0, n.y) <= 120 AS j FROM f JOIN n ON n.page = f.page AND n.i = f.i + 1)),
+      jr AS (SELECT page, region, arg_min(kind, ord) AS kind, max(level) AS level, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM f JOIN n USING (page, ord) GROUP BY 1, 2)
+      SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY line) - 1 AS INTEGER) AS ord, type, level, {_trim('text')} AS text, 'textLayer' AS engine FROM k WHERE {_trim('text')} <> '' AND page % 3 <> 1
+      UNION ALL SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY region) - 1 AS INTEGER), CASE WHEN level IS NOT NULL THEN 'heading' ELSE 'paragraph' END, level, kind || ' ' || CAST(floor(w - 2 * -6.0) AS INTEGER) || 'x' || CAST(floor(h - 2 * -6.0) AS INTEGER), 'reader-layout' FROM jr
+      UNION ALL SELECT DISTINCT page, 0, 'paragraph', NULL::INTEGER, 'page 600x2000', 'reader' FROM {_BOXES} WHERE page % 7 = 3 AND (page % 2 = 1 OR page NOT IN (SELECT page FROM rg))""",
+    "vision_page": f"""WITH v AS (SELECT *, CASE WHEN ord = 5 THEN 'title' WHEN ord % 6 = 0 THEN 'table' WHEN ord % 11 = 0 THEN 'list' ELSE 'paragraph' END AS kind, 'Text ' || l_partkey AS text, CAST(1 + ord % 2 AS INTEGER) AS lines FROM {_BOXES}),
+      q AS MATERIALIZED (SELECT m.*, h / lines AS size, FALSE AS bold FROM v m WHERE m.kind <> 'paragraph' OR NOT EXISTS (SELECT 1 FROM v n WHERE n.page = m.page AND n.kind <> 'paragraph' AND {_cover('m', 'n')} >= CASE WHEN n.kind = 'title' THEN 0.9 ELSE 0.6 END)),
+      ce AS (SELECT page, ord, i // 2 AS row, i % 2 AS col, 'c' || ord || '.' || i || ':' || CASE WHEN i = 0 THEN 2 ELSE 1 END || ':' || CASE WHEN i = 3 AND l_suppkey % 2 = 0 THEN 2 ELSE 1 END AS c, CASE WHEN i = 3 AND l_suppkey % 2 = 0 THEN 2 ELSE 1 END AS wide FROM q, range(0, 6) r(i) WHERE kind = 'table'),
+      cr AS (SELECT page, ord, row, string_agg(c, '|' ORDER BY col) AS cells, sum(wide) AS width FROM ce WHERE NOT (ord % 12 = 0 AND row = 1) GROUP BY 1, 2, 3),
+      cw AS (SELECT q.page, q.ord, r.row, coalesce(cells, '') AS cells, coalesce(width, 0) AS width FROM q CROSS JOIN range(0, 3) r(row) LEFT JOIN cr ON cr.page = q.page AND cr.ord = q.ord AND cr.row = r.row WHERE kind = 'table'),
+      ct AS (SELECT page, ord, string_agg(cells, '/' ORDER BY row) AS rows, CAST(max(width) <= 1 OR count(*) FILTER (WHERE width <> mx) / count(*)::DOUBLE > 0.34 AS INTEGER) AS suspect FROM (SELECT *, max(width) OVER (PARTITION BY page, ord) AS mx FROM cw) GROUP BY 1, 2),
+      bd AS (SELECT page, coalesce({_MEDIAN.format('list(size) FILTER (WHERE lines > 1)')}, {_MEDIAN.format('list(size)')}) AS body FROM q WHERE kind = 'paragraph' GROUP BY page),
+      j AS MATERIALIZED (SELECT *, {_SHAPED} AS is_heading FROM q JOIN bd USING (page) WHERE kind = 'paragraph'),
+      k AS (SELECT page, ord, text, 'heading' AS type, dense_rank() OVER (PARTITION BY page ORDER BY round(size * 2) / 2 DESC) AS rk FROM j WHERE is_heading)
+      SELECT page, ord, 'table' AS type, NULL::INTEGER AS level, NULL AS text, rows, suspect, NULL AS items, NULL::INTEGER AS ordered FROM ct
+      UNION ALL SELECT page, ord, 'list', NULL, NULL, NULL, NULL, '0 item 0|1 item 0.0.0|1 item 0.0.1|0 item 2', CAST(l_suppkey % 2 = 0 AS INTEGER) FROM q WHERE kind = 'list'
+      UNION ALL SELECT page, ord, 'heading', 1, text, NULL, NULL, NULL, NULL FROM q WHERE kind = 'title'
+      UNION ALL SELECT page, ord, type, CAST(least(6, least(6, rk) + (page IN (SELECT page FROM q WHERE kind = 'title'))::INT) AS INTEGER), text, NULL, NULL, NULL, NULL FROM k
+      UNION ALL SELECT page, ord, 'paragraph', NULL, text, NULL, NULL, NULL, NULL FROM j WHERE NOT is_heading""",
 }

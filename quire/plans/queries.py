@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from quire.functions import blocks as BL, maths, text as T
 from quire.operators import chunks as C, figures, furniture, geometry as G, glyphs as GL, headings as H, layout as L, markdown as M, search as Q, stats, tables as TB
 from quire.operators.sections import sections
-from quire.plans import extract as X
+from quire.plans import extract as X, route
+from quire.plans.engines import Engine
 from quire.sources import adapters as A, files, sinks
 from quire.streaming import events as E
 
@@ -539,7 +541,7 @@ def document_event_stream(spark, d):
 @query
 def model_answers(spark, d):
     fenced = F.concat(F.lit("```md\n"), F.regexp_replace("text", "`", "'"), F.lit(" $ x^2 $\n```"))
-    return _docs(spark, d).select("doc_id", maths.clean_udf(fenced).alias("text"))
+    return _docs(spark, d).select("doc_id", maths.clean_model_output(fenced).alias("text"))
 
 
 # --- glyphs and whole plans -----------------------------------------------------------
@@ -667,3 +669,81 @@ def read_regions(spark, d):
     lines, _, _ = _sheets(spark, d)
     r = X.read_regions(X.text_regions(lines), reader, "page long, region int, ord int, type string, text string", 600.0, 60.0)
     return r.select("page", "ord", "type", "level", "text", *[_r(c, 3).alias(c) for c in "xywh"])
+
+
+def _layer(spark, d):
+    """A text layer: boxes of glyphs, and as many runs with text, most pages in two columns."""
+    b = A.boxes(spark, d).select("page", "ord", "l_suppkey", "l_returnflag").join(_glyphs(spark, d), ["page", "ord"])
+    wide = F.col("ord") % 30 == 0
+    text = F.when(F.col("ord") % 41 == 7, "").when(wide, F.concat(F.lit("Wide "), F.col("ord").cast("string"))).otherwise(F.concat(F.lit("w"), F.col("ord").cast("string"), F.when(F.col("ord") % 9 == 0, "-").otherwise("")))
+    size = F.when(wide, 14.0).otherwise(10.0 + F.col("l_suppkey") % 2)
+    return b.select("page", "ord", *"xywh"), b.select("page", "ord", *"xywh", text.alias("text"), size.alias("size"), (F.col("l_returnflag") == "R").alias("bold"))
+
+
+@query
+def glyph_lines(spark, d):
+    """From glyphs and runs to lines with text, type and segments."""
+    lines = GL.lines(*_layer(spark, d), 600.0, 800.0, 80)
+    return lines.select("page", "ord", "text", "col", "size", F.col("bold").cast("int").alias("bold"), *[_r(c, 3).alias(c) for c in "xywh"], F.size("boxes").alias("glyphs"), F.array_join(F.transform("segments", lambda s: s.text), "|").alias("segments"))
+
+
+@query
+def glyph_blocks(spark, d):
+    """From glyphs and runs to a page's blocks."""
+    return X.page_blocks(GL.lines(*_layer(spark, d), 600.0, 800.0, 80)).select("page", "ord", "type", "level", "text")
+
+
+class _Measuring:
+    """Stands in for a model: says what it was shown."""
+
+    @staticmethod
+    def _said(f):
+        return [f"{k} {math.floor(w)}x{math.floor(h)}" for k, w, h in zip(f["kind"], f["w"], f["h"])]
+
+    def regions(self, f):
+        return f[["page", "region"]].assign(ord=0, type="paragraph", text=self._said(f))
+
+    def pages(self, f):
+        return f[["page"]].assign(region=0, ord=0, type="paragraph", text=self._said(f))
+
+
+#: Reads by regions.
+STAND_IN = Engine("reader", _Measuring, "page long, region int, ord int, type string, text string", prefers_regions=True, tallest=120.0)
+
+
+@query
+def routed_pages(spark, d):
+    """Pages by text layer, by the regions of their lines, by those that an OCR engine found, or whole."""
+    bare, broken = F.col("page") % 7 == 3, F.col("page") % 3 == 1
+    whole = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(400.0).alias("x1")))
+    lines = _lines(spark, d).where(~bare).withColumn("boxes", whole)
+    b = A.boxes(spark, d)
+    pages = b.groupBy("page").agg(F.count("*").alias("lines"), F.sum(G.area(F.col("w"), F.col("h"))).alias("text_area"))
+    pages = pages.withColumns({
+        "width": F.lit(600.0), "height": F.lit(2000.0), "area": F.lit(480000.0), "characters": F.when(bare, 0).otherwise(F.col("lines") * 40), "lines": F.when(bare, 0).otherwise(F.col("lines")),
+        "garbled": F.when(broken, 0.2).otherwise(0.0), "fonts": F.lit(True), "multi_column": F.lit(False),
+    })
+    vision = b.where(bare & (F.col("page") % 2 == 0) & (F.col("ord") % 10 == 0)).select("page", "ord", F.when(F.col("ord") % 20 == 0, "table").otherwise("paragraph").alias("type"), F.lit(None).cast(BL.FIELDS["rows"]).alias("rows"), *"xywh")
+    return route.convert_pages(pages, lines, vision, STAND_IN).select("page", "ord", "type", "level", "text", "engine")
+
+
+@query
+def vision_page(spark, d):
+    """An OCR engine's findings as blocks: tables from cells with spans, lists from nested items."""
+    b = A.boxes(spark, d)
+    kind = F.when(F.col("ord") == 5, "title").when(F.col("ord") % 6 == 0, "table").when(F.col("ord") % 11 == 0, "list").otherwise("paragraph")
+    text = F.concat(F.lit("Text "), F.col("l_partkey").cast("string"))
+    found = b.select("page", "ord", *"xywh", kind.alias("kind"), text.alias("text"), (1 + F.col("ord") % 2).cast("int").alias("lines"))
+    n = F.col("ord").cast("string")
+    cells = b.where("ord % 6 = 0 and ord <> 5").select("page", "ord", "l_suppkey", F.posexplode(F.sequence(F.lit(0), F.lit(5))).alias("i", "q")).select(
+        "page", "ord", F.floor(F.col("i") / 2).cast("int").alias("row"), (F.col("i") % 2).cast("int").alias("col"), F.floor(F.col("i") / 2 + F.when(F.col("i") == 0, 2).otherwise(1)).cast("int").alias("row_end"),
+        F.when((F.col("i") == 3) & (F.col("l_suppkey") % 2 == 0), 3).cast("int").alias("col_end"), F.concat(F.lit(" c"), n, F.lit("."), F.col("i").cast("string"), F.lit(" ")).alias("text"))
+    cells = cells.where("not (ord % 12 = 0 and row = 1)")
+    paths = F.array(*[F.struct(F.array(*map(F.lit, p)).alias("path")) for p in ((0,), (0, 0, 0), (0, 0, 1), (1,), (1, 0, 0, 0, 0), (2,))])
+    items = b.where("ord % 11 = 0 and ord % 6 <> 0").select("page", "ord", "l_suppkey", F.inline(paths)).select(
+        "page", "ord", "path", F.when(F.element_at("path", 1) == 1, " ").otherwise(F.concat(F.lit("item "), F.array_join(F.transform("path", lambda x: x.cast("string")), "."))).alias("text"),
+        F.when(F.col("l_suppkey") % 2 == 0, "decimal").otherwise("bullet").alias("marker"))
+    v = X.vision_page(found, cells, items)
+    rows = F.array_join(F.transform("rows", lambda r: F.array_join(F.transform(r, lambda c: F.format_string("%s:%d:%d", c.text, c.row_span, c.col_span)), "|")), "/")
+    said = F.array_join(F.transform("items", lambda x: F.concat(x.depth.cast("string"), F.lit(" "), x.text)), "|")
+    return v.select("page", "ord", "type", "level", F.when(F.col("type").isin("heading", "paragraph"), F.col("text")).alias("text"), rows.alias("rows"), F.col("structure_suspect").cast("int").alias("suspect"), said.alias("items"), F.col("ordered").cast("int").alias("ordered"))

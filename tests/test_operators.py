@@ -443,7 +443,13 @@ def test_maths():
     assert maths.spans("a $$x_1$$ b") == [("", "a "), ("$$", "x_1"), ("", " b")]
     assert maths.unicode(r"\mathcal{A}=\{A_{1}, A_{2}, \ldots, A_{n}\}") == "𝒜={A₁, A₂, …, Aₙ}" and maths.unicode("x^{ab") == "x{ab" and maths.unicode(r"x^{a_{1}}") == "xa₁"
     assert maths.unicode(r"\foo bar \sqrt{x} a\,b\!c") == "foo bar √{x} a bc" and maths.unicode("x^") == "x" and maths.unicode("") == ""
-    assert maths.clean_model_output("```markdown\n$ x^2 $\n```") == "$x^2$"
+
+
+def test_model_answers(spark):
+    said = {"```markdown\n$ x^2 $\n```": "$x^2$", "  plain ": "plain", "```\na\n\nb\n```": "a\n\nb", "$$ x $$ and $ y $": "$$ x $$ and $y$", "$ a$$ b$": "$a$$ b$", "$ a\nb $": "$ a\nb $", "```x": "```x", "": "", "cost $ 5": "cost $ 5"}
+    df = spark.createDataFrame([(k, v) for k, v in said.items()] + [(None, None)], "t string, want string")
+    for r in df.withColumn("got", maths.clean_model_output(F.col("t"))).collect():
+        assert r["got"] == r["want"], r
 
 
 def test_statistics(spark):
