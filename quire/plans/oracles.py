@@ -233,7 +233,7 @@ _ARRANGED = f"""{_COLUMNS}, {_rows_of('b', 'page', 'fr')},
       c2 AS MATERIALIZED (SELECT page, ord, x, y, w, h, CASE WHEN center IS NULL THEN 0 WHEN between_ IS NOT NULL AND between_ < greatest(6.0, half) THEN -1 WHEN lf THEN 0 ELSE 1 END AS col FROM q), {_rows_of('c2', 'page, col', 'fc')},
       bx AS MATERIALIZED (SELECT page, col, row, min(x) AS x, min(y) AS y, max(x + w) AS x1, max(y + h) AS y1, max(h) AS size, count(*) AS n FROM c2 JOIN fc USING (page, col, ord) GROUP BY 1, 2, 3),
       z AS (SELECT bx.*, CAST((SELECT count(*) FROM bx t WHERE t.page = bx.page AND t.col = -1 AND t.y < CASE WHEN bx.col = -1 THEN bx.y ELSE (bx.y + bx.y1) / 2 END) AS INTEGER) AS section FROM bx)"""
-_BLOCKS = f"""g AS MATERIALIZED (SELECT page, paragraph, min(ord) AS line, count(*) AS lines, replace(regexp_replace(string_agg(text, chr(57344) ORDER BY ord), '(\\p{{L}})-' || chr(57344) || '(\\p{{Ll}})', '\\1\\2', 'g'), chr(57344), ' ') AS text, max(size) AS size, bool_and(bold) AS bold FROM l7 GROUP BY 1, 2),
+_PAGE_BLOCKS = f"""g AS MATERIALIZED (SELECT page, paragraph, min(ord) AS line, count(*) AS lines, replace(regexp_replace(string_agg(text, chr(57344) ORDER BY ord), '(\\p{{L}})-' || chr(57344) || '(\\p{{Ll}})', '\\1\\2', 'g'), chr(57344), ' ') AS text, max(size) AS size, bool_and(bold) AS bold FROM l7 GROUP BY 1, 2),
       bd AS (SELECT page, coalesce({_MEDIAN.format('list(size) FILTER (WHERE lines > 1)')}, {_MEDIAN.format('list(size)')}) AS body FROM g GROUP BY page), j AS MATERIALIZED (SELECT *, {_SHAPED} AS is_heading FROM g JOIN bd USING (page)),
       k AS (SELECT page, line, text, 'heading' AS type, CAST(least(6, dense_rank() OVER (PARTITION BY page ORDER BY round(size * 2) / 2 DESC)) AS INTEGER) AS level FROM j WHERE is_heading UNION ALL SELECT page, line, text, 'paragraph', NULL FROM j WHERE NOT is_heading)"""
 _READING = """CAST(row_number() OVER (PARTITION BY page ORDER BY section, CASE WHEN col = -1 THEN 2 ELSE col END, y, x, row) AS INTEGER)"""
@@ -372,7 +372,7 @@ ORACLES: dict[str, str] = {
     "column_gutters": f"WITH {_COLUMNS} SELECT page, round(center, 4) AS center, round(half, 4) AS half FROM gt",
     "arrange_rows": f"""WITH RECURSIVE {_ARRANGED}
       SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY section, CASE WHEN col = -1 THEN 2 ELSE col END, y, x, row) AS INTEGER) AS line, col AS "column", section, x, y, x1, y1, size, n FROM z""",
-    "extract_pages": f"""WITH {_PARAGRAPHS}, {_BLOCKS}
+    "extract_pages": f"""WITH {_PARAGRAPHS}, {_PAGE_BLOCKS}
       SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY line) - 1 AS INTEGER) AS ord, type, level, {_trim('text')} AS text FROM k WHERE {_trim('text')} <> ''""",
     "finish_documents": f"""WITH s AS MATERIALIZED (SELECT *, CASE WHEN type = 'heading' OR length(text) <= 40 THEN 'heading' ELSE 'paragraph' END AS kind FROM {_KEYED}),
       kept AS MATERIALIZED (SELECT *, CASE WHEN kind = 'heading' THEN 9 + length(text) % 3 * 1.5 ELSE 9.0 END AS size FROM s WHERE k IS NULL OR NOT EXISTS (SELECT 1 FROM ({_FOUND}) f WHERE f.doc = s.doc AND f.key = s.k)),
@@ -393,17 +393,21 @@ ORACLES: dict[str, str] = {
       SELECT doc_id, 0 AS seq, 'started' AS event, n AS page_index, NULL AS blocks, NULL AS words FROM d
       UNION ALL SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS INTEGER), 'page', page_index, blocks, words FROM b UNION ALL SELECT doc_id, n + 1, 'finished', n, blocks, words FROM d
       UNION ALL SELECT doc_id, 0, 'failed', NULL, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d)""",
+    "page_stream": f"""WITH b AS MATERIALIZED (SELECT doc_id, page_index, count(*) AS blocks, CAST(sum({_words('text')}) AS BIGINT) AS words FROM {_BLOCKS} GROUP BY 1, 2),
+      d AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(words) AS BIGINT) AS words FROM b GROUP BY 1)
+      SELECT doc_id, 0 AS seq, 'started' AS event, n AS page_index, NULL AS blocks, NULL AS words FROM d
+      UNION ALL SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS INTEGER), 'page', page_index, blocks, words FROM b UNION ALL SELECT doc_id, n + 1, 'finished', n, blocks, words FROM d""",
     "embedded_fonts": f"""SELECT doc_id, max((coalesce(before, 0) < 2000 AND ord % 40 >= 36)::INT) AS fonts FROM (SELECT doc_id, ord, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_BLOCKS}) GROUP BY doc_id""",
     "box_decode": f"WITH {_AB} SELECT page, ord, round(x / 1000 * 600, 2) AS x, round((1 - y / 1000 - h / 1000) * 800, 2) AS y, round(w / 1000 * 600, 2) AS w, round(h / 1000 * 800, 2) AS h FROM b",
     "encode_path": "SELECT page_id, replace(replace(replace(url, '?', '%3F'), '#', '%23'), ' ', '%20') || '%20%C3%A9%231' AS path FROM pages",
     "glyph_lines": f"WITH RECURSIVE {_GLYPH_LINES} SELECT page, ord, text, col, size, bold::INT AS bold, round(x, 3) AS x, round(y, 3) AS y, round(w, 3) AS w, round(h, 3) AS h, glyphs, segments FROM gl",
-    "glyph_blocks": f"""WITH gq AS MATERIALIZED (WITH RECURSIVE {_GLYPH_LINES} SELECT * FROM gl), {_PARAGRAPHS.replace(_LINES, 'gq')}, {_BLOCKS}
+    "glyph_blocks": f"""WITH gq AS MATERIALIZED (WITH RECURSIVE {_GLYPH_LINES} SELECT * FROM gl), {_PARAGRAPHS.replace(_LINES, 'gq')}, {_PAGE_BLOCKS}
       SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY line) - 1 AS INTEGER) AS ord, type, level, {_trim('text')} AS text FROM k WHERE {_trim('text')} <> ''""",
     "model_answers": f"""WITH a AS (SELECT doc_id, {_trim("'```md' || chr(10) || replace(text, '`', chr(39)) || ' $ x^2 $' || chr(10) || '```'")} AS t FROM documents),
       f AS (SELECT doc_id, {_trim("regexp_extract(t, '(?s)^```[^\\n]*\\n(.*?)\\n?```$', 1)")} AS t FROM a),
       m AS (SELECT doc_id, replace(replace(t, '$$', chr(57345) || chr(57345)), chr(57345) || '$', chr(57345) || chr(57345)) AS t FROM f)
       SELECT doc_id, replace(regexp_replace(t, '\\$[ \\t\\x0B-\\r\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]*([^$\\x{{E001}}\\n]*?)[ \\t\\x0B-\\r\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]*([$\\x{{E001}}])', '$\\1\\2', 'g'), chr(57345), '$') AS text FROM m""",
-    "routed_pages": f"""WITH RECURSIVE {_PARAGRAPHS.replace(_LINES, f'(SELECT * FROM {_LINES} WHERE page % 7 <> 3)')}, {_BLOCKS},
+    "routed_pages": f"""WITH RECURSIVE {_PARAGRAPHS.replace(_LINES, f'(SELECT * FROM {_LINES} WHERE page % 7 <> 3)')}, {_PAGE_BLOCKS},
       bx AS MATERIALIZED (SELECT page, paragraph, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM l7 GROUP BY 1, 2),
       rg AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY line) - 1 AS INTEGER) AS ord, 'text' AS kind, k.level, bx.x, bx.y, bx.w, bx.h FROM k JOIN g USING (page, line) JOIN bx USING (page, paragraph) WHERE page % 3 = 1 AND {_trim('k.text')} <> ''
         UNION ALL SELECT page, ord, CASE WHEN ord % 20 = 0 THEN 'table' ELSE 'text' END, NULL, x, y, w, h FROM {_BOXES} WHERE page % 7 = 3 AND page % 2 = 0 AND ord % 10 = 0),

@@ -13,7 +13,7 @@ from quire.operators.sections import sections
 from quire.plans import extract as X, route
 from quire.plans.engines import Engine
 from quire.sources import adapters as A, files, sinks
-from quire.streaming import events as E
+from quire.streaming import events as E, pages as PG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -538,6 +538,11 @@ def document_event_stream(spark, d):
     return E.converted(spark, d)
 
 
+@query
+def page_stream(spark, d):
+    return PG.converted(spark, d)
+
+
 @query
 def model_answers(spark, d):
     fenced = F.concat(F.lit("```md\n"), F.regexp_replace("text", "`", "'"), F.lit(" $ x^2 $\n```"))

@@ -10,7 +10,6 @@ from typing import TextIO
 
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions.blocks import complete
 from quire.operators import chunks as C, search as Q
 from quire.operators.stats import document_statistics
 
@@ -82,11 +81,20 @@ class Service:
             return self._shown(Q.around(chunked, a["chunk"], a.get("neighbours", 0))) or f"No chunk {a['chunk']}."
         from quire.sources import sinks
 
+        base = a["path"].rstrip("/").rsplit("/", 1)[-1]
+        key = blocks.schema["doc_id"].dataType
+        names = blocks.select(F.col("doc_id").cast(key)).distinct().withColumn("filename", F.lit(base))
         frames = {
-            "markdown": sinks.document_markdown(blocks), "json": sinks.document_json(blocks), "chunks": chunked.select("doc_id", sinks.chunk_json(chunked).alias("json")),
-            "outline": sinks.outline_json(C.outline(chunked)), "figures": complete(blocks).where("type = 'figure'").select("doc_id", "page_index", "path"),
+            "markdown": sinks.document_markdown(blocks), "json": sinks.document_json(blocks, documents=self._documents(blocks, base)),
+            "chunks": chunked.select("doc_id", "chunk_id", sinks.chunk_json(chunked).alias("json")), "outline": sinks.outline_json(C.outline(chunked)),
         }
-        return "\n".join(sinks.export(frames, a["folder"]).values())
+        written = sinks.export(frames, a["folder"], names=names)
+        stem = base.rsplit(".", 1)[0] if base.rfind(".") > 0 else base
+        return "\n".join(p.replace("*", stem) for p in written.values())
+
+    def _documents(self, blocks: DataFrame, filename: str) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return blocks.groupBy("doc_id").agg(F.count_distinct("page_index").alias("pages")).select("doc_id", F.lit(filename).alias("filename"), "pages", none.alias("sha256"), F.lit("fast").alias("tier"), none.alias("model"), F.lit("1").alias("app_version"))
 
     def handle(self, line: str) -> str | None:
         """The answer to a message, or None to a notification."""

@@ -16,7 +16,8 @@ source struct<filename:string,pages:int,sha256:string>, engine struct<tier:strin
 pages array<struct<index:int,width:double,height:double,engine:string,duration:double,
   blocks:array<struct<type:string,level:int,text:string,fontSize:double,confidence:double,ordered:boolean,
     items:array<struct<text:string,depth:int>>,rows:array<array<struct<text:string,rowSpan:int,colSpan:int>>>,
-    structureSuspect:boolean,path:string,caption:string,latex:string,isInline:boolean,language:string,bbox:array<double>>>>>
+    structureSuspect:boolean,path:string,caption:string,latex:string,isInline:boolean,language:string,bbox:array<double>>>>>,
+statistics struct<pages:bigint,characters:bigint,charactersExcludingWhitespace:bigint,words:bigint,estimatedTokens:bigint,blocks:bigint,headings:bigint,tables:bigint,figures:bigint,uncertainTables:bigint>
 """
 
 
@@ -61,6 +62,11 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=True)
 
 
+def document_sources(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Where each document is from, what read it and its counts: ``sinks.document_json`` writes them again."""
+    return docs.select(key, "source.filename", "source.pages", "source.sha256", "engine.tier", "engine.model", F.col("engine.appVersion").alias("app_version"), "statistics")
+
+
 def document_pages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode("pages").alias("p")).select(key, F.col("p.index").alias("page_index"), "p.width", "p.height", "p.engine", "p.duration")
 

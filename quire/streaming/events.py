@@ -49,9 +49,14 @@ def document_events(docs: DataFrame, lines_a_page: int = 40) -> DataFrame:
     return every.select("doc_id", F.inline(F.when(n > 0, whole).otherwise(F.array(event("failed", F.lit(0), none, none, none)))))
 
 
+def new_root(spark: SparkSession) -> str:
+    """A folder of a stream's own in the shared one."""
+    return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+
+
 def _run(spark: SparkSession, stream: DataFrame, mode: str, of: Callable[[DataFrame], DataFrame]) -> str:
     """Run a stream over all there is; ``of`` each batch lies below the folder returned, by its number."""
-    root = f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    root = new_root(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         of(batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
