@@ -15,10 +15,12 @@ label the one with fewest edits stays, then the first.  Rows are independent.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import regex
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -143,11 +145,17 @@ class Scanner:
                 if m and m.start() > done:
                     done = m.end()
                     spans.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
-        kept: list[tuple[int, int, str, int]] = []
-        for s in sorted(spans, key=lambda s: (s[3], s[0], s[1])):
-            if all(s[2] != o[2] or s[1] <= o[0] or s[0] >= o[1] for o in kept):
-                kept.append(s)
-        return [(line.count(b" ", 0, a), line.count(b" ", 0, a) + flat.count(" ", a, b) + 1, label, e, line[a:b].decode("utf-8", "replace")) for a, b, label, e in sorted(kept)]
+        # the best come first; of a label's spans only the neighbours of a place can overlap it
+        taken: dict[str, list[tuple[int, int, int]]] = {}
+        for a, b, label, e in sorted(spans, key=lambda s: (s[3], s[0], s[1])):
+            own = taken.setdefault(label, [])
+            at = bisect_left(own, (a, b, e))
+            if (not at or own[at - 1][1] <= a) and (at == len(own) or own[at][0] >= b):
+                own.insert(at, (a, b, e))
+        kept = sorted((a, b, label, e) for label, own in taken.items() for a, b, e in own)
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        number = lambda at: int(np.searchsorted(spaces, at))
+        return [(number(a), number(b) + 1, label, e, line[a:b].decode("utf-8", "replace")) for a, b, label, e in kept]
 
     def scan(self, text: str | None) -> tuple:
         words = normal(text or "")

@@ -10,6 +10,7 @@ Host and path are cut as the contract says, by Spark's own functions; rules
 are native too.  Null urls and urls without ``://`` have an empty host and
 path; no rule fits them and the model scores the prior alone.  Equal scores
 allow.  Rows are independent; repeated rows count as often as they stand.
+Urls of any length: a long one's words and stretches carry an id, not its text.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from quire.llm._arrow import ROWS, col, explode_texts
 from quire.storage import staged
@@ -35,11 +37,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Tasks that a host's or path's urls may be dealt over.
-SALTS = 16
-
-#: For callers that fill a ``Model`` by hand; no word is hashed to a slot.
-SLOTS = 1 << 16
+#: Tasks that a hot host's or path's urls are dealt over; what has more urls than
+#: ``HOT_LEAST`` and than ``HOT`` of all is hot, so at most 1 / HOT keys are.
+SALTS, HOT, HOT_LEAST = 16, 1 / 1000, 1000
 
 _A_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -116,6 +116,7 @@ class Model:
     prior: float
     log_total: float = 0.0
     lengths: tuple[int, ...] = ()  # of all words
+    splits: DataFrame | None = None  # labels segmented so far: (lid, words)
 
     def segment(self, label: str) -> list[str]:
         """The likeliest split of a label, by ``words`` as a dict."""
@@ -148,39 +149,75 @@ def unigrams(texts: DataFrame) -> Model:
     return Model(words, -log_total - 2.0, None, 0.0, log_total, tuple(sorted(r["size"] for r in sizes)))
 
 
-def host_words(hosts: DataFrame, model: Model) -> DataFrame:
-    """``host`` and its ``words``, for distinct hosts; a host without a letter or digit has no row.
-
-    The stretches of each distinct label meet the words that they are, so a
-    task needs no more of the words than stand in its labels.
-    """
-    labels = staged(_exploded(hosts, "host", ("host",)), "labels")
-    distinct = labels.select(F.col("w").alias("label")).distinct()
-    lengths, unknown, log_total = model.lengths, model.unknown, model.log_total
+#: Stretches of labels that go to Spark at once.
+OUT = 1 << 16
 
-    def make():
-        def run(rows):
-            found = [(i, x) for i, r in enumerate(rows) for x in {r[a : a + n] for n in lengths if n <= len(r) for a in range(len(r) - n + 1)}]
-            return [i for i, _ in found], [[x for _, x in found]]
 
-        return run
+def _segmented(labels: DataFrame, model: Model) -> DataFrame:
+    """(``lid``, ``words``) of labels (``lid``, ``label``).
 
-    stretches = explode_texts(distinct, "label", ("label",), [StructField("w", StringType())], make)
-    known = stretches.join(model.words, "w").groupBy("label").agg(F.collect_list(F.struct("w", "count")).alias("known"))
-    schema = StructType([StructField("label", StringType()), StructField("words", ArrayType(StringType()))])
+    The stretches of each label meet the words that they are, so a task needs
+    no more of the words than stand in its labels.  Stretches go by their
+    hashes and labels by their ids: nothing is copied for each stretch.
+    """
+    lengths, unknown, log_total = model.lengths, model.unknown, model.log_total
+    schema = StructType([StructField("lid", LongType()), StructField("wid", LongType())])
+
+    def stretches(batches):
+        from xxhash import xxh64_intdigest
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], schema.names)
+
+        owners, hashes = [], []
+        for batch in batches:
+            for lid, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # ends of characters, so that stretches are cut out of the bytes
+                raw = label.encode("utf-8", "replace")
+                ends = [i for i, x in enumerate(raw) if x & 0xC0 != 0x80] + [len(raw)]
+                for n in lengths:
+                    if n > len(label):
+                        break
+                    # Spark's xxhash64 of a string
+                    found = {xxh64_intdigest(raw[ends[i] : ends[i + n]], seed=42) for i in range(len(label) - n + 1)}
+                    owners += [lid] * len(found)
+                    hashes += found
+                    if len(owners) >= OUT:
+                        yield out()
+                        owners, hashes = [], []
+        if owners:
+            yield out()
+
+    words = model.words.withColumn("wid", F.xxhash64("w"))
+    known = labels.select("lid", "label").mapInArrow(stretches, schema).join(words, "wid").groupBy("lid").agg(F.collect_list(F.struct("w", "count")).alias("known"))
+    schema_out = StructType([StructField("lid", LongType()), StructField("words", ArrayType(StringType()))])
 
     def split(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
                 out = []
-                for label, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for label, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                     out.append(viterbi(label, {x["w"]: math.log(x["count"] + 1) - log_total for x in words or ()}, unknown))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], schema_out.names)
 
-    cut = staged(distinct.join(known, "label", "left").select("label", "known").mapInArrow(split, schema), "splits")
-    both = labels.join(cut, labels.w == cut.label).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", "words"))).alias("xs"))
-    return staged(both.select("host", F.flatten(F.col("xs.words")).alias("words")), "hosts")
+    return labels.join(known, "lid", "left").select("lid", "label", "known").mapInArrow(split, schema_out)
+
+
+def host_words(hosts: DataFrame, model: Model) -> DataFrame:
+    """``host``, ``hid`` and its ``words``, for distinct hosts; a host without a letter or digit has no row.
+
+    Labels that the model has segmented already are not segmented again.
+    """
+    hosts = staged(hosts.select("host").distinct().withColumn("hid", F.xxhash64("host")), "hosts")
+    labels = staged(_exploded(hosts, "host", ("hid",)).withColumn("lid", F.xxhash64("w")), "labels")
+    distinct = labels.groupBy("lid").agg(F.min("w").alias("label"))
+    if model.splits is not None:
+        distinct = distinct.join(model.splits.select("lid"), "lid", "left_anti")
+    splits = _segmented(staged(distinct, "distinct"), model)
+    model.splits = staged(splits if model.splits is None else model.splits.unionByName(splits), "splits")
+    both = labels.join(model.splits, "lid").groupBy("hid").agg(F.array_sort(F.collect_list(F.struct("k", "words"))).alias("xs"))
+    return staged(hosts.join(both, "hid").select("host", "hid", F.flatten(F.col("xs.words")).alias("words")), "host-words")
 
 
 def train(urls: DataFrame, url_col: str = "url", html_col: str | None = None, rules=RULES) -> Model:
@@ -193,7 +230,7 @@ def train(urls: DataFrame, url_col: str = "url", html_col: str | None = None, ru
     model = unigrams(urls.select(F.concat_ws(" ", path_column(col(url_col)), title).alias("t")))
     verdicts = F.element_at(F.array(*[F.lit(int(v == "block")) for v, _, _ in rules]), F.col("rule") + 1) if rules else F.lit(0)
     ruled = cut.where("rule is not null").select("host", "path", verdicts.alias("block"))
-    hosts = host_words(ruled.select("host").distinct(), model)
+    hosts = host_words(cut.select("host"), model)
     of_hosts = ruled.groupBy("host", "block").count().join(hosts, "host").select(F.lit("host").alias("place"), F.explode("words").alias("w"), "block", "count")
     of_paths = _exploded(ruled.groupBy("path", "block").count(), "path", ("block", "count")).select(F.lit("path").alias("place"), "w", "block", "count")
     blocked = lambda b: F.sum(F.when(F.col("block") == b, F.col("count")).otherwise(0))
@@ -206,27 +243,40 @@ def train(urls: DataFrame, url_col: str = "url", html_col: str | None = None, ru
     return model
 
 
-def _sums(tokens: DataFrame, model: Model, key: str) -> DataFrame:
+def _sums(tokens: DataFrame, model: Model, place: str, key: str) -> DataFrame:
     """``key`` and the sum of the odds of its words (column ``w``); words never seen say nothing."""
-    odds = model.odds.where(F.col("place") == key).select("w", "odds")
+    odds = model.odds.where(F.col("place") == place).select("w", "odds")
     # a url's own words, added in one order whatever the tasks did
     xs = tokens.join(odds, "w").groupBy(key).agg(F.array_sort(F.collect_list("odds")).alias("xs"))
-    return xs.select(F.col(key), F.aggregate("xs", F.lit(0.0), lambda a, x: a + x).alias(f"{key}_odds"))
+    return xs.select(F.col(key), F.aggregate("xs", F.lit(0.0), lambda a, x: a + x).alias(f"{place}_odds"))
+
+
+def _hot(cut: DataFrame, key: str, total: int) -> list[int]:
+    """Ids of the hosts or paths with very many urls: at most 1 / HOT."""
+    return [r[key] for r in cut.groupBy(key).count().where(F.col("count") > max(HOT_LEAST, total * HOT)).select(key).collect()]
 
 
 def judge(urls: DataFrame, model: Model, url_col: str = "url", keep: Sequence[str] = ("page_id",), rules=RULES) -> DataFrame:
-    """``keep`` columns, ``host``, ``path``, ``rule``, ``verdict``, ``score`` and the host's ``words``."""
-    cut = parts(urls, url_col, keep, rules)
+    """``keep`` columns, ``host``, ``path``, ``rule``, ``verdict``, ``score`` and the host's ``words``.
+
+    Hosts and paths meet their scores by 64-bit ids of theirs.
+    """
+    cut = parts(urls, url_col, keep, rules).withColumns({"hid": F.xxhash64("host"), "pid": F.xxhash64("path")})
     ks = [f"k{i}" for i in range(len(keep))]
-    hosts = host_words(cut.select("host").distinct(), model)
-    of_hosts = hosts.join(_sums(hosts.select("host", F.explode("words").alias("w")), model, "host"), "host", "left")
-    of_paths = _sums(_exploded(cut.select("path").distinct(), "path", ("path",)), model, "path")
+    hosts = host_words(cut.select("host"), model)
+    of_hosts = hosts.select("hid", "words").join(_sums(hosts.select("hid", F.explode("words").alias("w")), model, "host", "hid"), "hid", "left")
+    of_paths = _sums(_exploded(cut.select("path", "pid").distinct(), "path", ("pid",)), model, "path", "pid")
     score = F.lit(model.prior) + F.coalesce(F.col("host_odds"), F.lit(0.0)) + F.coalesce(F.col("path_odds"), F.lit(0.0))
     words = F.coalesce(F.col("words"), F.array().cast("array<string>"))
-    # a very common host's or path's urls are dealt over several tasks, each with a copy of its one row
-    dealt = lambda one: one.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("q_salt"))
-    cut = cut.withColumn("q_salt", F.pmod(F.xxhash64(*ks, "host", "path"), F.lit(SALTS)).cast("int"))
-    out = cut.join(dealt(of_hosts), ["host", "q_salt"], "left").join(dealt(of_paths), ["path", "q_salt"], "left").select(*ks, "host", "path", "rule", score.alias("score"), words.alias("words"))
+    total = cut.count()
+    salt = F.pmod(F.xxhash64(*ks, "host", "path"), F.lit(SALTS)).cast("int")
+    out = cut
+    for key, one in (("hid", of_hosts), ("pid", of_paths)):
+        # a hot host's or path's urls are dealt over several tasks, each with a copy of its one row
+        hot = F.col(key).isin(_hot(cut, key, total))
+        dealt = one.withColumn("q_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        out = out.withColumn("q_salt", F.when(hot, salt).otherwise(0)).join(dealt, [key, "q_salt"], "left").drop("q_salt")
+    out = out.select(*ks, "host", "path", "rule", score.alias("score"), words.alias("words"))
     at = F.col("rule") + 1
     names = F.array(*[F.lit(h + p) for _, h, p in rules]) if rules else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(v) for v, _, _ in rules]) if rules else F.array().cast("array<string>")

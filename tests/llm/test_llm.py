@@ -114,8 +114,24 @@ def test_url_rules(spark):
     assert url_filter.judge(df.where("page_id < 0"), url_filter.train(df.where("page_id < 0"))).count() == 0
 
 
+def test_very_long_urls(spark):
+    urls = [f"http://site{i}.example.net/words/of/a/path{i}" for i in range(60)]
+    urls += ["http://" + "freewords" * 2222 + ".net/a", "http://x.net/" + "ab/" * 40_000, "http://" + "a." * 20_000 + "net/", "http://y.net/" + "longword" * 900 + "/" + "z" * 5000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(df, url_filter.train(df)).collect()}
+    assert len(got) == len(urls) and all("".join(got[i]["words"]) == re.sub("[^a-z0-9]", "", cut(u)[0]) for i, u in enumerate(urls))
+
+
+def test_hot_hosts_are_dealt_out(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://{'hot' if i % 3 else f'h{i}'}.net/{i % 2}/{i}") for i in range(300)], "page_id long, url string")
+    rows = lambda: sorted((r["page_id"], r["verdict"], round(r["score"], 9), tuple(r["words"])) for r in url_filter.judge(df, url_filter.train(df)).collect())
+    one = rows()
+    monkeypatch.setattr(url_filter, "HOT_LEAST", 5)
+    assert rows() == one and len(one) == 300
+
+
 def test_url_words():
-    m = url_filter.Model({"free": -3.0, "bets": -3.0, "tion": -2.0, "th": -2.0}, -12.0, np.zeros(url_filter.SLOTS), 0.0)
+    m = url_filter.Model({"free": -3.0, "bets": -3.0, "tion": -2.0, "th": -2.0}, -12.0, None, 0.0)
     assert m.segment("freebets") == ["free", "bets"] and m.segment("thtion") == ["th", "tion"] and "".join(m.segment("xxfreeyy")) == "xxfreeyy"
     assert m.segment("") == []
 
@@ -313,6 +329,16 @@ def least_edits(pattern, text):
     return min((row[j] for j in range(len(text)) if text[j] == " "), default=10**6)
 
 
+def test_a_text_of_many_notices():
+    import time
+
+    scanner, notice = license_scan.Scanner(), license_scan.NOTICES[1][0]
+    began = time.monotonic()
+    n, spans = scanner.scan(" and then ".join([notice] * 16_000))
+    fuzzy = [s for s in spans if not s[5]]
+    assert len(fuzzy) >= 16_000 and all(a[1] <= b[0] for a, b in zip(fuzzy, fuzzy[1:]) if a[2] == b[2]) and time.monotonic() - began < 5
+
+
 def test_notices_with_edits_are_found():
     """Planted notices of 0 to k edits against a plain edit-distance scan, and prose that holds none."""
     rng, scanner = random.Random(6), license_scan.Scanner()
