@@ -1,7 +1,9 @@
 """Line dedup by pairwise alignment.
 
-A text's lines of ``MIN_LINE_WORDS`` words or more are its *units*; blank and
-shorter lines hang on the units beside them.  Documents that share a *rare*
+A text's lines that aren't blank are its *units*, whatever their length; blank
+lines hang on the units beside them.  What a unit weighs is its words, a very
+long one counting for several (``LONG_WORD``), so that text without spaces has
+a weight too, and short lines gather into blocks.  Documents that share a *rare*
 unit, one that stands in at most ``RARE`` places of all documents, are paired,
 every two of them.  Each pair is aligned by patience diff: units that either
 has once are anchors, of which a longest rising sequence stays; what lies
@@ -17,7 +19,7 @@ its document with the first document that has the same window, and the pair is
 aligned as any other.  Nothing is lost by it: a block that an earlier document
 has either holds a rare unit, which pairs the two, or is covered by windows
 that the first holder has too.  So every run of units of ``MIN_BLOCK_WORDS``
-words that stands in an earlier document goes, with the short lines beside its
+words that stands in an earlier document goes, with the blank lines beside its
 units that are alike in both; lone common lines stay.
 
 Long documents are aligned by segments of bounded size, which overlap by a
@@ -41,7 +43,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from quire.llm._arrow import ROWS, col, explode_texts
 from quire.storage import staged
 
-MIN_LINE_WORDS, MIN_BLOCK_WORDS = 4, 20
+MIN_BLOCK_WORDS = 20
+#: A word of twice so many characters or more counts once for each so many.
+LONG_WORD = 8
 #: Places of a rare unit, at most, in all documents together.
 RARE = 8
 #: Units from a segment's start to the next one's.
@@ -55,6 +59,14 @@ _UNIT = [
 ]
 
 
+def weight(line: str) -> int:
+    """The words of a line; 0 if it is blank."""
+    words = line.split()
+    if len(line) < 2 * LONG_WORD:
+        return len(words)
+    return len(words) + sum(len(w) // LONG_WORD - 1 for w in words if len(w) >= 2 * LONG_WORD)
+
+
 def units(text: str | None) -> list[tuple]:
     """Rows of ``_UNIT`` for a text."""
     import xxhash
@@ -62,8 +74,8 @@ def units(text: str | None) -> list[tuple]:
     if not text:
         return []
     lines = text.split("\n")
-    counts = [len(x.split()) for x in lines]
-    at = [i for i, n in enumerate(counts) if n >= MIN_LINE_WORDS]
+    counts = [weight(x) for x in lines]
+    at = [i for i, n in enumerate(counts) if n]
     edges = [-1, *at, len(lines)]
     signed = lambda x, bits: x - (1 << bits) if x >> (bits - 1) else x
     glue = [signed(xxhash.xxh32_intdigest("\n".join(lines[a + 1 : b]).encode("utf-8", "replace")), 32) if b - a > 1 else 0 for a, b in zip(edges, edges[1:])]
@@ -73,7 +85,7 @@ def units(text: str | None) -> list[tuple]:
 
 def overlap(min_words: int) -> int:
     """The most units of a window."""
-    return -(-max(1, min_words) // MIN_LINE_WORDS)
+    return max(1, min_words)
 
 
 def spans(words: list[int], min_words: int) -> list[tuple[int, int]]:
@@ -260,7 +272,8 @@ def _segments(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     # places of a very common unit over several tasks
     shared = staged(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") <= RARE).alias("rare")), "shared")
     own = F.floor(F.col("u") / SEGMENT).cast("int")
-    both = F.when((F.col("u") % SEGMENT < overlap(min_words)) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    # a segment goes on into the next by a window
+    both = F.sequence(F.greatest(F.lit(0), F.floor((F.col("u") - overlap(min_words)) / SEGMENT).cast("int")), own)
     names = [f.name for f in _UNIT] + ["rare"]
     marked = every.join(shared, "h").select("id", "hash", F.explode(both).alias("seg"), F.struct(*names).alias("x"))
     # of rows alike, each unit once; a segment has a bounded number of units

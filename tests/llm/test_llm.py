@@ -201,19 +201,34 @@ def test_line_dedup_keeps_columns_rows_and_repeats(spark):
     assert line_dedup.dedup_lines(df.where(EMPTY)).count() == 0
 
 
+def weighs(line):
+    """Words of a line; one of 16 characters or more counts once for every 8."""
+    return sum(len(w) // 8 if len(w) >= 16 else 1 for w in line.split())
+
+
 def shared_blocks(texts):
     """Of each text the numbers of lines in runs of 20 words or more that an earlier text has too."""
-    units = [[(i, x) for i, x in enumerate(t.split("\n")) if len(x.split()) >= 4] for t in texts]
+    units = [[(i, x) for i, x in enumerate(t.split("\n")) if x.split()] for t in texts]
     seen, out = set(), []
     for own in units:
         # longer runs are made of runs of so many units
-        runs = [(i, j) for i in range(len(own)) for j in range(i + 1, min(i + 10, len(own)) + 1) if sum(len(x.split()) for _, x in own[i:j]) >= 20]
+        runs = [(i, j) for i in range(len(own)) for j in range(i + 1, min(i + 24, len(own)) + 1) if sum(weighs(x) for _, x in own[i:j]) >= 20]
         held = {(i, j): tuple(x for _, x in own[i:j]) for i, j in runs}
         out.append({own[k][0] for (i, j), key in held.items() if key in seen for k in range(i, j)})
         seen |= set(held.values())
     return out
 
 
+def test_short_and_unspaced_lines_are_compared(spark):
+    short = "\n".join(f"a{i} b c" for i in range(100))
+    chinese = "\n".join(chr(0x4E00 + i) * 3 + "這是一行沒有空格的文字用來測試行去重的功能是否正確" for i in range(100))
+    code = "\n".join(["}", "end"] * 12)
+    texts = [short, short, chinese, chinese, f"x\n{code}\ny", f"z\n{code}\nw", "one\ntwo", "one\ntwo"]
+    got = {r["doc_id"]: r for r in line_dedup.report(docs(spark, texts)).collect()}
+    want = shared_blocks(texts)
+    assert [got[i]["n_dropped"] for i in range(len(texts))] == [len(w) for w in want] == [0, 100, 0, 100, 0, 24, 0, 0]
+
+
 def test_blocks_of_lines_with_other_first_holders_go(spark):
     passage = ["passage line %d has just eight words here" % i for i in range(6)]
     texts = [f"own words before number {i} stand here\n{x}\nown words after number {i} stand here" for i, x in enumerate(passage)]
