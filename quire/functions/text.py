@@ -182,3 +182,8 @@ def render_block(kind: Column, level: Column, t: Column, language: Column | None
         .when(kind == "code", code)
         .otherwise(escaped)
     )
+
+
+def figure_name(page: Column, number: Column) -> Column:
+    """A figure's file: its page, from 1, and its number there."""
+    return F.format_string("p%03d-fig%02d.png", page + 1, number)

@@ -66,22 +66,39 @@ def prefixed(df: DataFrame, p: str, names=("ord", "x", "y", "w", "h")) -> DataFr
     return df.select("page", *[F.col(n).alias(f"{p}{n}") for n in names])
 
 
+#: Height of the bands of a page that overlapping boxes meet in.
+BAND = 64.0
+
+
+def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of boxes (prefixed a_ and b_) of a page that stand in a band together, each once.
+
+    A box stands in every band that it reaches; a pair belongs to the first band
+    that both reach.  So a full page doesn't pair all of its boxes, and no pair
+    that overlaps is lost.
+    """
+    band = lambda y: F.floor(y / BAND).cast("int")
+    in_bands = lambda df, p: df.where(F.col(f"{p}h") >= 0).withColumn("q_band", F.explode(F.sequence(band(F.col(f"{p}y")), band(F.col(f"{p}y") + F.col(f"{p}h")))))
+    first = F.greatest(band(F.col("a_y")), band(F.col("b_y")))
+    return in_bands(a, "a_").join(in_bands(b, "b_"), ["page", "q_band"]).where(F.col("q_band") == first).drop("q_band")
+
+
 def uncovered(boxes: DataFrame, claims: DataFrame, share: float = 0.6) -> DataFrame:
     """Boxes that no claim of their page covers by the share or more."""
-    a, b = prefixed(boxes, "a_"), prefixed(claims, "b_")
-    cond = (a.page == b.page) & (coverage("a_", "b_") >= share)
-    return a.join(b, cond, "left_anti")
+    a = prefixed(boxes, "a_")
+    hidden = _meeting(a, prefixed(claims, "b_")).where(coverage("a_", "b_") >= share).select("page", "a_ord").distinct()
+    return a.join(hidden, ["page", "a_ord"], "left_anti")
 
 
 def first_claim(boxes: DataFrame, claims: DataFrame, share: float = 0.5) -> DataFrame:
     """Each box with the first claim, by number, that covers more than the share of it."""
-    j = prefixed(boxes, "a_").join(prefixed(claims, "b_"), "page").where(coverage("a_", "b_") > share)
+    j = _meeting(prefixed(boxes, "a_"), prefixed(claims, "b_")).where(coverage("a_", "b_") > share)
     return j.groupBy("page", "a_ord").agg(F.min("b_ord").alias("claim"))
 
 
 def matches(candidates: DataFrame, tables: DataFrame, share: float = 0.3) -> DataFrame:
     """Each candidate with the first table where one covers more than the share of the other, or null."""
-    j = prefixed(candidates, "a_").join(prefixed(tables, "b_"), "page").where((coverage("a_", "b_") > share) | (coverage("b_", "a_") > share))
+    j = _meeting(prefixed(candidates, "a_"), prefixed(tables, "b_")).where((coverage("a_", "b_") > share) | (coverage("b_", "a_") > share))
     found = j.groupBy("page", "a_ord").agg(F.min("b_ord").alias("match"))
     return prefixed(candidates, "a_").join(found, ["page", "a_ord"], "left").select("page", "a_ord", "match")
 

@@ -43,6 +43,11 @@ def page_route(pages: DataFrame) -> DataFrame:
     })
 
 
+def total_duration(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Seconds that a document's pages took in all; pages that tell none count nothing."""
+    return pages.groupBy(doc).agg(F.sum(F.coalesce(F.col("duration").cast("double"), F.lit(0.0))).alias("seconds"))
+
+
 def engine_mix(pages: DataFrame, doc: str, engine: str = "engine") -> DataFrame:
     return pages.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_set(engine)), "+").alias("engines"))
 

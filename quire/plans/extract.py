@@ -124,7 +124,7 @@ def with_figures(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     captions = G.nearest_below(fig, paragraphs).select("page", F.col("a_ord").alias("n"), F.col("caption").alias("ord")).join(paragraphs.select("page", "ord", F.col("text").alias("caption")), ["page", "ord"]).drop("ord")
     kept = b.join(took, ["page", "ord"], "left_anti")
     before = G.splice_before(fig, kept).select("page", F.col("a_ord").alias("n"), "before")
-    path = F.format_string("images/p%03d-fig%02d.png", F.col("page") + 1, F.col("n"))
+    path = F.concat(F.lit("images/"), T.figure_name(F.col("page"), F.col("n")))
     key = F.coalesce(F.col("before") - 0.5, F.lit(float("inf")))
     placed = found.join(before, ["page", "n"]).join(captions, ["page", "n"], "left").select("page", "n", key.alias("key"), F.lit("figure").alias("type"), path.alias("path"), "caption", *BOX)
     return _renumbered(kept.withColumn("key", F.col("ord").cast("double")).unionByName(placed, allowMissingColumns=True), "n")

@@ -366,7 +366,7 @@ ORACLES: dict[str, str] = {
       SELECT page, ord, x - 20 AS x0, w * 4 AS w0, h, 120.0 - y - h AS t FROM {_BOXES} WHERE ord % 10 <> 0 AND w * 4 < 300)) WHERE w > 0 AND h > 0""",
     "text_in_rect": f"""WITH {_AB} SELECT r.page, r.ord, string_agg('w' || b.ord, ' ' ORDER BY b.ord) AS text, max(b.l_linenumber)::DOUBLE AS size, (sum(CASE WHEN b.l_returnflag <> 'N' THEN length('w' || b.ord) ELSE 0 END) > 0.8 * sum(length('w' || b.ord)))::INT AS bold
       FROM b r JOIN b ON b.page = r.page WHERE r.ord % 25 = 0 AND b.x + b.w / 2 BETWEEN r.x AND r.x + r.w * 3 AND b.y + 5 BETWEEN r.y AND r.y + 20 GROUP BY r.page, r.ord""",
-    "contents_exclude": f"WITH {_AB}, t AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 4 = 0), c AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 9 = 0) SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = t.page AND t.first_line < c.end_line AND c.first_line < t.end_line)",
+    "contents_exclude": f"WITH {_AB}, t AS (SELECT page, ord AS first_line, ord + l_linenumber AS end_line FROM b WHERE ord % 4 = 0), c AS (SELECT page, ord AS first_line, ord + 1 AS end_line FROM b WHERE ord % 4 <> 0) SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = t.page AND t.first_line < c.end_line AND c.first_line < t.end_line)",
     "vision_blocks": f"WITH v AS (SELECT *, CASE WHEN ord = 5 THEN 'title' WHEN ord % 6 = 0 THEN 'table' ELSE 'paragraph' END AS kind FROM {_BOXES}) SELECT m.page, m.ord, m.kind FROM v m WHERE m.kind <> 'paragraph' OR NOT EXISTS (SELECT 1 FROM v n WHERE n.page = m.page AND n.kind <> 'paragraph' AND {_cover('m', 'n')} >= CASE WHEN n.kind = 'title' THEN 0.9 ELSE 0.6 END)",
     "place_headings": f"WITH {_AB}, r AS (SELECT *, row_number() OVER (PARTITION BY page, l_linenumber ORDER BY ord) = 1 AND l_linenumber <= 2 AS head FROM b) SELECT page, ord, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head THEN l_linenumber END AS level FROM r",
     "column_gutters": f"WITH {_COLUMNS} SELECT page, round(center, 4) AS center, round(half, 4) AS half FROM gt",

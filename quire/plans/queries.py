@@ -134,7 +134,7 @@ def report_columns(spark, d):
 
 @query
 def figure_names(spark, d):
-    return A.boxes(spark, d).select("page", "ord", F.format_string("p%03d-fig%02d.png", F.col("page") + 1, F.col("ord")).alias("name"))
+    return A.boxes(spark, d).select("page", "ord", T.figure_name(F.col("page"), F.col("ord")).alias("name"))
 
 
 # --- statistics -------------------------------------------------------------------
@@ -169,8 +169,8 @@ def engine_mix(spark, d):
 
 @query
 def total_duration(spark, d):
-    e = A.table(spark, d, "events")
-    return e.groupBy("event_type").agg(_r(F.sum(F.coalesce(F.when(F.col("user_id") % 3 != 0, F.col("value")), F.lit(0.0))), 3).alias("seconds"))
+    e = A.table(spark, d, "events").withColumn("duration", F.when(F.col("user_id") % 3 != 0, F.col("value")))
+    return stats.total_duration(e, "event_type").select("event_type", _r("seconds", 3).alias("seconds"))
 
 
 @query
@@ -451,7 +451,7 @@ def paragraph_texts(spark, d):
 
 @query
 def column_measure(spark, d):
-    return _lines(spark, d).select("page", "ord", F.max("w").over(W.partitionBy("page", "col")).alias("measure"))
+    return L.column_measure(_lines(spark, d)).select("page", "ord", "measure")
 
 
 @query
@@ -517,7 +517,7 @@ def figures_of(spark, d):
     b = A.boxes(spark, d)
     box = F.struct("ord", (F.col("x") % 560).alias("x"), ((F.col("y") * 7) % 760).alias("y"), F.col("w").alias("w"), F.lit(30.0).alias("h"), (F.col("l_returnflag") == "R").alias("lettering"))
     some = lambda c: F.array_sort(F.collect_list(F.when(c, box)))
-    p = b.groupBy("page").agg(some(F.col("ord") % 9 == 0).alias("ink"), some(F.col("ord") % 9 == 4).alias("texts"))
+    p = b.groupBy("page").agg(some(F.col("ord") % 3 == 0).alias("ink"), some(F.col("ord") % 3 != 0).alias("texts"))
     f = figures.detect_pages(p.withColumns({"width": F.lit(600.0), "height": F.lit(800.0)}))
     return f.select("page", "n", *[_r(c, 3).alias(c) for c in "xywh"], _joined("took").alias("took"))
 
@@ -586,8 +586,8 @@ def arrange_rows(spark, d):
 @query
 def contents_exclude(spark, d):
     b = A.boxes(spark, d)
-    span = lambda c: b.where(c).select("page", F.col("ord").alias("first_line"), (F.col("ord") + F.col("l_linenumber")).alias("end_line"))
-    return X.without_contents(span("ord % 4 = 0"), span("ord % 9 = 0"))
+    span = lambda c, end: b.where(c).select("page", F.col("ord").alias("first_line"), (F.col("ord") + end).alias("end_line"))
+    return X.without_contents(span("ord % 4 = 0", F.col("l_linenumber")), span("ord % 4 <> 0", F.lit(1)))
 
 
 @query
