@@ -669,7 +669,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """The id and ``FIELDS`` of each row; ``kept`` are the words that stay, joined by spaces."""
     keys = ["none", "id", "hash"]
     by_doc = spans(docs, id_col, text_col, window).groupBy(*keys).agg(F.collect_list("spans").alias("spans"))
-    both = _keyed(docs, id_col, text_col).withColumn("own", F.when(~F.col("none"), F.col("id"))).join(by_doc, keys, "left").select("own", "text", "spans")
+    # the same exchange of texts as in ``spans``: Spark makes it once
+    both = _keyed(docs, id_col, text_col).join(by_doc, keys, "left").select(F.when(~F.col("none"), F.col("id")).alias("own"), "text", "spans")
     schema = StructType([StructField(id_col, LongType()), *FIELDS])
 
     def run(batches):
