@@ -83,17 +83,32 @@ def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
     return in_bands(a, "a_").join(in_bands(b, "b_"), ["page", "q_band"]).where(F.col("q_band") == first).drop("q_band")
 
 
+def _over_middle(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with the band that a box of ``a`` and what covers half of it or more meet in: that of its middle, once."""
+    band = lambda y: F.floor(y / BAND).cast("int")
+    reached = F.sequence(band(F.col("b_y")), band(F.col("b_y") + F.col("b_h")))
+    return a.withColumn("q_band", band(F.col("a_y") + F.col("a_h") / 2)), b.where("b_h >= 0").withColumn("q_band", F.explode(reached))
+
+
 def uncovered(boxes: DataFrame, claims: DataFrame, share: float = 0.6) -> DataFrame:
     """Boxes that no claim of their page covers by the share or more."""
-    a = prefixed(boxes, "a_")
-    hidden = _meeting(a, prefixed(claims, "b_")).where(coverage("a_", "b_") >= share).select("page", "a_ord").distinct()
-    return a.join(hidden, ["page", "a_ord"], "left_anti")
+    a, b = prefixed(boxes, "a_"), prefixed(claims, "b_")
+    if share < 0.5:
+        hidden = _meeting(a, b).where(coverage("a_", "b_") >= share).select("page", "a_ord").distinct()
+        return a.join(hidden, ["page", "a_ord"], "left_anti")
+    a, b = _over_middle(a, b)
+    return a.join(b, (a.page == b.page) & (a.q_band == b.q_band) & (coverage("a_", "b_") >= share), "left_anti").drop("q_band")
 
 
 def first_claim(boxes: DataFrame, claims: DataFrame, share: float = 0.5) -> DataFrame:
     """Each box with the first claim, by number, that covers more than the share of it."""
-    j = _meeting(prefixed(boxes, "a_"), prefixed(claims, "b_")).where(coverage("a_", "b_") > share)
-    return j.groupBy("page", "a_ord").agg(F.min("b_ord").alias("claim"))
+    a, b = prefixed(boxes, "a_"), prefixed(claims, "b_")
+    if share < 0.5:
+        j = _meeting(a, b)
+    else:
+        a, b = _over_middle(a, b)
+        j = a.join(b, ["page", "q_band"])
+    return j.where(coverage("a_", "b_") > share).groupBy("page", "a_ord").agg(F.min("b_ord").alias("claim"))
 
 
 def matches(candidates: DataFrame, tables: DataFrame, share: float = 0.3) -> DataFrame:

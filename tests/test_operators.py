@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 
 import numpy as np
 import pytest
@@ -457,3 +458,22 @@ def test_statistics(spark):
     t = b.limit(1).withColumns({"type": F.lit("table"), "text": F.lit("x"), "structure_suspect": F.lit(True), "pos": F.lit(9).cast("long")})
     r = stats.document_statistics(b.unionByName(t)).first()
     assert (r["pages"], r["headings"], r["tables"], r["uncertain_tables"], r["words"]) == (1, 1, 1, 1, 7)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.7])
+def test_boxes_that_overlap_meet_in_bands(spark, share):
+    """Covers by bands against all pairs, boxes of all heights, across bands, with and without an area."""
+    rng = random.Random(int(share * 10))
+    rows = lambda n: [(rng.randrange(3), i, float(rng.randrange(80)), float(rng.randrange(400)), float(rng.choice([0, 5, 40])), float(rng.choice([0, 3, 60, 200, 64]))) for i in range(n)]
+    a, b = rows(150), rows(60)
+    schema = "page long, ord int, x double, y double, w double, h double"
+    df, claims = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+
+    def cover(p, q):
+        dx, dy = min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2]), min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3])
+        return dx * dy / (p[4] * p[5]) if dx > 0 and dy > 0 and p[4] * p[5] > 0 else 0.0
+
+    same = lambda p: [q for q in b if q[0] == p[0]]
+    assert {r["a_ord"] for r in G.uncovered(df, claims, share).collect()} == {p[1] for p in a if all(cover(p, q) < share for q in same(p))}
+    assert {(r["a_ord"], r["claim"]) for r in G.first_claim(df, claims, share).collect()} == {(p[1], min(own)) for p in a if (own := [q[1] for q in same(p) if cover(p, q) > share])}
+    assert {(r["a_ord"], r["match"]) for r in G.matches(df, claims, share).collect()} == {(p[1], min((q[1] for q in same(p) if cover(p, q) > share or cover(q, p) > share), default=None)) for p in a}
