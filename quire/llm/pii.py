@@ -56,18 +56,38 @@ _MAY_LOOSE = {
     "phone": lambda t: t.rlike(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
     "secret": lambda t: t.rlike(r"""(?i)(?:token|secret|passw|key)[a-z]*["']? ?[=:]"""),
 }
+# Top-level domains of countries by their first letter, and general ones.
+_COUNTRIES = (
+    "a[c-gilmoq-uwxz]|b[abd-jmnorstvwyz]|c[acdf-ik-oruvw-z]|d[ejkmoz]|e[cegrstu]|f[ijkmor]|g[abd-ilmnp-uwy]|h[kmnrtu]|i[del-oq-t]|j[emop]|k[eghimnprwyz]|l[abcikr-vy]"
+    "|m[acdeghk-z]|n[acefgilopruz]|om|p[ae-hk-nrstwy]|qa|r[eosuw]|s[a-eg-or-vxyz]|t[cdfghj-ortvwz]|u[agksyz]|v[aceginu]|w[fs]|y[et]|z[amw]"
+)
+_GENERAL = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|jobs|mobi|travel|tel|cat|asia|post|academy|agency|app|bank|blog|care|center|city|cloud|club|community"
+    "|company|consulting|design|dev|digital|education|email|energy|expert|finance|fund|global|group|health|house|insurance|international|law|legal|life|live|market|marketing"
+    "|media|money|network|news|online|page|photos|school|science|services|shop|site|social|software|solutions|space|store|studio|support|systems|team|tech|today|tools|top"
+    "|university|video|website|wiki|work|world|xyz|zone"
+)
+# Endings that no mail goes to, of files and reserved.
+_NO_DOMAIN = "png|jpe?g|gif|svg|webp|ico|js|css|html?|php|json|xml|ya?ml|java|class|jar|zip|gz|pdf|exe|dll|log|txt|tmp|local|localhost|example|invalid|test"
+# Calling codes of countries by zone.
+_CALLING = (
+    "1|7|2(?:0|7|1[12368]|[2346][0-9]|5[0-8]|9[01789])|3(?:[0-469]|5[0-9]|7[0-9]|8[0-35-79])|4(?:[013-9]|2[013])|5(?:[1-8]|0[0-9]|9[0-9])"
+    "|6(?:[0-6]|7[02-9]|8[0-35-9]|9[0-2])|8(?:[1246]|5[02356]|8[06])|9(?:[0-58]|6[0-8]|7[0-7]|9[2-68])"
+)
+# First digits of card numbers by issuer.
+_ISSUERS = "4|5[0-8]|22(?:0[0-4]|2[1-9]|[3-9])|2[3-6]|27(?:[01]|20)|3[4679]|38|30[0-5]|35(?:2[89]|[3-8])|6(?:[0237]|011|4[4-9]|5)"
 _GAZETTEER = {  # (for, against)
-    "email": (r"(?i)(?:\.|dot ?[\])] ?)(?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk|it|nl)$", r"(?i)(?:png|jpg|js|css|html)$"),
+    "email": (rf"(?i)(?:\.|dot ?[\])] ?)(?:{_COUNTRIES}|{_GENERAL})$", rf"(?i)(?:\.|dot ?[\])] ?)(?:{_NO_DOMAIN})$"),
     "ip": (r"^(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9])\.|:", r"^(?:0|127|255)\.|^[0-9]\.[0-9]\.[0-9]\.[0-9]$"),
-    "card": (r"^[3-6]", r"^[0127-9]"),
-    "phone": (r"^\+(?:1|33|34|39|44|49|52|61|81|86|91)(?![0-9]{13})|^\(?[2-9]", r"^\(?0{3}"),
-    "secret": (r"(?i)^(?:token|api)", r"(?i)[=:] ?[\"']?[a-z]+[\"']?$"),
+    "card": (rf"^(?:{_ISSUERS})", rf"^(?!{_ISSUERS})"),  # of the digits alone
+    "phone": (rf"^\+[(]?(?:{_CALLING})(?![0-9]{{13}})|^\(?[2-9]", r"^\(?0{3}|^\(?[2-9]11"),
+    "secret": (r"(?i)^(?:token|api)|[=:] ?[\"']?(?:sk[_-]|gh[opsu]_|xox[abps]-|akia|asia|aiza|eyj)", r"(?i)[=:] ?[\"']?[a-z]+[\"']?$|x{6}|changeme|placeholder|your[_-]"),
 }
 _CUES = {  # in the characters before the span: (for, against)
-    "email": (r"(?i)mail|contact|write|@", r"(?i)import|package"),
+    "email": (r"(?i)mail|contact|write|@|correo|courriel|escrib|schreib", r"(?i)import|package"),
     "ip": (r"(?i)\bip\b|address|host|server|from", r"(?i)version|\bv\.? ?$|release|section"),
-    "card": (r"(?i)card|visa|master|amex|credit", r"(?i)isbn|order|invoice|serial"),
-    "phone": (r"(?i)phone|call|tel|fax|mobile|whatsapp", r"(?i)isbn|order|invoice|serial"),
+    "card": (r"(?i)card|visa|master|amex|credit|karte|carte|tarjeta|kredit", r"(?i)isbn|order|invoice|serial"),
+    "phone": (r"(?i)phone|call|t[e\u00e9]l|fax|mobile|whatsapp|handy|rufen|appel|llam|portable|m[o\u00f3]vil", r"(?i)isbn|order|invoice|serial"),
     "secret": (r"(?i)auth|bearer|config|export", r"(?i)example"),
 }
 BEFORE = 24
@@ -193,7 +213,7 @@ def _labelled(kind: str, spans: Column, base: bool) -> Column:
         by_regex = 1 if base or kind == "secret" else -1 if kind == "card" else 0
         return F.struct(
             s.s.alias("s"), s.e.alias("e"), s.t.alias("t"), F.lit(kind).alias("kind"), F.lit(base).alias("base"),
-            F.lit(by_regex).alias("v_regex"), _vote(s.t, _GAZETTEER[kind]).alias("v_gazetteer"), _vote(before, _CUES[kind]).alias("v_context"), edge.alias("v_edge"),
+            F.lit(by_regex).alias("v_regex"), _vote(_digits(s.t) if kind == "card" else s.t, _GAZETTEER[kind]).alias("v_gazetteer"), _vote(before, _CUES[kind]).alias("v_context"), edge.alias("v_edge"),
             F.least(F.floor(length / 8), F.lit(7)).cast("int").alias("f_length"), F.floor(4 * digits / F.greatest(length, F.lit(1))).cast("int").alias("f_digits"),
             s.t.rlike("[ ().-]").cast("int").alias("f_separated"),
         )

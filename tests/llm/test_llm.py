@@ -794,3 +794,22 @@ def test_pipeline_keeps_odd_rows_whole(spark):
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], DOC)
     got = collections.Counter((r["doc_id"], (r["text"] or "")[:2]) for r in pipeline.near_duplicates(spark, df, SF).collect())
     assert got == {(5, "w0"): 1, (5, "so"): 1, (6, ""): 2, (None, "v0"): 1}
+
+
+def test_gazetteers_know_countries_and_issuers():
+    """Domains, calling codes and card numbers of many countries and issuers, and what is none of them."""
+    import re
+
+    votes = lambda kind, t: (bool(re.search(pii._GAZETTEER[kind][0], t)), bool(re.search(pii._GAZETTEER[kind][1], t)))
+    for end in ("com", "museum", "za", "ss", "br", "XYZ"):
+        assert votes("email", f"a(at)b.{end}") == (True, False)
+    for end in ("png", "test", "yml"):
+        assert votes("email", f"a(at)b.{end}") == (False, True)
+    assert votes("email", "a(at)b.zz") == votes("email", "a(at)b.nonesuch") == (False, False)
+    for code in ("1 202 5550100", "44 20 7946 0000", "358 9 123456", "998 71 1234567", "(420) 123 456 789"):
+        assert votes("phone", f"+{code}") == (True, False)
+    assert votes("phone", "+999 12345678") == votes("phone", "+210 12345678") == (False, False) and votes("phone", "911-555-0100")[1]
+    for digits in ("4111", "5500", "2221", "2720", "3782", "3528", "3056", "6011", "6500"):
+        assert votes("card", digits + "0" * 12) == (True, False)
+    for digits in ("2220", "2721", "3527", "9999", "0000", "1234"):
+        assert votes("card", digits + "0" * 12) == (False, True)
