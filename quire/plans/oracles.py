@@ -434,3 +434,6 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT page, ord, type, CAST(least(6, least(6, rk) + (page IN (SELECT page FROM q WHERE kind = 'title'))::INT) AS INTEGER), text, NULL, NULL, NULL, NULL FROM k
       UNION ALL SELECT page, ord, 'paragraph', NULL, text, NULL, NULL, NULL, NULL FROM j WHERE NOT is_heading""",
 }
+
+# the same passes, with a document for every 64 ids
+ORACLES["streamed_documents"] = ORACLES["finish_documents"].replace("FROM documents", "FROM sheets").replace("WITH s AS", "WITH sheets AS (SELECT * REPLACE (doc_id // 64 AS source) FROM documents), s AS", 1)

@@ -13,7 +13,7 @@ from quire.operators.sections import sections
 from quire.plans import extract as X, route
 from quire.plans.engines import Engine
 from quire.sources import adapters as A, files, sinks
-from quire.streaming import events as E, pages as PG
+from quire.streaming import documents as DS, events as E, pages as PG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -543,6 +543,11 @@ def page_stream(spark, d):
     return PG.converted(spark, d)
 
 
+@query
+def streamed_documents(spark, d):
+    return DS.converted(spark, d).select(F.col("doc_id").alias("doc"), F.col("page_index").cast("long").alias("page"), "ord", "type", "level")
+
+
 @query
 def model_answers(spark, d):
     fenced = F.concat(F.lit("```md\n"), F.regexp_replace("text", "`", "'"), F.lit(" $ x^2 $\n```"))

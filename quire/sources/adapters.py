@@ -75,15 +75,19 @@ def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source as a document of pages with a header, all the lines of a text and a footer."""
-    d = table(spark, sf_dir, "documents")
+def page_arrays(d: DataFrame) -> DataFrame:
+    """A row of ``documents`` as a page of its source: an array of a header, all the lines of its text and a footer."""
     block = lambda kind, ord_, text, y, h: F.struct(F.lit(kind).alias("type"), ord_.cast("int").alias("ord"), text.alias("text"), F.lit(y).alias("y"), F.lit(h).alias("h"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     header = F.array(block("heading", F.lit(0), F.concat(F.col("lang"), F.lit(" p. "), F.col("doc_id").cast("string")), 20.0, 10.0))
     body = F.transform(lines, lambda t, i: block("paragraph", i + 1, t, 200.0, 300.0))
     footer = F.array(block("paragraph", F.size(lines) + 1, F.col("n_chars").cast("string"), 760.0, 10.0))
-    return d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.lit(790.0).alias("page_height"), F.inline(F.concat(header, body, footer)))
+    return d.select("doc_id", F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.lit(790.0).alias("page_height"), F.concat(header, body, footer).alias("blocks"))
+
+
+def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source as a document of pages, a row a block."""
+    return page_arrays(table(spark, sf_dir, "documents")).select("doc", "page", "page_height", F.inline("blocks"))
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,73 +9,88 @@ time, is dropped, so a page that is sent again makes no event.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType
 
 from quire.functions import text as T
 from quire.streaming import events as E
 
 EVENT = "doc_id long, seq int, event string, page_index int, blocks long, words long"
+#: Events that carry a text: when they came and when their document started, in milliseconds.
+CARRYING = f"{EVENT}, at long, since long, body string"
+BATCH = IntegerType()
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Pages(StatefulProcessor):
-    """Events of a document from its pages (page_index, pages, blocks, words); ``patience`` in seconds."""
+    """Events of a document from its pages (page_index, pages, blocks, words); ``patience`` in seconds.
 
-    def __init__(self, patience: int):
-        self.patience = patience
+    ``carry`` names columns that the events of pages hand on; all events then
+    also tell their time and their document's first.
+    """
+
+    def __init__(self, patience: int, carry: Sequence[str] = ()):
+        self.patience, self.carry = patience, tuple(carry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", "seen int, blocks long, words long, ended boolean")
+        self.total = handle.getValueState("total", "seen int, blocks long, words long, ended boolean, since long")
         self.seen = handle.getMapState("seen", "page int", "here boolean")
 
-    def _events(self, key, rows: list[tuple]) -> pd.DataFrame:
+    def _events(self, key, rows: list[tuple], at: int, since: int) -> pd.DataFrame:
         names = [c.split()[0] for c in EVENT.split(", ")]
-        out = pd.DataFrame([(key[0], *r) for r in rows], columns=names)
-        return out.astype({"seq": "Int32", "page_index": "Int32", "blocks": "Int64", "words": "Int64"})
+        out = pd.DataFrame([(key[0], *r[:5]) for r in rows], columns=names)
+        out = out.astype({"seq": "Int32", "page_index": "Int32", "blocks": "Int64", "words": "Int64"})
+        if self.carry:
+            out["at"], out["since"] = at, since
+            for i, c in enumerate(self.carry):
+                out[c] = pd.Series([r[5 + i] if len(r) > 5 else None for r in rows], dtype=object)
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.total.get()
-        n, blocks, words, ended = known if known is not None else (0, 0, 0, False)
+        known, now = self.total.get(), timerValues.getCurrentProcessingTimeInMs()
+        n, blocks, words, ended, since = known if known is not None else (0, 0, 0, False, now)
         if ended:
             for _ in rows:
                 pass
             return
-        out, pages = [], None
+        pages = None
+        # events go out frame by frame: the texts of one are held at a time
         for frame in rows:
+            out = []
             for r in frame.sort_values("page_index").itertuples(index=False):
+                if known is None and pages is None:
+                    out.append((0, "started", int(r.pages), None, None))
                 pages = int(r.pages)
-                if known is None and not out:
-                    out.append((0, "started", pages, None, None))
                 if self.seen.containsKey((int(r.page_index),)):
                     continue
                 self.seen.updateValue((int(r.page_index),), (True,))
                 n, blocks, words = n + 1, blocks + int(r.blocks), words + int(r.words)
-                out.append((n, "page", int(r.page_index), int(r.blocks), int(r.words)))
+                out.append((n, "page", int(r.page_index), int(r.blocks), int(r.words), *(getattr(r, c) for c in self.carry)))
+            if out:
+                yield self._events(key, out, now, since)
+        self._clear()
         if pages is not None and n >= pages:
-            out.append((n + 1, "finished", pages, blocks, words))
             ended = True
-        self._clear()
-        if ended:
             self.seen.clear()
         else:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience * 1000)
-        self.total.update((n, blocks, words, ended))
-        if out:
-            yield self._events(key, out)
+            self.handle.registerTimer(now + self.patience * 1000)
+        self.total.update((n, blocks, words, ended, since))
+        if ended:
+            yield self._events(key, [(n + 1, "finished", pages, blocks, words)], now, since)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, blocks, words, ended = self.total.get()
+        n, blocks, words, ended, since = self.total.get()
         self._clear()
         self.seen.clear()
-        self.total.update((n, blocks, words, True))
+        self.total.update((n, blocks, words, True, since))
         if not ended:
-            yield self._events(key, [(n + 1, "failed", None, blocks, words)])
+            yield self._events(key, [(n + 1, "failed", None, blocks, words)], timerValues.getCurrentProcessingTimeInMs(), since)
 
     def _clear(self) -> None:
         for t in list(self.handle.listTimers()):
@@ -85,14 +100,15 @@ class Pages(StatefulProcessor):
         pass
 
 
-def page_stream(pages: DataFrame, patience: int = 3600) -> DataFrame:
+def page_stream(pages: DataFrame, patience: int = 3600, carry: Sequence[str] = ()) -> DataFrame:
     """Events (``EVENT``) of a stream of pages: doc_id, page_index, ``pages`` (how many the document has), blocks, words.
 
-    ``seq`` numbers a document's pages as they come.  The session's state store
-    must be RocksDB's; ``run`` sees to it.
+    ``seq`` numbers a document's pages as they come.  With ``carry`` (one text,
+    ``body``) the events are ``CARRYING``.  The session's state store must be
+    RocksDB's; ``start`` sees to it.
     """
-    rows = pages.select("doc_id", "page_index", "pages", "blocks", "words")
-    return rows.groupBy("doc_id").transformWithStateInPandas(Pages(patience), EVENT, "Append", "ProcessingTime")
+    rows = pages.select("doc_id", "page_index", "pages", "blocks", "words", *carry)
+    return rows.groupBy("doc_id").transformWithStateInPandas(Pages(patience, carry), CARRYING if carry else EVENT, "Append", "ProcessingTime")
 
 
 def pages_of(docs: DataFrame, lines_a_page: int = 40) -> DataFrame:
@@ -106,21 +122,27 @@ def pages_of(docs: DataFrame, lines_a_page: int = 40) -> DataFrame:
     return d.select("doc_id", "page_index", "pages", F.size("texts").cast("bigint").alias("blocks"), words.alias("words"))
 
 
-def run(spark: SparkSession, stream: DataFrame, root: str, patience: int = 3600) -> DataFrame:
-    """All events so far of a stream of pages; what lies at ``root`` is carried on from, by batch number."""
+def start(spark: SparkSession, events: DataFrame, keep: Callable[[DataFrame, int], None], root: str) -> None:
+    """Hand all that there is of a stream of events to ``keep``, batch by batch; the log at ``root`` is carried on from."""
     # a run ends with what there is: it must not wait for the patience of documents that are not whole yet
     own = {PROVIDER: ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
-
-        page_stream(stream, patience).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+        events.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run(spark: SparkSession, stream: DataFrame, root: str, patience: int = 3600) -> DataFrame:
+    """All events so far of a stream of pages; what lies at ``root`` is carried on from, by batch number."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    start(spark, page_stream(stream, patience), keep, root)
     return spark.read.schema(f"{EVENT}, batch int").parquet(f"{root}/out")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.operators import fold, glyphs as GL, tables as TB
 from quire.plans import engines, extract as X, route
 from quire.sources import documents, files, sinks
-from quire.streaming import pages as PG
+from quire.streaming import documents as DS, pages as PG
 
 LINE = "page long, ord int, text string, x double, y double, w double, h double, col int, size double, bold boolean, boxes array<struct<x:double,x1:double>>"
 VISION = "page long, ord int, type string, rows array<array<struct<text:string,row_span:int,col_span:int>>>, x double, y double, w double, h double"
@@ -217,3 +217,39 @@ def test_a_document_over_several_batches(spark, tmp_path):
     assert run(patience=0)[-3:] == [(3, 0, "started", 2, None, None), (3, 1, "page", 0, 1, 1), (3, 2, "failed", None, 1, 1)]
     arrive("e", [(3, 1, 2, 1, 1), (4, 0, 2, 1, 1)])  # too late
     assert run()[-3:] == [(3, 2, "failed", None, 1, 1), (4, 0, "started", 2, None, None), (4, 1, "page", 0, 1, 1)]
+
+
+def test_documents_are_converted_as_their_pages_come(spark, tmp_path):
+    """Previews of what has come; whole-document passes once all has, over batches and a restart; a page sent again counts once."""
+    block = spark.createDataFrame([], DS.BLOCK).schema
+    source, root = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+
+    def blocks(page):
+        return [
+            dict(type="heading", ord=0, text="Journal 7", y=10.0, h=8.0, page_height=800.0, size=9.0, level=1),
+            dict(type="heading", ord=1, text=f"Part {page}", y=300.0, h=20.0, page_height=800.0, size=16.0, level=1),
+            dict(type="paragraph", ord=2, text=f"Text of page {page}.", y=400.0, h=20.0, page_height=800.0, size=10.0, level=None),
+        ]
+
+    def arrive(name, rows):
+        df = pd.DataFrame([(d, p, n, 0 if empty else 3, 0, json.dumps([] if empty else blocks(p))) for d, p, n, empty in rows], columns=["doc_id", "page_index", "pages", "blocks", "words", "body"])
+        df.astype({"page_index": "int32", "pages": "int32"}).to_parquet(source / f"{name}.parquet")
+
+    schema = "doc_id long, page_index int, pages int, blocks long, words long, body string"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    run = lambda: sorted((r["doc_id"], r["page_index"], r["ord"], r["type"], r["text"]) for r in DS.run(spark, stream(), block, root).collect())
+    shown = lambda **k: {r["doc_id"]: (r["pages_so_far"], r["markdown"]) for r in DS.preview(spark, root, block, **k).collect()}
+    page = lambda d, p: [(d, p, 1, "heading", f"Part {p}"), (d, p, 2, "paragraph", f"Text of page {p}.")]
+
+    arrive("a", [(1, 2, 3, False), (2, 0, 2, False), (3, 0, 1, True)])
+    assert run() == []
+    said = lambda p: f"# Journal 7\n\n# Part {p}\n\nText of page {p}."
+    assert shown() == {1: (1, said(2) + "\n"), 2: (1, said(0) + "\n")}
+    arrive("b", [(1, 0, 3, False), (1, 2, 3, False), (4, 0, 3, False), (4, 1, 3, False), (4, 2, 3, False)])
+    # the header goes where enough pages repeat it
+    assert run() == [x for p in range(3) for x in page(4, p)]
+    assert shown() == {1: (2, said(0) + "\n\n" + said(2) + "\n"), 2: (1, said(0) + "\n")}
+    arrive("c", [(1, 1, 3, False), (4, 1, 3, False)])
+    assert run() == [x for d in (1, 4) for p in range(3) for x in page(d, p)]
+    assert set(shown()) == {2} and set(shown(everything=True)) == {1, 2, 3, 4} and shown(everything=True)[3] == (1, "")
