@@ -83,7 +83,7 @@ def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
     return in_bands(a, "a_").join(in_bands(b, "b_"), ["page", "q_band"]).where(F.col("q_band") == first).drop("q_band")
 
 
-def _over_middle(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+def over_middle(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both with the band that a box of ``a`` and what covers half of it or more meet in: that of its middle, once."""
     band = lambda y: F.floor(y / BAND).cast("int")
     reached = F.sequence(band(F.col("b_y")), band(F.col("b_y") + F.col("b_h")))
@@ -96,7 +96,7 @@ def uncovered(boxes: DataFrame, claims: DataFrame, share: float = 0.6) -> DataFr
     if share < 0.5:
         hidden = _meeting(a, b).where(coverage("a_", "b_") >= share).select("page", "a_ord").distinct()
         return a.join(hidden, ["page", "a_ord"], "left_anti")
-    a, b = _over_middle(a, b)
+    a, b = over_middle(a, b)
     return a.join(b, (a.page == b.page) & (a.q_band == b.q_band) & (coverage("a_", "b_") >= share), "left_anti").drop("q_band")
 
 
@@ -106,7 +106,7 @@ def first_claim(boxes: DataFrame, claims: DataFrame, share: float = 0.5) -> Data
     if share < 0.5:
         j = _meeting(a, b)
     else:
-        a, b = _over_middle(a, b)
+        a, b = over_middle(a, b)
         j = a.join(b, ["page", "q_band"])
     return j.where(coverage("a_", "b_") > share).groupBy("page", "a_ord").agg(F.min("b_ord").alias("claim"))
 
@@ -119,10 +119,19 @@ def matches(candidates: DataFrame, tables: DataFrame, share: float = 0.3) -> Dat
 
 
 def nearest_below(figures: DataFrame, texts: DataFrame, above: float = -2.0, below: float = 24.0, longest: int = 300) -> DataFrame:
-    """Each figure with the nearest short text under it whose middle lies within its width."""
+    """Each figure with the nearest short text under it whose middle lies within its width.
+
+    A text stands in the band of its top, a figure in those of the stretch that
+    tops may lie in; so a figure meets only the texts about its lower edge.
+    """
+    band = lambda y: F.floor(y / BAND).cast("int")
     t = texts.select("page", *[F.col(n).alias(f"b_{n}") for n in ("ord", "x", "y", "w", "h", "text")]).where(F.length("b_text") <= longest)
-    j = prefixed(figures, "a_").join(t, "page")
-    gap = F.col("b_y") - (F.col("a_y") + F.col("a_h"))
+    foot = F.col("a_y") + F.col("a_h")
+    # a little more at either end, as sums are rounded
+    reached = F.sequence(band(foot + above - 0.01), band(foot + below + 0.01))
+    a = prefixed(figures, "a_").where(foot.isNotNull()).withColumn("q_band", F.explode(reached))
+    j = a.join(t.withColumn("q_band", band(F.col("b_y"))), ["page", "q_band"])
+    gap = F.col("b_y") - foot
     mid = F.col("b_x") + F.col("b_w") / 2
     ok = (gap >= above) & (gap < below) & (mid > F.col("a_x")) & (mid < F.col("a_x") + F.col("a_w"))
     j = j.withColumn("gap", gap).where(ok)

@@ -205,7 +205,12 @@ def vision_blocks(found: DataFrame, page: str = "page", share: float = 0.6, unde
     side = lambda p, df: df.select(page, *[F.col(c).alias(f"{p}{c}") for c in ("ord", "x", "y", "w", "h", "kind")])
     a, b = side("a_", found.where("kind = 'paragraph'")), side("b_", found.where("kind <> 'paragraph'"))
     enough = F.when(F.col("b_kind") == "title", F.lit(under_title)).otherwise(F.lit(share))
-    hidden = a.join(b, page).where(G.coverage("a_", "b_") >= enough).select(page, F.col("a_ord").alias("ord")).distinct()
+    if min(share, under_title) < 0.5:
+        both = a.join(b, page)
+    else:
+        a, b = G.over_middle(a, b)
+        both = a.join(b, [page, "q_band"])
+    hidden = both.where(G.coverage("a_", "b_") >= enough).select(page, F.col("a_ord").alias("ord")).distinct()
     return found.join(hidden, [page, "ord"], "left_anti")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import maths, text as T
 from quire.operators import chunks as C, figures, furniture, geometry as G, glyphs as GL, headings as H, layout as L, markdown as M, search as Q, stats, tables as TB
 from quire.operators.sections import sections
+from quire.plans import extract as X
 from quire.plans.service import Service
 from quire.sources import sinks
 
@@ -477,3 +478,28 @@ def test_boxes_that_overlap_meet_in_bands(spark, share):
     assert {r["a_ord"] for r in G.uncovered(df, claims, share).collect()} == {p[1] for p in a if all(cover(p, q) < share for q in same(p))}
     assert {(r["a_ord"], r["claim"]) for r in G.first_claim(df, claims, share).collect()} == {(p[1], min(own)) for p in a if (own := [q[1] for q in same(p) if cover(p, q) > share])}
     assert {(r["a_ord"], r["match"]) for r in G.matches(df, claims, share).collect()} == {(p[1], min((q[1] for q in same(p) if cover(p, q) > share or cover(q, p) > share), default=None)) for p in a}
+
+
+def test_captions_and_findings_meet_in_bands(spark):
+    """Captions and what an engine's findings cover, by bands against all pairs; boxes without a place are left alone."""
+    rng = random.Random(5)
+    rows = lambda n: [(rng.randrange(2), i, float(rng.randrange(60)), float(rng.randrange(500)), float(rng.choice([0, 5, 40])), float(rng.choice([0, 3, 24, 64, 150]))) for i in range(n)]
+    figs, texts = rows(40), [(*r, "long " * 80 if r[1] % 9 == 0 else "short") for r in rows(300)]
+    box = "page long, ord int, x double, y double, w double, h double"
+    nowhere = [(0, 900, None, None, None, None)]
+    got = G.nearest_below(spark.createDataFrame(figs + nowhere, box), spark.createDataFrame(texts + [(*nowhere[0], "short")], f"{box}, text string"))
+    near = lambda f, t: (t[3] - (f[3] + f[5]), t[1])
+    under = lambda f, t: f[0] == t[0] and -2 <= near(f, t)[0] < 24 and f[2] < t[2] + t[4] / 2 < f[2] + f[4] and len(t[6]) <= 300
+    want = {(f[0], f[1], *min(near(f, t) for t in texts if under(f, t))[::-1]) for f in figs if any(under(f, t) for t in texts)}
+    assert {tuple(r[c] for c in ("page", "a_ord", "caption", "gap")) for r in got.collect()} == want and want
+
+    found = [(*r, rng.choice(["title", "table", "list", "paragraph", "paragraph"])) for r in rows(200)]
+
+    def cover(p, q):
+        dx, dy = min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2]), min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3])
+        return dx * dy / (p[4] * p[5]) if dx > 0 and dy > 0 and p[4] * p[5] > 0 else 0.0
+
+    for share in (0.6, 0.2):
+        hidden = {p[1] for p in found for q in found if p[0] == q[0] and p[6] == "paragraph" != q[6] and cover(p, q) >= (0.9 if q[6] == "title" else share)}
+        kept = X.vision_blocks(spark.createDataFrame(found + [(*nowhere[0], "paragraph")], f"{box}, kind string"), share=share)
+        assert {r["ord"] for r in kept.collect()} == {p[1] for p in found} - hidden | {900} and hidden
