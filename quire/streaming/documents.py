@@ -10,7 +10,8 @@ passes over whole documents run once, over all that ended in the batch
 together.  A batch that runs again writes the same rows to the same places.
 
 Documents that failed, and those that have not ended, are in previews only.
-Pages without a block count as pages and give no rows.
+Pages without a block count as pages and give no rows; a stream without files
+gives none either.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def _opened(rows: DataFrame, schema: StructType) -> DataFrame:
 
 
 def _events(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(f"{PG.CARRYING}, batch int").parquet(f"{root}/out")
+    return E.written(spark, f"{PG.CARRYING}, batch int", f"{root}/out")
 
 
 def finished(blocks: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def run(spark: SparkSession, stream: DataFrame, schema: StructType, root: str, p
         discard(whole)
 
     PG.start(spark, PG.page_stream(stream, patience, carry=("body",)), keep, root)
-    return spark.read.schema(StructType([*out, StructField("batch", PG.BATCH)])).parquet(f"{root}/documents").drop("batch")
+    return E.written(spark, StructType([*out, StructField("batch", PG.BATCH)]), f"{root}/documents").drop("batch")
 
 
 def preview(spark: SparkSession, root: str, schema: StructType, everything: bool = False) -> DataFrame:

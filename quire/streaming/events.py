@@ -12,15 +12,33 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions import text as T
 from quire.storage import shared_dir
 
 
+def _status(spark: SparkSession, path: str):
+    """What lies at a path, in any file system; None if nothing does."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(target) if fs.exists(target) else None
+
+
 def page_events(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The stream of the files of one name pattern in a folder."""
+    """The stream of a table of a folder: one file, or a folder of files that more may come to."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "false").parquet(folder)
+    files = spark.readStream.schema(schema)
+    if _status(spark, f"{folder}/{name}").isDirectory():
+        return files.parquet(f"{folder}/{name}")
+    return files.option("pathGlobFilter", name).option("recursiveFileLookup", "false").parquet(folder)
+
+
+def written(spark: SparkSession, schema: StructType | str, path: str) -> DataFrame:
+    """What batches wrote below a path; no rows if none has run."""
+    if _status(spark, path) is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def summary(events: DataFrame) -> DataFrame:
@@ -77,4 +95,5 @@ def final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of all documents of the table, from all batches."""
     stream = page_events(spark, sf_dir, "documents.parquet").select("doc_id", "text")
-    return spark.read.parquet(_run(spark, stream, "append", document_events)).drop("batch")
+    schema = "doc_id long, seq int, event string, page_index int, blocks long, words long, batch int"
+    return written(spark, schema, _run(spark, stream, "append", document_events)).drop("batch")

@@ -143,7 +143,7 @@ def run(spark: SparkSession, stream: DataFrame, root: str, patience: int = 3600)
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     start(spark, page_stream(stream, patience), keep, root)
-    return spark.read.schema(f"{EVENT}, batch int").parquet(f"{root}/out")
+    return E.written(spark, f"{EVENT}, batch int", f"{root}/out")
 
 
 def converted(spark: SparkSession, sf_dir: str) -> DataFrame:

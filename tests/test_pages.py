@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.operators import fold, glyphs as GL, tables as TB
 from quire.plans import engines, extract as X, route
 from quire.sources import documents, files, sinks
-from quire.streaming import documents as DS, pages as PG
+from quire.streaming import documents as DS, events as E, pages as PG
 
 LINE = "page long, ord int, text string, x double, y double, w double, h double, col int, size double, bold boolean, boxes array<struct<x:double,x1:double>>"
 VISION = "page long, ord int, type string, rows array<array<struct<text:string,row_span:int,col_span:int>>>, x double, y double, w double, h double"
@@ -242,6 +242,7 @@ def test_documents_are_converted_as_their_pages_come(spark, tmp_path):
     shown = lambda **k: {r["doc_id"]: (r["pages_so_far"], r["markdown"]) for r in DS.preview(spark, root, block, **k).collect()}
     page = lambda d, p: [(d, p, 1, "heading", f"Part {p}"), (d, p, 2, "paragraph", f"Text of page {p}.")]
 
+    assert run() == [] and shown() == {}  # nothing has come yet
     arrive("a", [(1, 2, 3, False), (2, 0, 2, False), (3, 0, 1, True)])
     assert run() == []
     said = lambda p: f"# Journal 7\n\n# Part {p}\n\nText of page {p}."
@@ -253,3 +254,12 @@ def test_documents_are_converted_as_their_pages_come(spark, tmp_path):
     arrive("c", [(1, 1, 3, False), (4, 1, 3, False)])
     assert run() == [x for d in (1, 4) for p in range(3) for x in page(d, p)]
     assert set(shown()) == {2} and set(shown(everything=True)) == {1, 2, 3, 4} and shown(everything=True)[3] == (1, "")
+
+
+def test_a_table_of_many_files_streams_as_one_of_one_file(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    df.repartition(4).write.parquet(f"{tmp_path}/a/documents.parquet")
+    (tmp_path / "b").mkdir()
+    df.toPandas().to_parquet(tmp_path / "b" / "documents.parquet")
+    seen = [sorted(map(tuple, E.converted(spark, f"{tmp_path}/{d}").collect())) for d in "ab"]
+    assert seen[0] == seen[1] and len(seen[0]) == 60
