@@ -171,11 +171,12 @@ def read_regions(regions: DataFrame, reader: Callable[[Iterator[pd.DataFrame]],
 def finish(blocks: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
     """The four passes over whole documents, in order: furniture, headings below body size,
     bibliography entries, levels.  Blocks carry doc, page, ord, type, text, size, level, y, h, page_height."""
-    kept = furniture.strip(blocks).drop("key")
+    # each is the start of several branches
+    kept = staged(furniture.strip(blocks).drop("key"), "kept")
     body = H.body_size(kept.where("type = 'paragraph'"), doc)
     heads = kept.where("type = 'heading'").withColumn("at", F.struct(page, "ord"))
-    heads = H.demote_small(heads, body, doc).drop("body_size").withColumnRenamed("kept", "large")
-    real = H.demote_bibliography(heads.where("large"), doc, "at").withColumnRenamed("kept", "own")
+    heads = staged(H.demote_small(heads, body, doc).drop("body_size").withColumnRenamed("kept", "large"), "heads")
+    real = staged(H.demote_bibliography(heads.where("large"), doc, "at").withColumnRenamed("kept", "own"), "real")
     levels = H.normalize_levels(real.where("own"), doc)
     names = kept.columns
     as_paragraph = lambda df: df.withColumns({"type": F.lit("paragraph"), "level": F.lit(None).cast("int")}).select(names)

@@ -21,7 +21,6 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quire.plans import extract as X
 from quire.sources import adapters as A, sinks
-from quire.storage import discard, staged
 from quire.streaming import events as E, pages as PG
 
 
@@ -63,9 +62,8 @@ def run(spark: SparkSession, stream: DataFrame, schema: StructType, root: str, p
             own.createDataFrame([], out).write.mode("overwrite").parquet(path)
             return
         pages = _events(own, root).where((F.col("event") == "page") & (F.col("at") >= since) & (F.col("batch") <= number))
-        whole = staged(_opened(pages.join(ended, "doc_id", "left_semi"), schema), "ended")
+        whole = _opened(pages.join(ended, "doc_id", "left_semi"), schema)
         finished(whole).select(out.names).write.mode("overwrite").parquet(path)
-        discard(whole)
 
     PG.start(spark, PG.page_stream(stream, patience, carry=("body",)), keep, root)
     return E.written(spark, StructType([*out, StructField("batch", PG.BATCH)]), f"{root}/documents").drop("batch")
