@@ -24,6 +24,10 @@ from quire.sources import adapters as A, sinks
 from quire.streaming import events as E, pages as PG
 
 
+#: Documents that end in a batch whose ids are broadcast; with more, the pages of the batches move to them.
+BROADCAST = 1_000_000
+
+
 def page_rows(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
     """Rows that the stream takes, from pages (doc_id, page_index, pages) with an array of blocks, in order."""
     return pages.select("doc_id", F.col("page_index").cast("int").alias("page_index"), "pages", F.size(blocks).cast("long").alias("blocks"), F.lit(0).cast("long").alias("words"), F.to_json(blocks).alias("body"))
@@ -56,13 +60,14 @@ def run(spark: SparkSession, stream: DataFrame, schema: StructType, root: str, p
         own = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
         ended = _events(own, root).where((F.col("batch") == number) & (F.col("event") == "finished")).select("doc_id", "since")
-        since = ended.agg(F.min("since")).first()[0]
+        since, n = ended.agg(F.min("since"), F.count("*")).first()
         path = f"{root}/documents/batch={number}"
         if since is None:
             own.createDataFrame([], out).write.mode("overwrite").parquet(path)
             return
         pages = _events(own, root).where((F.col("event") == "page") & (F.col("at") >= since) & (F.col("batch") <= number))
-        whole = _opened(pages.join(ended, "doc_id", "left_semi"), schema)
+        ids = ended.select("doc_id")
+        whole = _opened(pages.join(F.broadcast(ids) if n <= BROADCAST else ids, "doc_id", "left_semi"), schema)
         finished(whole).select(out.names).write.mode("overwrite").parquet(path)
 
     PG.start(spark, PG.page_stream(stream, patience, carry=("body",)), keep, root)

@@ -219,7 +219,7 @@ def test_a_document_over_several_batches(spark, tmp_path):
     assert run()[-3:] == [(3, 2, "failed", None, 1, 1), (4, 0, "started", 2, None, None), (4, 1, "page", 0, 1, 1)]
 
 
-def test_documents_are_converted_as_their_pages_come(spark, tmp_path):
+def test_documents_are_converted_as_their_pages_come(spark, tmp_path, monkeypatch):
     """Previews of what has come; whole-document passes once all has, over batches and a restart; a page sent again counts once."""
     block = spark.createDataFrame([], DS.BLOCK).schema
     source, root = tmp_path / "in", str(tmp_path / "state")
@@ -251,6 +251,7 @@ def test_documents_are_converted_as_their_pages_come(spark, tmp_path):
     # the header goes where enough pages repeat it
     assert run() == [x for p in range(3) for x in page(4, p)]
     assert shown() == {1: (2, said(0) + "\n\n" + said(2) + "\n"), 2: (1, said(0) + "\n")}
+    monkeypatch.setattr(DS, "BROADCAST", 0)  # more documents end than are broadcast
     arrive("c", [(1, 1, 3, False), (4, 1, 3, False)])
     assert run() == [x for d in (1, 4) for p in range(3) for x in page(d, p)]
     assert set(shown()) == {2} and set(shown(everything=True)) == {1, 2, 3, 4} and shown(everything=True)[3] == (1, "")
