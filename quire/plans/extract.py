@@ -170,9 +170,13 @@ def read_regions(regions: DataFrame, reader: Callable[[Iterator[pd.DataFrame]],
 
 def finish(blocks: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
     """The four passes over whole documents, in order: furniture, headings below body size,
-    bibliography entries, levels.  Blocks carry doc, page, ord, type, text, size, level, y, h, page_height."""
-    # each is the start of several branches
-    kept = staged(furniture.strip(blocks).drop("key"), "kept")
+    bibliography entries, levels.  Blocks carry doc, page, ord, type, text, size, level, y, h, page_height.
+
+    They are read several times, so hand in a stored table; of what is written
+    in between, keys and headings, only the headings have texts.
+    """
+    found = staged(furniture.repeated(furniture.with_keys(blocks)), "furniture")
+    kept = furniture.strip(blocks, found).drop("key")
     body = H.body_size(kept.where("type = 'paragraph'"), doc)
     heads = kept.where("type = 'heading'").withColumn("at", F.struct(page, "ord"))
     heads = staged(H.demote_small(heads, body, doc).drop("body_size").withColumnRenamed("kept", "large"), "heads")
@@ -197,8 +201,8 @@ def convert(lines: DataFrame, pages: DataFrame, vision: DataFrame, doc: str = "d
     lines, pages, vision = staged(lines, "lines"), staged(pages, "pages"), staged(vision, "vision")
     text = staged(page_blocks(lines), "blocks")
     tables = staged(with_tables(text, staged(table_candidates(lines, text), "candidates"), vision, lines), "tables")
-    blocks = staged(TB.normalized(B.complete(with_figures(tables, pages))), "figures")
-    return finish(blocks.join(pages.select("page", doc, F.col("height").alias("page_height")), "page"), doc)
+    blocks = TB.normalized(B.complete(with_figures(tables, pages)))
+    return finish(staged(blocks.join(pages.select("page", doc, F.col("height").alias("page_height")), "page"), "figures"), doc)
 
 
 def vision_blocks(found: DataFrame, page: str = "page", share: float = 0.6, under_title: float = 0.9) -> DataFrame:

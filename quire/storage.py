@@ -8,10 +8,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("quire_staged", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,6 +42,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(out)
     return out
 
 
@@ -44,3 +52,19 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def discarding() -> Iterator[None]:
+    """What is staged inside goes at its end; write what was made from it before.
+
+    For work that comes again and again in one application, as a stream's batches do.
+    """
+    mine: list[DataFrame] = []
+    token = _SCOPE.set(mine)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for df in mine:
+            discard(df)

@@ -21,11 +21,14 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quire.plans import extract as X
 from quire.sources import adapters as A, sinks
+from quire.storage import discarding
 from quire.streaming import events as E, pages as PG
 
 
 #: Documents that end in a batch whose ids are broadcast; with more, the pages of the batches move to them.
 BROADCAST = 1_000_000
+#: Of the files in a stream's folder, which stay and hold all texts.
+CODEC = "zstd"
 
 
 def page_rows(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
@@ -58,7 +61,7 @@ def run(spark: SparkSession, stream: DataFrame, schema: StructType, root: str, p
 
     def keep(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}", compression=CODEC)
         ended = _events(own, root).where((F.col("batch") == number) & (F.col("event") == "finished")).select("doc_id", "since")
         since, n = ended.agg(F.min("since"), F.count("*")).first()
         path = f"{root}/documents/batch={number}"
@@ -68,7 +71,8 @@ def run(spark: SparkSession, stream: DataFrame, schema: StructType, root: str, p
         pages = _events(own, root).where((F.col("event") == "page") & (F.col("at") >= since) & (F.col("batch") <= number))
         ids = ended.select("doc_id")
         whole = _opened(pages.join(F.broadcast(ids) if n <= BROADCAST else ids, "doc_id", "left_semi"), schema)
-        finished(whole).select(out.names).write.mode("overwrite").parquet(path)
+        with discarding():
+            finished(whole).select(out.names).write.mode("overwrite").parquet(path, compression=CODEC)
 
     PG.start(spark, PG.page_stream(stream, patience, carry=("body",)), keep, root)
     return E.written(spark, StructType([*out, StructField("batch", PG.BATCH)]), f"{root}/documents").drop("batch")

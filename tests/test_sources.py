@@ -2,13 +2,15 @@
 
 import glob
 import json
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.plans import extract as X
 from quire.operators import tables as TB
 from quire.sources import files, sinks
-from quire.storage import discard, shared_dir, staged
+from quire.storage import discard, discarding, shared_dir, staged
 
 DOCUMENT = {
     "source": {"filename": "a.pdf", "pages": 1, "sha256": "x"}, "engine": {"tier": "fast", "model": None, "appVersion": "1"},
@@ -133,3 +135,14 @@ def test_finish_runs_the_passes_in_order(spark):
     heads = sorted((r["page"], r["text"], r["level"]) for r in out if r["type"] == "heading")
     assert heads == [(0, "1 Part", 1), (1, "2 Part", 1), (2, "3 Part", 1), (3, "4 Part", 1), (4, "References", 1)]
     assert sum(r["type"] == "paragraph" for r in out) == 11 and not any(r["text"] == "Running head" for r in out)
+
+
+def test_what_is_staged_for_a_batch_goes_with_it(spark):
+    outer = staged(spark.range(3), "outer")
+    there = lambda df: Path(df.staged_path.removeprefix("file://")).exists()
+    with pytest.raises(KeyError):
+        with discarding():
+            inner = staged(outer.where("id > 0"), "inner")
+            assert inner.count() == 2 and there(inner)
+            raise KeyError
+    assert there(outer) and not there(inner)
