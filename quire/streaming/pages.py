@@ -24,6 +24,7 @@ EVENT = "doc_id long, seq int, event string, page_index int, blocks long, words
 CARRYING = f"{EVENT}, at long, since long, body string"
 BATCH = IntegerType()
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+FALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -125,7 +126,8 @@ def pages_of(docs: DataFrame, lines_a_page: int = 40) -> DataFrame:
 def start(spark: SparkSession, events: DataFrame, keep: Callable[[DataFrame, int], None], root: str) -> None:
     """Hand all that there is of a stream of events to ``keep``, batch by batch; the log at ``root`` is carried on from."""
     # a run ends with what there is: it must not wait for the patience of documents that are not whole yet
-    own = {PROVIDER: ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    # many partitions with little state each: none takes disk in advance
+    own = {PROVIDER: ROCKS, FALLOCATE: "false", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
