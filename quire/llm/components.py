@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from quire.storage import discard, staged
 
 
-def connected(links: DataFrame, a: str, b: str, label: str = "links") -> DataFrame:
+def connected(links: DataFrame, a: str, b: str, label: str = "links", files: int | None = None) -> DataFrame:
     """(``id``, ``root``): the least id of each id's component, for all ids but the roots.
 
     Both steps only ever group a node's links to their least end and join it
     back, so no task holds a component.  Every round is written to the shared
-    folder; rounds grow as the logarithm of the longest path.
+    folder, in no more than ``files`` if given: no round has more links than the
+    first.  Rounds grow as the logarithm of the longest path.
     """
     e = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct()
-    e = staged(e, label)
+    e = staged(e, label, files)
     state = None
     while True:
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")).alias("h")).first()
@@ -27,5 +28,5 @@ def connected(links: DataFrame, a: str, b: str, label: str = "links") -> DataFra
         large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), "m").distinct()
         floor = large.groupBy("v").agg(F.min("m").alias("to"))
         small = large.join(floor, "v").select(F.col("m").alias("v"), F.col("to").alias("m")).unionAll(floor.select("v", F.col("to").alias("m")))
-        e, before = staged(small.where("v <> m").distinct(), label), e
+        e, before = staged(small.where("v <> m").distinct(), label, files), e
         discard(before)  # rounds are many in a long session

@@ -40,7 +40,7 @@ from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, St
 from quire.llm._arrow import ROWS, bounded_batches, col
 from quire.llm._pieces import release
 from quire.llm.components import connected
-from quire.storage import staged
+from quire.storage import files_for, staged
 
 WORDS, NUM, DEN = 5, 75, 100
 
@@ -446,7 +446,7 @@ BLOCK = 4096
 WIDE = 32
 
 
-def _apart(groups: DataFrame, roots: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+def _apart(groups: DataFrame, roots: DataFrame, texts: DataFrame, num: int, den: int, files: int) -> DataFrame:
     """Pairs of a group that lie in different components and may still be similar.
 
     Of such a pair one text lies outside the group's main component.  A family
@@ -462,7 +462,7 @@ def _apart(groups: DataFrame, roots: DataFrame, texts: DataFrame, num: int, den:
     wide = F.col("size") >= WIDE
     family = main.select("gid", "main", wide.alias("wide"), F.when(wide, F.col("main")).otherwise(F.col("gid")).alias("family"))
     members = known.join(family, "gid").groupBy("wide", "family", "id", "root").agg(F.max(F.col("root") != F.col("main")).alias("outside"))
-    members = staged(members, "members")
+    members = staged(members, "members", files)
     blocks = members.where("outside").groupBy("wide", "family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     mixed = members.join(blocks, ["wide", "family"]).join(texts.select(F.col("set_id").alias("id"), "n", "sketch"), "id")
     own = F.when(F.col("outside"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -518,36 +518,43 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", kee
     frequent, total = frequent_buckets(counted)
     # a text emits a word for about every third shingle, if in two bands
     tokens = rows.agg(F.sum("n")).first()[0] or 0
+    # of many shuffle partitions a table makes no more files than its texts are worth
+    files = files_for(total, 8 * tokens)
     parts = max(8 * tasks, -(-tokens // (3 * PART)))
     salts = min(parts, max(16, -(-total // (3 * HOT_TEXTS))))
     emitted = _emit(docs, text_col, frequent, parts, salts, words, num, den).repartition(tasks, "part").sortWithinPartitions("part")
-    groups = staged(_groups(emitted, parts, salts, num, den), "groups")
+    groups = staged(_groups(emitted, parts, salts, num, den), "groups", files)
 
     texts = rows.where("n > 0").groupBy("set_id").agg(F.min(col(id_col)).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("q__hash").alias("text_hash"))
-    texts = staged(texts, "texts")
+    texts = staged(texts, "texts", files)
     stars = groups.where("id <> star and fits").select(F.col("id").alias("a"), F.col("star").alias("b"))
     # a hot block's stars in its parts, linked by the least of them
     heads = groups.select("gid", "star").distinct()
     least = heads.groupBy("gid").agg(F.min("star").alias("b"))
     stars = stars.unionAll(heads.join(least, "gid").where("star <> b").select(F.col("star").alias("a"), "b"))
 
-    def links_of(pairs: DataFrame, label: str) -> DataFrame:
+    def files_of(pairs: int) -> int:
+        return files_for(pairs, 16 * pairs * tokens // max(1, total))  # two whole sets each
+
+    def links_of(pairs: DataFrame, label: str, most: int) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-        whole = staged(_whole_sets(wanted, texts, docs, text_col, words), f"{label}-sets")
-        return staged(_verified(pairs, whole, num, den), label)
+        whole = staged(_whole_sets(wanted, texts, docs, text_col, words), f"{label}-sets", most)
+        return staged(_verified(pairs, whole, num, den), label, most)
 
-    links = links_of(staged(_near(stars.distinct(), texts, num, den), "near"), "links")
-    roots = staged(connected(links, "a", "b", "round"), "roots")
+    near = staged(_near(stars.distinct(), texts, num, den), "near", files)
+    pairs = near.count()
+    links = links_of(near, "links", files_of(pairs))
+    roots = connected(links, "a", "b", "round", files_for(pairs, 0))
 
     # what the stars left apart in their groups
-    more = staged(_apart(groups, roots, texts, num, den), "apart")
-    if not more.isEmpty():
-        links = links.unionAll(links_of(more, "more"))
-        roots = staged(connected(links, "a", "b", "round"), "roots")
+    more = staged(_apart(groups, roots, texts, num, den, files), "apart", files)
+    if left := more.count():
+        links = links.unionAll(links_of(more, "more", files_of(left)))
+        roots = connected(links, "a", "b", "round", files_for(pairs + left, 0))
 
     named = texts.select("set_id", "least").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_text = named.select("set_id", F.col("root").alias("q__root")).join(names.withColumnRenamed("root", "q__root"), "q__root").select("set_id", "component_id", "q__root")
     out = rows.join(of_text, "set_id", "left")
     more = [F.col("q__root").alias(root)] if root else []
-    return out.select(col(id_col), *map(col, keep), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(col(id_col)).alias("component_id"), *more)
+    return out.select(col(id_col), *map(col, keep), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(col(id_col)).alias("component_id"), *more).coalesce(files)

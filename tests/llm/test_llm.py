@@ -750,6 +750,29 @@ def test_classes_are_exact(spark, monkeypatch, frequent):
     assert got == brute_classes(rows)
 
 
+def test_small_joins_are_few_files(spark, monkeypatch):
+    """Many shuffle partitions, few texts: a family that leaves some apart from its main component, copies, chains of links."""
+    rng = random.Random(3)
+    texts = family(rng, 60, 150, (0.01, 0.05, 0.1)) + family(rng, 30, 12, (0.02, 0.1)) + ["The same five words HERE"] * 20 + ["", "one two"]
+    tables, real = [], ngram_join.staged
+    for module in (ngram_join, components):
+        monkeypatch.setattr(module, "staged", lambda df, label, *a: tables.append((label, len((out := real(df, label, *a)).inputFiles()))) or out)
+    many = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        found = ngram_join.classes(docs(spark, texts).repartition(3))
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute_classes(list(enumerate(texts)))
+        assert found.rdd.getNumPartitions() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # all but the first, which is made task by task of the input, are one file each
+    assert {"groups", "texts", "near", "links", "round", "apart"} <= {label for label, _ in tables}
+    assert max(n for label, n in tables if label != "sets") == 1
+
+
 def test_sketches_bound_the_difference():
     rng = random.Random(9)
     for _ in range(100):
