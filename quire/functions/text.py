@@ -47,7 +47,8 @@ def trim_end_newlines(t: Column) -> Column:
 
 def word_count(t: Column) -> Column:
     """Runs of characters other than white space."""
-    return F.size(F.regexp_extract_all(t, F.lit(f"[^{WS_SET}]+"), F.lit(0))).cast("long")
+    # cut at white space: the class of all else takes five times as long to match
+    return F.size(F.array_remove(F.split(t, f"[{WS_SET}]+"), "")).cast("long")
 
 
 def garbled_ratio(t: Column) -> Column:

@@ -5,7 +5,7 @@ import os
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from quire.operators import fold, glyphs as GL, tables as TB
 from quire.plans import engines, extract as X, route
@@ -219,6 +219,41 @@ def test_a_document_over_several_batches(spark, tmp_path):
     assert run()[-3:] == [(3, 2, "failed", None, 1, 1), (4, 0, "started", 2, None, None), (4, 1, "page", 0, 1, 1)]
 
 
+def test_a_document_costs_one_read_and_one_write_of_its_state_a_batch():
+    class Handle:
+        def __init__(self):
+            self.calls, self.value, self.timers = [], None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 5000
+
+    handle, pages, row = Handle(), PG.Pages(10), Row("page_index", "pages", "blocks", "words")
+    pages.init(handle)
+    come = lambda *ps: [(r["seq"], r["event"], r["page_index"]) for r in pages.handleInputRows((1,), iter([row(p, 100, 1, 2) for p in ps]), Now())]
+    assert come(*range(98, -1, -1), 7) == [(0, "started", 100), *((i + 1, "page", i) for i in range(99))]
+    assert handle.calls == ["get", "update"] and handle.timers == [15000]
+    assert come(3, 99) == [(100, "page", 99), (101, "finished", 100)] and handle.calls == ["get", "update"] * 2 and handle.timers == []
+    assert come(5) == []
+
+
 def test_documents_are_converted_as_their_pages_come(spark, tmp_path, monkeypatch):
     """Previews of what has come; whole-document passes once all has, over batches and a restart; a page sent again counts once."""
     block = spark.createDataFrame([], DS.BLOCK).schema
