@@ -6,6 +6,7 @@ import os
 import pandas as pd
 import pytest
 from pyspark.sql import Row, functions as F
+from pyspark.sql.types import DoubleType, StructField
 
 from quire.operators import fold, glyphs as GL, tables as TB
 from quire.plans import engines, extract as X, route
@@ -192,6 +193,34 @@ def test_a_document_comes_back_whole(spark, tmp_path):
     assert json.loads(bare.first()["json"])["pages"] == []
 
 
+# --- plans that stay small -------------------------------------------------------------
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_glyphs_are_dealt_by_page_and_not_again(spark):
+    glyphs = spark.createDataFrame([(0, 1, 10.0, 10.0, 5.0, 10.0)], "page long, ord int, x double, y double, w double, h double")
+    runs = glyphs.selectExpr("*", "'a' as text", "10d as size", "false as bold")
+    assert exchanges(GL.column_gutters(glyphs, 600.0, 800.0)) == 1 and exchanges(GL.arrange(glyphs, 600.0, 800.0)) == 2
+    assert exchanges(GL.lines(glyphs, runs, 600.0, 800.0)) <= 5
+    assert exchanges(X.page_blocks(spark.createDataFrame([], LINE))) <= 3
+
+
+def test_groups_over_the_edges_of_batches(spark):
+    rows = [(p, i, float(i)) for p, n in ((None, 4), (1, 1), (2, 11), (5, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "page long, ord int, x double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = fold.fold_groups(df, ["page"], ["ord"], ["x"], ["ord"], [StructField("all", DoubleType())], lambda x: [x * 0 + x.sum()]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    whole = {p: sum(x for q, _, x in rows if q == p) for p, _, _ in rows}
+    assert sorted(map(str, got)) == sorted(str(Row(page=p, ord=i, all=whole[p])) for p, i, _ in rows)
+
+
 # --- the stream of pages ---------------------------------------------------------------
 
 
