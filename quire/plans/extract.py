@@ -135,8 +135,12 @@ def with_figures(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def text_regions(lines: DataFrame, page: str = "page") -> DataFrame:
-    """Regions of a page that its lines show: tables, and paragraphs with their text, level and size, in order."""
-    tables = TB.detect(lines.withColumn("size_pt", F.col("size").cast("double")), page)
+    """Regions of a page that its lines show: tables, and paragraphs with their text, level and size, in order.
+
+    The lines are read twice, so hand in a stored table; the tables found are stored here.
+    """
+    places = ["first_line", "end_line", *BOX]
+    tables = staged(TB.detect(lines.withColumn("size_pt", F.col("size").cast("double")), page).select(page, *places), "regions-tables")
     inside = tables.select(F.col(page).alias("t_page"), "first_line", "end_line")
     rest = lines.join(inside, (F.col(page) == F.col("t_page")) & (F.col("ord") >= F.col("first_line")) & (F.col("ord") < F.col("end_line")), "left_anti")
     text = _paragraphs(rest, page).select(page, "line", F.lit("text").alias("kind"), "text", F.when(F.col("is_heading"), F.col("level")).alias("level"), "size", *BOX)
@@ -159,10 +163,12 @@ def read_regions(regions: DataFrame, reader: Callable[[Iterator[pd.DataFrame]],
     ``reader`` maps frames of (page, region, kind, x, y, w, h), a crop each, to
     rows of ``schema``: page, region, ord, type, text and more.  A heading's
     region gives one heading; pieces take their region's place.  ``page_width``
-    is a number or names a column of ``regions``.
+    is a number or names a column of ``regions``.  The regions are worked out
+    once; their crops are stored, as the reader's blocks meet them again.
     """
-    numbered = G.coalesce_regions(regions.withColumn("mergeable", (F.col("kind") == "text") & F.col("level").isNull()), ["page"], page_width, tallest)
-    joined = regions.join(numbered, ["page", "ord"]).groupBy("page", "region").agg(F.min_by("kind", "ord").alias("kind"), F.max("level").alias("level"), F.max("size").alias("size"), *_union())
+    numbered = G.coalesce_regions(regions.withColumn("mergeable", (F.col("kind") == "text") & F.col("level").isNull()), ["page"], page_width, tallest, ("ord", "kind", "level", "size", *BOX))
+    joined = numbered.groupBy("page", "region").agg(F.min_by("kind", "ord").alias("kind"), F.max("level").alias("level"), F.max("size").alias("size"), *_union())
+    joined = staged(joined, "crops")
     crops = joined.select("page", "region", "kind", *[c.alias(n) for c, n in zip(G.inset(*[F.col(x) for x in BOX], -CROP), BOX)])
     read = crops.mapInPandas(reader, schema)
     own = joined.select("page", "region", F.col("level").alias("r_level"), "size", *BOX)

@@ -676,7 +676,7 @@ def read_regions(spark, d):
             yield f[["page", "region", "kind"]].assign(ord=0, type="paragraph", text=[f"{k} {int(w)}x{int(h)}" for k, w, h in zip(f["kind"], f["w"], f["h"])])[["page", "region", "ord", "type", "text"]]
 
     lines, _, _ = _sheets(spark, d)
-    r = X.read_regions(X.text_regions(lines), reader, "page long, region int, ord int, type string, text string", 600.0, 60.0)
+    r = X.read_regions(X.text_regions(staged(lines, "lines")), reader, "page long, region int, ord int, type string, text string", 600.0, 60.0)
     return r.select("page", "ord", "type", "level", "text", *[_r(c, 3).alias(c) for c in "xywh"])
 
 

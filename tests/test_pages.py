@@ -208,6 +208,16 @@ def test_glyphs_are_dealt_by_page_and_not_again(spark):
     assert exchanges(X.page_blocks(spark.createDataFrame([], LINE))) <= 3
 
 
+def test_regions_are_worked_out_once(spark, monkeypatch):
+    searched, detect = [], TB.detect
+    monkeypatch.setattr(TB, "detect", lambda *a: searched.append(0) or detect(*a))
+    lines = spark.createDataFrame([(0, i, f"text {i}", 10.0, 20.0 * i, 300.0, 10.0, 0, 10.0, False, [(10.0, 310.0)]) for i in range(3)], LINE)
+    read = X.read_regions(X.text_regions(lines), lambda frames: (f[["page", "region", "kind"]].assign(ord=0, type="paragraph", text=f["kind"])[["page", "region", "ord", "type", "text"]] for f in frames), "page long, region int, ord int, type string, text string", 600.0, 60.0)
+    # neither the search nor the numbering of regions is part of what remains
+    assert len(searched) == 1 and "MapInArrow" not in read._jdf.queryExecution().executedPlan().toString() and exchanges(read) <= 4
+    assert {r["text"] for r in read.collect()} == {"text"}
+
+
 def test_groups_over_the_edges_of_batches(spark):
     rows = [(p, i, float(i)) for p, n in ((None, 4), (1, 1), (2, 11), (5, 3)) for i in range(n)]
     df = spark.createDataFrame(rows, "page long, ord int, x double")
