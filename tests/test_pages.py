@@ -218,6 +218,15 @@ def test_regions_are_worked_out_once(spark, monkeypatch):
     assert {r["text"] for r in read.collect()} == {"text"}
 
 
+def test_figures_are_looked_for_once(spark):
+    blocks = spark.createDataFrame([(0, 0, "paragraph", "Text", 10.0, 400.0, 300.0, 20.0)], "page long, ord int, type string, text string, x double, y double, w double, h double")
+    pages = spark.createDataFrame([(0, 600.0, 800.0, [(0, 100.0, 100.0, 200.0, 200.0)])], "page long, width double, height double, ink array<struct<ord:int,x:double,y:double,w:double,h:double>>")
+    got = X.with_figures(blocks, pages)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in ("MapIn", "EvalPython", "FlatMapGroups"))
+    assert [r["type"] for r in got.orderBy("ord").collect()] == ["figure", "paragraph"]
+
+
 def test_groups_over_the_edges_of_batches(spark):
     rows = [(p, i, float(i)) for p, n in ((None, 4), (1, 1), (2, 11), (5, 3)) for i in range(n)]
     df = spark.createDataFrame(rows, "page long, ord int, x double")
