@@ -227,6 +227,13 @@ def test_figures_are_looked_for_once(spark):
     assert [r["type"] for r in got.orderBy("ord").collect()] == ["figure", "paragraph"]
 
 
+def test_blocks_that_can_hold_no_table_are_not_searched(spark):
+    lines = lambda n: [(0, i, f"text {i}", 10.0, 20.0 * i, 300.0, 10.0, 0, 10.0, False, [(10.0, 60.0), (200.0, 310.0)] if i < n else [(10.0, 60.0)]) for i in range(4)]
+    found = [TB.detect(spark.createDataFrame(lines(n), LINE).withColumn("size_pt", F.col("size"))) for n in (0, 1, 2, 4)]
+    assert [[(r["first_line"], r["end_line"]) for r in f.collect()] for f in found] == [[], [], [(0, 3)], [(0, 4)]]
+    assert "q_several" in found[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_groups_over_the_edges_of_batches(spark):
     rows = [(p, i, float(i)) for p, n in ((None, 4), (1, 1), (2, 11), (5, 3)) for i in range(n)]
     df = spark.createDataFrame(rows, "page long, ord int, x double")
